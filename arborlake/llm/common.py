@@ -1,14 +1,14 @@
-"""What the training-data operators share: tables, scratch tables in the shared folder, and checked joins."""
+"""What the training-data operators share: tables and checked joins."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import Scratch
+
+__all__ = ["BROADCAST_ROWS", "Scratch", "join_checked", "table"]
+
 #: A side is broadcast up to so many rows (of a few short columns), otherwise the planner joins by shuffle.
 BROADCAST_ROWS = 50_000
 
@@ -17,50 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a session without one gets a folder beside its warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder. They outlive lost executors and cut the lineage.
-
-    `keep` writes a frame and returns it as read back; `drop` deletes such tables and lets the
-    driver forget the shuffle files behind them. What is left goes when the process ends.
-    """
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-        atexit.register(self.drop)
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/arborlake/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._scratch_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        paths = [f._scratch_path for f in frames] or list(self.paths)
-        for path in paths:
-            if path in self.paths:
-                self.paths.remove(path)
-                try:
-                    jvm = self.spark._jvm
-                    where = jvm.org.apache.hadoop.fs.Path(path)
-                    where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-                except Exception as e:  # at exit the JVM may be gone already
-                    if frames:
-                        raise e
-
-    def forget(self) -> None:
-        """Lets Spark remove the shuffle files of frames that are no longer in use."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
-
 def join_checked(left: DataFrame, right: DataFrame, on, how: str, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Joins, with the right side broadcast if it has at most `rows` rows; beyond that the planner's own
     shuffle join, whose hot keys adaptive execution splits."""
