@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_token_counts, op4_decontamination, op5_quality_crf, op7_language_id, op8_byte_bpe, op9_url_filters
+from . import op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op7_language_id, op8_byte_bpe, op9_url_filters
 
 
 def queries():
     return {
         "op1_quality_rules": op1_quality_rules.query,
         "op2_token_counts": op2_token_counts.query,
+        "op3_minhash_dedup": op3_minhash_dedup.query,
         "op4_decontamination": op4_decontamination.query,
         "op5_quality_crf": op5_quality_crf.query,
         "op7_language_id": op7_language_id.query,
