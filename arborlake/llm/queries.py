@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op7_language_id, op8_byte_bpe, op9_url_filters
+from . import op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_minhash_dedup": op3_minhash_dedup.query,
         "op4_decontamination": op4_decontamination.query,
         "op5_quality_crf": op5_quality_crf.query,
+        "op6_license_scans": op6_license_scans.query,
         "op7_language_id": op7_language_id.query,
         "op8_byte_bpe": op8_byte_bpe.query,
         "op9_url_filters": op9_url_filters.query,
@@ -22,5 +23,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1_quality_rules.SQL,
         "op4_decontamination": op4_decontamination.SQL,
+        "op6_license_scans": op6_license_scans.sql(),
         "op9_url_filters": op9_url_filters.sql(),
     }
