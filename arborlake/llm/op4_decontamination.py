@@ -170,6 +170,7 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
 def _search(docs: DataFrame, index: Index, last: bool) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    row = [f"row {docs.schema['row'].dataType.simpleString()}"] if "row" in docs.columns else []
 
     def run(batches):
         for batch, texts in text_chunks(batches, "text"):
@@ -186,20 +187,21 @@ def _search(docs: DataFrame, index: Index, last: bool) -> DataFrame:
                 items[d] = sorted(names.union(items[d]))
             text = pa.nulls(len(texts), pa.string()) if last else batch.column(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), text, pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(np.diff(at), pa.int64())],
-                ["doc_id", "text", "spans", "items", "n_words"],
+                [batch.column(0), text, pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(np.diff(at), pa.int64()), *batch.columns[4:]],
+                ["doc_id", "text", "spans", "items", "n_words", *["row"] * len(row)],
             )
 
-    schema = f"doc_id {id_type}, text string, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_words bigint"
-    return docs.select("doc_id", "text", "spans", "items").mapInArrow(run, schema)
+    schema = ", ".join([f"doc_id {id_type}, text string, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_words bigint", *row])
+    return docs.select("doc_id", "text", "spans", "items", *["row"] * len(row)).mapInArrow(run, schema)
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, spans of hit words, and the sorted ids of the items with occurring windows."""
+def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """doc_id, n_words, spans of hit words, and the sorted ids of the items with occurring windows; row has the columns to be carried along."""
     bench = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL AND length(t) > 0")
     chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    row = [F.struct(*carry).alias("row")] if carry else []
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
     slim = out.select("text")
     out = out.withColumns({"spans": F.expr("cast(array() AS array<struct<start:bigint,end:bigint>>)"), "items": F.expr("cast(array() AS array<string>)")})
     for b in range(blocks):
@@ -207,19 +209,24 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
         index = Index([tuple(r) for r in own.collect()])
         index.order(shingle_counts(slim, index))
         out = _search(out, index, b == blocks - 1)
-    return out.select("doc_id", "n_words", "spans", "items")
+    return out.select("doc_id", "n_words", "spans", "items", *["row"] * len(row))
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """Adds n_hit, the hit words, and contaminated: hits on at least a twentieth of the words."""
+    out = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    out = out.withColumn("n_hit", F.expr("aggregate(spans, 0L, (s, x) -> s + x.end - x.start)"))
+    out = judged(contaminated_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
     return out.select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        "contaminated",
     )
 
 

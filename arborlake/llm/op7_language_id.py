@@ -103,10 +103,13 @@ def train(docs: DataFrame, lang_col: str = "lang", per_language: int = SAMPLE_PE
     return names, unit(sums).astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (the cosine, at least 0) of every text."""
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    id_type = slim.schema["doc_id"].dataType.simpleString()
+def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
+    """doc_id, lang_pred and score (the cosine, at least 0) of every text; row has the columns to be carried along."""
+    row = [F.struct(*carry).alias("row")] if carry else []
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    schema = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double" + "".join(f", row {slim.schema['row'].dataType.simpleString()}" for _ in row)
+
+    carried = len(row)
 
     def run(batches):
         profiles = Profiles()
@@ -118,15 +121,15 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: s
                 best = cos.argmax(1)
                 langs += [names[i] if s and names else "und" for i, s in zip(best, some)]
                 scores += [round(min(1.0, max(0.0, float(c[i]))), 5) if s else 0.0 for c, i, s in zip(cos, best, some)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *["row"] * carried])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return slim.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     """Learns from three quarters of the documents and predicts all."""
     names, prototypes = train(docs.where(~held_out(F.col("doc_id"), 4, 2)))
-    return predict(docs, names, prototypes)
+    return predict(docs, names, prototypes, carry=carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
+from . import op1_quality_rules, op10_substring_dedup, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
 
 
 def queries():
@@ -16,6 +16,7 @@ def queries():
         "op7_language_id": op7_language_id.query,
         "op8_byte_bpe": op8_byte_bpe.query,
         "op9_url_filters": op9_url_filters.query,
+        "op10_substring_dedup": op10_substring_dedup.query,
     }
 
 
