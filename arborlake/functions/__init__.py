@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Scalar functions as column expressions."""

@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Operators over tables of nodes."""

@@ -1 +1 @@
-"""See the package README section on layout."""
+"""How plans are run: scratch tables, numbering, and the catalogue of registered queries."""

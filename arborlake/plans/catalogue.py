@@ -2,10 +2,430 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import fmt, versions
+from ..operators import duplicates as dup
+from ..operators import overview, rename, rollup, search, similar, snapshot, treemap
+from ..operators.search import SearchCriteria
+from ..sinks import export, snapshots
+from ..sources import adapters
+from ..sources.adapters import EVENT_CUTS, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
+from . import oracle as Q
+from .scratch import shared_dir
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, sql: str | None = None):
+    def put(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return put
+
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# roll-up and overview
+
+_NODE = "full_path, parent_path, name, is_directory, depth, size_bytes, file_count"
+
+
+def _node_columns(nodes: DataFrame) -> DataFrame:
+    return nodes.select(*_NODE.split(", "))
+
+
+@_register("tree_rollup", f"WITH {Q.ORDERS} SELECT {_NODE} FROM nodes")
+def tree_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return _node_columns(orders_tree(spark, d))
+
+
+@_register("tree_rollup_variable_depth", f"WITH {Q.PAGES} SELECT {_NODE}, extension FROM nodes")
+def tree_rollup_variable_depth(spark, d):
+    return pages_tree(spark, d).select(*_NODE.split(", "), "extension")
+
+
+@_register(
+    "scan_totals",
+    f"""WITH {Q.ORDERS}, t AS (SELECT count(*) FILTER (NOT is_directory) AS files, count(*) FILTER (is_directory) AS folders,
+      sum(size_bytes) FILTER (NOT is_directory)::BIGINT AS total_bytes, 0::BIGINT AS unreadable FROM nodes)
+    SELECT *, files || ' files, ' || {Q.size_text("total_bytes")} || ' total' AS line FROM t""",
+)
+def scan_totals(spark, d):
+    return rollup.scan_totals(orders_tree(spark, d)).withColumn("line", fmt.totals_line(F.col("files"), F.col("total_bytes")))
+
+
+@_register(
+    "percent_of_root",
+    f"""WITH {Q.ORDERS}, r AS (SELECT size_bytes AS root FROM nodes WHERE depth = 0)
+    SELECT full_path, {Q.points("size_bytes", "root")} AS share_bp, (least({Q.points("size_bytes", "root")}, 10000) * 60 // 100)::BIGINT AS bar_width FROM nodes, r WHERE depth <= 3""",
+)
+def percent_of_root(spark, d):
+    nodes = orders_tree(spark, d)
+    share = fmt.basis_points(F.col("size_bytes"), F.col("root_bytes"))
+    return rollup.with_root_total(nodes, nodes.where("depth <= 3")).select("full_path", share.alias("share_bp"), fmt.bar_width(share).alias("bar_width"))
+
+
+@_register("format_sizes", f"WITH {Q.ORDERS} SELECT full_path, {Q.size_text('size_bytes * 977')} AS size_text, {Q.signed_text('50000000 - size_bytes')} AS change_text FROM nodes")
+def format_sizes(spark, d):
+    return orders_tree(spark, d).select("full_path", fmt.format_bytes(F.col("size_bytes") * 977).alias("size_text"), fmt.signed_bytes(50000000 - F.col("size_bytes")).alias("change_text"))
+
+
+@_register(
+    "biggest_children",
+    f"""WITH {Q.ORDERS}, r AS (SELECT size_bytes AS root FROM nodes WHERE depth = 0)
+    SELECT full_path, name, size_bytes, {Q.size_text("size_bytes")} AS size_text, {Q.points("size_bytes", "root")} AS share_bp, file_count,
+      CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS kind FROM nodes, r WHERE parent_path = '/' ORDER BY size_bytes DESC, traversal_ord LIMIT 6""",
+)
+def biggest_children(spark, d):
+    return overview.biggest_children(orders_tree(spark, d))
+
+
+@_register("children_of_parent", f"WITH {Q.ORDERS} SELECT full_path, size_bytes, file_count, row_number() OVER (ORDER BY size_bytes DESC, traversal_ord)::INTEGER AS rank FROM nodes WHERE parent_path = '/EUROPE'")
+def children_of_parent(spark, d):
+    rank = F.row_number().over(W.partitionBy("parent_path").orderBy(*rollup.by_size()))
+    return rollup.children(orders_tree(spark, d), "/EUROPE").select("full_path", "size_bytes", "file_count", rank.alias("rank"))
+
+
+@_register(
+    "treemap_candidates",
+    f"""WITH {Q.ORDERS}, k AS (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY size_bytes DESC, traversal_ord)::INTEGER AS rank FROM nodes WHERE parent_path IS NOT NULL AND size_bytes > 0)
+    SELECT parent_path, full_path, size_bytes, rank FROM k WHERE rank <= 60""",
+)
+def treemap_candidates(spark, d):
+    return treemap.candidates(orders_tree(spark, d)).select("parent_path", "full_path", "size_bytes", "rank")
+
+
+@_register("treemap_layout")
+def treemap_layout(spark, d):
+    return treemap.layout(treemap.candidates(orders_tree(spark, d).where("depth <= 3")))
+
+
+_SOME_ORDER = "(SELECT min(full_path) AS p FROM nodes WHERE NOT is_directory)"
+
+
+@_register("ancestors_of_file", f"WITH {Q.PAGES}, f AS {_SOME_ORDER} SELECT full_path, depth, size_bytes FROM nodes, f WHERE is_directory AND (full_path = '/' OR starts_with(p, full_path || '/'))")
+def ancestors_of_file(spark, d):
+    nodes = pages_tree(spark, d)
+    path = nodes.where("NOT is_directory").agg(F.min("full_path")).first()[0]
+    return rollup.ancestors(nodes, path).select("full_path", "depth", "size_bytes")
+
+
+# search
+
+_HIT = "full_path, is_directory, size_bytes"
+
+
+def _search(name: str, tree, sql_tree: str, where: str, criteria: SearchCriteria) -> None:
+    @_register(name, f"WITH {sql_tree} SELECT {_HIT} FROM nodes WHERE {where}")
+    def run(spark, d):
+        return search.search(tree(spark, d), criteria).select(*_HIT.split(", "))
+
+
+_search("search_wildcard", pages_tree, Q.PAGES, r"regexp_matches(name, '(?i)^page-1.*\.html$')", SearchCriteria("PAGE-1*.html"))
+_search("search_regex", documents_tree, Q.DOCS, r"regexp_matches(name, '(?i)^\d*7\.TXT$')", SearchCriteria(r"^\d*7\.TXT$", is_regex=True))
+_search("search_size_range", orders_tree, Q.ORDERS, "size_bytes >= 10485760 AND size_bytes <= 31457280", search.criteria_from_text("10", "30"))
+_search(
+    "search_modified_range", orders_tree, Q.ORDERS, "coalesce(modified_utc, TIMESTAMP '0001-01-01') >= TIMESTAMP '1997-01-01' AND coalesce(modified_utc, TIMESTAMP '0001-01-01') <= TIMESTAMP '1998-06-30'",
+    SearchCriteria(modified_after="1997-01-01 00:00:00", modified_before="1998-06-30 00:00:00"),
+)
+_search("search_extension", documents_tree, Q.DOCS, "is_directory OR lower(extension) IN ('.txt', '.md')", SearchCriteria(extensions=["TXT", " .md", ""]))
+_search("search_files_only", orders_tree, Q.ORDERS, "NOT is_directory", SearchCriteria(include_directories=False))
+_search("search_dirs_only", orders_tree, Q.ORDERS, "is_directory", SearchCriteria(include_files=False))
+_search(
+    "search_combined", documents_tree, Q.DOCS, r"NOT is_directory AND regexp_matches(name, '(?i)^.*1.txt$') AND size_bytes >= 500 AND modified_utc >= TIMESTAMP '2024-01-05' AND lower(extension) = '.txt'",
+    SearchCriteria("*1?txt", min_size=500, modified_after="2024-01-05 00:00:00", extensions=["txt"], include_directories=False),
+)
+
+
+# duplicates
+
+_DUP = f"""files AS ({Q.DOC_FILES}),
+dups AS (SELECT full_path, size_bytes, modified_utc, digest, copies, row_number() OVER (PARTITION BY size_bytes, digest ORDER BY modified_utc, full_path)::INTEGER AS rank FROM
+  (SELECT *, sha256(text) AS digest, count(*) OVER (PARTITION BY octet_length(encode(text)), sha256(text)) AS copies FROM files WHERE size_bytes > 0) WHERE copies > 1),
+grp AS (SELECT size_bytes, digest, count(*) AS copies, min(full_path) FILTER (rank = 1) AS kept_path, size_bytes * (count(*) - 1) AS wasted_bytes FROM dups GROUP BY size_bytes, digest)"""
+
+
+@_register("duplicates_by_size", f"WITH files AS ({Q.DOC_FILES}) SELECT full_path, size_bytes FROM files WHERE size_bytes > 0 AND size_bytes IN (SELECT size_bytes FROM files GROUP BY 1 HAVING count(*) > 1)")
+def duplicates_by_size(spark, d):
+    return dup.size_candidates(documents_files(spark, d)).select("full_path", "size_bytes")
+
+
+@_register("duplicates_exact", f"WITH {_DUP} SELECT full_path, size_bytes, digest, copies FROM dups")
+def duplicates_exact(spark, d):
+    return dup.duplicate_files(documents_files(spark, d)).select("full_path", "size_bytes", "digest", "copies")
+
+
+@_register("duplicates_keep_plan", f"WITH {_DUP} SELECT full_path, size_bytes, rank, rank > 1 AS selected FROM dups")
+def duplicates_keep_plan(spark, d):
+    return dup.keep_plan(dup.duplicate_files(documents_files(spark, d))).select("full_path", "size_bytes", "rank", "selected")
+
+
+@_register("duplicates_waste", f"WITH {_DUP} SELECT size_bytes, digest, copies, kept_path, wasted_bytes, {Q.size_text('wasted_bytes')} AS wasted_text FROM grp")
+def duplicates_waste(spark, d):
+    return dup.groups(dup.duplicate_files(documents_files(spark, d))).withColumn("wasted_text", fmt.format_bytes(F.col("wasted_bytes")))
+
+
+@_register(
+    "duplicates_guard",
+    f"""WITH {_DUP}, g AS (SELECT digest, bool_and(sel) AS whole, count(*) FILTER (sel) AS n, sum(size_bytes) FILTER (sel) AS b
+      FROM (SELECT *, rank > 1 OR size_bytes % 5 = 0 AS sel FROM dups) GROUP BY size_bytes, digest)
+    SELECT sum(n)::BIGINT AS selected_files, sum(b)::BIGINT AS selected_bytes, bool_or(whole) AS loses_a_group FROM g""",
+)
+def duplicates_guard(spark, d):
+    plan = dup.keep_plan(dup.duplicate_files(documents_files(spark, d)))
+    return dup.guard(plan.withColumn("selected", F.col("selected") | (F.col("size_bytes") % 5 == 0)))
+
+
+@_register(
+    "duplicates_after_delete",
+    f"""WITH {_DUP}, l AS (SELECT * FROM dups WHERE rank <> 2), n AS (SELECT size_bytes, digest, count(*) AS copies FROM l GROUP BY ALL HAVING count(*) > 1)
+    SELECT l.full_path, l.size_bytes, n.copies FROM l JOIN n USING (size_bytes, digest)""",
+)
+def duplicates_after_delete(spark, d):
+    found = dup.duplicate_files(documents_files(spark, d))
+    gone = dup.keep_plan(found).where("rank = 2").select(F.upper("full_path").alias("full_path"))
+    return dup.after_delete(found, gone).select("full_path", "size_bytes", "copies")
+
+
+# similar images
+
+_IMAGES = """img AS (SELECT '/img/' || vec_id || '.png' AS full_path, 1000 + vec_id % 97 AS size_bytes, make_timestamp((1704067200 + vec_id * 37 % 501 * 60) * 1000000) AS modified_utc,
+  string_agg(CASE WHEN embedding[65 - i] > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM embeddings, range(1, 65) r(i) GROUP BY ALL)"""
+_NEAR = "len(replace(array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN '1' ELSE '' END), ''), '0', ''))"
+_PAIRS = f"""{_IMAGES}, pairs AS (SELECT a.full_path AS a, b.full_path AS b, {_NEAR} AS distance FROM img a JOIN img b ON a.full_path < b.full_path)"""
+_GROUPS = f"""WITH RECURSIVE {_PAIRS}, near AS (SELECT a, b FROM pairs WHERE distance <= 20 UNION ALL SELECT b, a FROM pairs WHERE distance <= 20),
+reach(n, m) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.n, near.b FROM reach r JOIN near ON r.m = near.a),
+named AS (SELECT n AS full_path, min(m) AS group_path FROM reach GROUP BY n),
+grp AS (SELECT full_path, size_bytes, group_path, row_number() OVER (PARTITION BY group_path ORDER BY size_bytes DESC, upper(full_path), full_path)::INTEGER AS rank FROM named JOIN img USING (full_path))"""
+
+
+@_register("similar_pairs", f"WITH {_PAIRS} SELECT a, b, distance::INTEGER AS distance FROM pairs WHERE distance <= 20")
+def similar_pairs(spark, d):
+    images = adapters.embedding_hashes(spark, d)
+    near = similar.hash_pairs(images, 20).withColumnsRenamed({"a": "ha", "b": "hb"})
+    side = lambda x: images.select(F.col("hash").alias(f"h{x}"), F.col("full_path").alias(x))
+    across = near.join(side("a"), "ha").join(side("b"), "hb")
+    equal = side("a").join(side("b").withColumnRenamed("hb", "ha"), "ha").where("a < b").withColumn("hb", F.col("ha"))
+    out = across.unionByName(equal)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similar.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+
+
+def _similar(spark, d):
+    return similar.similar_groups(adapters.embedding_hashes(spark, d), 20)
+
+
+@_register("similar_groups", f"{_GROUPS} SELECT full_path, size_bytes, min(full_path) OVER (PARTITION BY group_path) AS group_path, rank FROM grp")
+def similar_groups(spark, d):
+    return _similar(spark, d).select("full_path", "size_bytes", F.min("full_path").over(W.partitionBy("group_id")).alias("group_path"), "rank")
+
+
+@_register("similar_waste", f"{_GROUPS} SELECT min(full_path) FILTER (rank = 1) AS kept_path, count(*) AS members, (sum(size_bytes) - max(size_bytes))::BIGINT AS wasted_bytes FROM grp GROUP BY group_path")
+def similar_waste(spark, d):
+    return similar.group_waste(_similar(spark, d)).select("kept_path", "members", "wasted_bytes")
+
+
+@_register(
+    "similar_capped",
+    f"""WITH {_IMAGES}, c AS (SELECT full_path FROM img ORDER BY modified_utc DESC, full_path LIMIT 100)
+    SELECT c.full_path, (SELECT count(*) FROM img) AS found, least(100, (SELECT count(*) FROM img))::BIGINT AS considered, (SELECT count(*) FROM img) > 100 AS truncated FROM c""",
+)
+def similar_capped(spark, d):
+    images = adapters.embedding_hashes(spark, d)
+    return similar.newest(images, 100).select("full_path").crossJoin(F.broadcast(similar.cap_figures(images, 100)))
+
+
+@_register(
+    "reclaim_totals",
+    f"""{_GROUPS.replace("grp AS", "sim AS")}, {_DUP}, s AS (SELECT sum(size_bytes) - max(size_bytes) AS w FROM sim GROUP BY group_path),
+    t AS (SELECT coalesce((SELECT sum(wasted_bytes) FROM grp), 0)::BIGINT AS duplicate_bytes, coalesce((SELECT sum(w) FROM s), 0)::BIGINT AS similar_bytes)
+    SELECT *, duplicate_bytes + similar_bytes AS total_bytes FROM t""",
+)
+def reclaim_totals(spark, d):
+    return overview.reclaim_totals(dup.groups(dup.duplicate_files(documents_files(spark, d))), similar.group_waste(_similar(spark, d)))
+
+
+# snapshots
+
+_EVENTS = f"{Q.events(EVENT_CUTS[0], 'true', '_a')}, {Q.events(EVENT_CUTS[1], 'user_id % 7 <> 3', '_b')}, {Q.diff()}"
+_DOC_MOVES = f"WITH {Q.BEFORE}, {Q.AFTER}, {Q.diff()}, {Q.MOVES}"
+_CHANGE = "full_path, name, is_directory, old_bytes, new_bytes, delta_bytes"
+
+
+def _event_changes(spark, d):
+    return snapshot.changes(*(events_tree(spark, d, cut) for cut in EVENT_CUTS))
+
+
+def _changes(kind: str) -> None:
+    texts = f"{Q.signed_text('delta_bytes')} AS delta_text, CASE WHEN old_bytes = 0 THEN {Q.size_text('new_bytes')} WHEN new_bytes = 0 THEN {Q.size_text('old_bytes')} ELSE {Q.size_text('old_bytes')} || ' → ' || {Q.size_text('new_bytes')} END AS size_text"
+
+    @_register(f"snapshot_{kind}", f"WITH {_EVENTS} SELECT {_CHANGE}, {texts} FROM changes WHERE kind = '{kind}'")
+    def run(spark, d):
+        return snapshot.change_texts(_event_changes(spark, d).where(F.col("kind") == kind)).select(*_CHANGE.split(", "), "delta_text", "size_text")
+
+
+for _kind in ("added", "removed", "changed"):
+    _changes(_kind)
+
+
+@_register(
+    "snapshot_moves",
+    rf"""{_DOC_MOVES} SELECT old_path, new_path, is_directory, size_bytes, tier::INTEGER AS tier, CASE WHEN old_name <> new_name AND f THEN 'Moved & renamed' WHEN old_name <> new_name THEN 'Renamed' ELSE 'Moved' END AS move_kind
+    FROM (SELECT *, lower(regexp_extract(old_path, '^(.*)/[^/]*$', 1)) <> lower(regexp_extract(new_path, '^(.*)/[^/]*$', 1)) AS f FROM moved)""",
+)
+def snapshot_moves(spark, d):
+    return snapshot.moves(snapshot.changes(*moved_documents(spark, d))).select("old_path", "new_path", "is_directory", "size_bytes", "tier", "move_kind")
+
+
+@_register(
+    "snapshot_net_delta",
+    f"""{_DOC_MOVES} SELECT count(*) FILTER (kind = 'added') AS added, count(*) FILTER (kind = 'removed') AS removed, count(*) FILTER (kind = 'changed') AS changed,
+    coalesce(sum(delta_bytes), 0)::BIGINT AS net_delta_reference, coalesce(sum(delta_bytes) FILTER (NOT is_directory), 0)::BIGINT AS net_delta_bytes FROM rest""",
+)
+def snapshot_net_delta(spark, d):
+    return snapshot.net_delta(snapshot.compare(*moved_documents(spark, d))[0])
+
+
+@_register("snapshot_top20", f"WITH {_EVENTS} SELECT {_CHANGE} FROM changes WHERE kind = 'changed' ORDER BY abs(delta_bytes) DESC, traversal_ord LIMIT 20")
+def snapshot_top20(spark, d):
+    return snapshot.top(_event_changes(spark, d), "changed").select(*_CHANGE.split(", "))
+
+
+@_register("snapshot_roundtrip", f"WITH {Q.ORDERS} SELECT {_NODE} FROM nodes")
+def snapshot_roundtrip(spark, d):
+    folder = f"{shared_dir(spark)}/arborlake/snapshots-{next(tempfile._get_candidate_names())}"
+    snapshots.save(orders_tree(spark, d), folder, "first")
+    return _node_columns(snapshots.load(spark, folder, "first"))
+
+
+# renames
+
+_FILES = f"files AS ({Q.DOC_FILES})"
+
+
+def _batch(spark, d):
+    return documents_files(spark, d).select("full_path", F.col("doc_id").alias("ord"))
+
+
+def _rename(name: str, new_base: str, options: rename.RenameOptions) -> None:
+    sql = f"""WITH {_FILES}, b AS (SELECT full_path, doc_id AS ord, regexp_extract(full_path, '^(.*)/', 1) AS folder, doc_id::VARCHAR AS base, row_number() OVER (ORDER BY doc_id) AS nth FROM files),
+    n AS (SELECT full_path, ord, folder, {new_base} AS stem FROM b),
+    k AS (SELECT *, row_number() OVER (PARTITION BY lower(folder || '/' || stem), trim(stem) = '' ORDER BY ord) AS again FROM n)
+    SELECT full_path, stem || '.txt' AS new_name, CASE WHEN trim(stem) = '' THEN '{rename.EMPTY}' WHEN again > 1 THEN '{rename.COLLIDES}'
+      WHEN folder || '/' || stem || '.txt' IN (SELECT full_path FROM files WHERE doc_id % 10 = 0) AND folder || '/' || stem || '.txt' NOT IN (SELECT full_path FROM b) THEN '{rename.EXISTS}' END AS error FROM k"""
+
+    @_register(name, sql)
+    def run(spark, d):
+        return rename.preview(_batch(spark, d), options).select("full_path", "new_name", "error")
+
+
+_rename("rename_prefix_suffix", "'2026-' || base || '-edited'", rename.RenameOptions(prefix="2026-", suffix="-edited"))
+_rename("rename_literal", "replace(base, '1', 'One ')", rename.RenameOptions(find="1", replace="One "))
+_rename("rename_regex", r"regexp_replace(base, '(\d)(\d)$', '\2$\1', 'g')", rename.RenameOptions(find=r"(\d)(\d)$", is_regex=True, replace="$2$$$1"))
+_rename("rename_counter", "base || lpad((5 + 10 * (nth - 1))::VARCHAR, greatest(3, length((5 + 10 * (nth - 1))::VARCHAR))::INTEGER, '0')", rename.RenameOptions(use_counter=True, counter_start=5, counter_step=10, counter_digits=3))
+
+_COLLIDE = f"""{_FILES}, b AS (SELECT full_path, doc_id AS ord, regexp_extract(full_path, '^(.*)/', 1) AS folder, replace(doc_id::VARCHAR, '7', '') AS stem FROM files WHERE doc_id % 10 >= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY lower(folder || '/' || stem), trim(stem) = '' ORDER BY ord) AS again, folder || '/' || stem || '.txt' AS new_path FROM b),
+p AS (SELECT full_path, ord, new_path, CASE WHEN trim(stem) = '' THEN '{rename.EMPTY}' WHEN again > 1 THEN '{rename.COLLIDES}'
+  WHEN lower(new_path) IN (SELECT lower(full_path) FROM files) AND lower(new_path) NOT IN (SELECT lower(full_path) FROM b) THEN '{rename.EXISTS}' END AS error FROM k)"""
+
+
+def _collisions(spark, d):
+    files = documents_files(spark, d).select("full_path", F.col("doc_id").alias("ord"))
+    return rename.preview(files.where("ord % 10 >= 5"), rename.RenameOptions(find="7"), files)
+
+
+@_register("rename_collisions", f"WITH {_COLLIDE} SELECT full_path, new_path, CASE WHEN error IS NOT NULL THEN 'fail' WHEN full_path = new_path THEN 'skip' ELSE 'rename' END AS action, error FROM p")
+def rename_collisions(spark, d):
+    return rename.plan(_collisions(spark, d)).select("full_path", "new_path", "action", "error")
+
+
+@_register("rename_errors", f"WITH {_COLLIDE} SELECT count(*) AS files, count(error) AS errors FROM p")
+def rename_errors(spark, d):
+    return rename.error_count(_collisions(spark, d))
+
+
+@_register(
+    "rename_applied_tree",
+    f"WITH {_COLLIDE}, l0 AS (SELECT coalesce(p.new_path, f.full_path) AS full_path, size_bytes, modified_utc FROM files f LEFT JOIN p ON f.full_path = p.full_path AND p.error IS NULL), {Q.tree('SELECT * FROM l0')} SELECT {_NODE} FROM nodes",
+)
+def rename_applied_tree(spark, d):
+    done = rename.plan(_collisions(spark, d)).where("action = 'rename'")
+    return _node_columns(rollup.rename_nodes(documents_tree(spark, d), done.select("full_path", "new_path")))
+
+
+# patches and exports
+
+_GONE = "(full_path LIKE '/EUROPE/%' AND size_bytes % 3 = 0 AND depth = 4) OR full_path IN (SELECT min(full_path) FROM nodes WHERE depth = 2 AND full_path LIKE '/ASIA/%')"
+
+
+@_register(
+    "delete_patch_rollup",
+    f"""WITH {Q.ORDERS}, gone AS (SELECT full_path, is_directory FROM nodes WHERE {_GONE}),
+    l2 AS (SELECT full_path, size_bytes, modified_utc FROM leaves WHERE full_path NOT IN (SELECT full_path FROM gone) AND NOT starts_with(full_path, (SELECT full_path || '/' FROM gone WHERE is_directory))),
+    f2 AS (SELECT full_path FROM dirs WHERE full_path NOT IN (SELECT full_path FROM gone) AND NOT starts_with(full_path, (SELECT full_path || '/' FROM gone WHERE is_directory))),
+    {Q.tree("SELECT * FROM l2", "SELECT * FROM f2", "_c")} SELECT {_NODE} FROM nodes_c""",
+)
+def delete_patch_rollup(spark, d):
+    nodes = orders_tree(spark, d)
+    some = nodes.where("full_path LIKE '/EUROPE/%' AND size_bytes % 3 = 0 AND depth = 4").select("full_path")
+    first = nodes.where("depth = 2 AND full_path LIKE '/ASIA/%'").agg(F.min("full_path").alias("full_path"))
+    return _node_columns(rollup.remove_nodes(nodes, some.union(first)))
+
+
+_CELLS = f"""name AS "Name", full_path AS "Full Path", CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS "Type", size_bytes::VARCHAR AS "Size (Bytes)", {Q.size_text("size_bytes")} AS "Size",
+  (bp // 100)::VARCHAR || '.' || lpad((bp % 100)::VARCHAR, 2, '0') AS "% of Total", file_count::VARCHAR AS "File Count", coalesce(strftime(modified_utc, '%Y-%m-%d %H:%M:%SZ'), '') AS "Last Modified (UTC)" """
+
+
+@_register("export_csv_rows", f"WITH {Q.ORDERS}, s AS (SELECT *, {Q.points('size_bytes', '(SELECT size_bytes FROM nodes WHERE depth = 0)')} AS bp FROM nodes) SELECT {_CELLS} FROM s")
+def export_csv_rows(spark, d):
+    nodes = orders_tree(spark, d)
+    return export.csv_rows(nodes, rollup.root_total(nodes).first()[0])
+
+
+@_register(
+    "export_html_rows",
+    f"""WITH {Q.ORDERS}, t AS (SELECT sum(size_bytes) AS t FROM nodes WHERE depth <= 3), s AS (SELECT *, {Q.points("size_bytes", "t")} AS bp FROM nodes, t WHERE depth <= 3)
+    SELECT name, full_path, CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS kind, size_bytes, {Q.size_text("size_bytes")} AS size_text,
+      ((bp + 5) // 10 // 10)::VARCHAR || '.' || ((bp + 5) // 10 % 10)::VARCHAR AS percent_text, bp AS bar_bp, file_count FROM s""",
+)
+def export_html_rows(spark, d):
+    return export.html_rows(orders_tree(spark, d).where("depth <= 3")).drop("traversal_ord")
+
+
+# small helpers on literals
+
+_VERSIONS = [("2.0.0.0", "1.0.0.0"), ("1.0", "1.0.0.0"), ("0.9", "1.0"), ("1.4.0", "1.4.0.0"), ("1.5", "1.4.0.0"), ("1", "0.9"), ("x.y", "1.0")]
+
+
+@_register(
+    "version_compare",
+    "WITH v(offered, running) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _VERSIONS) + r"""),
+    p AS (SELECT *, list_transform(list_concat(string_split(offered, '.'), ['0', '0', '0'])[1:4], lambda x: try_cast(x AS INTEGER)) AS o, list_transform(list_concat(string_split(running, '.'), ['0', '0', '0'])[1:4], lambda x: try_cast(x AS INTEGER)) AS r,
+      regexp_matches(offered, '^\d+(\.\d+){1,3}$') AND regexp_matches(running, '^\d+(\.\d+){1,3}$') AS ok FROM v)
+    SELECT offered, running, ok AND o > r AS newer FROM p""",
+)
+def version_compare(spark, d):
+    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("offered"), F.lit(b).alias("running")) for a, b in _VERSIONS))))
+    return rows.withColumn("newer", versions.is_newer(F.col("offered"), F.col("running")))
+
+
+@_register("manifest_parse")
+def manifest_parse(spark, d):
+    texts = ["<appinfo><version> 1.5 </version><url>https://a.example</url><about/></appinfo>", "<appinfo><url>u</url></appinfo>", "<other/>"]
+    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("xml"))
+    return rows.select("xml", versions.manifest_fields(F.col("xml")).alias("m")).select("xml", "m.*")

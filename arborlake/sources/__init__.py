@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Where nodes come from."""

@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Progress of running jobs, and scans that arrive as a stream."""
