@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def grid_hash(grid: np.ndarray) -> int:
@@ -70,7 +71,7 @@ def grid_hash_column(grid: Column) -> Column:
     return out
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def image_hash(content: pd.Series) -> pd.Series:
     """The hash of an image's bytes; null if it cannot be decoded."""
 
