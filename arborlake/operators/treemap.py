@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.workers import ready
 from .rollup import by_size
 
 #: Children of a folder that get a rectangle.
@@ -64,4 +65,4 @@ def layout(items: DataFrame, width: float = 100.0, height: float = 60.0) -> Data
         return pdf.assign(**{c: [b[k] for b in boxes] for k, c in enumerate(("x", "y", "width", "height"))})
 
     schema = "parent_path string, full_path string, rank int, size_bytes bigint, x double, y double, width double, height double"
-    return items.select("parent_path", "full_path", "rank", "size_bytes").groupBy("parent_path").applyInPandas(one, schema)
+    return ready(items).select("parent_path", "full_path", "rank", "size_bytes").groupBy("parent_path").applyInPandas(one, schema)

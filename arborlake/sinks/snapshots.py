@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rollup import describe
+from ..plans.workers import ready
 from ..schema import FORMAT_VERSION, NODES, SNAPSHOTS, as_nodes
 
 
@@ -56,5 +57,5 @@ def import_json(spark: SparkSession, path: str) -> DataFrame:
                     rows.append((full, n.get("NodeType") in (0, "Directory"), n.get("SizeInBytes", 0), n.get("FileCount", 0), None if when.startswith("0001") or not when else when))
             yield pd.DataFrame(rows, columns=["full_path", "is_directory", "size_bytes", "file_count", "modified"])
 
-    flat = text.mapInPandas(flatten, "full_path string, is_directory boolean, size_bytes bigint, file_count bigint, modified string")
+    flat = ready(text).mapInPandas(flatten, "full_path string, is_directory boolean, size_bytes bigint, file_count bigint, modified string")
     return describe(flat.withColumn("modified_utc", F.to_timestamp("modified")).withColumn("access_denied", F.lit(False)), "imported")

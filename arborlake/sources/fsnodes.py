@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.rollup import build_nodes
+from ..plans.workers import can_import, ready
 
 SCHEMA = "full_path string, is_directory boolean, size_bytes bigint, modified_utc timestamp, access_denied boolean"
 
@@ -110,6 +111,7 @@ class FileSystemNodes(DataSource):
 
 def scan(spark: SparkSession, root: str, follow_links: bool = False, partitions: int = 64) -> DataFrame:
     """The nodes below a folder with rolled-up totals; paths are relative to it."""
+    can_import(spark)
     spark.dataSource.register(FileSystemNodes)
     base = os.path.abspath(root).rstrip("/")
     rows = spark.read.format("fsnodes").options(path=root, followLinks=follow_links, partitions=partitions).load()
@@ -138,4 +140,4 @@ def with_content(files: DataFrame, base: str = "") -> DataFrame:
             pdf["size_bytes"] = [len(c) if c is not None else s for c, s in zip(content, pdf["size_bytes"])]
             yield pdf
 
-    return files.mapInPandas(read, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", content binary")
+    return ready(files).mapInPandas(read, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", content binary")
