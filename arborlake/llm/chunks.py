@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are held as numpy arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,8 +21,22 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 256)]] = True
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: An odd number and its inverse modulo 2^64.
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
+    have = _powers.get(base)
+    if have is None or len(have) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,24 +59,21 @@ def text_chunks(batches, column: str, most: int = CHUNK_BYTES):
             i = j
 
 
-def _hash_piece(data: bytes, is_word: np.ndarray) -> np.ndarray:
-    """The 64-bit hashes of a piece's words, in order."""
+def _hash_piece(data: bytes, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit hashes of a piece's words, in order, and the bytes they begin at.
+
+    A word's hash is a polynomial of random numbers for its bytes, taken from running sums over the piece.
+    """
     buf = np.frombuffer(data, np.uint8)
-    inside = is_word[buf]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
+    inside = np.zeros(len(buf) + 2, bool)
+    inside[1:-1] = is_word[buf]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    length = ends - starts
-    at = np.flatnonzero(inside)
-    place = at - np.repeat(starts, length)
-    far = place >> 6
-    weight = _PLACE[place & 63]
-    if far.any():
-        weight = weight * mix(far.astype(np.uint64) + np.uint64(1))
-    first = np.concatenate(([0], np.cumsum(length)[:-1]))
-    sums = np.add.reduceat(_BYTE[buf[at]] * weight, first)
-    return mix(sums + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return np.zeros(0, np.uint64), starts
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * powers(_BASE, len(buf)), out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * powers(_INVERSE, len(buf))[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def _pieces(data: bytes, most: int):
@@ -76,7 +87,7 @@ def _pieces(data: bytes, most: int):
         i = j
 
 
-def word_hashes(texts, is_word: np.ndarray = NOT_SPACE, most: int = 2 * CHUNK_BYTES):
+def word_hashes(texts, is_word: np.ndarray = NOT_SPACE, most: int = CHUNK_BYTES):
     """texts: bytes or None. Returns all words' hashes and, for each text, where its words begin (one more at the end)."""
     hashes, counts = [], []
     small, small_n = [], 0
@@ -85,12 +96,9 @@ def word_hashes(texts, is_word: np.ndarray = NOT_SPACE, most: int = 2 * CHUNK_BY
         nonlocal small, small_n
         if not small:
             return
-        joined = b"\n".join(small)
-        h = _hash_piece(joined, is_word)
-        buf_ends = np.cumsum([len(x) + 1 for x in small])
-        inside = is_word[np.frombuffer(joined, np.uint8)]
-        starts = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0) == 1)
-        counts.extend(np.diff(np.searchsorted(starts, buf_ends), prepend=0).tolist())
+        h, starts = _hash_piece(b"\n".join(small), is_word)
+        text_ends = np.cumsum([len(x) + 1 for x in small])
+        counts.extend(np.diff(np.searchsorted(starts, text_ends), prepend=0).tolist())
         hashes.append(h)
         small, small_n = [], 0
 
@@ -98,7 +106,7 @@ def word_hashes(texts, is_word: np.ndarray = NOT_SPACE, most: int = 2 * CHUNK_BY
         data = (t or b"").lower()
         if len(data) > most:
             flush()
-            parts = [_hash_piece(p, is_word) for p in _pieces(data, most)]
+            parts = [_hash_piece(p, is_word)[0] for p in _pieces(data, most)]
             hashes.extend(parts)
             counts.append(sum(map(len, parts)))
         else:
@@ -117,22 +125,22 @@ def shingles(words: np.ndarray, at: np.ndarray, width: int, short: bool = True):
     """
     n = np.diff(at)
     number = np.maximum(n - width + 1, 0)
-    if short:
-        number = np.where((n > 0) & (n < width), 1, number)
+    brief = (n > 0) & (n < width) if short else np.zeros(len(n), bool)
+    number[brief] = 1
     out_at = np.concatenate(([0], np.cumsum(number)))
-    if not out_at[-1]:
-        return np.zeros(0, np.uint64), out_at
-    pos = np.arange(out_at[-1]) - np.repeat(out_at[:-1], number) + np.repeat(at[:-1], number)
-    out = np.zeros(len(pos), np.uint64)
-    full = np.repeat(n >= width, number)
-    for k in range(width):
-        idx = pos + k
-        ok = full if k == 0 else full | (idx < np.repeat(at[1:], number))
-        if not short or full.all():
-            out += words[idx] * _STEP[k]
-        else:
-            ok = idx < np.repeat(at[1:], number)
-            out[ok] += words[idx[ok]] * _STEP[k]
-    if short:
-        out += np.repeat(np.where(n < width, n, width), number).astype(np.uint64)
+    out = np.zeros(out_at[-1], np.uint64)
+    if len(words) >= width:
+        every = words[: len(words) - width + 1] * _STEP[0]
+        for k in range(1, width):
+            every += words[k : len(words) - width + 1 + k] * _STEP[k]
+        within = np.ones(len(every), bool)  # not across two texts
+        for k in range(1, width):
+            edge = at[1:-1] - k
+            within[edge[(edge >= 0) & (edge < len(every))]] = False
+        full = np.ones(len(out), bool)
+        full[out_at[:-1][brief]] = False
+        out[full] = every[within] + np.uint64(width)
+    for d in np.flatnonzero(brief):
+        own = words[at[d] : at[d + 1]]
+        out[out_at[d]] = (own * _STEP[: len(own)]).sum() + np.uint64(len(own))
     return mix(out), out_at

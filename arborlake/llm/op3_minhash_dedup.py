@@ -5,11 +5,16 @@ one partial key of either collection, so 2 * M * K minhashes serve M * M tables.
 similarity s share a key with probability (1 - (1 - s^K)^M)^2: at s = 0.8, K = 2, M = 9 all but 2 of
 10,000 pairs, at 0.85 all but 2 of 100,000.
 
-Equal sets are collapsed first. In each bucket every member is held against the smallest id (a star),
-and verified pairs are links. Buckets whose members are then still in several components go on in
-rounds: small buckets pair members of different components, large ones hold all members against a
-few more leaders, until every bucket has one component or each of its members has led. So no group
-is expanded into all its pairs, and none is capped.
+Equal sets are collapsed first. In each bucket every member is held against the bucket's hub (a star),
+the member whose buckets are the largest, which stands nearest the middle of a group of edited copies;
+verified pairs are links. The members of buckets that then still hold several components, such as
+short documents around one very common line, go through an exact join by their rarest shingles: any
+link shares one of the first n - ceil(0.8 n) + 1 shingles in an order that puts frequent ones last. If
+x of n and y of m shingles stand before it, the intersection is at most the lesser of n - x and m - y,
+and x + y is at most a quarter of it, which rejects pairs by place. It also means that of a pair one row
+is light (x at most a ninth of n). In each bucket the rows outside its largest component are held against
+the others, a bounded number of pairs a round, until the bucket has one component, no light row, or
+every such row has been held. So no group is expanded into all its pairs, and none is capped.
 
 Pairs that only share keys are first held against bounds that a link cannot miss or misses with a
 chance below one in a million: the sizes' ratio, and agreement of the minhashes.
@@ -29,15 +34,17 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .chunks import NOT_SPACE, mix, shingles, text_chunks, word_hashes
-from .common import Scratch, table
+from .common import Scratch, only, small_batches, table
 
 SHINGLE = 4
 #: Similarity, as a per cent of intersection to union.
 SIMILARITY = 80
 #: Minhashes of a partial key, and partial keys of a collection.
 K, M = 2, 9
-#: Buckets of up to so many members pair all members of different components at once; larger ones take so many leaders a round.
-SMALL_BUCKET, LEADERS = 40, 16
+#: In each round a bucket holds about so many pairs of rows together.
+ROUND_PAIRS = 1_000_000
+#: So many of the most frequent shingles are put last in the order of rarity; any order gives the same links.
+FREQUENT = 50_000
 
 _rng = np.random.Generator(np.random.PCG64(3))
 _XOR = _rng.integers(0, 2**63, 2 * K * M, dtype=np.uint64)
@@ -62,14 +69,8 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         for batch, texts in text_chunks(batches, "text"):
-            sh, at = shingles(*word_hashes(texts, NOT_SPACE), width)
+            sh, at = _text_sets(texts, width)
             n = np.diff(at)
-            owner = np.repeat(np.arange(len(texts)), n)
-            order = np.lexsort((sh, owner))
-            sh, owner = sh[order], owner[order]
-            new = np.append(True, (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1]))[: len(sh)]
-            sh, owner = sh[new], owner[new]
-            n = np.bincount(owner, minlength=len(texts))
             some = n > 0
             first = (np.cumsum(n) - n)[some]
             h1, h2 = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
@@ -82,20 +83,19 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             parts = np.zeros((len(texts), 2 * M), np.uint64)
             for k in range(K):
                 parts = mix(parts * np.uint64(0x9E3779B97F4A7C15) + low[:, k::K])
-            flat = pa.array(parts.astype(np.int64, casting="unsafe").ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.__len__() + 1, 2 * M, dtype=np.int32)), flat)
+            lists = _lists(parts.ravel(), np.arange(len(texts) + 1) * 2 * M)
             mins = pa.array([x.tobytes() for x in (mix(low) & np.uint64(255)).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(h1.astype(np.int64, casting="unsafe")), pa.array(h2.astype(np.int64, casting="unsafe")), lists, mins],
                 ["doc_id", "n_shingles", "h1", "h2", "parts", "mins"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, parts array<bigint>, mins binary")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, parts array<bigint>, mins binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """The (a, b) of pairs whose full sets are similar enough."""
-    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.select("a", "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     id_type = pairs.schema["a"].dataType.simpleString()
@@ -117,7 +117,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity
                 keep.append(both > 0 and 100 * both >= similarity * (n - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, f"a {id_type}, b {id_type}")
+    return small_batches(both).mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -131,40 +131,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = scratch.keep(sets.select("id", "n_shingles", "parts", "mins", "h1", "h2"), "sets")
     keys = F.expr(f"flatten(transform(sequence(0, {M - 1}), i -> transform(sequence(0, {M - 1}), j -> xxhash64(i * {M} + j, parts[i], parts[{M} + j]))))")
     keyed = sets.select(F.explode(keys).alias("key"), "id")
-    shared = keyed.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("high")).where("lead < high").select("key", "lead")
+    shared = keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low < high").select("key", "n")
     members = scratch.keep(keyed.join(shared, "key"), "members")
+    del keyed, shared
     scratch.drop()
 
-    pairs = members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    left = members.where("id <> lead").select("key", "id")
+    hubs = members.groupBy("id").agg(F.sum("n").alias("hub"))
+    members_hub = scratch.keep(members.join(hubs, "id").select("key", "id", "hub"), "members")
+    scratch.drop(members)
+    members = members_hub
+    # the largest hub leads, of equal ones the smallest id
+    lead = members.groupBy("key").agg(F.max("hub").alias("hub")).join(members, ["key", "hub"]).groupBy("key").agg(F.min("id").alias("lead"))
+    pairs = members.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
     links = scratch.keep(verified(_likely(pairs, sets, similarity), docs, width, similarity), "links")
     label = components(links, scratch)
-    rounds = 0
-    while True:
-        rounds += 1
-        named = left.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-        split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).where("low < high")
-        rest = scratch.keep(named.join(split, "key"), "rest")
-        if rest.isEmpty():
-            break
-        small, large = rest.where(f"n <= {SMALL_BUCKET}"), rest.where(f"n > {SMALL_BUCKET}")
-        met = small.groupBy("key").agg(F.collect_set(F.struct("id", "label")).alias("all"))
-        met = met.select(F.explode(F.expr("flatten(transform(all, x -> transform(filter(all, y -> x.id < y.id AND x.label <> y.label), y -> struct(x.id AS a, y.id AS b))))")).alias("p"))
-        # leaders: the smallest member of up to so many components of the bucket, the first component's among them
-        heads = large.groupBy("key", "label", "low").agg(F.min("id").alias("lead"))
-        n_heads = heads.groupBy("key").agg(F.count("*").alias("heads"))
-        chosen = heads.join(n_heads, "key").where((F.col("label") == F.col("low")) | (F.pmod(F.xxhash64("key", "label", F.lit(rounds)), F.col("heads")) < LEADERS))
-        chosen = scratch.keep(chosen.select("key", F.col("label").alias("lead_label"), "lead"), "leaders")
-        led = large.join(chosen, "key").where("label <> lead_label").select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-        pairs = met.select("p.a", "p.b").union(led).distinct()
-        new = scratch.keep(verified(_likely(pairs, sets, similarity), docs, width, similarity), "links")
-        # components so far are edges of the next
-        edges = label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new.select("a", "b"))
-        renewed = components(edges, scratch)
-        left = scratch.keep(large.select("key", "id").join(chosen.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti"), "left")
-        scratch.drop(rest, chosen, label, new)
-        label = renewed
-    scratch.drop(rest, members)
+    named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
+    split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rest = scratch.keep(named.join(split, "key", "left_semi").select("id").distinct(), "rest")
+    scratch.drop(members, links)
+    if not rest.isEmpty():
+        own = docs.join(rest.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        label = _by_rarest(scratch.keep(own, "rest-texts"), sets, label, width, similarity, scratch)
 
     # rows of one id may have several sets, so sets are named by the component of their representative, and ids by the least of these
     named = sets.join(label, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"))
@@ -173,6 +160,98 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _text_sets(texts: list[bytes], width: int):
+    """The distinct shingles of all texts, sorted within each, and where each text's begin."""
+    sh, at = shingles(*word_hashes(texts, NOT_SPACE), width)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    order = np.lexsort((sh, owner))
+    sh, owner = sh[order], owner[order]
+    new = np.append(True, (sh[1:] != sh[:-1]) | (owner[1:] != owner[:-1]))[: len(sh)]
+    sh, owner = sh[new], owner[new]
+    return sh, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.astype(np.int64, casting="unsafe")))
+
+
+def _rarest(texts: DataFrame, width: int, similarity: int) -> DataFrame:
+    """key, id, n and x: the shingles that a link must share one of, by rarity, and how many stand before each."""
+
+    def every(batches):
+        for _, data in text_chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([_lists(*_text_sets(data, width))], ["sh"])
+
+    count = small_batches(texts.select("text")).mapInArrow(every, "sh array<bigint>").select(F.explode("sh").alias("sh")).groupBy("sh").agg(F.count("*").alias("n"))
+    found = count.where("n >= 20").orderBy(F.desc("n"), "sh").limit(FREQUENT).collect()
+    frequent = np.array([r[0] for r in found], np.int64).astype(np.uint64, casting="unsafe")
+    by_hash = np.argsort(frequent)
+    frequent, place = frequent[by_hash], len(found) - by_hash  # the most frequent comes last
+    id_type = texts.schema["doc_id"].dataType.simpleString()
+
+    def prefixes(batches):
+        for batch, data in text_chunks(batches, "text"):
+            sh, at = _text_sets(data, width)
+            n = np.diff(at)
+            owner = np.repeat(np.arange(len(data)), n)
+            late = np.zeros(len(sh), np.int64)
+            if len(frequent):
+                k = np.minimum(np.searchsorted(frequent, sh), len(frequent) - 1)
+                late = np.where(frequent[k] == sh, place[k], 0)
+            order = np.lexsort((sh, late, owner))
+            sh, x = sh[order], np.arange(len(sh)) - at[:-1][owner]
+            need = n - -(-n * similarity // 100) + 1
+            keep = x < need[owner]
+            rows = owner[keep]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sh[keep].astype(np.int64, casting="unsafe")), batch.column(0).take(pa.array(rows)), pa.array(n[rows], pa.int64()), pa.array(x[keep], pa.int64())],
+                ["key", "id", "n", "x"],
+            )
+
+    return small_batches(texts.select("doc_id", "text")).mapInArrow(prefixes, f"key bigint, id {id_type}, n bigint, x bigint")
+
+
+def _by_rarest(texts: DataFrame, sets: DataFrame, label: DataFrame, width: int, similarity: int, scratch: Scratch) -> DataFrame:
+    """The components after all links among these documents. label: id, component so far."""
+    rows = scratch.keep(_rarest(texts.where("text IS NOT NULL"), width, similarity).distinct(), "rarest")
+    slack = 100 / similarity - 1 + 1e-9  # x + y is at most this part of the intersection
+    light = lambda x, n: (100 + similarity) * F.col(x) <= (100 - similarity) * F.col(n)
+    rounds = 0
+    while True:
+        rounds += 1
+        named = rows.join(label, "id", "left").select("key", "id", "n", "x", F.coalesce("component", "id").alias("label"))
+        parts = named.groupBy("key", "label").agg(F.count("*").alias("rows"), F.count_if(light("x", "n")).alias("lights"), F.min("id").alias("head"))
+        split = parts.groupBy("key").agg(
+            F.max(F.struct("rows", "label", "lights")).alias("most"), F.sum("rows").alias("rows"), F.sum("lights").alias("lights"), F.count("*").alias("labels"), F.min(F.struct("rows", "label", "head")).alias("least")
+        )
+        # a light row meets all rows of its bucket, another one the light rows
+        minor, minor_lights = F.col("rows") - F.col("most.rows"), F.col("lights") - F.col("most.lights")
+        met = minor_lights * F.col("rows") + (minor - minor_lights) * F.col("lights")
+        split = split.where("labels > 1 AND lights > 0").select("key", F.col("most.label").alias("major"), F.col("least.head").alias("head"), met.alias("met"))
+        rest = scratch.keep(named.join(split, "key"), "rest")
+        if rest.isEmpty():
+            scratch.drop(rest, rows)
+            return label
+        share = F.lit(ROUND_PAIRS) / F.greatest(F.col("met"), F.lit(1))
+        picked = (F.col("id") == F.col("head")) | (F.pmod(F.xxhash64("key", "id", F.lit(rounds)), F.lit(1 << 20)) < share * (1 << 20))
+        lead = rest.where((F.col("label") != F.col("major")) & picked)
+        lead = scratch.keep(lead.select("key", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("label").alias("other")), "leaders")
+        inter = F.least(F.col("n") - F.col("x"), F.col("m") - F.col("y"))
+        near = (F.col("x") + F.col("y") <= slack * inter) & ((100 + similarity) * inter >= similarity * (F.col("n") + F.col("m")))
+        some = rest.where(light("x", "n")).join(lead, "key").where((F.col("label") != F.col("other")) & near)
+        more = rest.where(~light("x", "n")).join(lead.where(light("y", "m")), "key").where((F.col("label") != F.col("other")) & near)
+        pairs = some.union(more).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
+        new = scratch.keep(verified(_likely(pairs, sets, similarity), texts, width, similarity), "links")
+        # components so far are edges of the next
+        after = label
+        if not new.isEmpty():
+            after = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).union(new.select("a", "b")), scratch)
+        left = rest.select("key", "id", "n", "x").join(lead.select("key", F.col("lead").alias("id")), ["key", "id"], "left_anti")
+        left = scratch.keep(left, "rarest")
+        scratch.drop(rows, rest, lead, new)
+        rows, label = left, after
+
+
 def _likely(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs within the bounds of size and of agreeing minhashes."""
     side = lambda x: sets.groupBy("id").agg(F.min("n_shingles").alias("n"), F.max("n_shingles").alias("m"), F.any_value("mins").alias("s")).select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}"), F.col("s").alias(f"s{x}"))
@@ -185,3 +264,16 @@ def _likely(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n AS i ON i.doc_id = x JOIN n AS j ON j.doc_id = y WHERE 100 * c >= 80 * (i.n + j.n - c)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r(id, m) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.id, b.y FROM r JOIN b ON r.m = b.x),
+c AS (SELECT id, min(m) AS component_id FROM r GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
