@@ -23,6 +23,7 @@ def queries():
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": op1_quality_rules.SQL,
+        "op3_minhash_dedup": op3_minhash_dedup.SQL,
         "op4_decontamination": op4_decontamination.SQL,
         "op6_license_scans": op6_license_scans.sql(),
         "op9_url_filters": op9_url_filters.sql(),
