@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ class Scratch:
     driver forget the shuffle files behind them. What is left goes when the process ends.
     """
 
+    #: Seconds between two collections of garbage, and when the last one was.
+    INTERVAL, last = 10.0, 0.0
+
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, []
         atexit.register(self._at_exit)
@@ -37,8 +41,10 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             self._delete(frame._scratch_path)
-        gc.collect()
-        self.spark._jvm.System.gc()  # Spark removes shuffle files once their frames are garbage
+        if time.monotonic() - Scratch.last > self.INTERVAL:
+            gc.collect()
+            self.spark._jvm.System.gc()  # Spark removes shuffle files once their frames are garbage
+            Scratch.last = time.monotonic()
 
     def _delete(self, path: str) -> None:
         if path in self.paths:
