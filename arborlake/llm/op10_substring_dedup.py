@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .chunks import NOT_SPACE, mix, shingles, text_chunks, word_hashes
-from .common import Scratch, table
+from .common import Scratch, join_checked, only, small_batches, table
 
 SHINGLE = 5
 #: Words of the shortest passage.
@@ -53,38 +53,58 @@ _XOR = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def nodes(h: np.ndarray, least: int = _LEAST) -> list[int]:
-    """The places of the Cartesian tree's nodes whose range holds at least `least` shingles."""
-    out, stack = [], [(0, len(h))] if len(h) >= least else []
-    while stack:
-        a, b = stack.pop()
-        c = a + int(h[a:b].argmin())
-        out.append(c)
-        if c - a >= least:
-            stack.append((a, c))
-        if b - c - 1 >= least:
-            stack.append((c + 1, b))
-    return out
-
-
-def document_nodes(sh: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places of a document. right[i]: hash of the RUN words from word i on."""
-    places = sorted({c for k in range(HASHES) for c in nodes((sh ^ _XOR[k]) * _MUL[k])})
-    c = np.array(places, np.int64)
-    back = c - (RUN - SHINGLE)
-    r, left = c < len(right), back >= 0
-    keys = np.concatenate([right[c[r]], mix(right[back[left]] + np.uint64(1))])
-    place = np.concatenate([c[r], c[left]])
-    # of nodes with one key that stand closer than a passage, as in periodic text, the first is enough
-    order = np.lexsort((place, keys))
-    keys, place = keys[order], place[order]
+def _slide(x: np.ndarray, size: int, best) -> np.ndarray:
+    """best (minimum or maximum) of every `size` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= size:
+        x = best(x[: len(x) - done], x[done:])
+        done *= 2
+    rest = size - done
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def nodes(h: np.ndarray, at: np.ndarray, least: int = _LEAST) -> np.ndarray:
+    """The places, in the texts' joined hashes, of the Cartesian trees' nodes whose range holds `least` shingles.
+
+    A node's range holds so many if the node is the minimum of some `least` neighbours, so no tree is
+    built: the minima of all neighbours are taken, and of these the largest that each place stands in.
+    """
+    if len(h) < least:
+        return np.zeros(0, np.int64)
+    low = _slide(h, least, np.minimum)
+    start = np.arange(len(low))
+    text = np.searchsorted(at, start, side="right") - 1
+    low[start + least > at[text + 1]] = 0  # not across two texts
+    most = _slide(np.concatenate((np.zeros(least - 1, np.uint64), low, np.zeros(least - 1, np.uint64))), least, np.maximum)
+    return np.flatnonzero((most == h) & (h != 0))
+
+
+def text_nodes(sh: np.ndarray, at: np.ndarray, runs: np.ndarray, run_at: np.ndarray):
+    """Texts, keys and places of the nodes of all texts, in order. runs: hashes of RUN words from each word on."""
+    c = np.unique(np.concatenate([nodes((sh ^ _XOR[k]) * _MUL[k], at) for k in range(HASHES)]))
+    text = np.searchsorted(at, c, side="right") - 1
+    place = c - at[text]
+    first, size = run_at[text], np.diff(run_at)[text]
+    back = place - (RUN - SHINGLE)
+    r, left = place < size, back >= 0
+    text, place, keys = (
+        np.concatenate([text[r], text[left]]),
+        np.concatenate([place[r], place[left]]),
+        np.concatenate([runs[(first + place)[r]], mix(runs[(first + back)[left]] + np.uint64(1))]),
+    )
+    # of a text's nodes with one key that stand closer than a passage, as in periodic text, the first is enough
+    order = np.lexsort((place, keys, text))
+    text, place, keys = text[order], place[order], keys[order]
     keep = np.ones(len(keys), bool)
-    for i in np.flatnonzero((keys[1:] == keys[:-1]) & (np.diff(place) < _LEAST)) + 1:
-        j = i - 1
-        while not keep[j]:
-            j -= 1
-        keep[i] = keys[j] != keys[i] or place[i] - place[j] >= _LEAST
-    return keys[keep], place[keep]
+    same = (keys[1:] == keys[:-1]) & (text[1:] == text[:-1])
+    head = -1
+    for i in (np.flatnonzero(same) + 1).tolist():
+        if head < 0 or not same[head:i].all():
+            head = i - 1
+        keep[i] = place[i] - place[head] >= _LEAST
+        if keep[i]:
+            head = i
+    return text[keep], keys[keep], place[keep]
 
 
 def compact_windows(docs: DataFrame) -> DataFrame:
@@ -96,19 +116,12 @@ def compact_windows(docs: DataFrame) -> DataFrame:
             words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
             runs, run_at = shingles(words, at, RUN, short=False)
-            keys, places = [], []
-            for d in range(len(texts)):
-                k, p = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-                if sh_at[d + 1] - sh_at[d] >= _LEAST:
-                    k, p = document_nodes(sh[sh_at[d] : sh_at[d + 1]], runs[run_at[d] : run_at[d + 1]])
-                keys.append(k)
-                places.append(p)
-            offsets = pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32))
-            cat = lambda x, kind: np.concatenate(x).astype(kind, casting="unsafe") if x else np.zeros(0, kind)
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(cat(x, kind))) for x, kind in ((keys, np.int64), (places, np.int32))]
+            text, keys, places = text_nodes(sh, sh_at, runs, run_at)
+            offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind, casting="unsafe"))) for x, kind in ((keys, np.int64), (places, np.int32))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "n_words", "keys", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words bigint, keys array<bigint>, places array<int>")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, n_words bigint, keys array<bigint>, places array<int>")
 
 
 def _longest(match: np.ndarray, c: int, cost: int) -> tuple[int, int]:
@@ -173,7 +186,7 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
 
 def passage(sa, sb, ca: int, cb: int, left: int, right: int, similarity: int):
     """The widest verified ranges around a common shingle, or None; at the least the run of equal words."""
-    for cost in (8, 16, 32):
+    for cost in (8, 32):
         a0, a1, b0, b1 = grow(sa, sb, ca, cb, cost)
         if min(a1 - a0, b1 - b0) < _LEAST:
             break
@@ -210,7 +223,7 @@ def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY):
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs: a, b and anchors. Returns a, b, spans and retry."""
-    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "text")
+    texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "anchors", "ta", "tb")
     id_type = pairs.schema["a"].dataType.simpleString()
@@ -233,7 +246,7 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(retry, again)], ["a", "b", "spans", "retry"])
 
     schema = f"a {id_type}, b {id_type}, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, retry array<struct<key:bigint,place:int>>"
-    return both.mapInArrow(run, schema)
+    return small_batches(both).mapInArrow(run, schema)
 
 
 def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -278,7 +291,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the passages taken out of their texts; a document of which no word is left goes."""
     spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    joined = docs.join(spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    joined = join_checked(docs, spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
@@ -293,7 +306,7 @@ def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str
             cols[at] = pa.array(new, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return small_batches(joined).mapInArrow(run, schema)
 
 
 def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
