@@ -11,16 +11,18 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, most_chars: int, most_labels: int = 1000) -> list:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, most_chars: int, most_labels: int = 1000, most_rows: int = 10_000) -> list:
     """(text, label) of about `per_label` rows of each label, chosen by the hash of their id.
 
     rows: doc_id, text, label. Rows without a label or with a text of more than `most_chars` characters
-    are not learnt from. The bound is per_label * most_labels rows, and most_chars each.
+    are not learnt from; nor are labels beyond the most_labels most frequent. With many labels fewer rows of
+    each are taken: about most_rows in all, and never more than twice as many.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)).between(1, most_chars)))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return []
+    per_label = max(1, min(per_label, most_rows // len(counts)))
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000))
     share = F.lit(0)
     for value, n in counts.items():
