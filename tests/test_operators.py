@@ -275,6 +275,18 @@ def test_import_json(spark, tmp_path):
         snapshots.import_json(spark, str(tmp_path / "null.json")).count()
 
 
+def test_permissions(spark, tmp_path):
+    from arborlake.functions.versions import acl_order
+    from arborlake.sources import acl
+
+    (tmp_path / "f").write_text("x")
+    os.chmod(tmp_path / "f", 0o640)
+    got = acl.permissions(spark.createDataFrame([(str(tmp_path / "f"),), (str(tmp_path / "none"),)], "full_path string")).collect()
+    assert [r.rights for r in got] == ["Read & write", "Read", "None"] and got[2].identity == "others"
+    rows = spark.createDataFrame([("b", False, False), ("a", False, False), ("c", True, False), ("d", False, True)], "identity string, deny boolean, inherited boolean")
+    assert [r.identity for r in rows.orderBy(*acl_order()).collect()] == ["c", "a", "b", "d"]
+
+
 def test_csv_sink(spark, tmp_path):
     nodes = nodes_of(spark, {'/ lead,"q"': 1, "/plain": 2})
     export.write_csv(nodes, str(tmp_path / "csv"), 3)
