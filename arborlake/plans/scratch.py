@@ -7,6 +7,7 @@ import gc
 import time
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,8 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder. They outlive lost executors and cut the lineage.
 
-    `keep` writes a frame and returns it as read back; `drop` deletes such tables and lets the
-    driver forget the shuffle files behind them. What is left goes when the process ends.
+    `keep` writes a frame and returns it as read back; `hold` only caches one, for a few uses between two
+    written tables, from which a lost part is computed again; `drop` deletes or uncaches them and lets
+    the driver forget the shuffle files behind them. What is left goes when the process ends.
     """
 
     #: Seconds between two collections of garbage, and when the last one was.
@@ -38,9 +40,15 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
-            self._delete(frame._scratch_path)
+            if hasattr(frame, "_scratch_path"):
+                self._delete(frame._scratch_path)
+            else:
+                frame.unpersist()
         if time.monotonic() - Scratch.last > self.INTERVAL:
             gc.collect()
             self.spark._jvm.System.gc()  # Spark removes shuffle files once their frames are garbage
