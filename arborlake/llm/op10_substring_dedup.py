@@ -254,21 +254,27 @@ def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
     pairs = rows.join(lead, "key").where("doc_id > lead.doc_id")
     pairs = pairs.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set(F.struct("key", F.col("lead.place").alias("lead"), "place")).alias("anchors"))
-    return scratch.keep(_verify(scratch.keep(pairs, "pairs"), docs), "held")
+    pairs = scratch.hold(pairs)
+    held = scratch.keep(_verify(pairs, docs), "held")
+    scratch.drop(pairs)
+    return held
 
 
 def passages(docs: DataFrame, scratch: Scratch, windows: DataFrame) -> DataFrame:
-    """doc_id, of (the earlier document), start, end, first_start, first_end of every verified passage, in words."""
+    """doc_id, of (the earlier document), start, end, first_start, first_end of every verified passage, in words.
+
+    windows is dropped once the nodes that share a key are written.
+    """
     nodes_ = windows.where("doc_id IS NOT NULL").select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
     shared = nodes_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = scratch.keep(nodes_.join(shared, "key").select("key", "doc_id", "place"), "nodes")
     del nodes_, shared
-    scratch.drop()
+    scratch.drop(windows)
     found = []
     while True:
         held = _round(rows, docs, scratch)
         found.append(held.select(F.col("b").alias("doc_id"), F.col("a").alias("of"), F.inline("spans")))
-        after = scratch.keep(held.select(F.col("b").alias("doc_id"), F.inline("retry")).distinct().select("key", "doc_id", "place"), "nodes")
+        after = scratch.hold(held.select(F.col("b").alias("doc_id"), F.inline("retry")).distinct().select("key", "doc_id", "place"))
         scratch.drop(rows)
         rows = after
         if rows.isEmpty():
@@ -284,8 +290,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     windows = scratch.keep(compact_windows(docs), "windows")
-    found = passages(docs, scratch, windows)
-    return scratch.keep(windows.select("doc_id", "n_words"), "lengths"), found
+    lengths = scratch.keep(windows.select("doc_id", "n_words"), "lengths")
+    return lengths, passages(docs, scratch, windows)
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
