@@ -254,7 +254,7 @@ def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
     pairs = rows.join(lead, "key").where("doc_id > lead.doc_id")
     pairs = pairs.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set(F.struct("key", F.col("lead.place").alias("lead"), "place")).alias("anchors"))
-    pairs = scratch.hold(pairs)
+    pairs = scratch.keep(pairs, "pairs")
     held = scratch.keep(_verify(pairs, docs), "held")
     scratch.drop(pairs)
     return held
