@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import ALNUM, mix, shingles, text_chunks, word_hashes
-from .common import table
+from .common import small_batches, table
 
 WINDOW = 13
 SHINGLE = 3
@@ -151,7 +151,7 @@ def shingle_counts(docs: DataFrame, index: Index) -> np.ndarray:
 
     out = np.zeros(len(index.keys), np.int64)
     if len(out):
-        for k, n in docs.select("text").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).toLocalIterator():
+        for k, n in small_batches(docs.select("text")).mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n")).toLocalIterator():
             out[k] = n
     return out
 
@@ -192,7 +192,7 @@ def _search(docs: DataFrame, index: Index, last: bool) -> DataFrame:
             )
 
     schema = ", ".join([f"doc_id {id_type}, text string, spans array<struct<start:bigint,end:bigint>>, items array<string>, n_words bigint", *row])
-    return docs.select("doc_id", "text", "spans", "items", *["row"] * len(row)).mapInArrow(run, schema)
+    return small_batches(docs.select("doc_id", "text", "spans", "items", *["row"] * len(row))).mapInArrow(run, schema)
 
 
 def contaminated_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: list[str] = ()) -> DataFrame:
