@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import NOT_SPACE, text_chunks, word_hashes
-from .common import table
+from .common import small_batches, table
 from .sampling import held_out, labelled_sample
 
 SAMPLE_PER_LABEL = 700
@@ -209,7 +209,7 @@ def score_documents(docs: DataFrame, model: dict, id_col: str = "doc_id", text_c
             s = np.round(scores(model, texts), 6)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, score double")
+    return small_batches(slim).mapInArrow(run, f"doc_id {id_type}, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> dict:
