@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import text_chunks
-from .common import table
+from .common import small_batches, table
 from .sampling import held_out, labelled_sample
 
 DIMENSIONS = 1024
@@ -123,7 +123,7 @@ def predict(docs: DataFrame, names: list[str], prototypes: np.ndarray, id_col: s
                 scores += [round(min(1.0, max(0.0, float(c[i]))), 5) if s else 0.0 for c, i, s in zip(cos, best, some)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *batch.columns[2:]], ["doc_id", "lang_pred", "score", *["row"] * carried])
 
-    return slim.mapInArrow(run, schema)
+    return small_batches(slim).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
