@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import text_chunks
-from .common import table
+from .common import small_batches, table
 
 #: More tokens than this is over the limit.
 TOKEN_LIMIT = 2048
@@ -143,7 +143,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             n = counts([t.decode("utf-8", "replace") for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
+    return small_batches(slim).mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
