@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import text_chunks
-from .common import table
+from .common import small_batches, table
 
 #: Texts of more characters are cut into pieces of about so many.
 PIECE_CHARS = 1 << 18
@@ -76,7 +76,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, ids array<int>" + ", decoded binary" * decode_too)
+    return small_batches(slim).mapInArrow(run, f"doc_id {id_type}, ids array<int>" + ", decoded binary" * decode_too)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -90,7 +90,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             out = [enc.decode_bytes(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
-    return slim.mapInArrow(run, f"doc_id {id_type}, decoded binary")
+    return small_batches(slim).mapInArrow(run, f"doc_id {id_type}, decoded binary")
 
 
 def digests(round_trip: DataFrame) -> DataFrame:
