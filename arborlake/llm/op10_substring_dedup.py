@@ -16,6 +16,13 @@ beyond it on one side, so they go on to buckets by the length of that run and th
 it, on either side, until no bucket holds two documents. Thus a frequent short passage costs a few
 rounds, not all its pairs.
 
+A bucket's first node does not speak for all pairs: the first document may hold a run several times,
+and two verified nodes may share more with each other than with the first one. So passages of PASSAGE
+equal words are also found without leaders: every window of PASSAGE words whose minimum under the first
+function has a key that other nodes share is held against the first document with the same window.
+A window that two documents share has that minimum, and so that key, in both. Windows within a run that
+was found equal to an earlier document's are that document's too; only they need not be looked up.
+
 Returned are the passages of a document that repeat an earlier document's (a smaller doc_id), as word
 ranges. Repeats within one document are not passages across documents.
 
@@ -27,10 +34,12 @@ first holder; an empty table gives no rows; only the id and text columns are rea
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -44,6 +53,8 @@ PASSAGE = 50
 SIMILARITY = 80
 #: Hash functions, and the words that a bucket's nodes have in common on one side.
 HASHES, RUN = 3, 16
+#: Words that every window of PASSAGE words holds on one side of its minimum.
+WIDE = (PASSAGE + SHINGLE) // 2
 #: Words that may be inserted or deleted between two copies at one place.
 BAND = 8
 
@@ -107,6 +118,44 @@ def text_nodes(sh: np.ndarray, at: np.ndarray, runs: np.ndarray, run_at: np.ndar
     return text[keep], keys[keep], place[keep]
 
 
+def shared_windows(sh: np.ndarray, at: np.ndarray, words: np.ndarray, word_at: np.ndarray, keys: np.ndarray, key_text: np.ndarray):
+    """Windows of PASSAGE words whose minimum under the first function has a key that its text shares.
+
+    keys, key_text: the shared keys and their texts. Returns the windows' texts, places and runs of WIDE words beside
+    the minimum, on the side where the window holds them. All of it follows from a window's words alone.
+    """
+    none = np.zeros(0, np.int64)
+    if len(sh) < _LEAST:
+        return none, none, np.zeros(0, np.uint64)
+    h = (sh ^ _XOR[0]) * _MUL[0]
+    low = _slide(h, _LEAST, np.minimum)
+    c = nodes(h, at)
+    text = np.searchsorted(at, c, side="right") - 1
+    start = c[:, None] - np.arange(_LEAST)
+    inside = (start >= at[text][:, None]) & (start + _LEAST <= at[text + 1][:, None])
+    inside &= low[np.clip(start, 0, len(low) - 1)] == h[c][:, None]
+    # the first of equal minima
+    i, which = np.unique(start[inside], return_index=True)
+    c = np.broadcast_to(c[:, None], start.shape)[inside][which]
+    text = np.searchsorted(at, i, side="right") - 1
+    offset, place = c - i, i - at[text]
+
+    def run(size):
+        every, every_at = shingles(words, word_at, size, short=False)
+        right = offset <= PASSAGE - size
+        first = every_at[text] + place + offset
+        return np.where(right, every[np.where(right, first, 0)], mix(every[np.where(right, 0, first - (size - SHINGLE))] + np.uint64(1)))
+
+    of_text = lambda key, k: mix(key + mix(k.astype(np.uint64)))
+    ok = np.isin(of_text(run(RUN), text), of_text(keys, key_text))
+    return text[ok], place[ok], run(WIDE)[ok]
+
+
+def _mark(words: np.ndarray) -> int:
+    """Tells the texts of one id apart."""
+    return int((words * np.arange(1, 2 * len(words), 2, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64, casting="unsafe"))
+
+
 def compact_windows(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, keys and places of every document."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -199,15 +248,19 @@ def passage(sa, sb, ca: int, cb: int, left: int, right: int, similarity: int):
 
 
 def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY):
-    """Verified passages (start, end, start in the first document, end) in words, and what the other nodes go on with."""
-    spans, retry = [], []
+    """Verified passages (start, end, start in the first document, end) in words, what the other nodes go on with, and the ranges of PASSAGE and more equal words."""
+    spans, retry, equal = [], [], []
     for key, ca, cb in sorted(anchors, key=lambda x: (x[2], x[1], x[0])):
         if ca >= len(sa) or cb >= len(sb) or sa[ca] != sb[cb]:
             continue  # another row of the same id
-        if any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans):
+        if any(a - b == ca - cb and b <= cb < end for b, end, a in equal):
             continue
         left = _same(wa[:ca][::-1], wb[:cb][::-1])
         right = _same(wa[ca:], wb[cb:])
+        if left + right >= PASSAGE:
+            equal.append((cb - left, cb + right, ca - left))
+        if any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans):
+            continue
         found = passage(sa, sb, ca, cb, left, right, similarity)
         if found:
             a0, a1, b0, b1 = found
@@ -218,17 +271,19 @@ def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY):
             if 0 <= at < len(wb):
                 new = mix(mix(base * np.uint64(side) + np.uint64(size)) + wb[at])
                 retry.append((int(new.astype(np.int64, casting="unsafe")[0]), cb))
-    return spans, retry
+    spans += [(b, end, a, a + end - b) for b, end, a in equal if not any(s[0] <= b and end <= s[1] for s in spans)]
+    return spans, retry, [(b, end) for b, end, _ in equal]
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: a, b and anchors. Returns a, b, spans and retry."""
+    """pairs: a, b and anchors. Returns a, b, spans, retry and settled."""
     texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "anchors", "ta", "tb")
     id_type = pairs.schema["a"].dataType.simpleString()
     span = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first_start", "first_end")]))
     again = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32())]))
+    done = pa.list_(pa.struct([("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch, tb in text_chunks(batches, "tb", 1 << 20):
@@ -238,14 +293,16 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             words, at = word_hashes(list(where), NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
             own = lambda k: (words[at[k] : at[k + 1]], sh[sh_at[k] : sh_at[k + 1]])
-            spans, retry = [], []
+            spans, retry, settled = [], [], []
             for (x, y), anchors in zip(rows, batch.column(2).to_pylist()):
-                s, r = hold_against(*own(x), *own(y), [(n["key"], n["lead"], n["place"]) for n in anchors])
+                s, r, e = hold_against(*own(x), *own(y), [(n["key"], n["lead"], n["place"]) for n in anchors])
                 spans.append([dict(zip(("start", "end", "first_start", "first_end"), i)) for i in s])
                 retry.append([{"key": k, "place": c} for k, c in r])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(retry, again)], ["a", "b", "spans", "retry"])
+                mark = _mark(own(y)[0]) if e else 0
+                settled.append([{"mark": mark, "start": i, "end": j} for i, j in e])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(retry, again), pa.array(settled, done)], ["a", "b", "spans", "retry", "settled"])
 
-    schema = f"a {id_type}, b {id_type}, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, retry array<struct<key:bigint,place:int>>"
+    schema = f"a {id_type}, b {id_type}, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, retry array<struct<key:bigint,place:int>>, settled array<struct<mark:bigint,start:bigint,end:bigint>>"
     return small_batches(both).mapInArrow(run, schema)
 
 
@@ -260,6 +317,57 @@ def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     return held
 
 
+def equal_passages(keys: DataFrame, settled: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Every passage of PASSAGE equal words and more, but for settled ones, against the first document that holds its windows.
+
+    keys: doc_id and the shared keys. settled: doc_id, mark, start, end of ranges that equal an earlier document's;
+    their windows are that document's, so they need not be held against anything, nor anything against them.
+    """
+    id_type = keys.schema["doc_id"].dataType.simpleString()
+    done = settled.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "start", "end")).alias("settled"))
+    keys = keys.join(done, "doc_id", "left")
+    texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), keys.select("doc_id")).join(keys, "doc_id").select("doc_id", "text", "keys", "settled")
+
+    def run(batches):
+        for batch, texts in text_chunks(batches, "text"):
+            words, at = word_hashes(texts, NOT_SPACE)
+            sh, sh_at = shingles(words, at, SHINGLE, short=False)
+            equal, equal_at = shingles(words, at, PASSAGE, short=False)
+            own = batch.column(2)
+            key_text = np.repeat(np.arange(len(texts)), own.value_lengths().to_numpy(zero_copy_only=False))
+            text, place, key = shared_windows(sh, sh_at, words, at, own.flatten().to_numpy(zero_copy_only=False).astype(np.uint64, casting="unsafe"), key_text)
+            open_ = np.ones(len(equal), bool)
+            for k, ranges in enumerate(batch.column(3).to_pylist()):
+                mark = _mark(words[at[k] : at[k + 1]]) if ranges else 0
+                for r in ranges or ():
+                    if r["mark"] == mark:
+                        open_[equal_at[k] + r["start"] : equal_at[k] + r["end"] - PASSAGE + 1] = False
+            ok = open_[equal_at[text] + place]
+            text, place, key = text[ok], place[ok], key[ok]
+            order = np.lexsort((place, key, text))
+            text, place, key = text[order], place[order], key[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+            offsets = pa.array(np.append(new, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind, casting="unsafe"))) for x, kind in ((equal[equal_at[text] + place], np.int64), (place, np.int32))]
+            ids = batch.column(0).take(pa.array(text[new]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(key[new].astype(np.int64, casting="unsafe")), *lists], ["doc_id", "key", "windows", "places"])
+
+    groups = scratch.keep(small_batches(texts).mapInArrow(run, f"doc_id {id_type}, key bigint, windows array<bigint>, places array<int>"), "equal_groups")
+    shared = scratch.keep(groups.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "equal_keys")
+    windows = groups.join(shared, "key").select("doc_id", F.inline(F.arrays_zip(F.col("windows").alias("window"), F.col("places").alias("place"))))
+    windows = scratch.keep(windows, "equal_windows")
+    scratch.drop(groups, shared)
+    lead = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
+    lead = scratch.keep(lead.select("window", F.col("lead.doc_id").alias("of"), F.col("lead.place").alias("first")), "equal_leads")
+    hits = windows.join(lead, "window").where("of < doc_id").select("doc_id", "of", "place", (F.col("first") - F.col("place")).alias("shift"))
+    # places that follow each other are one passage
+    nth = F.dense_rank().over(W.partitionBy("doc_id", "of", "shift").orderBy("place"))
+    out = hits.withColumn("run", F.col("place") - nth).groupBy("doc_id", "of", "shift", "run").agg(F.min("place").cast("long").alias("start"), (F.max("place") + PASSAGE).cast("long").alias("end"))
+    out = scratch.keep(out.select("doc_id", "of", "start", "end", (F.col("start") + F.col("shift")).alias("first_start"), (F.col("end") + F.col("shift")).alias("first_end")), "equal")
+    scratch.drop(windows, lead)
+    return out
+
+
 def passages(docs: DataFrame, scratch: Scratch, windows: DataFrame) -> DataFrame:
     """doc_id, of (the earlier document), start, end, first_start, first_end of every verified passage, in words.
 
@@ -270,19 +378,26 @@ def passages(docs: DataFrame, scratch: Scratch, windows: DataFrame) -> DataFrame
     rows = scratch.keep(nodes_.join(shared, "key").select("key", "doc_id", "place"), "nodes")
     del nodes_, shared
     scratch.drop(windows)
-    found = []
+    keys = scratch.keep(rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "keys")
+    found, settled = [], []
     while True:
         held = _round(rows, docs, scratch)
         found.append(held.select(F.col("b").alias("doc_id"), F.col("a").alias("of"), F.inline("spans")))
+        settled.append(held.select(F.col("b").alias("doc_id"), F.inline("settled")))
         after = scratch.hold(held.select(F.col("b").alias("doc_id"), F.inline("retry")).distinct().select("key", "doc_id", "place"))
         scratch.drop(rows)
         rows = after
         if rows.isEmpty():
             break
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return scratch.keep(out.distinct(), "passages")
+    held = scratch.keep(reduce(DataFrame.union, found).distinct(), "passages")
+    equal = equal_passages(keys, reduce(DataFrame.union, settled), docs, scratch)
+    scratch.drop(keys)
+    # equal passages within a verified one of the same two documents are the same passage
+    within = held.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), F.col("start").alias("a"), F.col("end").alias("b"))
+    more = equal.join(within, (F.col("doc_id") == F.col("i")) & (F.col("of") == F.col("o")) & (F.col("start") >= F.col("a")) & (F.col("end") <= F.col("b")), "left_anti")
+    more = scratch.keep(more, "more_passages")
+    scratch.drop(equal)
+    return held.union(more)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

@@ -184,6 +184,34 @@ def test_near_passages(table):
     assert all(len(got[d] - s) <= 10 for d, s in spans.items() if d in got)
 
 
+def equal_words(texts, size=50):
+    """Words of each document in a window of `size` words that an earlier document holds."""
+    first, out = {}, {}
+    for d, t in enumerate(texts):
+        w = (t or "").encode().lower().split()
+        windows = [tuple(w[i : i + size]) for i in range(len(w) - size + 1)]
+        for i, x in enumerate(windows):
+            if first.setdefault(x, d) < d:
+                out.setdefault(d, set()).update(range(i, i + size))
+    return out
+
+
+def test_equal_passages_off_the_leader(table):
+    """Copies of a later occurrence of a line in the first holder, nested passages and periodic text are found word for word."""
+    rng = random.Random(11)
+    texts, far = [], 10**6
+    for _ in range(40):
+        line, ends = prose(rng, 40), [prose(rng, 30) for _ in range(3)]
+        texts.append(" ".join(f"{line} {e} {prose(rng, 5, far)}" for e in ends))  # the line three times
+        texts.append(f"{prose(rng, 60, far)} {line} {ends[2][:60]} {prose(rng, 60, far)}")
+    for _ in range(40):
+        head, line, tail = prose(rng, 40), prose(rng, 30), prose(rng, 30)
+        texts += [f"{prose(rng, 70, far)} {head} {line} {prose(rng, 70, far)}", f"{prose(rng, 70, far)} {head} {line} {tail} {prose(rng, 70, far)}", f"{prose(rng, 70, far)} {line} {tail} {prose(rng, 70, far)}"]
+    texts += ["tick " * 70 + prose(rng, 60), prose(rng, 60) + " tick" * 300, "a b c " * 40 + prose(rng, 60), "b c a " * 100]
+    got, want = repeats(table(texts)), equal_words(texts)
+    assert want and all(s <= got.get(d, set()) for d, s in want.items())
+
+
 def test_repeated_passages_on_odd_rows(table):
     p = " ".join(f"q{i}" for i in range(80))
     rows = [*((100 + i, t) for i, t in enumerate(ODD)), (None, p), (1, p), (1, p), (2, "head " + p.upper() + " tail"), (3, "same " * 200), (4, "same " * 120)]
