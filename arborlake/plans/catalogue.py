@@ -77,7 +77,7 @@ def scan_totals(spark, d):
 def percent_of_root(spark, d):
     nodes = orders_tree(spark, d)
     share = fmt.basis_points(F.col("size_bytes"), F.col("root_bytes"))
-    return rollup.with_root_total(nodes, nodes.where("depth <= 3")).select("full_path", share.alias("share_bp"), fmt.bar_width(share).alias("bar_width"))
+    return rollup.with_root_total(nodes).select("full_path", share.alias("share_bp"), fmt.bar_width(share).alias("bar_width"))
 
 
 @_register("format_sizes", f"WITH {Q.ORDERS} SELECT full_path, {Q.size_text('size_bytes * 977')} AS size_text, {Q.signed_text('50000000 - size_bytes')} AS change_text FROM nodes")
@@ -112,7 +112,7 @@ def treemap_candidates(spark, d):
 
 @_register("treemap_layout")
 def treemap_layout(spark, d):
-    return treemap.layout(treemap.candidates(orders_tree(spark, d).where("depth <= 3")))
+    return treemap.layout(treemap.candidates(orders_tree(spark, d)))
 
 
 _SOME_ORDER = "(SELECT min(full_path) AS p FROM nodes WHERE NOT is_directory)"
@@ -404,7 +404,7 @@ def export_csv_rows(spark, d):
       ((bp + 5) // 10 // 10)::VARCHAR || '.' || ((bp + 5) // 10 % 10)::VARCHAR AS percent_text, bp AS bar_bp, file_count FROM s""",
 )
 def export_html_rows(spark, d):
-    return export.html_rows(orders_tree(spark, d).where("depth <= 3")).drop("traversal_ord")
+    return export.html_rows(orders_tree(spark, d)).drop("traversal_ord")
 
 
 # small helpers on literals
