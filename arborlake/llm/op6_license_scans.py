@@ -1,6 +1,7 @@
 """License scans: a trained paragraph classifier in DataFrame functions, confirmed by templates.
 
-Paragraphs are lines. Those with a cue word are scored by a sparse logistic regression over their
+Paragraphs are lines. Those with a cue word, and those that share enough word pairs with a template to be
+confirmed whatever their spelling, are candidates; no other line can be confirmed. Candidates are scored by a sparse logistic regression over their
 distinct word 1-, 2- and 3-grams, with one class for each licence family and one for unknown. The
 probabilities are calibrated by a temperature on held-out variants, and a family stands only if its
 probability reaches the threshold that lets at most one held-out negative in a hundred pass. A
@@ -118,7 +119,7 @@ NEGATIVES = [
     "The terms of the contract were published by the foundation last year.",
     "Version 2.0 of the game was released with better graphics.",
 ]
-#: A paragraph without one of these is not a candidate.
+#: A paragraph with one of these is a candidate.
 CUES = ["licen", "copyright", "warrant", "redistribut", "permission", "public domain", "rights reserved", "proprietary", "creative commons", "cc by", "cc0", "spdx", "gpl"]
 
 FAMILIES = sorted(TEMPLATES)
@@ -219,8 +220,33 @@ def _grams_column(sizes) -> str:
     return f"array_distinct(concat({parts}))"
 
 
+def _any_of(words: dict[str, dict | None]) -> str:
+    """A pattern of these words, by common beginnings; a value is what follows a word, if anything."""
+    tree: dict = {}
+    for w, after in words.items():
+        at = tree
+        for ch in w:
+            at = at.setdefault(ch, {})
+        at[""] = "" if after is None else rf"[^a-z0-9]+(?:{_any_of(after)})"
+
+    def pattern(at: dict) -> str:
+        return "|".join(x if not ch else ch + (y if len(at[ch]) == 1 else f"(?:{y})") for ch in sorted(at, reverse=True) for x, y in [(at[ch] if not ch else "", pattern(at[ch]) if ch else "")])
+
+    return pattern(tree)
+
+
+@lru_cache
+def pair_pattern() -> str:
+    """Matches lower-cased text that holds a word pair of a template, whatever stands between the words."""
+    pairs: dict[str, dict] = {}
+    for pair, *_ in template_pairs():
+        a, b = pair.split()
+        pairs.setdefault(a, {})[b] = None
+    return rf"(?<![a-z0-9])(?:{_any_of(pairs)})(?![a-z0-9])"
+
+
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """key, family of every distinct paragraph (key, para) whose predicted family is confirmed."""
+    """key, family of every distinct paragraph (key, para) that has a cue or shares enough pairs with a template; family is null unless the predicted one is confirmed."""
     spark, m = paragraphs.sparkSession, model()
     n = len(FAMILIES) + 1
     weights = fixed_table(spark, [{"gram": g, "w": w} for g, w in m["weights"].items()], "gram string, w array<bigint>")
@@ -240,7 +266,9 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     known = fixed_table(spark, [dict(zip(columns, r)) for r in template_pairs()], "gram string, family string, template int, size int")
     shared = pairs.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.max("size").alias("size"))
     shared = shared.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") >= LEAST_SHARE * F.least("own", "size"))).select("key", "family").distinct()
-    return said.join(shared, ["key", "family"], "left_semi")
+    confirmed = said.join(shared, ["key", "family"], "left_semi")
+    cued = paragraphs.where(F.lower("para").rlike("|".join(CUES))).select("key")
+    return cued.union(shared.select("key")).distinct().join(confirmed, "key", "left")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -248,18 +276,18 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))
-    cue = F.lit(False)
+    some = F.col("low").rlike(pair_pattern())
     for c in CUES:
-        cue = cue | F.contains("low", F.lit(c))
-    pattern = "|".join(CUES)
-    paras = F.when(cue, F.expr(rf"filter(split(text, '\n'), p -> lower(p) rlike '{pattern}')")).otherwise(F.expr("cast(array() AS array<string>)"))
+        some = F.contains("low", F.lit(c)) | some
+    pattern = f"{'|'.join(CUES)}|{pair_pattern()}"
+    paras = F.when(some, F.filter(F.split("text", "\n"), lambda p: F.lower(p).rlike(pattern))).otherwise(F.expr("cast(array() AS array<string>)"))
     n_paras = F.expr(r"size(filter(split(text, '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') != ''))").cast("long")
     d = d.select("doc_id", F.md5("text").alias("digest"), n_paras.alias("n_paragraphs"), paras.alias("paras"))
     d = scratch.keep(d, "paragraphs")
     each = d.where("size(paras) > 0").select("doc_id", "digest", F.posexplode("paras").alias("pos", "para")).withColumn("key", F.md5("para"))
     distinct = each.groupBy("key").agg(F.any_value("para").alias("para"))
     verdicts = scratch.keep(classify(distinct), "verdicts")
-    judged = join_checked(each.select("doc_id", "digest", "pos", "key"), verdicts, "key", "left")
+    judged = join_checked(each.select("doc_id", "digest", "pos", "key"), verdicts, "key", "inner")
     # rows of one id and text are alike, so their paragraphs count once
     per_doc = judged.groupBy("doc_id", "digest").agg(
         F.count_distinct(F.when(F.col("family").isNotNull(), F.col("pos"))).alias("n_licensed"),

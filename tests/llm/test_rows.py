@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from conftest import DATA, plain
@@ -152,6 +153,27 @@ def test_license_scan(table):
     assert op6_license_scans.license_scan(table(ODD).limit(0)).count() == 0
 
 
+def test_license_spellings(table):
+    """Lines without a cue word are judged by their words, whatever stands between them; prose stays out."""
+    o = op6_license_scans
+    same = {"This text is available under CC-BY-SA 4.0.": "This text is available under CC BY-SA 4.0.", "CC-BY 4.0": "CC BY 4.0", "Released under BSD 3-Clause.": None, "Released into the public-domain under the Un-License": None, "Released into the public-domain": "Released into the public domain"}
+    texts = [*same, *(x for x in same.values() if x), "He walked under the bridge.", "It is released."]
+    got = {t: r for t, r in zip(texts, sorted(o.license_scan(table(texts)).collect()))}
+    for t, cued in same.items():
+        assert got[t].n_licensed + got[t].n_unknown == 1, t
+        assert not cued or got[t][2:] == got[cued][2:], t
+    assert got["This text is available under CC-BY-SA 4.0."].families == ["cc-by-sa"]
+    assert got["He walked under the bridge."].n_unknown == got["It is released."].n_unknown == 0
+
+
+def test_license_pair_pattern():
+    o = op6_license_scans
+    pattern = re.compile(o.pair_pattern())
+    assert all(pattern.search(p.replace(" ", sep)) for p, *_ in o.template_pairs() for sep in (" ", "-", " (\""))
+    assert not any(pattern.search(f"x{p}") and not pattern.search(p) for p, *_ in o.template_pairs())
+    assert not pattern.search("under") and not pattern.search("thunder thermal")
+
+
 def test_url_filter(spark):
     urls = ["https://a.com", "https://A.com/x", "http://www.example.com/en/1?q=://", "http://example.com/en/", "http://x.example.com/en/2", "http://b.net/fr/1#t", "http://notexample.com/en/", None, "", "no scheme/en/", "https://", "http://casino-win.example.org/win/bonus", "http://library.example.org/docs/intro", "http://ünï.example.org/ä"]
     df = spark.createDataFrame([(i, u, "r", 1) for i, u in enumerate(urls)], "page_id bigint, url string, rule string, host int")
