@@ -1,11 +1,14 @@
 """Byte-level BPE encoding and decoding by the tiktoken library with a local rank file.
 
 Long texts are cut where the split pattern cannot match across: before white space that follows
-something else, or between a letter and a digit. Pieces give the same ids as the whole text. Decoding
-joins raw bytes, so a token may hold part of a character.
+something else, or between a letter and a digit. Pieces give the same ids as the whole text. A run of
+white space holds no boundary and the library's matcher keeps a step back for each of its characters,
+so runs of more than RUN_CHARS are matched by the `regex` module and each match goes to the library
+as one piece. Decoding joins raw bytes, so a token may hold part of a character.
 
 Defined cases: a null text is empty, has no ids and decodes to nothing; an empty table gives no rows;
-repeated rows return as often as they came; extra columns are not read.
+repeated rows return as often as they came; a text's ids depend on nothing but the text, so there are
+no ties; white space, words and numbers may be of any length; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -24,11 +27,16 @@ from .common import small_batches, table
 
 #: Texts of more characters are cut into pieces of about so many.
 PIECE_CHARS = 1 << 18
+#: White-space runs of more characters are matched outside the library.
+RUN_CHARS = 1 << 16
 
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
+_RUN = regex.compile(rf"\s{{{RUN_CHARS},}}+")
+#: Takes any text as one piece.
+WHOLE = r"(?s:.+)"
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def encoding(path: str, pattern: str):
     import tiktoken
 
@@ -49,10 +57,32 @@ def pieces(text: str, most: int = PIECE_CHARS):
     yield text[i:]
 
 
-def encode_text(enc, text: str) -> list[int]:
-    if len(text) <= PIECE_CHARS:
+def split_runs(text: str, pattern: str):
+    """(part, whether it is one match of the pattern); only what a long run of white space touches is matched here."""
+    split, done = regex.compile(pattern), 0
+    for run in _RUN.finditer(text):
+        if run.start() < done:
+            continue
+        yield text[done : run.start()], False  # no match goes on from something else into white space
+        done = run.start()
+        while done < run.end():
+            match = split.match(text, done)
+            if not match or match.end() == done:
+                break
+            yield match[0], True
+            done = match.end()
+    yield text[done:], False
+
+
+def encode_text(path: str, pattern: str, text: str) -> list[int]:
+    enc = encoding(path, pattern)
+    if len(text) <= RUN_CHARS:
         return enc.encode_ordinary(text)
-    return [x for piece in pieces(text) for x in enc.encode_ordinary(piece)]
+    out, whole = [], encoding(path, WHOLE)
+    for part, is_match in split_runs(text, pattern):
+        for piece in (part,) if is_match else pieces(part):
+            out += (whole if is_match else enc).encode_ordinary(piece)
+    return out
 
 
 def _ids_array(lists: list[list[int]]) -> pa.Array:
@@ -69,7 +99,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches):
         enc = encoding(path, pattern)
         for batch, texts in text_chunks(batches, "text"):
-            ids = [encode_text(enc, t.decode("utf-8", "replace")) for t in texts]
+            ids = [encode_text(path, pattern, t.decode("utf-8", "replace")) for t in texts]
             cols, names = [batch.column(0), _ids_array(ids)], ["doc_id", "ids"]
             if decode_too:
                 cols.append(pa.array([enc.decode_bytes(x) for x in ids], pa.binary()))

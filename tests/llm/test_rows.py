@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import regex
 from conftest import DATA, plain
 
 from .conftest import ODD, prose
@@ -95,6 +96,23 @@ def test_byte_bpe_round_trip(spark, table):
     assert op8_byte_bpe.encode(table(ODD).limit(0), path, PT.PATTERN).count() == 0
 
 
+def test_byte_bpe_bears_long_runs(table, monkeypatch):
+    """White space of any length; with small limits, texts of all kinds of runs give the library's ids."""
+    path = PT.path("byte_bpe_multi_50k.tiktoken")
+    enc, whole = op8_byte_bpe.encoding(path, PT.PATTERN), op8_byte_bpe.encoding(path, op8_byte_bpe.WHOLE)
+    texts = [f"a{ch * (2_000_000 // len(ch))}{tail}" for ch in (" ", "\t", "\n", " \n") for tail in ("", "b 1")]
+    got = {r.doc_id: r.ids for r in op8_byte_bpe.encode(table(texts), path, PT.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [x for m in regex.findall(PT.PATTERN, t) for x in whole.encode_ordinary(m)]
+    monkeypatch.setattr(op8_byte_bpe, "RUN_CHARS", 6)
+    monkeypatch.setattr(op8_byte_bpe, "PIECE_CHARS", 10)
+    monkeypatch.setattr(op8_byte_bpe, "_RUN", regex.compile(r"\s{6,}+"))
+    rng = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rng.choice([" ", "  ", "\n", "a", "b1", "!", "'s", "é", " \u3000"]) for _ in range(rng.randrange(60)))
+        assert op8_byte_bpe.encode_text(path, PT.PATTERN, t) == enc.encode_ordinary(t), repr(t)
+
+
 def test_language_id(spark, table):
     from pyspark.sql import functions as F
 
