@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 from ..plans.workers import ready
 
-__all__ = ["BROADCAST_ROWS", "Scratch", "ID_ROWS", "join_checked", "only", "small_batches", "table"]
+__all__ = ["BROADCAST_ROWS", "Scratch", "ID_ROWS", "fresh", "join_checked", "only", "small_batches", "table"]
 
 #: A side is broadcast up to so many rows (of a few short columns), otherwise the planner joins by shuffle.
 BROADCAST_ROWS = 50_000
@@ -31,6 +31,14 @@ def small_batches(df: DataFrame) -> DataFrame:
     return ready(df)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores before them as it takes for none to be a column of the frame."""
+    taken = {c.lower() for c in df.columns}
+    while any(n.lower() in taken for n in names):
+        names = tuple(f"_{n}" for n in names)
+    return list(names)
+
+
 def only(docs: DataFrame, ids: DataFrame, rows: int = ID_ROWS) -> DataFrame:
     """The documents with these ids (column doc_id). Up to `rows` ids are broadcast, so that the other texts are
     never shuffled; beyond that the documents stay as they are and the join that follows drops the others."""

@@ -1,67 +1,77 @@
 """Near-duplicate passages across documents by compact windows.
 
-A document is its sequence of five-word shingles. For each of HASHES hash functions the Cartesian tree
-over the shingles' hashes groups all subsequences that share a minimum: a node at place c with the
-range (l, r) stands for every subsequence within the range that holds c. Only nodes whose range holds
-a passage of PASSAGE words are kept, about 2n / PASSAGE of them. Equal passages have equal minima under
-every function, and passages of Jaccard similarity s have under each with probability s, so the nodes
-of all documents are joined on the minimal shingle, taken with the words of one side up to RUN words
-(either side; a passage of 50 words holds one of them whatever its minimum's place).
-
-In a bucket every node is held against the first one (smallest doc_id, then place): from the common
+A text is its sequence of five-word shingles. For each of HASHES hash functions the Cartesian tree over
+the shingles' hashes groups all subsequences that share a minimum. Of a node only what concerns passages
+of PASSAGE words is kept: its compact window is the place c of the minimum and the range of starts
+(first, last) of those passages whose first minimum stands at c. A function's windows are disjoint
+ranges of starts, about 2n / PASSAGE of them, and together they cover every passage.
+
+Two passages of Jaccard similarity s share a minimum with probability s under each function, and count
+as candidates if they do under AGREE of the functions: with 4 and 2, that is 0.973 at s = 0.8, where a
+passage of 50 words stands with one word edited; longer ones have more passages of 50 words to be found
+by. Minima that no other document has are dropped first. Then, within each text, the windows left of
+every two functions are joined by the overlap of their ranges of starts: an overlap is a group of
+passages that share both minima. Overlaps of different documents meet by the two minima, so nothing is
+counted by pairs of documents.
+
+In a bucket every overlap is held against the first one (smallest doc_id, then place): from the common
 shingle the passages are grown on both documents as long as eight in nine shingles match near the
-diagonal, which is where a similarity of 0.8 lies, and verified on their full shingle sets. Nodes that
-are not verified share a run that is too short; any passage they have with each other must go on
-beyond it on one side, so they go on to buckets by the length of that run and the word that follows
-it, on either side, until no bucket holds two documents. Thus a frequent short passage costs a few
-rounds, not all its pairs.
-
-A bucket's first node does not speak for all pairs: the first document may hold a run several times,
-and two verified nodes may share more with each other than with the first one. So passages of PASSAGE
-equal words are also found without leaders: every window of PASSAGE words whose minimum under the first
-function has a key that other nodes share is held against the first document with the same window.
-A window that two documents share has that minimum, and so that key, in both. Windows within a run that
-was found equal to an earlier document's are that document's too; only they need not be looked up.
-
-Returned are the passages of a document that repeat an earlier document's (a smaller doc_id), as word
-ranges. Repeats within one document are not passages across documents.
+diagonal, which is where a similarity of 0.8 lies, and verified on their full shingle sets. A passage
+begins and ends with a shingle that the other one has: 49 equal words and an edited one are no passage.
+
+A bucket's first member does not speak for all pairs, so passages of PASSAGE equal words go on to buckets
+of their own. Such a passage of B and C holds its minimum c with WIDE words of it on one side at least. If
+both differ from the bucket's first member A, they either differ from it at the same place, in front of
+or behind c, and in the same word, or the passage is A's too. So every member goes on to the bucket of
+the words from c to the place where it leaves A, and that word, at least WIDE words long. There it is held
+against that bucket's first member, until no bucket holds two documents. Each such bucket is a longer
+equal run than the one before, so only copied text goes on, and each passage of PASSAGE equal words is
+found. The buckets of the first two functions are enough for that, as every passage has a pair of them.
+
+Equal texts are one: only the one with the smallest doc_id is looked at, the others are passages of it
+as a whole. Returned are the passages of a document that repeat an earlier document's (a smaller
+doc_id), as word ranges. Repeats within one document are not passages across documents.
 
 Defined cases: a null or empty text, or one of under 50 words, has no passages; rows with a null id
-are returned without any; rows of one id are one document; of tied documents the smallest id is the
-first holder; an empty table gives no rows; only the id and text columns are read.
+are returned without any; rows of one id are one document, and each of its texts has its own passages;
+of tied documents the smallest id is the first holder; an empty table gives no rows; only the id and
+text columns are read, and other columns may have any names.
 """
 
 from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .chunks import NOT_SPACE, mix, shingles, text_chunks, word_hashes
-from .common import Scratch, join_checked, only, small_batches, table
+from .common import ID_ROWS, Scratch, fresh, join_checked, small_batches, table
 
 SHINGLE = 5
 #: Words of the shortest passage.
 PASSAGE = 50
 #: Similarity, as a per cent of intersection to union of the shingle sets.
 SIMILARITY = 80
-#: Hash functions, and the words that a bucket's nodes have in common on one side.
-HASHES, RUN = 3, 16
-#: Words that every window of PASSAGE words holds on one side of its minimum.
+#: Hash functions, and how many have to agree.
+HASHES, AGREE = 4, 2
+#: Words that every window of PASSAGE words holds from its minimum on, or up to the minimum's end.
 WIDE = (PASSAGE + SHINGLE) // 2
 #: Words that may be inserted or deleted between two copies at one place.
 BAND = 8
+#: Pairs that share one sending of their first document's text.
+SLICE = 64
 
 _LEAST = PASSAGE - SHINGLE + 1
 _rng = np.random.Generator(np.random.PCG64(10))
 _XOR = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 _MUL = _rng.integers(0, 2**62, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RUN = _rng.integers(0, 2**63, 4 * PASSAGE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _slide(x: np.ndarray, size: int, best) -> np.ndarray:
@@ -74,103 +84,101 @@ def _slide(x: np.ndarray, size: int, best) -> np.ndarray:
     return best(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def nodes(h: np.ndarray, at: np.ndarray, least: int = _LEAST) -> np.ndarray:
-    """The places, in the texts' joined hashes, of the Cartesian trees' nodes whose range holds `least` shingles.
+def compact_windows(h: np.ndarray, at: np.ndarray, least: int = _LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of minima in the texts' joined hashes, and the first and last start of the `least` shingles they are minimal in.
 
-    A node's range holds so many if the node is the minimum of some `least` neighbours, so no tree is
-    built: the minima of all neighbours are taken, and of these the largest that each place stands in.
-    """
-    if len(h) < least:
-        return np.zeros(0, np.int64)
-    low = _slide(h, least, np.minimum)
-    start = np.arange(len(low))
-    text = np.searchsorted(at, start, side="right") - 1
-    low[start + least > at[text + 1]] = 0  # not across two texts
-    most = _slide(np.concatenate((np.zeros(least - 1, np.uint64), low, np.zeros(least - 1, np.uint64))), least, np.maximum)
-    return np.flatnonzero((most == h) & (h != 0))
-
-
-def text_nodes(sh: np.ndarray, at: np.ndarray, runs: np.ndarray, run_at: np.ndarray):
-    """Texts, keys and places of the nodes of all texts, in order. runs: hashes of RUN words from each word on."""
-    c = np.unique(np.concatenate([nodes((sh ^ _XOR[k]) * _MUL[k], at) for k in range(HASHES)]))
-    text = np.searchsorted(at, c, side="right") - 1
-    place = c - at[text]
-    first, size = run_at[text], np.diff(run_at)[text]
-    back = place - (RUN - SHINGLE)
-    r, left = place < size, back >= 0
-    text, place, keys = (
-        np.concatenate([text[r], text[left]]),
-        np.concatenate([place[r], place[left]]),
-        np.concatenate([runs[(first + place)[r]], mix(runs[(first + back)[left]] + np.uint64(1))]),
-    )
-    # of a text's nodes with one key that stand closer than a passage, as in periodic text, the first is enough
-    order = np.lexsort((place, keys, text))
-    text, place, keys = text[order], place[order], keys[order]
-    keep = np.ones(len(keys), bool)
-    same = (keys[1:] == keys[:-1]) & (text[1:] == text[:-1])
-    head = -1
-    for i in (np.flatnonzero(same) + 1).tolist():
-        if head < 0 or not same[head:i].all():
-            head = i - 1
-        keep[i] = place[i] - place[head] >= _LEAST
-        if keep[i]:
-            head = i
-    return text[keep], keys[keep], place[keep]
-
-
-def shared_windows(sh: np.ndarray, at: np.ndarray, words: np.ndarray, word_at: np.ndarray, keys: np.ndarray, key_text: np.ndarray):
-    """Windows of PASSAGE words whose minimum under the first function has a key that its text shares.
-
-    keys, key_text: the shared keys and their texts. Returns the windows' texts, places and runs of WIDE words beside
-    the minimum, on the side where the window holds them. All of it follows from a window's words alone.
+    These are the Cartesian trees' nodes whose range holds `least` shingles, from left to right. The
+    minimum of all neighbours is slid over the hashes, their upper halves joined with their places, so
+    that of equal ones the first wins; starts that follow each other with one minimum are one window.
     """
     none = np.zeros(0, np.int64)
-    if len(sh) < _LEAST:
-        return none, none, np.zeros(0, np.uint64)
-    h = (sh ^ _XOR[0]) * _MUL[0]
-    low = _slide(h, _LEAST, np.minimum)
-    c = nodes(h, at)
-    text = np.searchsorted(at, c, side="right") - 1
-    start = c[:, None] - np.arange(_LEAST)
-    inside = (start >= at[text][:, None]) & (start + _LEAST <= at[text + 1][:, None])
-    inside &= low[np.clip(start, 0, len(low) - 1)] == h[c][:, None]
-    # the first of equal minima
-    i, which = np.unique(start[inside], return_index=True)
-    c = np.broadcast_to(c[:, None], start.shape)[inside][which]
-    text = np.searchsorted(at, i, side="right") - 1
-    offset, place = c - i, i - at[text]
-
-    def run(size):
-        every, every_at = shingles(words, word_at, size, short=False)
-        right = offset <= PASSAGE - size
-        first = every_at[text] + place + offset
-        return np.where(right, every[np.where(right, first, 0)], mix(every[np.where(right, 0, first - (size - SHINGLE))] + np.uint64(1)))
-
-    of_text = lambda key, k: mix(key + mix(k.astype(np.uint64)))
-    ok = np.isin(of_text(run(RUN), text), of_text(keys, key_text))
-    return text[ok], place[ok], run(WIDE)[ok]
-
-
-def _mark(words: np.ndarray) -> int:
-    """Tells the texts of one id apart."""
-    return int((words * np.arange(1, 2 * len(words), 2, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64, casting="unsafe"))
-
-
-def compact_windows(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, keys and places of every document."""
+    if len(h) < least:
+        return none, none, none
+    low = np.uint64(0xFFFFFFFF)
+    c = (_slide((h & ~low) | np.arange(len(h), dtype=np.uint64), least, np.minimum) & low).astype(np.int64)
+    ends = np.repeat(at[1:], np.diff(at))[: len(c)]
+    start = np.flatnonzero(np.arange(len(c)) + least <= ends)  # not across two texts
+    if not len(start):
+        return none, none, none
+    c = c[start]
+    first = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (start[1:] != start[:-1] + 1))))
+    return c[first], start[first], start[np.append(first[1:], len(start)) - 1]
+
+
+def text_windows(sh: np.ndarray, at: np.ndarray):
+    """Texts, keys and spots of all compact windows, by text. A spot is the place, the way back to the first start, the starts less one, and the function."""
+    texts, keys, spots = [], [], []
+    for k in range(HASHES):
+        c, first, last = compact_windows((sh ^ _XOR[k]) * _MUL[k], at)
+        text = np.searchsorted(at, c, side="right") - 1
+        texts.append(text)
+        keys.append(mix(sh[c] + _XOR[k]))
+        spots.append((((c - at[text]) << 6 | c - first) << 6 | last - first) << 2 | k)
+    text = np.concatenate(texts)
+    order = np.argsort(text, kind="stable")
+    return text[order], np.concatenate(keys)[order], np.concatenate(spots)[order]
+
+
+def overlaps(text: np.ndarray, keys: np.ndarray, spots: np.ndarray):
+    """The interval join within the texts: rows, keys and places of all overlaps of two functions' windows, and whether they are of the first two."""
+    place, back, more, k = spots >> 14, spots >> 8 & 63, spots >> 2 & 63, spots & 3
+    first = (text << 36) + place - back
+    own = []
+    for f in range(HASHES):
+        i = np.flatnonzero(k == f)
+        own.append(i[np.argsort(first[i], kind="stable")])
+    out = []
+    for f, g in combinations(range(HASHES), AGREE):
+        a, b = own[f], own[g]
+        lo = np.searchsorted(first[b] + more[b], first[a], side="left")
+        n = np.maximum(0, np.searchsorted(first[b], first[a] + more[a], side="right") - lo)
+        i = np.repeat(a, n)
+        j = b[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else i
+        out.append((text[i], mix(keys[i] * np.uint64(3) + mix(keys[j] + np.uint64(f * HASHES + g))), place[i], np.full(len(i), (f, g) == (0, 1))))
+    return tuple(map(np.concatenate, zip(*out)))
+
+
+def windows_table(docs: DataFrame) -> DataFrame:
+    """doc_id, h, digest, n_words and the compact windows (keys, spots) of every document. docs: doc_id, h, digest, text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch, texts in text_chunks(batches, "text"):
             words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
-            runs, run_at = shingles(words, at, RUN, short=False)
-            text, keys, places = text_nodes(sh, sh_at, runs, run_at)
+            text, keys, spots = text_windows(sh, sh_at)
             offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind, casting="unsafe"))) for x, kind in ((keys, np.int64), (places, np.int32))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "n_words", "keys", "places"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64, casting="unsafe"))) for x in (keys, spots)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "h", "digest", "n_words", "keys", "spots"])
+
+    return small_batches(docs.select("doc_id", "h", "digest", "text")).mapInArrow(run, f"doc_id {id_type}, h bigint, digest string, n_words bigint, keys array<bigint>, spots array<bigint>")
+
+
+def overlaps_table(units: DataFrame) -> DataFrame:
+    """key, doc_id, h, place, before and after of all overlaps. units: doc_id, h, keys, spots.
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, n_words bigint, keys array<bigint>, places array<int>")
+    before and after are the words in front of and from the minimum on that a bucket's members are known to share;
+    after is 0 in buckets from which nothing goes on.
+    """
+    id_type = units.schema["doc_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, spots = (batch.column(i) for i in (2, 3))
+            n = keys.value_lengths().to_numpy(zero_copy_only=False)
+            flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (keys, spots)]
+            text, key, place, front = overlaps(np.repeat(np.arange(batch.num_rows), n), flat[0].astype(np.uint64, casting="unsafe"), flat[1])
+            for i in range(0, len(text), 100_000):
+                part = slice(i, i + 100_000)
+                ids = pa.array(text[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[part].astype(np.int64, casting="unsafe")), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(place[part].astype(np.int32)), pa.array(np.zeros(len(ids), np.int16)), pa.array(np.where(front[part], SHINGLE, 0).astype(np.int16))],
+                    ["key", "doc_id", "h", "place", "before", "after"],
+                )
+
+    return small_batches(units.select("doc_id", "h", "keys", "spots")).mapInArrow(run, f"key bigint, doc_id {id_type}, h bigint, place int, before smallint, after smallint")
 
 
 def _longest(match: np.ndarray, c: int, cost: int) -> tuple[int, int]:
@@ -235,7 +243,7 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
 
 def passage(sa, sb, ca: int, cb: int, left: int, right: int, similarity: int):
     """The widest verified ranges around a common shingle, or None; at the least the run of equal words."""
-    for cost in (8, 32):
+    for cost in (8, 16, 32):
         a0, a1, b0, b1 = grow(sa, sb, ca, cb, cost)
         if min(a1 - a0, b1 - b0) < _LEAST:
             break
@@ -247,172 +255,162 @@ def passage(sa, sb, ca: int, cb: int, left: int, right: int, similarity: int):
     return (ca - left, ca + end, cb - left, cb + end) if left + right >= PASSAGE else None
 
 
-def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY):
-    """Verified passages (start, end, start in the first document, end) in words, what the other nodes go on with, and the ranges of PASSAGE and more equal words."""
-    spans, retry, equal = [], [], []
-    for key, ca, cb in sorted(anchors, key=lambda x: (x[2], x[1], x[0])):
+def goes_on(words: np.ndarray, c: int, left: int, right: int, before: int, after: int) -> list[tuple[int, int, int]]:
+    """(key, before, after) of the buckets that a member goes on to, which has `left` words in front of c and `right` from c on in common with its bucket's first member.
+
+    A run that leaves the first member PASSAGE words away or more holds a nearer minimum, which goes on instead.
+    """
+    if before + after >= WIDE:
+        states = [(before, right + 1, right < PASSAGE), (left + 1, after, left < PASSAGE)]
+    else:
+        back = WIDE - SHINGLE
+        states = [(0, WIDE, True)] if right < WIDE else [(0, right + 1, right < PASSAGE), (left + 1, WIDE, left < PASSAGE)]
+        states += [(back, SHINGLE, True)] if left < back else [(left + 1, SHINGLE, left < PASSAGE), (back, right + 1, right < PASSAGE)]
+    out = []
+    for x, y, near in states:
+        if near and c >= x and c + y <= len(words):
+            run = (words[c - x : c + y] * _RUN[: x + y]).sum(dtype=np.uint64, keepdims=True)
+            out.append((int(mix(run + mix(np.array([x * 1000 + y], np.uint64))).astype(np.int64, casting="unsafe")[0]), x, y))
+    return out
+
+
+def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY, whole: bool = True):
+    """Verified passages (start, end, start in the first document, end) in words, and the buckets that the members go on to, with their places.
+
+    anchors: place in the first document, place, before and after. whole: else only what goes on is wanted.
+    """
+    spans, more, equal = [], [], []
+    for ca, cb, before, after in sorted(anchors, key=lambda x: (x[1], x[0])):
         if ca >= len(sa) or cb >= len(sb) or sa[ca] != sb[cb]:
-            continue  # another row of the same id
-        if any(a - b == ca - cb and b <= cb < end for b, end, a in equal):
             continue
-        left = _same(wa[:ca][::-1], wb[:cb][::-1])
-        right = _same(wa[ca:], wb[cb:])
-        if left + right >= PASSAGE:
-            equal.append((cb - left, cb + right, ca - left))
-        if any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans):
+        run = next(((b, end) for b, end, a in equal if a - b == ca - cb and b <= cb < end), None)
+        if run:
+            left, right = cb - run[0], run[1] - cb
+        else:
+            left = _same(wa[:ca][::-1], wb[:cb][::-1])
+            right = _same(wa[ca:], wb[cb:])
+            if left + right >= PASSAGE:
+                equal.append((cb - left, cb + right, ca - left))
+        if after:
+            more += [(*x, cb) for x in goes_on(wb, cb, left, right, before, after)]
+        if not whole or run or any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans):
             continue
         found = passage(sa, sb, ca, cb, left, right, similarity)
         if found:
             a0, a1, b0, b1 = found
             spans.append((b0, b1 + SHINGLE - 1, a0, a1 + SHINGLE - 1))
-            continue
-        base = np.array([key], np.int64).astype(np.uint64, casting="unsafe")
-        for side, size, at in ((2, left, cb - left - 1), (3, right, cb + right)):
-            if 0 <= at < len(wb):
-                new = mix(mix(base * np.uint64(side) + np.uint64(size)) + wb[at])
-                retry.append((int(new.astype(np.int64, casting="unsafe")[0]), cb))
-    spans += [(b, end, a, a + end - b) for b, end, a in equal if not any(s[0] <= b and end <= s[1] for s in spans)]
-    return spans, retry, [(b, end) for b, end, _ in equal]
+    if whole:
+        spans += [(b, end, a, a + end - b) for b, end, a in equal if not any(s[0] <= b and end <= s[1] for s in spans)]
+    return spans, more
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: a, b and anchors. Returns a, b, spans, retry and settled."""
-    texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "anchors", "ta", "tb")
+    """pairs: a, ah, b, bh and anchors. Returns a, b, bh, spans and more.
+
+    A first document's text is sent once for every SLICE of its partners.
+    """
+    ids = pairs.select(F.inline(F.array(*(F.struct(F.col(i).alias("doc_id"), F.col(f"{i}h").alias("h")) for i in "ab")))).distinct()
+    texts = docs.select("doc_id", "h", "text")
+    if ids.limit(ID_ROWS + 1).count() <= ID_ROWS:
+        texts = texts.join(F.broadcast(ids), ["doc_id", "h"], "left_semi")
+    slices = pairs.groupBy("a", "ah").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    slice_ = F.pmod(F.xxhash64("b", "bh"), F.col("slices")).cast("int").alias("slice")
+    own = pairs.join(slices, ["a", "ah"]).select("a", "ah", slice_, "b", "bh", "anchors")
+    own = own.join(texts.withColumnsRenamed({"doc_id": "b", "h": "bh"}), ["b", "bh"]).select("a", "ah", "slice", "b", "bh", "anchors", "text")
+    first = slices.select("a", "ah", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    first = first.join(texts.withColumnsRenamed({"doc_id": "a", "h": "ah"}), ["a", "ah"])
+    both = own.unionByName(first, allowMissingColumns=True).repartition("a", "ah", "slice").sortWithinPartitions("a", "ah", "slice", F.asc_nulls_first("b"))
     id_type = pairs.schema["a"].dataType.simpleString()
     span = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first_start", "first_end")]))
-    again = pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int32())]))
-    done = pa.list_(pa.struct([("mark", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
+    on = pa.list_(pa.struct([("key", pa.int64()), ("before", pa.int16()), ("after", pa.int16()), ("place", pa.int32())]))
 
     def run(batches):
-        for batch, tb in text_chunks(batches, "tb", 1 << 20):
-            ta = batch.column(3).cast(pa.large_binary()).to_pylist()
-            where: dict[bytes, int] = {}
-            rows = [(where.setdefault(x, len(where)), where.setdefault(y, len(where))) for x, y in zip(ta, tb)]
-            words, at = word_hashes(list(where), NOT_SPACE)
+        at_first, wa, sa = None, None, None
+        for batch, texts in text_chunks(batches, "text"):
+            words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
-            own = lambda k: (words[at[k] : at[k + 1]], sh[sh_at[k] : sh_at[k + 1]])
-            spans, retry, settled = [], [], []
-            for (x, y), anchors in zip(rows, batch.column(2).to_pylist()):
-                s, r, e = hold_against(*own(x), *own(y), [(n["key"], n["lead"], n["place"]) for n in anchors])
-                spans.append([dict(zip(("start", "end", "first_start", "first_end"), i)) for i in s])
-                retry.append([{"key": k, "place": c} for k, c in r])
-                mark = _mark(own(y)[0]) if e else 0
-                settled.append([{"mark": mark, "start": i, "end": j} for i, j in e])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(retry, again), pa.array(settled, done)], ["a", "b", "spans", "retry", "settled"])
-
-    schema = f"a {id_type}, b {id_type}, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, retry array<struct<key:bigint,place:int>>, settled array<struct<mark:bigint,start:bigint,end:bigint>>"
+            a, ah, b = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            keep, spans, more = [], [], []
+            for k, anchors in enumerate(batch.column(5).to_pylist()):
+                w, s = words[at[k] : at[k + 1]], sh[sh_at[k] : sh_at[k + 1]]
+                if b[k] is None:
+                    at_first, wa, sa = (a[k], ah[k]), w.copy(), s.copy()
+                elif at_first == (a[k], ah[k]):
+                    found, on_ = hold_against(wa, sa, w, s, [(n["lead"], n["place"], n["before"], n["after"]) for n in anchors], whole=a[k] != b[k])
+                    keep.append(k)
+                    spans.append([dict(zip(("start", "end", "first_start", "first_end"), x)) for x in found])
+                    more.append([dict(zip(("key", "before", "after", "place"), x)) for x in on_])
+            take = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 3, 4)), pa.array(spans, span), pa.array(more, on)], ["a", "b", "bh", "spans", "more"])
+
+    schema = f"a {id_type}, b {id_type}, bh bigint, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, more array<struct<key:bigint,before:smallint,after:smallint,place:int>>"
     return small_batches(both).mapInArrow(run, schema)
 
 
 def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Holds every node against its bucket's first one. rows: key, doc_id, place."""
-    lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
-    pairs = rows.join(lead, "key").where("doc_id > lead.doc_id")
-    pairs = pairs.groupBy(F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set(F.struct("key", F.col("lead.place").alias("lead"), "place")).alias("anchors"))
-    pairs = scratch.keep(pairs, "pairs")
+    """Holds every member against its bucket's first one. rows: key, doc_id, h, place, before, after."""
+    lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "h", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
+    pairs = rows.join(lead, "key").where("doc_id > lead.doc_id OR after > 0 AND (h <> lead.h OR place > lead.place)")
+    pairs = pairs.groupBy(F.col("lead.doc_id").alias("a"), F.col("lead.h").alias("ah"), F.col("doc_id").alias("b"), F.col("h").alias("bh"))
+    pairs = scratch.keep(pairs.agg(F.collect_set(F.struct(F.col("lead.place").alias("lead"), "place", "before", "after")).alias("anchors")), "pairs")
     held = scratch.keep(_verify(pairs, docs), "held")
     scratch.drop(pairs)
     return held
 
 
-def equal_passages(keys: DataFrame, settled: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every passage of PASSAGE equal words and more, but for settled ones, against the first document that holds its windows.
-
-    keys: doc_id and the shared keys. settled: doc_id, mark, start, end of ranges that equal an earlier document's;
-    their windows are that document's, so they need not be held against anything, nor anything against them.
-    """
-    id_type = keys.schema["doc_id"].dataType.simpleString()
-    done = settled.groupBy("doc_id").agg(F.collect_set(F.struct("mark", "start", "end")).alias("settled"))
-    keys = keys.join(done, "doc_id", "left")
-    texts = only(docs.where("text IS NOT NULL").select("doc_id", "text"), keys.select("doc_id")).join(keys, "doc_id").select("doc_id", "text", "keys", "settled")
-
-    def run(batches):
-        for batch, texts in text_chunks(batches, "text"):
-            words, at = word_hashes(texts, NOT_SPACE)
-            sh, sh_at = shingles(words, at, SHINGLE, short=False)
-            equal, equal_at = shingles(words, at, PASSAGE, short=False)
-            own = batch.column(2)
-            key_text = np.repeat(np.arange(len(texts)), own.value_lengths().to_numpy(zero_copy_only=False))
-            text, place, key = shared_windows(sh, sh_at, words, at, own.flatten().to_numpy(zero_copy_only=False).astype(np.uint64, casting="unsafe"), key_text)
-            open_ = np.ones(len(equal), bool)
-            for k, ranges in enumerate(batch.column(3).to_pylist()):
-                mark = _mark(words[at[k] : at[k + 1]]) if ranges else 0
-                for r in ranges or ():
-                    if r["mark"] == mark:
-                        open_[equal_at[k] + r["start"] : equal_at[k] + r["end"] - PASSAGE + 1] = False
-            ok = open_[equal_at[text] + place]
-            text, place, key = text[ok], place[ok], key[ok]
-            order = np.lexsort((place, key, text))
-            text, place, key = text[order], place[order], key[order]
-            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
-            offsets = pa.array(np.append(new, len(key)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(kind, casting="unsafe"))) for x, kind in ((equal[equal_at[text] + place], np.int64), (place, np.int32))]
-            ids = batch.column(0).take(pa.array(text[new]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(key[new].astype(np.int64, casting="unsafe")), *lists], ["doc_id", "key", "windows", "places"])
-
-    groups = scratch.keep(small_batches(texts).mapInArrow(run, f"doc_id {id_type}, key bigint, windows array<bigint>, places array<int>"), "equal_groups")
-    shared = scratch.keep(groups.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key"), "equal_keys")
-    windows = groups.join(shared, "key").select("doc_id", F.inline(F.arrays_zip(F.col("windows").alias("window"), F.col("places").alias("place"))))
-    windows = scratch.keep(windows, "equal_windows")
-    scratch.drop(groups, shared)
-    lead = windows.groupBy("window").agg(F.min(F.struct("doc_id", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
-    lead = scratch.keep(lead.select("window", F.col("lead.doc_id").alias("of"), F.col("lead.place").alias("first")), "equal_leads")
-    hits = windows.join(lead, "window").where("of < doc_id").select("doc_id", "of", "place", (F.col("first") - F.col("place")).alias("shift"))
-    # places that follow each other are one passage
-    nth = F.dense_rank().over(W.partitionBy("doc_id", "of", "shift").orderBy("place"))
-    out = hits.withColumn("run", F.col("place") - nth).groupBy("doc_id", "of", "shift", "run").agg(F.min("place").cast("long").alias("start"), (F.max("place") + PASSAGE).cast("long").alias("end"))
-    out = scratch.keep(out.select("doc_id", "of", "start", "end", (F.col("start") + F.col("shift")).alias("first_start"), (F.col("end") + F.col("shift")).alias("first_end")), "equal")
-    scratch.drop(windows, lead)
-    return out
-
-
-def passages(docs: DataFrame, scratch: Scratch, windows: DataFrame) -> DataFrame:
-    """doc_id, of (the earlier document), start, end, first_start, first_end of every verified passage, in words.
+def passages(docs: DataFrame, scratch: Scratch, units: DataFrame) -> DataFrame:
+    """doc_id, h, of (the earlier document), start, end, first_start, first_end of every verified passage of a unit, in words.
 
-    windows is dropped once the nodes that share a key are written.
+    docs: doc_id, h, text. units: doc_id, h, keys, spots of every text that is looked at; it is dropped once its
+    overlaps are written.
     """
-    nodes_ = windows.where("doc_id IS NOT NULL").select("doc_id", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("places").alias("place"))))
-    shared = nodes_.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = scratch.keep(nodes_.join(shared, "key").select("key", "doc_id", "place"), "nodes")
-    del nodes_, shared
-    scratch.drop(windows)
-    keys = scratch.keep(rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys")), "keys")
-    found, settled = [], []
+    nodes = units.select("doc_id", "h", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("spots").alias("spot"))))
+    shared = nodes.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
+    own = nodes.join(shared, "key").groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys"), F.collect_list("spot").alias("spots"))
+    rows = scratch.keep(overlaps_table(own), "overlaps")
+    del nodes, shared, own
+    scratch.drop(units)
+    found = []
     while True:
         held = _round(rows, docs, scratch)
-        found.append(held.select(F.col("b").alias("doc_id"), F.col("a").alias("of"), F.inline("spans")))
-        settled.append(held.select(F.col("b").alias("doc_id"), F.inline("settled")))
-        after = scratch.hold(held.select(F.col("b").alias("doc_id"), F.inline("retry")).distinct().select("key", "doc_id", "place"))
+        found.append(held.select(F.col("b").alias("doc_id"), F.col("bh").alias("h"), F.col("a").alias("of"), F.inline("spans")))
+        more = held.select(F.col("b").alias("doc_id"), F.col("bh").alias("h"), F.inline("more")).distinct()
+        after = scratch.hold(more.select("key", "doc_id", "h", "place", "before", "after"))
         scratch.drop(rows)
         rows = after
         if rows.isEmpty():
             break
-    held = scratch.keep(reduce(DataFrame.union, found).distinct(), "passages")
-    equal = equal_passages(keys, reduce(DataFrame.union, settled), docs, scratch)
-    scratch.drop(keys)
-    # equal passages within a verified one of the same two documents are the same passage
-    within = held.select(F.col("doc_id").alias("i"), F.col("of").alias("o"), F.col("start").alias("a"), F.col("end").alias("b"))
-    more = equal.join(within, (F.col("doc_id") == F.col("i")) & (F.col("of") == F.col("o")) & (F.col("start") >= F.col("a")) & (F.col("end") <= F.col("b")), "left_anti")
-    more = scratch.keep(more, "more_passages")
-    scratch.drop(equal)
-    return held.union(more)
+    return reduce(DataFrame.union, found).distinct()
+
+
+def text_hash(text: Column) -> Column:
+    """Tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, n_words) and their passages that repeat earlier documents'."""
+    """The documents (doc_id, h, n_words), a row each, and the passages (doc_id, h, of, start, end, first_start, first_end) that repeat earlier documents'."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    windows = scratch.keep(compact_windows(docs), "windows")
-    lengths = scratch.keep(windows.select("doc_id", "n_words"), "lengths")
-    return lengths, passages(docs, scratch, windows)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.md5(text).alias("digest"), text.alias("text"))
+    windows = scratch.keep(windows_table(docs), "windows")
+    lengths = scratch.keep(windows.select("doc_id", "h", "digest", "n_words"), "lengths")
+    units = windows.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("h", "keys", "spots")))
+    units = scratch.keep(units, "units")
+    scratch.drop(windows)
+    first = scratch.keep(units.select("digest", F.col("doc_id").alias("of")), "first")
+    found = scratch.keep(passages(docs.where("doc_id IS NOT NULL"), scratch, units), "passages")
+    copies = lengths.join(first, "digest").where("of < doc_id").distinct()
+    zero, n = F.lit(0).cast("bigint"), F.col("n_words")
+    copies = copies.select("doc_id", "h", "of", zero.alias("start"), n.alias("end"), zero.alias("first_start"), n.alias("first_end"))
+    return lengths.drop("digest"), found.union(copies)
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the passages taken out of their texts; a document of which no word is left goes."""
-    spans = found.groupBy(F.col("doc_id").alias("__id")).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("__spans"))
-    joined = join_checked(docs, spans, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    the_id, the_h, the_spans = fresh(docs, "passages_id", "passages_h", "passages")
+    spans = found.groupBy(F.col("doc_id").alias(the_id), F.col("h").alias(the_h)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(the_spans))
+    joined = join_checked(docs, spans, (F.col(id_col) == F.col(the_id)) & (text_hash(F.col(text_col)) == F.col(the_h)), "left").drop(the_id, the_h)
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
@@ -449,8 +447,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aggregate(sort_array(collect_set(struct(start, end))), named_struct('to', 0L, 'n', 0L), "
         "(s, x) -> named_struct('to', greatest(s.to, x.end), 'n', s.n + greatest(0L, x.end - greatest(s.to, x.start)))).n"
     )
-    own = found.groupBy("doc_id").agg(covered.alias("n_dup_words"), F.count("*").alias("n_passages"), F.sort_array(F.collect_set("of")).alias("repeats"))
+    own = found.groupBy("doc_id", "h").agg(covered.alias("n_dup_words"), F.count("*").alias("n_passages"), F.sort_array(F.collect_set("of")).alias("repeats"))
     classes = components(found.select("of", "doc_id"))
-    out = lengths.join(own, "doc_id", "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = lengths.join(own, ["doc_id", "h"], "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_words", zero("n_dup_words"), zero("n_passages"), "repeats", F.coalesce("component", "doc_id").alias("class_id"))

@@ -123,13 +123,64 @@ def cartesian_nodes(h, least):
     return out
 
 
-def test_nodes_are_those_of_the_trees():
+def test_windows_are_those_of_the_trees():
+    """Places are the nodes of the Cartesian trees, ranges the starts of the passages that are least there."""
     rng = np.random.default_rng(2)
     sizes = [0, 3, 46, 47, 200, 500, 45, 1000]
     h = rng.integers(1, 2**63, sum(sizes), dtype=np.uint64)
     at = np.concatenate(([0], np.cumsum(sizes)))
     want = {int(at[d]) + c for d in range(len(sizes)) for c in cartesian_nodes(h[at[d] : at[d + 1]], 46)}
-    assert set(op10_substring_dedup.nodes(h, at, 46).tolist()) == want
+    c, first, last = op10_substring_dedup.compact_windows(h, at, 46)
+    assert set(c.tolist()) == want and len(c) == len(want)
+    got = {i: int(x) for x, a, b in zip(c, first, last) for i in range(a, b + 1)}
+    assert got == {i: i + int(h[i : i + 46].argmin()) for d in range(len(sizes)) for i in range(at[d], at[d + 1] - 45)}
+
+
+def test_overlaps_are_the_minima_of_passages():
+    """Every passage of 50 words has the overlap of its two minima, for every two functions, and there are no others."""
+    o = op10_substring_dedup
+    rng = random.Random(3)
+    texts = [prose(rng, n, 40).encode() for n in (20, 50, 51, 400, 0, 900)] + [b"tick " * 120]
+    words, at = chunks.word_hashes(texts)
+    sh, sh_at = chunks.shingles(words, at, o.SHINGLE, short=False)
+    text, keys, spots = o.text_windows(sh, sh_at)
+    got = list(zip(*(x.tolist() for x in o.overlaps(text, keys, spots))))
+    want = set()
+    for d in range(len(texts)):
+        own = sh[sh_at[d] : sh_at[d + 1]]
+        low = [[i + int((((own[i : i + 46] ^ o._XOR[k]) * o._MUL[k]) >> np.uint64(32)).argmin()) for i in range(len(own) - 45)] for k in range(o.HASHES)]
+        for f, g in itertools.combinations(range(o.HASHES), 2):
+            for x, y in set(zip(low[f], low[g])):
+                key = chunks.mix(chunks.mix(own[x : x + 1] + o._XOR[f]) * np.uint64(3) + chunks.mix(chunks.mix(own[y : y + 1] + o._XOR[g]) + np.uint64(f * o.HASHES + g)))
+                want.add((d, int(key[0]), x, (f, g) == (0, 1)))
+    assert set(got) == want
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9])
+def test_recall_of_near_passages(table, similarity):
+    """Of planted passages edited as far as the similarity of the shingle sets allows, nine in ten are reported. Both ends are equal, as a passage's are."""
+    rng, texts, near = random.Random(int(similarity * 100)), [], []
+    while len(near) < 150:
+        n = rng.choice((50, 60, 80, 120, 200))
+        p = prose(rng, n, 10**6)
+        w, best = p.split(), None
+        while True:
+            w[rng.randrange(5, n - 5)] = f"edit{rng.randrange(10**6)}"
+            if jaccard(shingle_set(p, 5), shingle_set(" ".join(w), 5)) < similarity:
+                break
+            best = " ".join(w)
+        if best:
+            d = len(texts) + 1
+            texts += [f"{prose(rng, 30, 10**6)} {p} {prose(rng, 30, 10**6)}", f"{prose(rng, 40, 10**6)} {best} {prose(rng, 20, 10**6)}"]
+            near.append((d, set(range(40, 40 + n))))
+    got = repeats(table(texts))
+    found = sum(len(got.get(d, set()) & s) > len(s) * 0.6 for d, s in near)
+    assert found >= 0.9 * len(near)
+    assert set(got) <= {d for d, _ in near}
 
 
 def repeats(docs, lengths=False):
@@ -224,6 +275,18 @@ def test_repeated_passages_on_odd_rows(table):
     assert left == {1: p, 2: "a\nb  c", 4: None, 5: ""}
 
 
+def test_texts_that_share_an_id(table):
+    """Each text of an id has its own passages; they are no passages of one another."""
+    rng = random.Random(8)
+    p, q, far = prose(rng, 80, 10**6), prose(rng, 60, 10**6), prose(rng, 200, 10**6)
+    rows = [(1, f"{p} x"), (2, f"a b {p} c"), (2, "short"), (2, f"{far} {q}"), (2, f"{q} y"), (3, f"z {q}"), (3, None), (4, f"z {q}"), (4, f"z {q}")]
+    docs = table(rows).withColumnsRenamed({"score": "passages_id", "label": "Passages"})
+    _, found = op10_substring_dedup.repeated_passages(docs)
+    left = op10_substring_dedup.cut(docs, found)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted([(1, f"{p} x"), (2, "a b c"), (2, "short"), (2, f"{far} {q}"), (2, f"{q} y"), (3, "z "), (3, "")])
+
+
 def test_without():
     assert op10_substring_dedup.without(b" a b  c d ", [(1, 2)]) == b" a c d "
     assert op10_substring_dedup.without(b"a b c", [(0, 2), (1, 3)]) == b""
