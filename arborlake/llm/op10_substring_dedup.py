@@ -14,7 +14,7 @@ every two functions are joined by the overlap of their ranges of starts: an over
 passages that share both minima. Overlaps of different documents meet by the two minima, so nothing is
 counted by pairs of documents.
 
-In a bucket every overlap is held against the first one (smallest doc_id, then place): from the common
+In a bucket every overlap is held against one of the first document (smallest doc_id): from the common
 shingle the passages are grown on both documents as long as eight in nine shingles match near the
 diagonal, which is where a similarity of 0.8 lies, and verified on their full shingle sets. A passage
 begins and ends with a shingle that the other one has: 49 equal words and an edited one are no passage.
@@ -23,10 +23,10 @@ A bucket's first member does not speak for all pairs, so passages of PASSAGE equ
 of their own. Such a passage of B and C holds its minimum c with WIDE words of it on one side at least. If
 both differ from the bucket's first member A, they either differ from it at the same place, in front of
 or behind c, and in the same word, or the passage is A's too. So every member goes on to the bucket of
-the words from c to the place where it leaves A, and that word, at least WIDE words long. There it is held
-against that bucket's first member, until no bucket holds two documents. Each such bucket is a longer
-equal run than the one before, so only copied text goes on, and each passage of PASSAGE equal words is
-found. The buckets of the first two functions are enough for that, as every passage has a pair of them.
+the words from c to the place where it leaves A, and that word, at least WIDE words long and within a
+passage of the overlap. There it is held against that bucket's first member, until no bucket holds two
+documents. Each such bucket is a longer equal run than the one before, of PASSAGE words at the most, so
+only copied text goes on, a bounded number of times, and each passage of PASSAGE equal words is found. The buckets of the first two functions are enough for that, as every passage has a pair of them.
 
 Equal texts are one: only the one with the smallest doc_id is looked at, the others are passages of it
 as a whole. Returned are the passages of a document that repeat an earlier document's (a smaller
@@ -46,7 +46,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import components
@@ -119,8 +119,16 @@ def text_windows(sh: np.ndarray, at: np.ndarray):
     return text[order], np.concatenate(keys)[order], np.concatenate(spots)[order]
 
 
+def pack(before, after, back, reach):
+    return before | after << 6 | back << 12 | reach << 18
+
+
 def overlaps(text: np.ndarray, keys: np.ndarray, spots: np.ndarray):
-    """The interval join within the texts: rows, keys and places of all overlaps of two functions' windows, and whether they are of the first two."""
+    """The interval join within the texts: rows, keys and places of all overlaps of two functions' windows, and their states.
+
+    A state is what a bucket's members are known to share, `before` words in front of and `after` from the minimum on,
+    and how far the overlap's passages go, `back` and `reach` words at the most. It is 0 but for the first two functions.
+    """
     place, back, more, k = spots >> 14, spots >> 8 & 63, spots >> 2 & 63, spots & 3
     first = (text << 36) + place - back
     own = []
@@ -134,12 +142,20 @@ def overlaps(text: np.ndarray, keys: np.ndarray, spots: np.ndarray):
         n = np.maximum(0, np.searchsorted(first[b], first[a] + more[a], side="right") - lo)
         i = np.repeat(a, n)
         j = b[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())] if n.sum() else i
-        out.append((text[i], mix(keys[i] * np.uint64(3) + mix(keys[j] + np.uint64(f * HASHES + g))), place[i], np.full(len(i), (f, g) == (0, 1))))
+        state = np.zeros(len(i), np.int64)
+        if (f, g) == (0, 1):
+            c = first[i] + back[i]
+            state = pack(0, SHINGLE, c - np.maximum(first[i], first[j]), np.minimum(first[i] + more[i], first[j] + more[j]) + PASSAGE - c)
+        out.append((text[i], mix(keys[i] * np.uint64(3) + mix(keys[j] + np.uint64(f * HASHES + g))), place[i], state))
     return tuple(map(np.concatenate, zip(*out)))
 
 
+def _lists(at: np.ndarray, flat: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), flat)
+
+
 def windows_table(docs: DataFrame) -> DataFrame:
-    """doc_id, h, digest, n_words and the compact windows (keys, spots) of every document. docs: doc_id, h, digest, text."""
+    """doc_id, mark, digest, n_words and the compact windows (keys, spots) of every document. docs: doc_id, mark, digest, text."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -147,19 +163,15 @@ def windows_table(docs: DataFrame) -> DataFrame:
             words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
             text, keys, spots = text_windows(sh, sh_at)
-            offsets = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int64, casting="unsafe"))) for x in (keys, spots)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "h", "digest", "n_words", "keys", "spots"])
+            offsets = np.searchsorted(text, np.arange(len(texts) + 1))
+            lists = [_lists(offsets, pa.array(x.astype(np.int64, casting="unsafe"))) for x in (keys, spots)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(at), pa.int64()), *lists], ["doc_id", "mark", "digest", "n_words", "keys", "spots"])
 
-    return small_batches(docs.select("doc_id", "h", "digest", "text")).mapInArrow(run, f"doc_id {id_type}, h bigint, digest string, n_words bigint, keys array<bigint>, spots array<bigint>")
+    return small_batches(docs.select("doc_id", "mark", "digest", "text")).mapInArrow(run, f"doc_id {id_type}, mark bigint, digest string, n_words bigint, keys array<bigint>, spots array<bigint>")
 
 
 def overlaps_table(units: DataFrame) -> DataFrame:
-    """key, doc_id, h, place, before and after of all overlaps. units: doc_id, h, keys, spots.
-
-    before and after are the words in front of and from the minimum on that a bucket's members are known to share;
-    after is 0 in buckets from which nothing goes on.
-    """
+    """key, doc_id, mark and spots (place << 24 | state) of all overlaps, a row for each key of a text. units: doc_id, mark, keys, spots."""
     id_type = units.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -169,16 +181,18 @@ def overlaps_table(units: DataFrame) -> DataFrame:
             keys, spots = (batch.column(i) for i in (2, 3))
             n = keys.value_lengths().to_numpy(zero_copy_only=False)
             flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (keys, spots)]
-            text, key, place, front = overlaps(np.repeat(np.arange(batch.num_rows), n), flat[0].astype(np.uint64, casting="unsafe"), flat[1])
-            for i in range(0, len(text), 100_000):
-                part = slice(i, i + 100_000)
-                ids = pa.array(text[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[part].astype(np.int64, casting="unsafe")), batch.column(0).take(ids), batch.column(1).take(ids), pa.array(place[part].astype(np.int32)), pa.array(np.zeros(len(ids), np.int16)), pa.array(np.where(front[part], SHINGLE, 0).astype(np.int16))],
-                    ["key", "doc_id", "h", "place", "before", "after"],
-                )
+            text, key, place, state = overlaps(np.repeat(np.arange(batch.num_rows), n), flat[0].astype(np.uint64, casting="unsafe"), flat[1])
+            order = np.lexsort((place, key, text))
+            text, key, spot = text[order], key[order].astype(np.int64, casting="unsafe"), (place << 24 | state)[order]
+            new = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), (key[1:] != key[:-1]) | (text[1:] != text[:-1]))))
+            ends = np.append(new[1:], len(key))
+            for i in range(0, len(new), 50_000):
+                at, to = new[i : i + 50_000], ends[i : i + 50_000]
+                ids = pa.array(text[at])
+                lists = _lists(np.append(at, to[-1]) - at[0], pa.array(spot[at[0] : to[-1]]))
+                yield pa.RecordBatch.from_arrays([pa.array(key[at]), batch.column(0).take(ids), batch.column(1).take(ids), lists], ["key", "doc_id", "mark", "spots"])
 
-    return small_batches(units.select("doc_id", "h", "keys", "spots")).mapInArrow(run, f"key bigint, doc_id {id_type}, h bigint, place int, before smallint, after smallint")
+    return small_batches(units.select("doc_id", "mark", "keys", "spots")).mapInArrow(run, f"key bigint, doc_id {id_type}, mark bigint, spots array<bigint>")
 
 
 def _longest(match: np.ndarray, c: int, cost: int) -> tuple[int, int]:
@@ -214,13 +228,13 @@ def _near(x: np.ndarray, y: np.ndarray, x_lo: int, x_hi: int, shift: int) -> np.
 
 def grow(sa: np.ndarray, sb: np.ndarray, ca: int, cb: int, cost: int) -> tuple[int, int, int, int]:
     """The ranges of shingles on both documents around a common one."""
-    half = 512
+    half = 96
     while True:
         out, cut = [], False
         for x, y, c, shift in ((sa, sb, ca, cb - ca), (sb, sa, cb, ca - cb)):
             lo, hi = max(0, c - half), min(len(x), c + half + 1)
             a, b = _longest(_near(x, y, lo, hi, shift), c - lo, cost)
-            cut |= (a < 64 and lo > 0) or (b > hi - lo - 64 and hi < len(x))
+            cut |= (a < 32 and lo > 0) or (b > hi - lo - 32 and hi < len(x))
             out += [lo + a, lo + b]
         if not cut:
             return tuple(out)
@@ -255,127 +269,162 @@ def passage(sa, sb, ca: int, cb: int, left: int, right: int, similarity: int):
     return (ca - left, ca + end, cb - left, cb + end) if left + right >= PASSAGE else None
 
 
-def goes_on(words: np.ndarray, c: int, left: int, right: int, before: int, after: int) -> list[tuple[int, int, int]]:
-    """(key, before, after) of the buckets that a member goes on to, which has `left` words in front of c and `right` from c on in common with its bucket's first member.
+def goes_on(words: np.ndarray, c: int, left: int, right: int, state: int) -> list[tuple[int, int]]:
+    """(key, state) of the buckets that a member goes on to, which has `left` words in front of c and `right` from c on in common with its bucket's first member.
 
-    A run that leaves the first member PASSAGE words away or more holds a nearer minimum, which goes on instead.
+    Only runs that lie in one passage of the overlap: others have another minimum, which goes on instead.
     """
+    before, after, back, reach = (state >> k & 63 for k in (0, 6, 12, 18))
     if before + after >= WIDE:
-        states = [(before, right + 1, right < PASSAGE), (left + 1, after, left < PASSAGE)]
+        runs = [(before, right + 1), (left + 1, after)]
     else:
-        back = WIDE - SHINGLE
-        states = [(0, WIDE, True)] if right < WIDE else [(0, right + 1, right < PASSAGE), (left + 1, WIDE, left < PASSAGE)]
-        states += [(back, SHINGLE, True)] if left < back else [(left + 1, SHINGLE, left < PASSAGE), (back, right + 1, right < PASSAGE)]
+        most = WIDE - SHINGLE
+        runs = [(0, WIDE)] if right < WIDE else [(0, right + 1), (left + 1, WIDE)]
+        runs += [(most, SHINGLE)] if left < most else [(left + 1, SHINGLE), (most, right + 1)]
     out = []
-    for x, y, near in states:
-        if near and c >= x and c + y <= len(words):
+    for x, y in runs:
+        if x <= back and y <= reach and x + y <= PASSAGE:
             run = (words[c - x : c + y] * _RUN[: x + y]).sum(dtype=np.uint64, keepdims=True)
-            out.append((int(mix(run + mix(np.array([x * 1000 + y], np.uint64))).astype(np.int64, casting="unsafe")[0]), x, y))
+            key = mix(run + mix(np.array([x * 1000 + y], np.uint64))).astype(np.int64, casting="unsafe")
+            out.append((int(key[0]), pack(x, y, back, reach)))
     return out
 
 
 def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY, whole: bool = True):
     """Verified passages (start, end, start in the first document, end) in words, and the buckets that the members go on to, with their places.
 
-    anchors: place in the first document, place, before and after. whole: else only what goes on is wanted.
+    anchors: place in the first document, place and state. whole: else only what goes on is wanted.
     """
-    spans, more, equal = [], [], []
-    for ca, cb, before, after in sorted(anchors, key=lambda x: (x[1], x[0])):
+    spans, more, equal, lo, hi = [], [], [], 0, 0  # lo, hi: the last words that equal runs cover
+    failed = set()
+    for ca, cb, state in sorted(anchors, key=lambda x: (x[1], x[0])):
         if ca >= len(sa) or cb >= len(sb) or sa[ca] != sb[cb]:
             continue
-        run = next(((b, end) for b, end, a in equal if a - b == ca - cb and b <= cb < end), None)
-        if run:
-            left, right = cb - run[0], run[1] - cb
-        else:
-            left = _same(wa[:ca][::-1], wb[:cb][::-1])
-            right = _same(wa[ca:], wb[cb:])
-            if left + right >= PASSAGE:
-                equal.append((cb - left, cb + right, ca - left))
-        if after:
-            more += [(*x, cb) for x in goes_on(wb, cb, left, right, before, after)]
-        if not whole or run or any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans):
+        known = any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans[-8:])
+        if not state and (known or not whole):
+            continue
+        left = _same(wa[max(0, ca - PASSAGE) : ca][::-1], wb[max(0, cb - PASSAGE) : cb][::-1])
+        right = _same(wa[ca : ca + PASSAGE], wb[cb : cb + PASSAGE])
+        if state:
+            more += [(*x, cb) for x in goes_on(wb, cb, left, right, state)]
+        if not whole or left + right >= PASSAGE and lo <= cb - left and cb + right <= hi:
+            continue
+        if left + right >= PASSAGE:
+            left, right = _same(wa[:ca][::-1], wb[:cb][::-1]), _same(wa[ca:], wb[cb:])
+            equal.append((cb - left, cb + right, ca - left))
+            lo, hi = (lo, max(hi, cb + right)) if lo <= cb - left <= hi else (cb - left, cb + right)
+        run = (cb - left, cb + right, ca - left)
+        if known or run in failed:
             continue
         found = passage(sa, sb, ca, cb, left, right, similarity)
         if found:
             a0, a1, b0, b1 = found
             spans.append((b0, b1 + SHINGLE - 1, a0, a1 + SHINGLE - 1))
+        else:
+            failed.add(run)  # another shingle of the same run would grow alike
     if whole:
-        spans += [(b, end, a, a + end - b) for b, end, a in equal if not any(s[0] <= b and end <= s[1] for s in spans)]
+        spans.sort()
+        reach, k, inner = 0, 0, []
+        for b, end, a in sorted(equal):  # equal runs within a verified passage are the same passage
+            while k < len(spans) and spans[k][0] <= b:
+                reach, k = max(reach, spans[k][1]), k + 1
+            if end > reach:
+                inner.append((b, end, a, a + end - b))
+        spans += inner
     return spans, more
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs: a, ah, b, bh and anchors. Returns a, b, bh, spans and more.
+    """pairs: a, am, b, bm and anchors. Returns a, b, bm, spans and more.
 
     A first document's text is sent once for every SLICE of its partners.
     """
-    ids = pairs.select(F.inline(F.array(*(F.struct(F.col(i).alias("doc_id"), F.col(f"{i}h").alias("h")) for i in "ab")))).distinct()
-    texts = docs.select("doc_id", "h", "text")
+    ids = pairs.select(F.inline(F.array(*(F.struct(F.col(i).alias("doc_id"), F.col(f"{i}m").alias("mark")) for i in "ab")))).distinct()
+    texts = docs.select("doc_id", "mark", "text")
     if ids.limit(ID_ROWS + 1).count() <= ID_ROWS:
-        texts = texts.join(F.broadcast(ids), ["doc_id", "h"], "left_semi")
-    slices = pairs.groupBy("a", "ah").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    slice_ = F.pmod(F.xxhash64("b", "bh"), F.col("slices")).cast("int").alias("slice")
-    own = pairs.join(slices, ["a", "ah"]).select("a", "ah", slice_, "b", "bh", "anchors")
-    own = own.join(texts.withColumnsRenamed({"doc_id": "b", "h": "bh"}), ["b", "bh"]).select("a", "ah", "slice", "b", "bh", "anchors", "text")
-    first = slices.select("a", "ah", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    first = first.join(texts.withColumnsRenamed({"doc_id": "a", "h": "ah"}), ["a", "ah"])
-    both = own.unionByName(first, allowMissingColumns=True).repartition("a", "ah", "slice").sortWithinPartitions("a", "ah", "slice", F.asc_nulls_first("b"))
+        texts = texts.join(F.broadcast(ids), ["doc_id", "mark"], "left_semi")
+    slices = pairs.groupBy("a", "am").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
+    slice_ = F.pmod(F.xxhash64("b", "bm"), F.col("slices")).cast("int").alias("slice")
+    own = pairs.join(slices, ["a", "am"]).select("a", "am", slice_, "b", "bm", "anchors")
+    own = own.join(texts.withColumnsRenamed({"doc_id": "b", "mark": "bm"}), ["b", "bm"]).select("a", "am", "slice", "b", "bm", "anchors", "text")
+    first = slices.select("a", "am", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    first = first.join(texts.withColumnsRenamed({"doc_id": "a", "mark": "am"}), ["a", "am"])
+    both = own.unionByName(first, allowMissingColumns=True).repartition("a", "am", "slice").sortWithinPartitions("a", "am", "slice", F.asc_nulls_first("b"))
     id_type = pairs.schema["a"].dataType.simpleString()
-    span = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "end", "first_start", "first_end")]))
-    on = pa.list_(pa.struct([("key", pa.int64()), ("before", pa.int16()), ("after", pa.int16()), ("place", pa.int32())]))
+
+    def table_of(rows, names):
+        at = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, len(names))
+        return _lists(at, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(len(names))], names))
 
     def run(batches):
         at_first, wa, sa = None, None, None
         for batch, texts in text_chunks(batches, "text"):
             words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
-            a, ah, b = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            a, am, b = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            # the anchors of all rows: a place of the first document with all spots of its partner
+            each = batch.column(5).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            lead, spots = batch.column(5).flatten().flatten()
+            n = spots.value_lengths().to_numpy(zero_copy_only=False)
+            anchor_at = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(each)))]
+            lead = np.repeat(lead.to_numpy(zero_copy_only=False), n).tolist()
+            spots = spots.flatten().to_numpy(zero_copy_only=False)
+            place, state = (spots >> 24).tolist(), (spots & 0xFFFFFF).tolist()
             keep, spans, more = [], [], []
-            for k, anchors in enumerate(batch.column(5).to_pylist()):
+            for k in range(batch.num_rows):
                 w, s = words[at[k] : at[k + 1]], sh[sh_at[k] : sh_at[k + 1]]
                 if b[k] is None:
-                    at_first, wa, sa = (a[k], ah[k]), w.copy(), s.copy()
-                elif at_first == (a[k], ah[k]):
-                    found, on_ = hold_against(wa, sa, w, s, [(n["lead"], n["place"], n["before"], n["after"]) for n in anchors], whole=a[k] != b[k])
+                    at_first, wa, sa = (a[k], am[k]), w.copy(), s.copy()
+                elif at_first == (a[k], am[k]):
+                    own = slice(anchor_at[k], anchor_at[k + 1])
+                    found, on = hold_against(wa, sa, w, s, set(zip(lead[own], place[own], state[own])), whole=a[k] != b[k])
                     keep.append(k)
-                    spans.append([dict(zip(("start", "end", "first_start", "first_end"), x)) for x in found])
-                    more.append([dict(zip(("key", "before", "after", "place"), x)) for x in on_])
+                    spans.append(found)
+                    more.append(on)
             take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 3, 4)), pa.array(spans, span), pa.array(more, on)], ["a", "b", "bh", "spans", "more"])
+            out = [table_of(spans, ["start", "end", "first_start", "first_end"]), table_of(more, ["key", "state", "place"])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in (0, 3, 4)), *out], ["a", "b", "bm", "spans", "more"])
 
-    schema = f"a {id_type}, b {id_type}, bh bigint, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, more array<struct<key:bigint,before:smallint,after:smallint,place:int>>"
+    schema = f"a {id_type}, b {id_type}, bm bigint, spans array<struct<start:bigint,end:bigint,first_start:bigint,first_end:bigint>>, more array<struct<key:bigint,state:bigint,place:bigint>>"
     return small_batches(both).mapInArrow(run, schema)
 
 
 def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Holds every member against its bucket's first one. rows: key, doc_id, h, place, before, after."""
-    lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "h", "place")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
-    pairs = rows.join(lead, "key").where("doc_id > lead.doc_id OR after > 0 AND (h <> lead.h OR place > lead.place)")
-    pairs = pairs.groupBy(F.col("lead.doc_id").alias("a"), F.col("lead.h").alias("ah"), F.col("doc_id").alias("b"), F.col("h").alias("bh"))
-    pairs = scratch.keep(pairs.agg(F.collect_set(F.struct(F.col("lead.place").alias("lead"), "place", "before", "after")).alias("anchors")), "pairs")
+    """Holds every member against its bucket's first document. rows: key, doc_id, mark, spots.
+
+    Of the first document's places any may stand for it. One picked by hash is seldom the first of many, as
+    in periodic text, where the places behind it would leave it one period further on in each round.
+    """
+    lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "spots")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
+    place = F.shiftright(F.expr("get(lead.spots, cast(pmod(xxhash64(key), size(lead.spots)) as int))"), 24).cast("int")
+    lead = scratch.hold(lead.select("key", F.col("lead.doc_id").alias("a"), F.col("lead.mark").alias("am"), place.alias("lead")))
+    pairs = rows.join(lead, "key").where("doc_id > a OR mark <> am OR size(spots) > 1")
+    pairs = pairs.groupBy("a", "am", F.col("doc_id").alias("b"), F.col("mark").alias("bm")).agg(F.collect_list(F.struct("lead", "spots")).alias("anchors"))
+    pairs = scratch.hold(pairs)
     held = scratch.keep(_verify(pairs, docs), "held")
-    scratch.drop(pairs)
+    scratch.drop(pairs, lead)
     return held
 
 
-def passages(docs: DataFrame, scratch: Scratch, units: DataFrame) -> DataFrame:
-    """doc_id, h, of (the earlier document), start, end, first_start, first_end of every verified passage of a unit, in words.
+def passages(docs: DataFrame, scratch: Scratch, units: DataFrame, windows: DataFrame) -> DataFrame:
+    """doc_id, mark, of (the earlier document), start, end, first_start, first_end of every verified passage of a unit, in words.
 
-    docs: doc_id, h, text. units: doc_id, h, keys, spots of every text that is looked at; it is dropped once its
-    overlaps are written.
+    docs: doc_id, mark, text. units: doc_id, mark, keys, spots of every text that is looked at, taken
+    from windows, which is dropped once the overlaps are written.
     """
-    nodes = units.select("doc_id", "h", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("spots").alias("spot"))))
+    nodes = units.select("doc_id", "mark", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("spots").alias("spot"))))
     shared = nodes.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    own = nodes.join(shared, "key").groupBy("doc_id", "h").agg(F.collect_list("key").alias("keys"), F.collect_list("spot").alias("spots"))
+    shared = scratch.hold(shared)  # a stage of its own, so that the join can split hot keys
+    own = nodes.join(shared, "key").groupBy("doc_id", "mark").agg(F.collect_list("key").alias("keys"), F.collect_list("spot").alias("spots"))
     rows = scratch.keep(overlaps_table(own), "overlaps")
-    del nodes, shared, own
-    scratch.drop(units)
+    scratch.drop(windows, shared)
     found = []
     while True:
         held = _round(rows, docs, scratch)
-        found.append(held.select(F.col("b").alias("doc_id"), F.col("bh").alias("h"), F.col("a").alias("of"), F.inline("spans")))
-        more = held.select(F.col("b").alias("doc_id"), F.col("bh").alias("h"), F.inline("more")).distinct()
-        after = scratch.hold(more.select("key", "doc_id", "h", "place", "before", "after"))
+        found.append(held.select(F.col("b").alias("doc_id"), F.col("bm").alias("mark"), F.col("a").alias("of"), F.inline("spans")))
+        more = held.select(F.col("b").alias("doc_id"), F.col("bm").alias("mark"), F.inline("more"))
+        after = scratch.hold(more.groupBy("key", "doc_id", "mark").agg(F.sort_array(F.collect_set(F.col("place") * (1 << 24) + F.col("state"))).alias("spots")))
         scratch.drop(rows)
         rows = after
         if rows.isEmpty():
@@ -383,34 +432,42 @@ def passages(docs: DataFrame, scratch: Scratch, units: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
-def text_hash(text: Column) -> Column:
-    """Tells the texts of one id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _marked(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, mark and text. The mark tells the texts of one id apart; it is 0 if all rows of the id have the same text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    several = docs.groupBy("doc_id").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low < high").select("doc_id", F.lit(True).alias("several"))
+    several = scratch.keep(several, "several")
+    if several.isEmpty():
+        return docs.withColumn("mark", F.lit(0).cast("bigint"))
+    return join_checked(docs, several, "doc_id", "left").select("doc_id", F.when(F.col("several"), F.col("mark")).otherwise(F.lit(0)).alias("mark"), "text")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The documents (doc_id, h, n_words), a row each, and the passages (doc_id, h, of, start, end, first_start, first_end) that repeat earlier documents'."""
+    """The documents (doc_id, mark, n_words), a row each, and the passages (doc_id, mark, of, start, end, first_start, first_end) that repeat earlier documents'.
+
+    mark is 0, or a hash of the text if the id has several texts.
+    """
     scratch = Scratch(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("h"), F.md5(text).alias("digest"), text.alias("text"))
-    windows = scratch.keep(windows_table(docs), "windows")
-    lengths = scratch.keep(windows.select("doc_id", "h", "digest", "n_words"), "lengths")
-    units = windows.where("doc_id IS NOT NULL AND size(keys) > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("h", "keys", "spots")))
-    units = scratch.keep(units, "units")
-    scratch.drop(windows)
-    first = scratch.keep(units.select("digest", F.col("doc_id").alias("of")), "first")
-    found = scratch.keep(passages(docs.where("doc_id IS NOT NULL"), scratch, units), "passages")
-    copies = lengths.join(first, "digest").where("of < doc_id").distinct()
+    docs = _marked(docs, scratch, id_col, text_col)
+    windows = scratch.keep(windows_table(docs.withColumn("digest", F.md5("text"))), "windows")
+    lengths = scratch.keep(windows.select("doc_id", "mark", "digest", "n_words"), "lengths")
+    first = lengths.groupBy("digest").agg(F.min("doc_id").alias("of"))
+    copies = scratch.keep(lengths.join(first, "digest").where("of < doc_id").select("doc_id", "mark", "of", "n_words").distinct(), "copies")
+    units = windows.where("doc_id IS NOT NULL AND size(keys) > 0").select("doc_id", "mark", "keys", "spots")
+    units = join_checked(units, copies.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti", ID_ROWS)
+    found = scratch.keep(passages(docs.where("doc_id IS NOT NULL"), scratch, units, windows), "passages")
     zero, n = F.lit(0).cast("bigint"), F.col("n_words")
-    copies = copies.select("doc_id", "h", "of", zero.alias("start"), n.alias("end"), zero.alias("first_start"), n.alias("first_end"))
-    return lengths.drop("digest"), found.union(copies)
+    whole = copies.where(n >= PASSAGE).select("doc_id", "mark", "of", zero.alias("start"), n.alias("end"), zero.alias("first_start"), n.alias("first_end"))
+    return lengths.drop("digest"), found.union(whole)
 
 
 def cut(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, with the passages taken out of their texts; a document of which no word is left goes."""
-    the_id, the_h, the_spans = fresh(docs, "passages_id", "passages_h", "passages")
-    spans = found.groupBy(F.col("doc_id").alias(the_id), F.col("h").alias(the_h)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(the_spans))
-    joined = join_checked(docs, spans, (F.col(id_col) == F.col(the_id)) & (text_hash(F.col(text_col)) == F.col(the_h)), "left").drop(the_id, the_h)
+    the_id, the_mark, the_spans = fresh(docs, "passages_id", "passages_mark", "passages")
+    spans = found.groupBy(F.col("doc_id").alias(the_id), F.col("mark").alias(the_mark)).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(the_spans))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    joined = join_checked(docs, spans, (F.col(id_col) == F.col(the_id)) & F.col(the_mark).isin(F.lit(0), F.xxhash64(text)), "left").drop(the_id, the_mark)
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches):
@@ -447,8 +504,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         "aggregate(sort_array(collect_set(struct(start, end))), named_struct('to', 0L, 'n', 0L), "
         "(s, x) -> named_struct('to', greatest(s.to, x.end), 'n', s.n + greatest(0L, x.end - greatest(s.to, x.start)))).n"
     )
-    own = found.groupBy("doc_id", "h").agg(covered.alias("n_dup_words"), F.count("*").alias("n_passages"), F.sort_array(F.collect_set("of")).alias("repeats"))
+    own = found.groupBy("doc_id", "mark").agg(covered.alias("n_dup_words"), F.count("*").alias("n_passages"), F.sort_array(F.collect_set("of")).alias("repeats"))
     classes = components(found.select("of", "doc_id"))
-    out = lengths.join(own, ["doc_id", "h"], "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = lengths.join(own, ["doc_id", "mark"], "left").join(classes.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("doc_id", "n_words", zero("n_dup_words"), zero("n_passages"), "repeats", F.coalesce("component", "doc_id").alias("class_id"))

@@ -152,7 +152,9 @@ def test_overlaps_are_the_minima_of_passages():
         for f, g in itertools.combinations(range(o.HASHES), 2):
             for x, y in set(zip(low[f], low[g])):
                 key = chunks.mix(chunks.mix(own[x : x + 1] + o._XOR[f]) * np.uint64(3) + chunks.mix(chunks.mix(own[y : y + 1] + o._XOR[g]) + np.uint64(f * o.HASHES + g)))
-                want.add((d, int(key[0]), x, (f, g) == (0, 1)))
+                i = [i for i in range(len(low[f])) if (low[f][i], low[g][i]) == (x, y)]
+                state = o.pack(0, o.SHINGLE, x - i[0], i[-1] + o.PASSAGE - x) if (f, g) == (0, 1) else 0
+                want.add((d, int(key[0]), x, state))
     assert set(got) == want
 
 
