@@ -1,12 +1,14 @@
 """License scans: a trained paragraph classifier in DataFrame functions, confirmed by templates.
 
-Paragraphs are lines. Those with a cue word, and those that share enough word pairs with a template to be
-confirmed whatever their spelling, are candidates; no other line can be confirmed. Candidates are scored by a sparse logistic regression over their
-distinct word 1-, 2- and 3-grams, with one class for each licence family and one for unknown. The
-probabilities are calibrated by a temperature on held-out variants, and a family stands only if its
-probability reaches the threshold that lets at most one held-out negative in a hundred pass. A
-prediction is confirmed if the paragraph shares enough word pairs with a template of that family;
-otherwise it is unknown.
+Paragraphs are lines. Lines with a word that begins with one of CUES are candidates; every eight words
+in a row of every template have such a word, and no other line can be confirmed. Candidates are scored
+by a sparse logistic regression over their distinct word 1-, 2- and 3-grams, with one class for each
+licence family and one for unknown. The probabilities are calibrated by a temperature, and a family
+stands only if its probability reaches a threshold; both are taken from notices that the model has not
+seen (HELD, and HELD_OTHERS, licences of families that are not in the table): the threshold is the one
+that at most one in a hundred of HELD_OTHERS passes. A prediction is confirmed if the paragraph shares
+enough word pairs with a template of that family, has a word that names the family where the template
+has one (NAMES), and no word that names another variant (VARIANTS); otherwise it is unknown.
 
 Equal paragraphs are scored once: paragraphs are grouped by their text before they are cut into
 n-grams, and verdicts are joined back by the paragraph's digest, so a licence line on a third of all
@@ -89,6 +91,7 @@ TEMPLATES = {
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "proprietary": [
         "All rights reserved. No part of this work may be reproduced without the prior written permission of the copyright holder.",
@@ -119,12 +122,79 @@ NEGATIVES = [
     "The terms of the contract were published by the foundation last year.",
     "Version 2.0 of the game was released with better graphics.",
 ]
-#: A paragraph with one of these is a candidate.
-CUES = ["licen", "copyright", "warrant", "redistribut", "permission", "public domain", "rights reserved", "proprietary", "creative commons", "cc by", "cc0", "spdx", "gpl"]
+#: Other licences, which the model learns as unknown.
+OTHERS = [
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "This program is made available under the terms of the Common Development and Distribution License.",
+    "Released under the terms of the Artistic License 2.0.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "SPDX-License-Identifier: Zlib",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Licensed under the Microsoft Public License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 3.0 Unported License.",
+    "SPDX-License-Identifier: CC-BY-NC-ND-3.0",
+    "Licensed under the Business Source License 1.1.",
+    "This database is made available under the Open Database License.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it.",
+    "Licensed under the Academic Free License version 3.0.",
+    "Released under the WTFPL, version 2.",
+]
+#: Notices that the model does not learn from: of its families, in other words, and of other licences.
+HELD = {
+    "agpl": ["This server is distributed under the GNU Affero General Public License version 3 or later.", "Licensed under the GNU Affero General Public License."],
+    "apache": ["This project is licensed under the Apache License, Version 2.0.", "Distributed under the terms of the Apache License 2.0."],
+    "bsd": ["This package is released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms are permitted provided that the above copyright notice is retained and the following conditions are met."],
+    "cc-by": ["This article is licensed under a Creative Commons Attribution 4.0 International License.", "Text available under CC BY 4.0."],
+    "cc-by-nc": ["Photos licensed under CC BY-NC 4.0.", "This chapter is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "cc-by-sa": ["Content is licensed under CC BY-SA 4.0.", "The text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "cc0": ["Data released under CC0 1.0 Universal.", "To the extent possible under law, the curators have waived all copyright and related or neighboring rights to this dataset."],
+    "gpl": ["This library is licensed under the GNU General Public License, version 2.", "You can redistribute it under the terms of the GNU General Public License as published by the Free Software Foundation."],
+    "isc": ["This module is released under the ISC License.", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted."],
+    "lgpl": ["This code is licensed under the GNU Lesser General Public License, version 3.", "Redistribute it under the terms of the GNU Lesser General Public License."],
+    "mit": ["The project is released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software."],
+    "mpl": ["This file is subject to the terms of the Mozilla Public License, v. 2.0.", "Code licensed under the Mozilla Public License, version 2.0."],
+    "proprietary": ["All rights reserved. No part of this book may be reproduced without the written permission of the copyright holder.", "This document is proprietary and confidential; unauthorized copying is strictly prohibited."],
+    "unlicense": ["This is free and unencumbered code released into the public domain.", "Released into the public domain under the Unlicense by its author."],
+}
+HELD_OTHERS = [
+    "Licensed under the Elastic License 2.0.",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "You may not use this work except in compliance with the Licence.",
+    "SPDX-License-Identifier: BSL-1.0",
+    "SPDX-License-Identifier: EUPL-1.2",
+    "CC BY-ND 4.0",
+    "Licensed under CC BY-NC-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "Released under the Server Side Public License, version 1.",
+    "Licensed under the PostgreSQL License.",
+    "Distributed under the terms of the Open Software License version 3.0.",
+    "This software is governed by the CeCILL license under French law.",
+    "Licensed under the Universal Permissive License v 1.0.",
+    "This material is available under the Open Government Licence v3.0.",
+    "Please read the license agreement before you install the program.",
+    "The copyright of the photographs remains with the families of the artists.",
+    "Driving without a valid license can lead to a fine of two hundred dollars.",
+    "The bar lost its licence after the inspection.",
+]
+#: A line with a word that begins so is a candidate.
+CUES = [
+    "licen", "sublicen", "unlicen", "copyright", "warrant", "redistribut", "permission", "permitted", "permissive", "domain", "reserved", "proprietary", "commons", "cc by", "cc0", "spdx", "gpl", "agpl", "lgpl", "gnu", "apache", "bsd",
+    "mozilla", "mpl", "isc", "foundation", "disclaimer", "compliance", "granted", "hereby", "unencumbered", "waived", "documentation", "restriction", "substantial", "confidential", "prohibited", "reproduced", "modification", "distribute", "universal",
+    "applicable law", "conditions", "binary forms", "extent possible", "neighboring rights", "the terms", "any purpose", "person obtaining", "copy of this software", "all copies", "source code form", "may not use",
+]
+#: Words that name a family, and words that name a variant of one.
+NAMES = {
+    "agpl": ["affero", "agpl"], "apache": ["apache"], "bsd": ["bsd"], "cc-by": ["cc", "commons"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"], "cc0": ["cc0"], "gpl": ["gnu", "gpl"],
+    "isc": ["isc"], "lgpl": ["lesser", "lgpl"], "mit": ["mit"], "mpl": ["mozilla", "mpl"], "proprietary": [], "unlicense": ["unlicense", "unencumbered"],
+}
+VARIANTS = ["affero", "agpl", "lesser", "lgpl", "nd", "nc", "sa", "noderivatives", "noncommercial", "sharealike", "eupl", "elastic"]
 
 FAMILIES = sorted(TEMPLATES)
 #: A confirmed paragraph shares so many word pairs, and so large a part of the smaller side's, with a template.
 LEAST_PAIRS, LEAST_SHARE = 2, 0.6
+#: One in so many of the held-out other licences may pass the threshold.
+HELD_PASS = 100
 
 
 def grams(text: str, sizes=(1, 2, 3)) -> set[str]:
@@ -144,7 +214,7 @@ def _variants(rng: random.Random) -> list[tuple[str, str]]:
             w = [x for x in w if rng.random() > 0.04]
             around = [rng.sample(fill, rng.randrange(0, 9)) for _ in range(2)]
             out.append((" ".join(around[0] + w + around[1]), family))
-    for text in NEGATIVES * 12:
+    for text in (NEGATIVES + OTHERS) * 12:
         w = text.split()
         out.append((" ".join(x for x in w if rng.random() > 0.1), "unknown"))
     for _ in range(200):
@@ -158,8 +228,6 @@ def model() -> dict:
     rng = random.Random(6)
     classes = [*FAMILIES, "unknown"]
     rows = _variants(rng)
-    rng.shuffle(rows)
-    held, rows = rows[: len(rows) // 4], rows[len(rows) // 4 :]
     own = [grams(t) for t, _ in rows]
     count: dict[str, int] = {}
     for g in own:
@@ -187,18 +255,20 @@ def model() -> dict:
         w = np.sign(w) * np.maximum(0, np.abs(w) - 4e-4)  # soft threshold: sparse weights
     some = np.abs(w).sum(1) > 0
     whole, bias = np.round(w[some] * 1e6).astype(int), np.round(b * 1e6).astype(int)
-    z = (matrix([grams(t) for t, _ in held]) @ w + b)[:, :]
+    held = [(t, f) for f, texts in HELD.items() for t in texts] + [(t, "unknown") for t in HELD_OTHERS]
+    z = matrix([grams(t) for t, _ in held]) @ w + b
     yy = np.array([classes.index(c) for _, c in held])
 
     def probs(t):
         p = np.exp((z - z.max(1, keepdims=True)) / t)
         return p / p.sum(1, keepdims=True)
 
-    temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0), key=lambda t: -np.log(probs(t)[np.arange(len(yy)), yy] + 1e-12).mean())
-    best = probs(temperature)[:, :-1].max(1)
-    threshold = max(0.5, float(np.quantile(best[yy == len(FAMILIES)], 0.99)))
+    temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=lambda t: -np.log(probs(t)[np.arange(len(yy)), yy] + 1e-12).mean())
+    # above a share of 1 / HELD_PASS of the held-out others' best probabilities
+    others = np.sort(probs(temperature)[yy == len(FAMILIES), :-1].max(1))[::-1]
+    threshold = float(others[len(others) // HELD_PASS]) + 1e-6
     names = [g for g, s in zip(vocab, some) if s]
-    return {"weights": dict(zip(names, whole.tolist())), "bias": bias.tolist(), "temperature": temperature, "threshold": round(min(threshold, 0.9), 3)}
+    return {"weights": dict(zip(names, whole.tolist())), "bias": bias.tolist(), "temperature": temperature, "threshold": round(threshold, 6)}
 
 
 def template_pairs() -> list[tuple[str, str, int, int]]:
@@ -220,33 +290,21 @@ def _grams_column(sizes) -> str:
     return f"array_distinct(concat({parts}))"
 
 
-def _any_of(words: dict[str, dict | None]) -> str:
-    """A pattern of these words, by common beginnings; a value is what follows a word, if anything."""
-    tree: dict = {}
-    for w, after in words.items():
-        at = tree
-        for ch in w:
-            at = at.setdefault(ch, {})
-        at[""] = "" if after is None else rf"[^a-z0-9]+(?:{_any_of(after)})"
-
-    def pattern(at: dict) -> str:
-        return "|".join(x if not ch else ch + (y if len(at[ch]) == 1 else f"(?:{y})") for ch in sorted(at, reverse=True) for x, y in [(at[ch] if not ch else "", pattern(at[ch]) if ch else "")])
-
-    return pattern(tree)
+def template_rules() -> list[tuple[int, list[str], list[str]]]:
+    """(number of the template, words of which a confirmed paragraph has one, words of which it has none)."""
+    out = []
+    for i, (family, text) in enumerate((f, t) for f, texts in TEMPLATES.items() for t in texts):
+        own = grams(text, (1,))
+        out.append((i, [n for n in NAMES[family] if n in own], [v for v in VARIANTS if v not in own]))
+    return out
 
 
-@lru_cache
-def pair_pattern() -> str:
-    """Matches lower-cased text that holds a word pair of a template, whatever stands between the words."""
-    pairs: dict[str, dict] = {}
-    for pair, *_ in template_pairs():
-        a, b = pair.split()
-        pairs.setdefault(a, {})[b] = None
-    return rf"(?<![a-z0-9])(?:{_any_of(pairs)})(?![a-z0-9])"
+#: Matches lower-cased lines with a word that begins with a cue; the words of one may be parted by anything.
+CUE_PATTERN = "(^|[^a-z0-9])(" + "|".join(c.replace(" ", "[^a-z0-9]+") for c in CUES) + ")"
 
 
 def classify(paragraphs: DataFrame) -> DataFrame:
-    """key, family of every distinct paragraph (key, para) that has a cue or shares enough pairs with a template; family is null unless the predicted one is confirmed."""
+    """key, family of every distinct paragraph (key, para); family is null unless the predicted one is confirmed."""
     spark, m = paragraphs.sparkSession, model()
     n = len(FAMILIES) + 1
     weights = fixed_table(spark, [{"gram": g, "w": w} for g, w in m["weights"].items()], "gram string, w array<bigint>")
@@ -265,10 +323,11 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     columns = ("gram", "family", "template", "size")
     known = fixed_table(spark, [dict(zip(columns, r)) for r in template_pairs()], "gram string, family string, template int, size int")
     shared = pairs.join(F.broadcast(known), "gram").groupBy("key", "family", "template").agg(F.count("*").alias("n"), F.max("own").alias("own"), F.max("size").alias("size"))
-    shared = shared.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") >= LEAST_SHARE * F.least("own", "size"))).select("key", "family").distinct()
-    confirmed = said.join(shared, ["key", "family"], "left_semi")
-    cued = paragraphs.where(F.lower("para").rlike("|".join(CUES))).select("key")
-    return cued.union(shared.select("key")).distinct().join(confirmed, "key", "left")
+    shared = shared.where((F.col("n") >= LEAST_PAIRS) & (F.col("n") >= LEAST_SHARE * F.least("own", "size")))
+    rules = fixed_table(spark, [dict(zip(("template", "names", "not_names"), r)) for r in template_rules()], "template int, names array<string>, not_names array<string>")
+    shared = shared.join(F.broadcast(rules), "template").join(words, "key")
+    shared = shared.where("(size(names) = 0 OR arrays_overlap(w, names)) AND NOT arrays_overlap(w, not_names)").select("key", "family").distinct()
+    return paragraphs.select("key").join(said.join(shared, ["key", "family"], "left_semi"), "key", "left")
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -276,11 +335,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.lower(text).alias("low"))
-    some = F.col("low").rlike(pair_pattern())
-    for c in CUES:
-        some = F.contains("low", F.lit(c)) | some
-    pattern = f"{'|'.join(CUES)}|{pair_pattern()}"
-    paras = F.when(some, F.filter(F.split("text", "\n"), lambda p: F.lower(p).rlike(pattern))).otherwise(F.expr("cast(array() AS array<string>)"))
+    some = F.lit(False)
+    for word in sorted({max(c.split(), key=len) for c in CUES}):  # plain search first, as most texts have none
+        some = some | F.contains("low", F.lit(word))
+    paras = F.when(some, F.filter(F.split("text", "\n"), lambda p: F.lower(p).rlike(CUE_PATTERN))).otherwise(F.expr("cast(array() AS array<string>)"))
     n_paras = F.expr(r"size(filter(split(text, '\n'), l -> translate(l, ' \t\u000b\u000c\r', '') != ''))").cast("long")
     d = d.select("doc_id", F.md5("text").alias("digest"), n_paras.alias("n_paragraphs"), paras.alias("paras"))
     d = scratch.keep(d, "paragraphs")
@@ -308,6 +366,7 @@ def sql() -> str:
     q = lambda s: "'" + s.replace("'", "''") + "'"
     weights = ", ".join(f"({q(g)}, {list(w)})" for g, w in m["weights"].items())
     known = ", ".join(f"({q(g)}, {q(f)}, {t}, {s})" for g, f, t, s in template_pairs())
+    rules = ", ".join(f"({t}, {names}::VARCHAR[], {others}::VARCHAR[])" for t, names, others in template_rules())
     each_gram = lambda k: f"list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))"
     sums = ", ".join(f"sum(ws[{i + 1}]) + {b} AS s{i}" for i, b in enumerate(m["bias"]))
     own = "[" + ", ".join(f"s{i}" for i in range(n - 1)) + "]"
@@ -315,8 +374,9 @@ def sql() -> str:
     return rf"""
 WITH weights(gram, ws) AS (VALUES {weights}),
 known(gram, family, template, size) AS (VALUES {known}),
+rules(template, names, not_names) AS (VALUES {rules}),
 p AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS para FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-c AS (SELECT * FROM p WHERE regexp_matches(lower(para), '{"|".join(CUES)}')),
+c AS (SELECT * FROM p WHERE regexp_matches(lower(para), '{CUE_PATTERN}')),
 d AS (SELECT para, regexp_extract_all(lower(para), '[a-z0-9]+') AS w FROM (SELECT DISTINCT para FROM c)),
 g AS (SELECT DISTINCT para, unnest(list_concat({each_gram(1)}, list_concat({each_gram(2)}, {each_gram(3)}))) AS gram FROM d),
 s AS (SELECT para, {sums} FROM g JOIN weights USING (gram) GROUP BY para),
@@ -325,7 +385,8 @@ said AS (SELECT para, {FAMILIES}[list_position({own}, best)] AS family FROM b WH
 pairs AS (SELECT DISTINCT para, gram FROM (SELECT para, unnest({each_gram(2)}) AS gram FROM d)),
 sizes AS (SELECT para, count(*) AS own FROM pairs GROUP BY para),
 shared AS (SELECT DISTINCT para, family FROM (SELECT para, family, template, count(*) AS n, max(own) AS own, max(size) AS size
-  FROM pairs JOIN sizes USING (para) JOIN known USING (gram) GROUP BY ALL) WHERE n >= {LEAST_PAIRS} AND n >= {LEAST_SHARE} * least(own, size)),
+  FROM pairs JOIN sizes USING (para) JOIN known USING (gram) GROUP BY ALL) JOIN rules USING (template) JOIN d USING (para)
+  WHERE n >= {LEAST_PAIRS} AND n >= {LEAST_SHARE} * least(own, size) AND (len(names) = 0 OR list_has_any(w, names)) AND NOT list_has_any(w, not_names)),
 v AS (SELECT said.para, said.family FROM said JOIN shared USING (para, family)),
 j AS (SELECT doc_id, count(*) FILTER (family IS NOT NULL) AS yes, count(*) FILTER (family IS NULL) AS no, string_agg(DISTINCT family, ',' ORDER BY family) AS families
   FROM c LEFT JOIN v USING (para) GROUP BY doc_id),

@@ -184,12 +184,26 @@ def test_license_spellings(table):
     assert got["He walked under the bridge."].n_unknown == got["It is released."].n_unknown == 0
 
 
-def test_license_pair_pattern():
+def test_license_families_that_are_not_known(table):
+    """Other licences are unknown; so are variants of known ones. Rates on the notices that the model has not learnt from."""
     o = op6_license_scans
-    pattern = re.compile(o.pair_pattern())
-    assert all(pattern.search(p.replace(" ", sep)) for p, *_ in o.template_pairs() for sep in (" ", "-", " (\""))
-    assert not any(pattern.search(f"x{p}") and not pattern.search(p) for p, *_ in o.template_pairs())
-    assert not pattern.search("under") and not pattern.search("thunder thermal")
+    others = [*o.HELD_OTHERS, *o.OTHERS, "Distributed under the Boost Software License.", "licensed under the EUPL", "SPDX-License-Identifier: CC-BY-ND-4.0", "of this software and associated documentation files"]
+    held = [(t, f) for f, texts in o.HELD.items() for t in texts]
+    texts = [*others, *(t for t, _ in held), "SPDX-License-Identifier: MPL-2.0"]
+    got = [r.families for r in sorted(o.license_scan(table(texts)).collect())]
+    assert all(f == [] for f in got[: len(others)])
+    said = got[len(others) : -1]
+    assert all(g in ([], [f]) for g, (_, f) in zip(said, held)) and sum(g == [f] for g, (_, f) in zip(said, held)) >= 0.75 * len(held)
+    assert got[-1] == ["mpl"]
+
+
+def test_license_cues():
+    """Every eight words in a row of a template hold a cue."""
+    o = op6_license_scans
+    for t in (t for v in o.TEMPLATES.values() for t in v):
+        w = re.findall("[a-z0-9]+", t.lower())
+        assert all(re.search(o.CUE_PATTERN, " ".join(w[i : i + 8])) for i in range(max(1, len(w) - 7))), t
+    assert not re.search(o.CUE_PATTERN, "mitigating circumstances under the bridge")
 
 
 def test_url_filter(spark):
