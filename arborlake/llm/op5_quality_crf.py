@@ -5,8 +5,9 @@ and after it; neighbouring labels are tied by transition weights. The document's
 its lines' forward-backward marginals of being good, weighted by the lines' lengths, and calibrated by
 a logistic curve on the training documents.
 
-Trained on the driver on a bounded sample: about SAMPLE_PER_LABEL documents of each label, of at most
-SAMPLE_CHARS characters; a document's label is the label of all its lines. Scoring reads whole texts.
+Trained on the driver on a bounded sample: about SAMPLE_PER_LABEL documents of each label, whole, of
+SAMPLE_CHARS characters on average at the most; a document's label is the label of all its lines.
+Scoring reads whole texts.
 
 Defined cases: a null or empty text, or one without words, gets the score of a document with nothing
 good about it (0); without labelled rows of both kinds every other score is 0.5; an empty table gives
@@ -90,12 +91,25 @@ def line_features(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np
     return np.hstack([own, before, after, begins[:, None], ends[:, None]]).astype(np.float32), size.astype(float), at
 
 
-def padded(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of line by text and step, and whether there is one."""
-    n = np.diff(at)
-    steps = np.arange(max(1, n.max(initial=0)))
+def alike(n: np.ndarray, most: int = 200_000):
+    """Groups of texts of similar numbers of lines, at most `most` lines together where there are several; texts without lines are in none."""
+    order = np.argsort(n, kind="stable")
+    order = order[n[order] > 0]
+    i = 0
+    while i < len(order):
+        j = i + 1
+        while j < len(order) and (j - i + 1) * n[order[j]] <= most and n[order[j]] <= 2 * n[order[i]]:
+            j += 1
+        yield order[i:j]
+        i = j
+
+
+def padded(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Line numbers by text and step, and which of them there are."""
+    n = np.diff(at)[rows]
+    steps = np.arange(n.max())
     real = steps[None, :] < n[:, None]
-    return np.where(real, at[:-1, None] + steps[None, :], 0), real
+    return np.where(real, at[rows][:, None] + steps[None, :], 0), real
 
 
 def marginals(score: np.ndarray, real: np.ndarray, tie: np.ndarray, share: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +146,24 @@ def train(sample: list[tuple[str, int]], rounds: int = 150, decay: float = 1e-3)
     if len(set(y.tolist())) < 2:
         return {}
     x, size, at = line_features([t.encode() for t, _ in sample])
-    idx, real = padded(at)
-    idx, real = idx[:, :400], real[:, :400]
+    groups = [(rows, *padded(at, rows)) for rows in alike(np.diff(at))]
     mean, std = x.mean(0), x.std(0) + 1e-3
     xs = (x - mean) / std
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(1, real.sum(1))
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) / np.maximum(1, np.diff(at))
     params = np.zeros(x.shape[1] + 1 + 4)
     m, v = np.zeros_like(params), np.zeros_like(params)
     for r in range(1, rounds + 1):
         w, bias, tie = params[: x.shape[1]], params[x.shape[1]], params[-4:].reshape(2, 2)
-        score = np.where(real, (xs @ w + bias)[idx], 0)
-        good, expected = marginals(score, real, tie, share)
-        gap = np.where(real, (y[:, None] - good) * share[:, None], 0)
+        odds, per_line, expected = xs @ w + bias, np.zeros(len(x)), np.zeros((2, 2))
+        for rows, idx, real in groups:
+            good, pair = marginals(np.where(real, odds[idx], 0), real, tie, share[rows])
+            expected += pair
+            per_line[idx[real]] = ((y[rows, None] - good) * share[rows, None])[real]
         g = np.zeros_like(params)
-        per_line = np.bincount(idx[real], gap[real], minlength=len(x))
-        g[: x.shape[1]], g[x.shape[1]] = per_line @ xs - decay * w, gap.sum()
+        g[: x.shape[1]], g[x.shape[1]] = per_line @ xs - decay * w, per_line.sum()
         # transitions: seen less expected, on texts' shares of weight
         seen = np.zeros((2, 2))
-        pairs = np.maximum(0, real.sum(1) - 1) * share
+        pairs = np.maximum(0, np.diff(at) - 1) * share
         seen[0, 0], seen[1, 1] = pairs[y == 0].sum(), pairs[y == 1].sum()
         g[-4:] = (seen - expected).ravel() - 0.05 * params[-4:]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
@@ -171,21 +185,11 @@ def raw_scores(model: dict, x: np.ndarray, size: np.ndarray, at: np.ndarray) ->
     out = np.zeros(len(n))
     if len(x):
         odds = x @ model["w"] + model["bias"]
-        order = np.argsort(n, kind="stable")
-        order = order[n[order] > 0]
-        i = 0
-        while i < len(order):
-            j = i + 1
-            while j < len(order) and (j - i + 1) * n[order[j]] <= 200_000 and n[order[j]] <= 2 * n[order[i]]:
-                j += 1
-            rows = order[i:j]
-            steps = np.arange(n[rows].max())
-            real = steps[None, :] < n[rows][:, None]
-            idx = np.where(real, at[rows][:, None] + steps[None, :], 0)
+        for rows in alike(n):
+            idx, real = padded(at, rows)
             good = marginals(np.where(real, odds[idx], 0), real, model["tie"])[0]
             weight = np.where(real, size[idx], 0)
             out[rows] = (good * weight).sum(1) / weight.sum(1)
-            i = j
     return out, n > 0
 
 
