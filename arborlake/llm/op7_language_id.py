@@ -5,8 +5,9 @@ letters' vectors, permuted by their place; a document's vector bundles (adds) th
 trigrams; a language's prototype bundles the directions of documents of that language. The language
 with the largest cosine wins; equal cosines go to the first in the order of names.
 
-Fitted on a bounded sample: about SAMPLE_PER_LANGUAGE documents of each language, of at most
-SAMPLE_CHARS characters. Prediction reads whole texts.
+Fitted on a bounded sample: about SAMPLE_PER_LANGUAGE documents of each language, whole, of SAMPLE_CHARS
+characters on average at the most. Prediction reads whole texts. Texts are counted in pieces, and
+trigrams are bound and bundled a slice at a time, so memory does not grow with texts or alphabets.
 
 Defined cases: a null text, or one with no letter, is `und` with score 0; without any labelled
 document all are `und`; an empty table gives no rows; repeated rows return as often as they came;
@@ -15,6 +16,8 @@ only the id, text and (to learn) language columns are read.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,12 +34,16 @@ SAMPLE_CHARS = 20_000
 #: Codes of letters: 1 to 26 for a to z, the others share the rest by their code point; 0 is no letter.
 CODES = 128
 _SEED = 7
+#: Characters that are counted, and trigrams that are bound, at once.
+PIECE, SLICE = 1 << 19, 4096
 
 
+@lru_cache
 def _code_table() -> np.ndarray:
-    cp = np.arange(0x30000, dtype=np.int64)
+    """The code of every code point."""
+    cp = np.arange(0x110000, dtype=np.int64)
     out = (27 + (cp * 2654435761 >> 7) % (CODES - 27)).astype(np.uint8)
-    out[[i for i in range(0x30000) if not chr(i).isalpha()]] = 0
+    out[[i for i in range(0x110000) if not chr(i).isalpha()]] = 0
     out[97:123] = np.arange(1, 27)
     return out
 
@@ -52,25 +59,48 @@ class Profiles:
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The texts' vectors and whether they have a letter."""
-        n = len(texts)
-        cp = np.frombuffer("\n".join(t.lower() for t in texts).encode("utf-32-le", "replace") + b"\n\0\0\0", np.uint32)
-        ends = np.cumsum([len(t.lower()) + 1 for t in texts])
-        code = self.codes[np.minimum(cp, len(self.codes) - 1)]
-        # runs of non-letters are one boundary
-        keep = np.append(True, (code[1:] != 0) | (code[:-1] != 0))
-        doc = np.searchsorted(ends, np.flatnonzero(keep), side="right")
-        code = np.concatenate(([0], code[keep], [0])).astype(np.int64)
-        tri = (code[:-2] * CODES + code[1:-1]) * CODES + code[2:]
-        real = code[1:-1] != 0
-        tri, doc = tri[real], doc[real]
+        out, some = np.zeros((len(texts), self.places[0].shape[1]), np.float32), np.zeros(len(texts), bool)
+        parts, rows, size = [], [], 0
+        for row, text in enumerate(map(str.lower, texts)):
+            for i in range(0, len(text), PIECE):  # with the characters around it
+                parts.append((text[i - 1] if i else "\n") + text[i : i + PIECE] + text[i + PIECE : i + PIECE + 1].ljust(1, "\n"))
+                rows.append(row)
+                size += len(parts[-1])
+                if size > PIECE:
+                    self._bundle(parts, rows, out, some)
+                    parts, rows, size = [], [], 0
+        self._bundle(parts, rows, out, some)
+        return out, some
+
+    def _bundle(self, parts: list[str], rows: list[int], out: np.ndarray, some: np.ndarray) -> None:
+        """Adds the trigrams of the parts, but for those around their first and last characters, to the rows' vectors."""
+        if not parts:
+            return
+        code = self.codes[np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
+        ends = np.cumsum([len(p) for p in parts])
+        centre = code != 0
+        centre[ends - 1] = centre[np.concatenate(([0], ends[:-1]))] = False
+        at = np.flatnonzero(centre)
+        tri = (code[at - 1] * CODES + code[at]) * CODES + code[at + 1]
+        part = np.searchsorted(ends, at, side="right")
         seen = np.flatnonzero(np.bincount(tri, minlength=CODES**3))
-        if not len(seen):
-            return np.zeros((n, self.places[0].shape[1]), np.float32), np.zeros(n, bool)
         place = np.zeros(CODES**3, np.int32)
         place[seen] = np.arange(len(seen))
-        counts = np.bincount(doc * len(seen) + place[tri], minlength=n * len(seen)).reshape(n, len(seen)).astype(np.float32)
-        a, b, c = (p[i] for p, i in zip(self.places, (seen // CODES**2, seen // CODES % CODES, seen % CODES)))
-        return counts @ (a * b * c).astype(np.float32), counts.any(1)
+        tri = place[tri]
+        if len(seen) > SLICE:
+            order = np.argsort(tri, kind="stable")
+            tri, part = tri[order], part[order]
+        for i in range(0, len(seen), SLICE):
+            own = seen[i : i + SLICE]
+            lo, hi = (0, len(tri)) if len(seen) <= SLICE else np.searchsorted(tri, (i, i + SLICE))
+            # few parts at once, as their counts are held by trigram
+            for k in range(0, len(parts), 128):
+                n = min(128, len(parts) - k)
+                mine = slice(lo, hi) if len(parts) <= 128 else lo + np.flatnonzero((part[lo:hi] >= k) & (part[lo:hi] < k + n))
+                counts = np.bincount((part[mine] - k) * len(own) + tri[mine] - i, minlength=n * len(own)).reshape(n, len(own)).astype(np.float32)
+                a, b, c = (p[x] for p, x in zip(self.places, (own // CODES**2, own // CODES % CODES, own % CODES)))
+                np.add.at(out, rows[k : k + n], counts @ (a * b * c).astype(np.float32))
+        some[np.asarray(rows)[np.unique(part)]] = True
 
 
 def unit(x: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -14,11 +15,12 @@ def held_out(id_col: Column, parts: int, part: int) -> Column:
 def labelled_sample(rows: DataFrame, label: str, per_label: int, most_chars: int, most_labels: int = 1000, most_rows: int = 10_000) -> list:
     """(text, label) of about `per_label` rows of each label, chosen by the hash of their id.
 
-    rows: doc_id, text, label. Rows without a label or with a text of more than `most_chars` characters
-    are not learnt from; nor are labels beyond the most_labels most frequent. With many labels fewer rows of
-    each are taken: about most_rows in all, and never more than twice as many.
+    rows: doc_id, text, label. Rows without a label or a text are not learnt from; nor are labels beyond the
+    most_labels most frequent. With many labels fewer rows of each are taken: about most_rows in all, and never
+    more than twice as many. Texts are taken whole, by the hash of their id, as long as those of a label have
+    `most_chars` characters on average; only a text of more than all these characters is never taken.
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)).between(1, most_chars)))
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (F.coalesce(F.length("text"), F.lit(0)) > 0))
     counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()}
     if not counts:
         return []
@@ -27,5 +29,9 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, most_chars: int
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), int(min(1_000_000, 1_100_000 * per_label // n))).otherwise(share)
-    picked = rows.where(place < share).select("text", label).limit(2 * per_label * len(counts))
-    return [(r[0], r[1]) for r in picked.collect()]
+    budget = per_label * most_chars
+    size = F.length("text").cast("long")
+    picked = rows.where((place < share) & (size <= budget)).select("text", label, size.alias("size"), place.alias("place"), F.xxhash64("doc_id", "text").alias("tie"))
+    order = W.partitionBy(label).orderBy("place", "tie")
+    picked = picked.withColumns({"nth": F.row_number().over(order), "sum": F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0))})
+    return [(r[0], r[1]) for r in picked.where((F.col("nth") <= 2 * per_label) & (F.col("sum") <= budget)).select("text", label).collect()]

@@ -128,6 +128,46 @@ def test_language_id(spark, table):
     assert op7_language_id.identify(table(ODD).limit(0)).count() == 0
 
 
+def test_profiles_against_brute_force(table):
+    """Bind, permute, bundle and cosine one trigram at a time; in small pieces and slices; beyond the basic planes."""
+    import numpy as np
+
+    o = op7_language_id
+    profiles, rng = o.Profiles(64), random.Random(1)
+
+    def slow(text):
+        c = [int(profiles.codes[ord(x)]) for x in f"\n{text.lower()}\n"]
+        out = np.zeros(64)
+        for a, b, d in zip(c, c[1:], c[2:]):
+            out += profiles.places[0][a].astype(int) * profiles.places[1][b] * profiles.places[2][d] if b else 0
+        return out
+
+    texts = ["", " ", "1.", "a", "ab c", "Ünï ß中文", "\U00030001\U00031350", "İstanbul ǅ", "x" * 50, *("".join(rng.choice("abcdeé 中文字\n.") for _ in range(rng.randrange(200))) for _ in range(200))]
+    want = np.array([slow(t) for t in texts])
+    for piece, size in ((1 << 19, 4096), (7, 5)):
+        o.PIECE, before = piece, o.PIECE
+        o.SLICE, slice_ = size, o.SLICE
+        try:
+            got, some = profiles.vectors(texts)
+        finally:
+            o.PIECE, o.SLICE = before, slice_
+        assert (got == want).all() and some.tolist() == [any(x.isalpha() for x in t.lower()) for t in texts]
+    names, prototypes = ["a", "b"], o.unit(o.Profiles().vectors(["the cat sat", "中文字"])[0]).astype(np.float32)
+    said = {r.doc_id: r for r in o.predict(table(texts), names, prototypes).collect()}
+    full = o.unit(o.Profiles().vectors(texts)[0]) @ prototypes.T
+    for i, t in enumerate(texts):
+        best = full[i].argmax()
+        assert said[i].lang_pred == (names[best] if any(x.isalpha() for x in t) else "und")
+        assert abs(said[i].score - max(0, full[i][best])) < 1e-4
+    assert said[6].lang_pred != "und"
+
+
+def test_languages_of_long_documents_are_learnt(spark):
+    rows = [(i, lang, f"{word} " * 30_000) for i, (lang, word) in enumerate([("en", "thing"), ("de", "schön")] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    assert op7_language_id.train(docs, per_language=30)[0] == ["de", "en"]
+
+
 def test_quality_field(spark, table):
     from pyspark.sql import functions as F
 
@@ -143,6 +183,16 @@ def test_quality_field(spark, table):
     assert {r.score for r in op5_quality_crf.score_documents(table(["a", ""]), none).collect()} == {0.5, 0.0}
 
 
+def test_quality_field_learns_from_all_lines():
+    """Documents that differ only behind their first 400 lines are told apart."""
+    rng = random.Random(2)
+    head = "\n".join("It was a day like all others." for _ in range(450))
+    sample = [(head + "\n" + "\n".join(("$$$ BUY NOW!!! ### " if y == 0 else "The evening was calm and they talked of home. ") + str(rng.random()) for _ in range(200)), y) for y in (0, 1) for _ in range(10)]
+    model = op5_quality_crf.train(sample, rounds=60)
+    got = op5_quality_crf.scores(model, [t.encode() for t, _ in sample])
+    assert min(s for s, (_, y) in zip(got, sample) if y) > max(s for s, (_, y) in zip(got, sample) if not y)
+
+
 def test_forward_backward_against_all_labellings():
     import itertools
 
@@ -221,6 +271,12 @@ def test_url_filter(spark):
     train = spark.createDataFrame([(i, f"http://{h}{p}", y) for i, (h, p, y) in enumerate(rows)], "page_id bigint, url string, y int")
     said = op9_url_filters.url_filter(train, rules=[]).join(train, "page_id")
     assert said.agg(F.avg((F.col("verdict") == F.when(F.col("y") == 1, "block").otherwise("allow")).cast("int"))).first()[0] > 0.99
+    # hosts that are not in the table
+    block = ["grandcasino.example.org/win", "online-poker.example.org", "xxx-porn.example.org/adult", "cheap-viagra.example.org/buy-now", "spam-links.example.org"]
+    allow = ["botany.example.org/docs", "sailing-club.example.org/about", "dictionary.example.org", "chemistry-notes.example.org/articles/3", "wanderings.example.org/2020/05", "q.example.org/"]
+    new = spark.createDataFrame([(i, f"https://{u}") for i, u in enumerate(block + allow)], "page_id bigint, url string")
+    said = [r.verdict for r in op9_url_filters.url_filter(new).orderBy("page_id").collect()]
+    assert said[: len(block)].count("block") >= 4 and said[len(block) :].count("allow") == len(allow)
 
 
 def op9_url_filter_rows(df):
