@@ -337,19 +337,19 @@ def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY, whole: b
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs: a, am, b, bm and anchors. Returns a, b, bm, spans and more.
 
-    A first document's text is sent once for every SLICE of its partners.
+    Texts and anchors meet in the worker, sorted by first document and slice of its partners: the first document's
+    text, then the anchors and the text of each partner. So no text is shuffled for a join where the list of who needs
+    which is small enough to be broadcast, and a first document's text is sent once for every SLICE of its partners.
     """
-    ids = pairs.select(F.inline(F.array(*(F.struct(F.col(i).alias("doc_id"), F.col(f"{i}m").alias("mark")) for i in "ab")))).distinct()
-    texts = docs.select("doc_id", "mark", "text")
-    if ids.limit(ID_ROWS + 1).count() <= ID_ROWS:
-        texts = texts.join(F.broadcast(ids), ["doc_id", "mark"], "left_semi")
     slices = pairs.groupBy("a", "am").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     slice_ = F.pmod(F.xxhash64("b", "bm"), F.col("slices")).cast("int").alias("slice")
     own = pairs.join(slices, ["a", "am"]).select("a", "am", slice_, "b", "bm", "anchors")
-    own = own.join(texts.withColumnsRenamed({"doc_id": "b", "mark": "bm"}), ["b", "bm"]).select("a", "am", "slice", "b", "bm", "anchors", "text")
     first = slices.select("a", "am", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    first = first.join(texts.withColumnsRenamed({"doc_id": "a", "mark": "am"}), ["a", "am"])
-    both = own.unionByName(first, allowMissingColumns=True).repartition("a", "am", "slice").sortWithinPartitions("a", "am", "slice", F.asc_nulls_first("b"))
+    needs = own.select(F.col("b").alias("doc_id"), F.col("bm").alias("mark"), "a", "am", "slice", "b", "bm")
+    needs = needs.unionByName(first.select(F.col("a").alias("doc_id"), F.col("am").alias("mark"), "a", "am", "slice"), allowMissingColumns=True)
+    texts = join_checked(docs.select("doc_id", "mark", "text"), needs, ["doc_id", "mark"], "inner", ID_ROWS).drop("doc_id", "mark")
+    both = own.withColumn("kind", F.lit(0)).unionByName(texts.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.select("a", "am", "slice", "b", "bm", "anchors", "text", "kind").repartition("a", "am", "slice").sortWithinPartitions("a", "am", "slice", F.asc_nulls_first("b"), "bm", "kind")
     id_type = pairs.schema["a"].dataType.simpleString()
 
     def table_of(rows, names):
@@ -358,11 +358,11 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return _lists(at, pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(len(names))], names))
 
     def run(batches):
-        at_first, wa, sa = None, None, None
+        at_first, wa, sa, at_next, anchors = None, None, None, None, None
         for batch, texts in text_chunks(batches, "text"):
             words, at = word_hashes(texts, NOT_SPACE)
             sh, sh_at = shingles(words, at, SHINGLE, short=False)
-            a, am, b = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            a, am, b, bm, kind = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 7))
             # the anchors of all rows: a place of the first document with all spots of its partner
             each = batch.column(5).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             lead, spots = batch.column(5).flatten().flatten()
@@ -376,9 +376,11 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 w, s = words[at[k] : at[k + 1]], sh[sh_at[k] : sh_at[k + 1]]
                 if b[k] is None:
                     at_first, wa, sa = (a[k], am[k]), w.copy(), s.copy()
-                elif at_first == (a[k], am[k]):
+                elif not kind[k]:
                     own = slice(anchor_at[k], anchor_at[k + 1])
-                    found, on = hold_against(wa, sa, w, s, set(zip(lead[own], place[own], state[own])), whole=a[k] != b[k])
+                    at_next, anchors = (b[k], bm[k]), set(zip(lead[own], place[own], state[own]))
+                elif at_first == (a[k], am[k]) and at_next == (b[k], bm[k]):
+                    found, on = hold_against(wa, sa, w, s, anchors, whole=a[k] != b[k])
                     keep.append(k)
                     spans.append(found)
                     more.append(on)
@@ -429,6 +431,8 @@ def passages(docs: DataFrame, scratch: Scratch, units: DataFrame, windows: DataF
         rows = after
         if rows.isEmpty():
             break
+        if len(found) == 1:  # what goes on is far less
+            docs = scratch.keep(join_checked(docs, rows.select("doc_id", "mark").distinct(), ["doc_id", "mark"], "left_semi", ID_ROWS), "texts")
     return reduce(DataFrame.union, found).distinct()
 
 
