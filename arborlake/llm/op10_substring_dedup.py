@@ -221,8 +221,12 @@ def _near(x: np.ndarray, y: np.ndarray, x_lo: int, x_hi: int, shift: int) -> np.
         part[a - lo : b - lo] = y[a:b]
     own = x[x_lo:x_hi]
     out = own == part[BAND : BAND + len(own)]
-    for e in range(2 * BAND + 1):
-        out |= own == part[e : e + len(own)]
+    miss = np.flatnonzero(~out)
+    if 8 * len(miss) < len(own):
+        out[miss] = (part[miss[:, None] + np.arange(2 * BAND + 1)] == own[miss, None]).any(1)
+    else:
+        for e in range(2 * BAND + 1):
+            out |= own == part[e : e + len(own)]
     return out
 
 
@@ -284,12 +288,23 @@ def goes_on(words: np.ndarray, c: int, left: int, right: int, state: int) -> lis
     out = []
     for x, y in runs:
         if x <= back and y <= reach and x + y <= PASSAGE:
-            run = (words[c - x : c + y] * _RUN[: x + y]).sum(dtype=np.uint64, keepdims=True)
-            key = mix(run + mix(np.array([x * 1000 + y], np.uint64))).astype(np.int64, casting="unsafe")
-            out.append((int(key[0]), pack(x, y, back, reach)))
+            run = int((words[c - x : c + y] * _RUN[: x + y]).sum(dtype=np.uint64))
+            key = ((run ^ run >> 31) * 0xBF58476D1CE4E5B9 + (x * 1000 + y) * 0x94D049BB133111EB) % (1 << 64)
+            out.append(((key ^ key >> 29) - (1 << 63), pack(x, y, back, reach)))
     return out
 
 
+def equal_beside(wa: np.ndarray, wb: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal words in front of and from places ca and cb on, counted up to PASSAGE."""
+    out = []
+    for step, start in ((-1, -1), (1, 0)):
+        i, j = (c[:, None] + start + step * np.arange(PASSAGE) for c in (ca, cb))
+        same = (i >= 0) & (j >= 0) & (i < len(wa)) & (j < len(wb))
+        same &= wa[np.clip(i, 0, len(wa) - 1)] == wb[np.clip(j, 0, len(wb) - 1)]
+        out.append(np.where(same.all(1), PASSAGE, same.argmin(1)))
+    return tuple(out)
+
+
 def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY, whole: bool = True):
     """Verified passages (start, end, start in the first document, end) in words, and the buckets that the members go on to, with their places.
 
@@ -297,14 +312,15 @@ def hold_against(wa, sa, wb, sb, anchors, similarity: int = SIMILARITY, whole: b
     """
     spans, more, equal, lo, hi = [], [], [], 0, 0  # lo, hi: the last words that equal runs cover
     failed = set()
-    for ca, cb, state in sorted(anchors, key=lambda x: (x[1], x[0])):
-        if ca >= len(sa) or cb >= len(sb) or sa[ca] != sb[cb]:
-            continue
+    anchors = np.array(sorted(anchors, key=lambda x: (x[1], x[0])), np.int64).reshape(-1, 3)
+    anchors = anchors[(anchors[:, 0] < len(sa)) & (anchors[:, 1] < len(sb))]
+    anchors = anchors[sa[anchors[:, 0]] == sb[anchors[:, 1]]]
+    parts = [equal_beside(wa, wb, part[:, 0], part[:, 1]) for part in np.split(anchors, range(4096, len(anchors), 4096))]
+    lefts, rights = (np.concatenate(x).tolist() for x in zip(*parts))
+    for (ca, cb, state), left, right in zip(anchors.tolist(), lefts, rights):
         known = any(s[0] <= cb and cb + SHINGLE <= s[1] and s[2] <= ca and ca + SHINGLE <= s[3] for s in spans[-8:])
         if not state and (known or not whole):
             continue
-        left = _same(wa[max(0, ca - PASSAGE) : ca][::-1], wb[max(0, cb - PASSAGE) : cb][::-1])
-        right = _same(wa[ca : ca + PASSAGE], wb[cb : cb + PASSAGE])
         if state:
             more += [(*x, cb) for x in goes_on(wb, cb, left, right, state)]
         if not whole or left + right >= PASSAGE and lo <= cb - left and cb + right <= hi:
