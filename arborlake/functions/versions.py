@@ -18,32 +18,42 @@ def is_newer(offered: Column, running: Column) -> Column:
     return F.coalesce(version_parts(offered) > version_parts(running), F.lit(False))
 
 
-def manifest_field(xml: Column, name: str) -> Column:
-    """A trimmed element below appinfo; null if blank or missing."""
-    text = F.trim(F.xpath_string(xml, F.lit(f"/appinfo/{name}")))
-    return F.when(F.length(text) > 0, text)
+def well_formed(xml: Column) -> Column:
+    """Whether a text is one XML document; a blank or null text is none."""
+    parsed = F.from_xml(F.concat(F.lit("<all>"), F.regexp_replace(xml, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</all>")), "_bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    return F.coalesce(parsed.isNotNull() & parsed["_bad"].isNull() & xml.rlike("<"), F.lit(False))
 
 
 def manifest_fields(xml: Column) -> Column:
-    """version, url and about of a well-formed document, and what is wrong with it (null if nothing)."""
-    version, url, about = (manifest_field(xml, n) for n in ("version", "url", "about"))
-    root = F.xpath_boolean(xml, F.lit("/appinfo"))
+    """version, url and about below appinfo, trimmed and null if blank or missing, and what is wrong with the document (null if nothing)."""
+    ok = well_formed(xml)
+    # without what may not stand in an element, xpath takes several roots as one document; it is never given another
+    inside = F.when(ok, F.concat(F.lit("<all>"), F.regexp_replace(xml, r"^\s*<\?xml[^>]*\?>", ""), F.lit("</all>")))
+    roots = F.xpath_int(inside, F.lit("count(/all/*)"))
+    one = ok & (roots == 1)
+
+    def field(name):
+        text = F.trim(F.when(one, F.xpath_string(inside, F.lit(f"/all/appinfo/{name}"))))
+        return F.when(F.length(text) > 0, text)
+
+    version, url, about = map(field, ("version", "url", "about"))
+    root = F.xpath_boolean(inside, F.lit("/all/appinfo"))
     error = (
-        F.when(~root, "no appinfo element").when(version.isNull(), "no version").when(url.isNull(), "no url").when(version_parts(version).isNull(), "not a version")
+        F.when(~ok | (roots != 1), "not well-formed").when(~root, "no appinfo element").when(version.isNull(), "no version").when(url.isNull(), "no url").when(version_parts(version).isNull(), "not a version")
     )
     return F.struct(version.alias("version"), url.alias("url"), about.alias("about"), error.alias("error"))
 
 
-#: Bits of file rights, the widest first.
-RIGHTS = [("Full control", 0x1F01FF), ("Modify", 0x301BF), ("Read & execute", 0x200A9), ("Write", 0x116), ("Read", 0x20089)]
+#: Bits of file rights.
+FULL_CONTROL, MODIFY, READ_EXECUTE, WRITE, READ = 0x1F01FF, 0x301BF, 0x200A9, 0x116, 0x20089
 
 
 def rights_label(mask: Column) -> Column:
-    """The widest right whose bits are all set, else `Special`."""
-    out = F.lit("Special")
-    for label, bits in reversed(RIGHTS):
-        out = F.when(mask.bitwiseAND(F.lit(bits)) == bits, label).otherwise(out)
-    return out
+    """`Full control` or `Modify`, else reading and writing rights side by side, else `Special`."""
+    has = lambda bits: mask.bitwiseAND(F.lit(bits)) == bits
+    reads = F.when(has(READ_EXECUTE), "Read & execute").when(has(READ), "Read")
+    both = F.concat_ws(", ", reads, F.when(has(WRITE), "Write"))
+    return F.when(has(FULL_CONTROL), "Full control").when(has(MODIFY), "Modify").when(both != "", both).otherwise("Special")
 
 
 def acl_order() -> list[Column]:

@@ -22,14 +22,21 @@ def size_candidates(files: DataFrame) -> DataFrame:
 def duplicate_files(files: DataFrame) -> DataFrame:
     """full_path, size_bytes, modified_utc and digest of every file that has an equal one.
 
-    files has content (binary; null is unreadable and left out). Contents of files whose size or first
-    digest is unique never reach a full digest.
+    files has content (binary; null is unreadable and left out), which is digested where it is read: digests are
+    shuffled, contents never. For files that are not in a table, `fsnodes.duplicates` reads no more than it needs.
     """
+    some = files.where("content IS NOT NULL").select("full_path", "size_bytes", "modified_utc", F.sha2("content", 256).alias("digest"))
+    return equal_digests(size_candidates(some))
+
+
+def to_hash(files: DataFrame) -> DataFrame:
+    """One row: how many files have to be read."""
+    return size_candidates(files).agg(F.count("*").alias("files"))
+
+
+def equal_digests(whole: DataFrame) -> DataFrame:
+    """The files whose size and digest another one has."""
     columns = ["full_path", "size_bytes", "modified_utc"]
-    some = size_candidates(files).where("content IS NOT NULL")
-    head = some.select(*columns, "content", F.sha2(F.substring("content", 1, PREFIX_BYTES), 256).alias("head"))
-    shared = head.groupBy("size_bytes", "head").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes", "head")
-    whole = head.join(shared, ["size_bytes", "head"], "left_semi").select(*columns, F.sha2("content", 256).alias("digest"))
     groups = whole.groupBy("size_bytes", "digest").agg(F.count("*").alias("copies")).where("copies > 1")
     return whole.join(groups, ["size_bytes", "digest"]).select(*columns, "digest", "copies")
 

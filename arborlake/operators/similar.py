@@ -14,8 +14,9 @@ from .components import components
 
 #: The default distance, and the default number of images that are looked at.
 DISTANCE, MOST_IMAGES = 10, 8_000
-#: Up to this distance hashes are joined by equal bands; above, in blocks of so many distinct hashes.
-BANDED, BLOCK = 8, 20_000
+#: Up to these distances hashes are joined by equal bands, and by bands of 16 bits that differ in two at the most;
+#: above, in blocks of so many distinct hashes.
+BANDED, PROBED, BLOCK = 8, 11, 20_000
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -50,6 +51,13 @@ def hash_pairs(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
         bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft("hash", 64 - hi), 64 - hi + lo).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
         one = own.select(F.col("hash").alias("a"), F.explode(bands).alias("band"))
         return one.join(one.withColumnRenamed("a", "b"), "band").where(near).select("a", "b").distinct()
+    if distance <= PROBED:
+        # hashes within 11 bits differ in two at the most on one of four bands; each side takes one bit of them
+        flips = F.array(*(F.lit(x).cast("bigint") for x in (0, *(1 << i for i in range(16)))))
+        bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)))
+        one = own.select(F.col("hash").alias("a"), F.inline(bands)).select("a", "k", F.explode(flips).alias("flip"), "v")
+        one = one.select("a", F.struct("k", F.col("v").bitwiseXOR(F.col("flip")).alias("v")).alias("band"))
+        return one.join(one.withColumnRenamed("a", "b"), "band").where(near).select("a", "b").distinct()
     blocks = max(1, -(-own.count() // BLOCK))
     a, out = own.select(F.col("hash").alias("a")), []
     for k in range(blocks):  # each block is a bounded set that is held against all

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -72,7 +72,7 @@ def scan_totals(spark, d):
 @_register(
     "percent_of_root",
     f"""WITH {Q.ORDERS}, r AS (SELECT size_bytes AS root FROM nodes WHERE depth = 0)
-    SELECT full_path, {Q.points("size_bytes", "root")} AS share_bp, (least({Q.points("size_bytes", "root")}, 10000) * 60 // 100)::BIGINT AS bar_width FROM nodes, r WHERE depth <= 3""",
+    SELECT full_path, {Q.points("size_bytes", "root")} AS share_bp, (least({Q.points("size_bytes", "root")}, 10000) * 60 // 100)::BIGINT AS bar_width FROM nodes, r""",
 )
 def percent_of_root(spark, d):
     nodes = orders_tree(spark, d)
@@ -165,6 +165,11 @@ def duplicates_by_size(spark, d):
     return dup.size_candidates(documents_files(spark, d)).select("full_path", "size_bytes")
 
 
+@_register("duplicates_to_hash", f"WITH files AS ({Q.DOC_FILES}) SELECT count(*) AS files FROM files WHERE size_bytes > 0 AND size_bytes IN (SELECT size_bytes FROM files GROUP BY 1 HAVING count(*) > 1)")
+def duplicates_to_hash(spark, d):
+    return dup.to_hash(documents_files(spark, d))
+
+
 @_register("duplicates_exact", f"WITH {_DUP} SELECT full_path, size_bytes, digest, copies FROM dups")
 def duplicates_exact(spark, d):
     return dup.duplicate_files(documents_files(spark, d)).select("full_path", "size_bytes", "digest", "copies")
@@ -225,6 +230,16 @@ def similar_pairs(spark, d):
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similar.hamming(F.col("ha"), F.col("hb")).alias("distance"))
 
 
+@_register("similar_pairs_default", f"WITH {_PAIRS} SELECT a, b, distance::INTEGER AS distance FROM pairs WHERE distance <= 10")
+def similar_pairs_default(spark, d):
+    """At the default distance, which is an equi-join."""
+    images = adapters.embedding_hashes(spark, d)
+    near = similar.hash_pairs(images).union(images.select(F.col("hash").alias("a"), F.col("hash").alias("b")).distinct())
+    side = lambda x: images.select(F.col("hash").alias(x), F.col("full_path").alias(f"path_{x}"))
+    out = near.join(side("a"), "a").join(side("b"), "b").where("a <> b OR path_a < path_b")
+    return out.select(F.least("path_a", "path_b").alias("a"), F.greatest("path_a", "path_b").alias("b"), similar.hamming(F.col("a"), F.col("b")).alias("distance"))
+
+
 def _similar(spark, d):
     return similar.similar_groups(adapters.embedding_hashes(spark, d), 20)
 
@@ -307,7 +322,7 @@ def snapshot_top20(spark, d):
 
 @_register("snapshot_roundtrip", f"WITH {Q.ORDERS} SELECT {_NODE} FROM nodes")
 def snapshot_roundtrip(spark, d):
-    folder = f"{shared_dir(spark)}/arborlake/snapshots-{next(tempfile._get_candidate_names())}"
+    folder = f"{shared_dir(spark)}/arborlake/snapshots-{uuid.uuid4().hex}"
     snapshots.save(orders_tree(spark, d), folder, "first")
     return _node_columns(snapshots.load(spark, folder, "first"))
 
@@ -338,15 +353,17 @@ _rename("rename_literal", "replace(base, '1', 'One ')", rename.RenameOptions(fin
 _rename("rename_regex", r"regexp_replace(base, '(\d)(\d)$', '\2$\1', 'g')", rename.RenameOptions(find=r"(\d)(\d)$", is_regex=True, replace="$2$$$1"))
 _rename("rename_counter", "base || lpad((5 + 10 * (nth - 1))::VARCHAR, greatest(3, length((5 + 10 * (nth - 1))::VARCHAR))::INTEGER, '0')", rename.RenameOptions(use_counter=True, counter_start=5, counter_step=10, counter_digits=3))
 
-_COLLIDE = f"""{_FILES}, b AS (SELECT full_path, doc_id AS ord, regexp_extract(full_path, '^(.*)/', 1) AS folder, replace(doc_id::VARCHAR, '7', '') AS stem FROM files WHERE doc_id % 10 >= 5),
+_COLLIDE = f"""{_FILES}, b AS (SELECT full_path, doc_id AS ord, regexp_extract(full_path, '^(.*)/', 1) AS folder, replace(doc_id::VARCHAR, '7', '') AS stem FROM files),
 k AS (SELECT *, row_number() OVER (PARTITION BY lower(folder || '/' || stem), trim(stem) = '' ORDER BY ord) AS again, folder || '/' || stem || '.txt' AS new_path FROM b),
 p AS (SELECT full_path, ord, new_path, CASE WHEN trim(stem) = '' THEN '{rename.EMPTY}' WHEN again > 1 THEN '{rename.COLLIDES}'
-  WHEN lower(new_path) IN (SELECT lower(full_path) FROM files) AND lower(new_path) NOT IN (SELECT lower(full_path) FROM b) THEN '{rename.EXISTS}' END AS error FROM k)"""
+  WHEN lower(new_path) IN (SELECT lower(regexp_extract(full_path, '^(.*)/', 1) || '/' || replace(doc_id::VARCHAR, '1', '') || '.txt') FROM files) AND lower(new_path) NOT IN (SELECT lower(full_path) FROM b) THEN '{rename.EXISTS}' END AS error FROM k)"""
 
 
 def _collisions(spark, d):
+    """All files, beside others in their folders that are not in the batch."""
     files = documents_files(spark, d).select("full_path", F.col("doc_id").alias("ord"))
-    return rename.preview(files.where("ord % 10 >= 5"), rename.RenameOptions(find="7"), files)
+    others = files.select(F.concat(F.regexp_extract("full_path", "^(.*/)", 1), F.replace(F.col("ord").cast("string"), F.lit("1"), F.lit("")), F.lit(".txt")).alias("full_path"))
+    return rename.preview(files, rename.RenameOptions(find="7"), others)
 
 
 @_register("rename_collisions", f"WITH {_COLLIDE} SELECT full_path, new_path, CASE WHEN error IS NOT NULL THEN 'fail' WHEN full_path = new_path THEN 'skip' ELSE 'rename' END AS action, error FROM p")
@@ -399,7 +416,7 @@ def export_csv_rows(spark, d):
 
 @_register(
     "export_html_rows",
-    f"""WITH {Q.ORDERS}, t AS (SELECT sum(size_bytes) AS t FROM nodes WHERE depth <= 3), s AS (SELECT *, {Q.points("size_bytes", "t")} AS bp FROM nodes, t WHERE depth <= 3)
+    f"""WITH {Q.ORDERS}, t AS (SELECT sum(size_bytes) AS t FROM nodes), s AS (SELECT *, {Q.points("size_bytes", "t")} AS bp FROM nodes, t)
     SELECT name, full_path, CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS kind, size_bytes, {Q.size_text("size_bytes")} AS size_text,
       ((bp + 5) // 10 // 10)::VARCHAR || '.' || ((bp + 5) // 10 % 10)::VARCHAR AS percent_text, bp AS bar_bp, file_count FROM s""",
 )
@@ -424,8 +441,33 @@ def version_compare(spark, d):
     return rows.withColumn("newer", versions.is_newer(F.col("offered"), F.col("running")))
 
 
-@_register("manifest_parse")
+_MANIFESTS = [  # the document, and what is read from it
+    ("<appinfo><version> 1.5 </version><url>https://a.example</url><about/></appinfo>", "1.5", "https://a.example", None, None),
+    ("<appinfo><version>1.0</version><url>u</url><about> text </about></appinfo>", "1.0", "u", "text", None),
+    ("<appinfo><url>u</url></appinfo>", None, "u", None, "no version"),
+    ("<appinfo><version>1.0</version></appinfo>", "1.0", None, None, "no url"),
+    ("<appinfo><version>x</version><url>u</url></appinfo>", "x", "u", None, "not a version"),
+    ("<other/>", None, None, None, "no appinfo element"),
+    ("not xml", None, None, None, "not well-formed"),
+    ("<appinfo><version>1.0</version><url>u", None, None, None, "not well-formed"),
+    ("<appinfo><version>1.0</url></appinfo>", None, None, None, "not well-formed"),
+    ("<appinfo/><appinfo/>", None, None, None, "not well-formed"),
+    ("", None, None, None, "not well-formed"),
+]
+_LITERAL = lambda v: "NULL" if v is None else f"'{v}'"
+
+
+_RIGHTS = [(0x1F01FF, "Full control"), (0x301BF, "Modify"), (0x201BF, "Read & execute, Write"), (0x200A9, "Read & execute"), (0x2019F, "Read, Write"), (0x20089, "Read"), (0x116, "Write"), (1, "Special")]
+
+
+@_register("rights_labels", "SELECT * FROM (VALUES " + ", ".join(f"({m}, '{t}')" for m, t in _RIGHTS) + ") t(mask, label)")
+def rights_labels(spark, d):
+    rows = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m, _ in _RIGHTS))).alias("mask"))
+    return rows.select("mask", versions.rights_label(F.col("mask")).alias("label"))
+
+
+@_register("manifest_parse", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_LITERAL, m))})" for m in _MANIFESTS) + ") t(xml, version, url, about, error)")
 def manifest_parse(spark, d):
-    texts = ["<appinfo><version> 1.5 </version><url>https://a.example</url><about/></appinfo>", "<appinfo><url>u</url></appinfo>", "<other/>"]
+    texts = [m[0] for m in _MANIFESTS]
     rows = spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("xml"))
     return rows.select("xml", versions.manifest_fields(F.col("xml")).alias("m")).select("xml", "m.*")

@@ -6,6 +6,7 @@ sub-trees. Options: path, followLinks (false), partitions (64).
 
 from __future__ import annotations
 
+import hashlib
 import os
 from datetime import datetime
 
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.duplicates import PREFIX_BYTES, equal_digests, size_candidates
 from ..operators.rollup import build_nodes
 from ..plans.workers import can_import, ready
 
@@ -141,3 +143,43 @@ def with_content(files: DataFrame, base: str = "") -> DataFrame:
             yield pdf
 
     return ready(files).mapInPandas(read, ", ".join(x.replace(":", " ", 1) for x in schema.split(",")) + ", content binary")
+
+
+def with_digest(files: DataFrame, base: str = "", most: int | None = None) -> DataFrame:
+    """Adds digest, the SHA-256 of a file's first `most` bytes or of all, read in pieces by the tasks; null where it cannot be read.
+
+    files: full_path, size_bytes, modified_utc. Sizes are those found when read, so that a file that changed since
+    the scan is held by what it is now.
+    """
+
+    def read(batches):
+        for pdf in batches:
+            digests, sizes = [], []
+            for p, size in zip(pdf["full_path"], pdf["size_bytes"]):
+                digest, left = hashlib.sha256(), most
+                try:
+                    with open(base + p, "rb") as f:
+                        size = os.fstat(f.fileno()).st_size
+                        while piece := f.read(1 << 20 if left is None else min(left, 1 << 20)):
+                            digest.update(piece)
+                            left = left if left is None else left - len(piece)
+                    digests.append(digest.hexdigest())
+                except OSError:
+                    digests.append(None)
+                sizes.append(size)
+            yield pdf.assign(size_bytes=sizes, digest=digests)
+
+    slim = files.select("full_path", "size_bytes", "modified_utc")
+    return ready(slim).mapInPandas(read, "full_path string, size_bytes bigint, modified_utc timestamp, digest string")
+
+
+def duplicates(files: DataFrame, base: str = "") -> DataFrame:
+    """full_path, size_bytes, modified_utc, digest and copies of every file that has an equal one.
+
+    Only files whose size another one has are opened, for their first 4 KiB, and only those that share these are read
+    whole. Paths, sizes and digests are shuffled, contents never.
+    """
+    head = with_digest(size_candidates(files), base, PREFIX_BYTES).where("digest IS NOT NULL")
+    shared = head.groupBy("size_bytes", "digest").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes", "digest")
+    whole = with_digest(head.join(shared, ["size_bytes", "digest"], "left_semi"), base).where("digest IS NOT NULL")
+    return equal_digests(whole)

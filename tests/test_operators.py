@@ -121,6 +121,36 @@ def test_similar_chain(spark):
         similar.hash_pairs(got, 65)
 
 
+@pytest.mark.parametrize("distance", [3, 8, 9, 10, 11, 12])
+def test_hash_pairs_against_brute_force(spark, distance):
+    rng = random.Random(distance)
+    hashes = [rng.getrandbits(64) for _ in range(60)]
+    for h in hashes[:40]:
+        for _ in range(3):
+            x = h
+            for i in rng.sample(range(64), rng.randrange(1, 14)):
+                x ^= 1 << i
+            hashes.append(x)
+    hashes = [h - (1 << 63) for h in hashes]
+    found = similar.hash_pairs(spark.createDataFrame([(h,) for h in hashes + hashes[:5]], "hash bigint"), distance)
+    want = {(min(a, b), max(a, b)) for a in hashes for b in hashes if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= distance}
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("NestedLoop" in plan) == (distance > 11)
+
+
+def test_duplicates_on_disk(spark, tmp_path):
+    from arborlake.sources import fsnodes
+
+    big = bytes(range(256)) * 5000
+    for name, data in {"a": big, "b": big, "c": big[:-1] + b"x", "d": b"x" + big[1:], "sub/e": b"12", "sub/f": b"12", "g": b"", "h": b"", "i": b"34", "j": b"5"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    nodes = fsnodes.scan(spark, str(tmp_path))
+    got = {r.full_path: (r.size_bytes, r.copies) for r in fsnodes.duplicates(nodes.where("NOT is_directory"), str(tmp_path)).collect()}
+    assert got == {"/a": (len(big), 2), "/b": (len(big), 2), "/sub/e": (2, 2), "/sub/f": (2, 2)}
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components(spark, seed):
     rng = random.Random(seed)
