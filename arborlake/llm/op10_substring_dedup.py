@@ -416,12 +416,12 @@ def _round(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """
     lead = rows.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "spots")).alias("lead"), F.max("doc_id").alias("high")).where("lead.doc_id < high")
     place = F.shiftright(F.expr("get(lead.spots, cast(pmod(xxhash64(key), size(lead.spots)) as int))"), 24).cast("int")
-    lead = scratch.hold(lead.select("key", F.col("lead.doc_id").alias("a"), F.col("lead.mark").alias("am"), place.alias("lead")))
+    lead = lead.select("key", F.col("lead.doc_id").alias("a"), F.col("lead.mark").alias("am"), place.alias("lead"))
     pairs = rows.join(lead, "key").where("doc_id > a OR mark <> am OR size(spots) > 1")
     pairs = pairs.groupBy("a", "am", F.col("doc_id").alias("b"), F.col("mark").alias("bm")).agg(F.collect_list(F.struct("lead", "spots")).alias("anchors"))
-    pairs = scratch.hold(pairs)
+    pairs = scratch.keep(pairs, "pairs")
     held = scratch.keep(_verify(pairs, docs), "held")
-    scratch.drop(pairs, lead)
+    scratch.drop(pairs)
     return held
 
 
@@ -433,10 +433,10 @@ def passages(docs: DataFrame, scratch: Scratch, units: DataFrame, windows: DataF
     """
     nodes = units.select("doc_id", "mark", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("spots").alias("spot"))))
     shared = nodes.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    shared = scratch.hold(shared)  # a stage of its own, so that the join can split hot keys
     own = nodes.join(shared, "key").groupBy("doc_id", "mark").agg(F.collect_list("key").alias("keys"), F.collect_list("spot").alias("spots"))
     rows = scratch.keep(overlaps_table(own), "overlaps")
-    scratch.drop(windows, shared)
+    del nodes, shared, own
+    scratch.drop(windows)
     found = []
     while True:
         held = _round(rows, docs, scratch)
