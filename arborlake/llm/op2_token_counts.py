@@ -3,15 +3,18 @@
 A text is normalised and cut into pre-tokens as the tokenizer file says. The pre-tokens that a
 bounded memo lacks are held as one ragged numpy array of symbols; in each step every sequence merges
 all occurrences of its own lowest-rank pair at once, until no sequence has a pair that the file
-lists. What is left of a sequence is its number of tokens.
+lists. What is left of a sequence is its number of tokens. A sequence of more than LONG symbols takes
+the same steps by itself, over its pairs' places grouped by rank, so that a step costs what it merges
+and not the length of the sequence.
 
 Defined cases: a null text is empty and has no tokens; an empty table gives no rows; rows are counted
-one by one, so repeated rows return as often as they came; long texts are cut nowhere; extra columns
-are not read.
+one by one, so repeated rows return as often as they came; long texts and long words are cut nowhere;
+of overlapping pairs of one rank, the only ties, the first is merged; extra columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from functools import lru_cache
 
@@ -28,10 +31,18 @@ from .common import small_batches, table
 TOKEN_LIMIT = 2048
 #: Pre-tokens whose counts a worker remembers.
 MEMO = 200_000
+#: Bytes beyond which a pre-token is merged by itself and not remembered.
+LONG = 512
 
 _NONE = np.iinfo(np.int64).max
 
 
+def _every_other(beside: np.ndarray) -> np.ndarray:
+    """Which places are taken: of overlapping ones, as in "aaa", the first, third and so on. beside: whether each but the first overlaps the one before."""
+    i = np.arange(len(beside) + 1)
+    return (i - np.maximum.accumulate(np.where(np.append(True, ~beside), i, 0))) % 2 == 0
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -65,6 +76,55 @@ class RankCounter:
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.memo: dict[str, int] = {}
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of symbols."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return np.where(self.key[at] == key, self.rank[at], _NONE)
+
+    def merged_length(self, word: str) -> int:
+        """The number of symbols left of one word, which is not empty."""
+        buf = np.frombuffer(word.encode("utf-8"), np.uint8)
+        n = left = len(buf)
+        sym = self.inner[buf]
+        sym[-1] = self.last[buf[-1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n)  # neighbours still there; n is the end
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), _NONE)  # of the pair that begins at a place
+        heap: list[int] = []
+        places: dict[int, list[np.ndarray]] = {}
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != _NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            edges = [0, *(np.flatnonzero(np.diff(rank[at])) + 1).tolist(), len(at)]
+            for i, j in zip(edges, edges[1:]):
+                if i < j:
+                    r = int(rank[at[i]])
+                    if r not in places:
+                        heapq.heappush(heap, r)
+                    places.setdefault(r, []).append(at[i:j])
+
+        wait(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            at = at[_every_other(after[at[:-1]] == at[1:])]
+            gone = after[at]
+            sym[at], after[at] = self.made[r], after[gone]
+            before[after[at]] = at
+            rank[gone] = _NONE
+            left -= len(at)
+            near = np.concatenate((before[at], at))
+            near = np.unique(near[near >= 0])
+            rank[near] = _NONE
+            inner = near[after[near] < n]
+            rank[inner] = self.ranks(sym[inner], sym[after[inner]])
+            wait(inner)
+        return left
+
     def merged_lengths(self, words: list[str]) -> np.ndarray:
         """The number of symbols left of each word (none is empty)."""
         data = [w.encode("utf-8") for w in words]
@@ -76,22 +136,16 @@ class RankCounter:
         out = np.zeros(len(words), np.int64)
         while len(sym):
             same = seq[1:] == seq[:-1]
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            rank = np.where(same & (self.key[at] == key), self.rank[at], _NONE)
-            rank = np.append(rank, _NONE)
+            rank = np.append(np.where(same, self.ranks(sym[:-1], sym[1:]), _NONE), _NONE)
             starts = np.flatnonzero(np.append(True, ~same))
             least = np.minimum.reduceat(rank, starts)
             size = np.diff(np.append(starts, len(sym)))
             done = least == _NONE
             out[seq[starts[done]]] = size[done]
             hit = (rank != _NONE) & (rank == np.repeat(least, size))
-            # of overlapping occurrences, as in "aaa", the first, third and so on are taken
             run = np.flatnonzero(hit)
             if len(run):
-                head = np.append(True, np.diff(run) > 1)
-                odd = (run - run[np.maximum.accumulate(np.where(head, np.arange(len(run)), 0))]) & 1
-                run = run[odd == 0]
+                run = run[_every_other(np.diff(run) == 1)]
             sym[run] = self.made[rank[run]]
             stay = ~np.repeat(done, size)
             stay[run + 1] = False
@@ -119,9 +173,16 @@ class RankCounter:
             self.memo.clear()
         memo = self.memo
         new = list(set().union(*parts).difference(memo))
+        long = [w for w in new if len(w) * 4 > LONG and len(w.encode("utf-8")) > LONG]
+        if long:
+            new = list(set(new).difference(long))
         if new:
             memo.update(zip(new, self.merged_lengths(new).tolist()))
-        return [n + sum(map(memo.__getitem__, p)) for n, p in zip(fixed, parts)]
+        memo.update((w, self.merged_length(w)) for w in long)
+        out = [n + sum(map(memo.__getitem__, p)) for n, p in zip(fixed, parts)]
+        for w in long:  # so that the memo's size in bytes is bounded too
+            del memo[w]
+        return out
 
 
 _PLAIN = regex.compile("[\u0000-įı-ɏ]*+").fullmatch

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import pytest
@@ -76,6 +77,23 @@ def test_merging_takes_all_lowest_pairs_at_once():
             s[i : i + 2] = [ranks[s[i], s[i + 1]][1]]
 
     assert c.merged_lengths(words).tolist() == [slow(w) for w in words]
+    assert [c.merged_length(w) for w in words] == c.merged_lengths(words).tolist()
+
+
+def test_long_words_take_the_same_steps():
+    """Words beyond LONG against the library, and how long a word of a million letters takes."""
+    from tokenizers import Tokenizer
+
+    path = PT.path("word_bpe_49k.json")
+    c, library, rng = op2_token_counts.RankCounter(path), Tokenizer.from_file(path), random.Random(3)
+    words = ["a" * 513, "a" * 5000, "ab" * 700, "the" * 999, "中é" * 400]
+    words += ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in (op2_token_counts.LONG, op2_token_counts.LONG + 1, 20_000)]
+    for w in words:
+        assert c.counts([f"{w} x {w}"]) == [len(library.encode(f"{w} x {w}", add_special_tokens=False).ids)]
+    assert not [w for w in c.memo if len(w) > op2_token_counts.LONG]
+    began = time.perf_counter()
+    c.counts(["".join(rng.choice("etaoinshr") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
 
 
 def test_byte_bpe_round_trip(spark, table):
