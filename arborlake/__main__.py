@@ -41,7 +41,7 @@ def compare_report(before, after, say) -> None:
     for kind in ("added", "removed", "changed"):
         for r in snapshot.change_texts(snapshot.top(rest, kind)).collect():
             say(f"  {kind}: {r.full_path} ({r.delta_text})")
-    for r in moved.orderBy(F.desc("size_bytes"), "old_path").limit(20).collect():
+    for r in moved.orderBy(*snapshot.order_of("moved")).limit(20).collect():
         say(f"  {r.move_kind.lower()}: {r.old_path} -> {r.new_path}")
     rest.unpersist()
     moved.unpersist()

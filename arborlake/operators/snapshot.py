@@ -92,7 +92,10 @@ def net_delta(rest: DataFrame) -> DataFrame:
 
 
 def order_of(kind: str) -> list[Column]:
-    """Added by new size, removed by old, changed by the size of the change; ties in the order of the walk."""
+    """Added by new size, removed by old, changed by the size of the change, ties in the order of the walk;
+    moved (the rows of moves) by size, ties by the old path."""
+    if kind == "moved":
+        return [F.desc("size_bytes"), F.col("old_path")]
     by = {"added": F.col("new_bytes"), "removed": F.col("old_bytes"), "changed": F.abs("delta_bytes")}[kind]
     return [by.desc(), F.col("traversal_ord")]
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import uuid
+from pathlib import Path
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,10 +17,10 @@ from ..operators import duplicates as dup
 from ..operators import overview, rename, rollup, search, similar, snapshot, treemap
 from ..operators.search import SearchCriteria
 from ..sinks import export, snapshots
-from ..sources import adapters
+from ..sources import adapters, fsnodes
 from ..sources.adapters import EVENT_CUTS, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
 from . import oracle as Q
-from .scratch import shared_dir
+from .scratch import Scratch, shared_dir
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -418,10 +422,83 @@ def export_csv_rows(spark, d):
     "export_html_rows",
     f"""WITH {Q.ORDERS}, t AS (SELECT sum(size_bytes) AS t FROM nodes), s AS (SELECT *, {Q.points("size_bytes", "t")} AS bp FROM nodes, t)
     SELECT name, full_path, CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS kind, size_bytes, {Q.size_text("size_bytes")} AS size_text,
-      ((bp + 5) // 10 // 10)::VARCHAR || '.' || ((bp + 5) // 10 % 10)::VARCHAR AS percent_text, bp AS bar_bp, file_count FROM s""",
+      ((bp + 5) // 10 // 10)::VARCHAR || '.' || ((bp + 5) // 10 % 10)::VARCHAR AS percent_text, bp AS bar_bp, file_count, coalesce(strftime(modified_utc, '%Y-%m-%d %H:%M'), '—') AS modified_text FROM s""",
 )
 def export_html_rows(spark, d):
-    return export.html_rows(orders_tree(spark, d)).drop("traversal_ord")
+    return export.html_rows(orders_tree(spark, d)).drop("traversal_ord", "is_directory")
+
+
+# a planted tree, scanned
+
+#: path, content and last change in seconds; a path that ends in a slash is a folder. The link leads to a folder and is left out.
+_PLANTED = [
+    ("alpha.txt", b"a" * 1024, 1_700_000_000), ("beta, 2.log", b"b" * 1536, 1_700_000_060), ("copy.txt", b"a" * 1024, 1_600_000_000), ("near.txt", b"a" * 1023 + b"x", 1_700_000_000),
+    ("empty/", None, 0), ("nested/", None, 0), ("nested/deep/", None, 0), ("nested/zero.bin", b"", 1_700_000_000), ("nested/zero2.bin", b"", 1_700_000_000), ("nested/deep/say \"hi\".md", b"c" * 10, 1_700_000_000),
+    ("nested/deep/head1", b"h" * 4096 + b"1", 1_700_000_000), ("nested/deep/head2", b"h" * 4096 + b"2", 1_700_000_000), ("nested/copy & <more>.txt", b"a" * 1024, 1_650_000_000),
+]
+_PLANTED_LINK = ("link", "nested")
+
+
+def _planted(spark, made):
+    """What `made` returns of a folder in the shared folder with the planted tree, written to a scratch table before the tree goes."""
+    root = Path(urlparse(shared_dir(spark)).path) / "arborlake" / f"planted-{uuid.uuid4().hex}"
+    try:
+        root.mkdir(parents=True)
+        for path, content, when in _PLANTED:
+            if content is None:
+                (root / path).mkdir()
+            else:
+                (root / path).write_bytes(content)
+                os.utime(root / path, (when, when))
+        (root / _PLANTED_LINK[0]).symlink_to(root / _PLANTED_LINK[1], target_is_directory=True)
+        return Scratch(spark).keep(made(str(root)), "planted")
+    finally:
+        shutil.rmtree(root, ignore_errors=True)
+
+
+def _planted_sql():
+    """The planted tree's nodes: full_path, is_directory, size_bytes, file_count, depth and the seconds of files."""
+    files = [(f"/{p}", len(c), t) for p, c, t in _PLANTED if c is not None]
+    folders = ["", *(f"/{p[:-1]}" for p, c, _ in _PLANTED if c is None)]
+    f = ", ".join(f"('{p}', {n}, {t})" for p, n, t in files)
+    g = ", ".join(f"('{p}')" for p in folders)
+    return f"""f(full_path, size_bytes, s) AS (VALUES {f}), g(p) AS (VALUES {g}),
+    planted AS (SELECT full_path, false AS is_directory, size_bytes::BIGINT AS size_bytes, 1::BIGINT AS file_count, s FROM f
+    UNION ALL SELECT CASE WHEN p = '' THEN '/' ELSE p END, true, coalesce(sum(size_bytes), 0)::BIGINT, count(full_path), NULL FROM g LEFT JOIN f ON starts_with(full_path, p || '/') GROUP BY p)"""
+
+
+@_register("scan_local_tree", f"WITH {_planted_sql()} SELECT full_path, is_directory, size_bytes, CASE WHEN is_directory THEN file_count END AS files_below, s AS seconds, false AS access_denied FROM planted")
+def scan_local_tree(spark, d):
+    folder = F.col("is_directory")
+    return _planted(spark, lambda root: fsnodes.scan(spark, root).select(
+        "full_path", "is_directory", "size_bytes", F.when(folder, F.col("file_count")).alias("files_below"), F.when(~folder, F.unix_timestamp("modified_utc")).alias("seconds"), "access_denied"
+    ))
+
+
+@_register(
+    "duplicates_local_files",
+    "SELECT * FROM (VALUES " + ", ".join(f"('/{p}', 1024::BIGINT, {n}, {'true' if n > 1 else 'false'})" for n, p in enumerate(("copy.txt", "nested/copy & <more>.txt", "alpha.txt"), 1)) + ") t(full_path, size_bytes, rank, selected)",
+)
+def duplicates_local_files(spark, d):
+    def made(root):
+        files = fsnodes.scan(spark, root).where("NOT is_directory").select("full_path", "size_bytes", "modified_utc")
+        return dup.keep_plan(fsnodes.duplicates(files, root)).select("full_path", "size_bytes", "rank", "selected")
+
+    return _planted(spark, made)
+
+
+@_register(
+    "export_local_names",
+    f"""WITH {_planted_sql()}, n AS (SELECT *, regexp_extract(full_path, '[^/]*$') AS name FROM planted WHERE full_path <> '/')
+    SELECT full_path, CASE WHEN regexp_matches(name, '[,"]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END AS csv_name,
+      replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html_name FROM n""",
+)
+def export_local_names(spark, d):
+    def made(root):
+        nodes = fsnodes.scan(spark, root).where("full_path <> '/'")
+        return nodes.select("full_path", fmt.csv_cell(F.col("name")).alias("csv_name"), fmt.html_escape(F.col("name")).alias("html_name"))
+
+    return _planted(spark, made)
 
 
 # small helpers on literals

@@ -58,7 +58,8 @@ def html_rows(nodes: DataFrame, total: int | None = None) -> DataFrame:
     share = _share(total)
     return nodes.select(
         fmt.html_escape(F.col("name")).alias("name"), fmt.html_escape(F.col("full_path")).alias("full_path"), fmt.type_label(F.col("is_directory")).alias("kind"), "size_bytes",
-        fmt.format_bytes(F.col("size_bytes")).alias("size_text"), fmt.percent_text(share, 1).alias("percent_text"), fmt.bar_width(share, 100).alias("bar_bp"), "file_count", "traversal_ord",
+        fmt.format_bytes(F.col("size_bytes")).alias("size_text"), fmt.percent_text(share, 1).alias("percent_text"), fmt.bar_width(share, 100).alias("bar_bp"), "file_count",
+        fmt.modified_text(F.col("modified_utc")).alias("modified_text"), "is_directory", "traversal_ord",
     )
 
 
@@ -66,9 +67,10 @@ def write_html(nodes: DataFrame, path: str, title: str = "Scan report", total: i
     """One HTML file, streamed through the driver row by row."""
     count = nodes.count()
     with Path(path).open("w", encoding="utf-8") as f:
-        f.write(f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head>\n<body><h1>{html.escape(title)}</h1>\n<p>{count} items</p>\n<table>\n")
-        f.write("<tr><th>Name</th><th>Path</th><th>Type</th><th>Size</th><th>Share</th><th>Files</th></tr>\n")
+        f.write(f"<!DOCTYPE html>\n<html><head><meta charset='utf-8'><title>{html.escape(title)}</title><style>tr.folder td:first-child{{font-weight:bold}}</style></head>\n<body><h1>{html.escape(title)}</h1>\n<p>{count} items</p>\n<table>\n")
+        f.write("<tr><th>Name</th><th>Path</th><th>Type</th><th>Size</th><th>Share</th><th>Files</th><th>Last modified (UTC)</th></tr>\n")
         for r in html_rows(nodes, total).orderBy(*by_size()).toLocalIterator(prefetchPartitions=True):
             bar = f"<div style='width:{r.bar_bp / 100:.2f}%'></div>"
-            f.write(f"<tr><td>{r.name}</td><td>{r.full_path}</td><td>{r.kind}</td><td>{r.size_text}</td><td>{bar}{r.percent_text}%</td><td>{r.file_count}</td></tr>\n")
+            row = "<tr class='folder'>" if r.is_directory else "<tr>"
+            f.write(f"{row}<td>{r.name}</td><td>{r.full_path}</td><td>{r.kind}</td><td>{r.size_text}</td><td>{bar}{r.percent_text}%</td><td>{r.file_count}</td><td>{r.modified_text}</td></tr>\n")
         f.write("</table></body></html>\n")

@@ -1,7 +1,7 @@
 """A data source that lists a file system: spark.read.format("fsnodes").option("path", root).load()
 
-The driver lists the first levels until there are enough folders to deal out; each task walks its own
-sub-trees. Options: path, followLinks (false), partitions (64).
+The driver looks for folders level by level until there are enough to deal out, and keeps no files; tasks list
+the files of these levels and walk their own sub-trees. Options: path, followLinks (false), partitions (64).
 """
 
 from __future__ import annotations
@@ -48,6 +48,15 @@ def list_folder(path: str, follow: bool):
     return files, folders, True
 
 
+def subfolders(path: str, follow: bool) -> list[str]:
+    """The folders that list_folder gives, without a look at the files."""
+    try:
+        with os.scandir(path) as entries:
+            return [e.path for e in entries if e.is_dir(follow_symlinks=True) and (follow or not e.is_symlink())]
+    except OSError:
+        return []
+
+
 def folder_row(path: str, opened: bool):
     try:
         when = datetime.fromtimestamp(os.stat(path).st_mtime)
@@ -57,8 +66,8 @@ def folder_row(path: str, opened: bool):
 
 
 class _Part(InputPartition):
-    def __init__(self, rows, roots):
-        self.rows, self.roots = rows, roots
+    def __init__(self, tops, roots):
+        self.tops, self.roots = tops, roots
 
 
 class _Reader(DataSourceReader):
@@ -73,18 +82,17 @@ class _Reader(DataSourceReader):
         self.n = int(options.get("partitions", 64))
 
     def partitions(self):
-        rows, level = [], [self.root]
+        tops, level = [], [self.root]
         while level and len(level) < self.n:
-            below = []
-            for folder in level:
-                files, folders, opened = list_folder(folder, self.follow)
-                rows += [folder_row(folder, opened), *files]
-                below += folders
-            level = below
-        return [_Part(rows, []), *(_Part([], level[i :: self.n]) for i in range(min(self.n, len(level))))]
+            tops += level
+            level = [below for folder in level for below in subfolders(folder, self.follow)]
+        return [_Part(tops[i :: self.n], level[i :: self.n]) for i in range(min(self.n, max(len(tops), len(level))))]
 
     def read(self, partition):
-        yield from partition.rows
+        for folder in partition.tops:
+            files, _, opened = list_folder(folder, self.follow)
+            yield folder_row(folder, opened)
+            yield from files
         seen, stack = set(), list(partition.roots)
         while stack:
             folder = stack.pop()

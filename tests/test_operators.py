@@ -287,6 +287,7 @@ def test_scan_exports_and_command_line(spark, tmp_path):
     assert lines[0] == ",".join(export.CSV_COLUMNS) and any('"q""u,o<te&.bin"' in x for x in lines) and len(lines) == 1 + len(got)
     page = (tmp_path / "o.html").read_text()
     assert "q&quot;u,o&lt;te&amp;.bin" in page and f"{len(got)} items" in page
+    assert "Last modified (UTC)" in page and page.count("<tr class='folder'>") == sum(folder for _, _, folder in got.values())
     (root / "beta.log").rename(root / "moved.log")
     assert cli.main(["--scan", str(root), "--snapshot-compare", store], spark) == 0
     assert cli.main(["--scan", str(root / "none"), "--snapshot-save", store], spark) == 2
