@@ -64,7 +64,7 @@ def least_agreement(similarity: int = SIMILARITY, chance: float = 1e-6) -> int:
 
 
 def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (of the whole set), parts (the partial keys), mins (a byte of each minhash)."""
+    """doc_id, mark (a hash of the text), n_shingles, h1 and h2 (of the whole set), parts (the partial keys), mins (a byte of each minhash)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -86,11 +86,11 @@ def sketches(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             lists = _lists(parts.ravel(), np.arange(len(texts) + 1) * 2 * M)
             mins = pa.array([x.tobytes() for x in (mix(low) & np.uint64(255)).astype(np.uint8)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1.astype(np.int64, casting="unsafe")), pa.array(h2.astype(np.int64, casting="unsafe")), lists, mins],
-                ["doc_id", "n_shingles", "h1", "h2", "parts", "mins"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(h1.astype(np.int64, casting="unsafe")), pa.array(h2.astype(np.int64, casting="unsafe")), lists, mins],
+                ["doc_id", "mark", "n_shingles", "h1", "h2", "parts", "mins"],
             )
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, n_shingles bigint, h1 bigint, h2 bigint, parts array<bigint>, mins binary")
+    return small_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("mark"))).mapInArrow(run, f"doc_id {id_type}, mark bigint, n_shingles bigint, h1 bigint, h2 bigint, parts array<bigint>, mins binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
@@ -120,8 +120,8 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int = SHINGLE, similarity
     return small_batches(both).mapInArrow(run, f"a {id_type}, b {id_type}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per row of docs."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, similarity: int = SIMILARITY, marked: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per row of docs; if marked, also mark, the xxhash64 of the text, which tells the texts of one id apart."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sketch = scratch.keep(sketches(docs, width), "sketches")
@@ -156,9 +156,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # rows of one id may have several sets, so sets are named by the component of their representative, and ids by the least of these
     named = sets.join(label, "id", "left").select("h1", "h2", "n_shingles", F.coalesce("component", "id").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
+    out = sketch.select("doc_id", "mark", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", *["mark"] * marked, "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _text_sets(texts: list[bytes], width: int):
