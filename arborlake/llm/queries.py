@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op10_substring_dedup, op13_filter_audit, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
+from . import op1_quality_rules, op10_substring_dedup, op11_merkle_manifest, op13_filter_audit, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_byte_bpe": op8_byte_bpe.query,
         "op9_url_filters": op9_url_filters.query,
         "op10_substring_dedup": op10_substring_dedup.query,
+        "op11_merkle_manifest": op11_merkle_manifest.query,
         "op13_filter_audit": op13_filter_audit.query,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": op4_decontamination.SQL,
         "op6_license_scans": op6_license_scans.sql(),
         "op9_url_filters": op9_url_filters.sql(),
+        "op11_merkle_manifest": op11_merkle_manifest.sql(),
         "op13_filter_audit": op13_filter_audit.SQL,
     }
