@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_quality_rules, op10_substring_dedup, op11_merkle_manifest, op13_filter_audit, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
+from . import op1_quality_rules, op10_substring_dedup, op11_merkle_manifest, op12_ngram_join, op13_filter_audit, op2_token_counts, op3_minhash_dedup, op4_decontamination, op5_quality_crf, op6_license_scans, op7_language_id, op8_byte_bpe, op9_url_filters
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_url_filters": op9_url_filters.query,
         "op10_substring_dedup": op10_substring_dedup.query,
         "op11_merkle_manifest": op11_merkle_manifest.query,
+        "op12_ngram_join": op12_ngram_join.query,
         "op13_filter_audit": op13_filter_audit.query,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scans": op6_license_scans.sql(),
         "op9_url_filters": op9_url_filters.sql(),
         "op11_merkle_manifest": op11_merkle_manifest.sql(),
+        "op12_ngram_join": op12_ngram_join.SQL,
         "op13_filter_audit": op13_filter_audit.SQL,
     }
