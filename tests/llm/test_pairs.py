@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import DATA
 
-from arborlake.llm import chunks, op3_minhash_dedup, op10_substring_dedup
+from arborlake.llm import chunks, op3_minhash_dedup, op10_substring_dedup, op12_ngram_join
 
 from .conftest import ODD, edited, prose
 
@@ -326,3 +326,91 @@ def test_pipeline(spark, tmp_path):
     assert out["substring_dedup"][10_004].n_chars == len(out["substring_dedup"][10_004].text)
     whole = {r.doc_id: r for r in cp.run(spark, str(tmp_path)).collect()}
     assert whole == out["byte_bpe"]
+
+
+# the n-gram join
+
+
+def chains(seed):
+    """Groups whose members are linked in chains, short texts around a common line, copies, odd texts."""
+    rng = random.Random(seed)
+    texts = [*ODD, *ODD[-2:]]
+    line = prose(rng, 12)
+    for _ in range(5):
+        base = prose(rng, rng.randrange(60, 220))
+        texts += [base, base.upper(), base]
+        for _ in range(14):  # each an edit of one before
+            texts.append(edited(rng, rng.choice(texts[-8:]), rng.randrange(0, 3)))
+    texts += [f"{line} {prose(rng, rng.randrange(0, 5))}" for _ in range(50)]
+    texts += [f"{prose(rng, rng.randrange(0, 4))} {line} {prose(rng, rng.randrange(0, 3))}" for _ in range(30)]
+    rng.shuffle(texts)
+    return texts
+
+
+def brute_links(texts, similarity):
+    sets, near = [(i, shingle_set(t)) for i, t in texts], {}
+    for i, _ in sets:
+        near.setdefault(i, i)
+
+    def top(x):
+        while near[x] != x:
+            x = near[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(sets, 2):
+        if a and b and 100 * len(a & b) >= similarity * len(a | b):
+            x, y = top(i), top(j)
+            near[max(x, y)] = min(x, y)
+    return {i: top(i) for i in near}
+
+
+@pytest.mark.parametrize("seed, similarity", [(1, 85), (2, 85), (3, 70), (4, 95)])
+def test_ngram_join(table, seed, similarity):
+    texts = chains(seed)
+    got = {r.doc_id: r for r in op12_ngram_join.ngram_join(table(texts), similarity=similarity).collect()}
+    assert {i: r.component_id for i, r in got.items()} == brute_links(list(enumerate(texts)), similarity)
+    assert all(got[i].n_shingles == len(shingle_set(t)) for i, t in enumerate(texts))
+
+
+def test_ngram_join_on_odd_rows(table):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(9, base), (9, base), (7, base + " end"), (None, base), (5, None), (5, ""), (3, "a b"), (2, "A  B"), (4, "b a"), (4, base + " END")]
+    got = sorted(map(tuple, op12_ngram_join.ngram_join(table(rows)).collect()), key=str)
+    assert got == sorted([(9, 37, 4), (9, 37, 4), (7, 38, 4), (None, 37, None), (5, 0, 5), (5, 0, 5), (3, 1, 2), (2, 1, 2), (4, 1, 4), (4, 38, 4)], key=str)
+    assert op12_ngram_join.ngram_join(table(ODD).limit(0)).count() == 0
+
+
+def test_prefixes_of_linked_sets_meet_under_every_order(table):
+    """Similar sets share a token of the first prefix and a mark of each other order."""
+    rng = random.Random(9)
+    bases = [prose(rng, rng.randrange(8, 300)) for _ in range(40)]
+    texts = [t for b in bases for t in (b, edited(rng, b, rng.randrange(0, 4)))]
+    frequency = np.array([rng.randrange(256) for _ in range(op12_ngram_join.CELLS)], np.uint8)
+    found = op12_ngram_join.prefixes(table(texts), frequency, 4, 85).collect()
+    by_id = {bytes(r.id): r for r in found}
+    names = {}
+    for t in texts:
+        sh, _, at = op12_ngram_join._sets([t.encode()], 4)
+        names[t] = op12_ngram_join._names(sh, at)[0].tobytes()
+    linked = 0
+    for a, b in itertools.combinations(sorted(set(texts)), 2):
+        x, y = shingle_set(a), shingle_set(b)
+        if x and y and 100 * len(x & y) >= 85 * len(x | y):
+            linked += 1
+            r, s = by_id[names[a]], by_id[names[b]]
+            assert all(set(r[c]) & set(s[c]) for c in ("tokens", "mark1", "mark2"))
+            assert len(r.tokens) == len(x) - -(-len(x) * 85 // 100) + 1
+    assert linked > 10
+
+
+def test_a_hot_bucket_takes_three_rounds(spark, table, monkeypatch):
+    """The number of confirmations does not grow with a bucket."""
+    calls = []
+    real = op12_ngram_join.verified
+    monkeypatch.setattr(op12_ngram_join, "verified", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(op12_ngram_join, "SLICE", 7)
+    rng = random.Random(5)
+    line = prose(rng, 30)
+    texts = [f"{line} {prose(rng, rng.randrange(0, 6))}" for _ in range(150)]
+    got = {r.doc_id: r.component_id for r in op12_ngram_join.ngram_join(table(texts)).collect()}
+    assert got == brute_links(list(enumerate(texts)), 85) and len(calls) <= 3
