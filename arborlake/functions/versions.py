@@ -39,7 +39,7 @@ def manifest_fields(xml: Column) -> Column:
     version, url, about = map(field, ("version", "url", "about"))
     root = F.xpath_boolean(inside, F.lit("/all/appinfo"))
     error = (
-        F.when(~ok | (roots != 1), "not well-formed").when(~root, "no appinfo element").when(version.isNull(), "no version").when(url.isNull(), "no url").when(version_parts(version).isNull(), "not a version")
+        F.when(~ok | (roots != 1), "not well-formed").when(~root, "no appinfo element").when(version.isNull(), "no version").when(version_parts(version).isNull(), "not a version").when(url.isNull(), "no url")
     )
     return F.struct(version.alias("version"), url.alias("url"), about.alias("about"), error.alias("error"))
 
@@ -48,12 +48,24 @@ def manifest_fields(xml: Column) -> Column:
 FULL_CONTROL, MODIFY, READ_EXECUTE, WRITE, READ = 0x1F01FF, 0x301BF, 0x200A9, 0x116, 0x20089
 
 
+#: Names of single rights, by their bits.
+RIGHTS = {
+    0x1: "ReadData", 0x2: "WriteData", 0x4: "AppendData", 0x8: "ReadExtendedAttributes", 0x10: "WriteExtendedAttributes", 0x20: "ExecuteFile",
+    0x40: "DeleteSubdirectoriesAndFiles", 0x80: "ReadAttributes", 0x100: "WriteAttributes", 0x10000: "Delete", 0x20000: "ReadPermissions",
+    0x40000: "ChangePermissions", 0x80000: "TakeOwnership", 0x100000: "Synchronize",
+}
+
+
 def rights_label(mask: Column) -> Column:
-    """`Full control` or `Modify`, else reading and writing rights side by side, else `Special`."""
+    """`Full control` or `Modify`, else reading and writing rights side by side; any other mask as the names of its
+    rights, or as a number if it has bits without a name or none at all."""
     has = lambda bits: mask.bitwiseAND(F.lit(bits)) == bits
     reads = F.when(has(READ_EXECUTE), "Read & execute").when(has(READ), "Read")
     both = F.concat_ws(", ", reads, F.when(has(WRITE), "Write"))
-    return F.when(has(FULL_CONTROL), "Full control").when(has(MODIFY), "Modify").when(both != "", both).otherwise("Special")
+    names = F.concat_ws(", ", *(F.when(has(bit), name) for bit, name in RIGHTS.items()))
+    named = (mask.bitwiseAND(F.lit(~sum(RIGHTS))) == 0) & (mask != 0)
+    raw = F.when(named, names).otherwise(mask.cast("string"))
+    return F.when(has(FULL_CONTROL), "Full control").when(has(MODIFY), "Modify").when(both != "", both).otherwise(raw)
 
 
 def acl_order() -> list[Column]:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import uuid
-from pathlib import Path
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -18,9 +15,9 @@ from ..operators import overview, rename, rollup, search, similar, snapshot, tre
 from ..operators.search import SearchCriteria
 from ..sinks import export, snapshots
 from ..sources import adapters, fsnodes
-from ..sources.adapters import EVENT_CUTS, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
+from ..sources.adapters import EVENT_CUTS, deep_files, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
 from . import oracle as Q
-from .scratch import Scratch, shared_dir
+from .scratch import Scratch, local_shared_dir, shared_dir
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -428,123 +425,111 @@ def export_html_rows(spark, d):
     return export.html_rows(orders_tree(spark, d)).drop("traversal_ord", "is_directory")
 
 
-# a planted tree, scanned
+# trees of files made from the documents, scanned
 
-#: path, content and last change in seconds; a path that ends in a slash is a folder. The link leads to a folder and is left out.
-_PLANTED = [
-    ("alpha.txt", b"a" * 1024, 1_700_000_000), ("beta, 2.log", b"b" * 1536, 1_700_000_060), ("copy.txt", b"a" * 1024, 1_600_000_000), ("near.txt", b"a" * 1023 + b"x", 1_700_000_000),
-    ("empty/", None, 0), ("nested/", None, 0), ("nested/deep/", None, 0), ("nested/zero.bin", b"", 1_700_000_000), ("nested/zero2.bin", b"", 1_700_000_000), ("nested/deep/say \"hi\".md", b"c" * 10, 1_700_000_000),
-    ("nested/deep/head1", b"h" * 4096 + b"1", 1_700_000_000), ("nested/deep/head2", b"h" * 4096 + b"2", 1_700_000_000), ("nested/copy & <more>.txt", b"a" * 1024, 1_650_000_000),
-]
-_PLANTED_LINK = ("link", "nested")
 
-
-def _planted(spark, made):
-    """What `made` returns of a folder in the shared folder with the planted tree, written to a scratch table before the tree goes."""
-    root = Path(urlparse(shared_dir(spark)).path) / "arborlake" / f"planted-{uuid.uuid4().hex}"
+def _planted(spark, files, made):
+    """What `made` returns of a folder in the shared folder with these files, written to a scratch table before they go."""
+    root = f"{local_shared_dir(spark)}/arborlake/planted-{uuid.uuid4().hex}"
     try:
-        root.mkdir(parents=True)
-        for path, content, when in _PLANTED:
-            if content is None:
-                (root / path).mkdir()
-            else:
-                (root / path).write_bytes(content)
-                os.utime(root / path, (when, when))
-        (root / _PLANTED_LINK[0]).symlink_to(root / _PLANTED_LINK[1], target_is_directory=True)
-        return Scratch(spark).keep(made(str(root)), "planted")
+        fsnodes.create_files(files, root)
+        return Scratch(spark).keep(made(root), "planted")
     finally:
         shutil.rmtree(root, ignore_errors=True)
 
 
-def _planted_sql():
-    """The planted tree's nodes: full_path, is_directory, size_bytes, file_count, depth and the seconds of files."""
-    files = [(f"/{p}", len(c), t) for p, c, t in _PLANTED if c is not None]
-    folders = ["", *(f"/{p[:-1]}" for p, c, _ in _PLANTED if c is None)]
-    f = ", ".join(f"('{p}', {n}, {t})" for p, n, t in files)
-    g = ", ".join(f"('{p}')" for p in folders)
-    return f"""f(full_path, size_bytes, s) AS (VALUES {f}), g(p) AS (VALUES {g}),
-    planted AS (SELECT full_path, false AS is_directory, size_bytes::BIGINT AS size_bytes, 1::BIGINT AS file_count, s FROM f
-    UNION ALL SELECT CASE WHEN p = '' THEN '/' ELSE p END, true, coalesce(sum(size_bytes), 0)::BIGINT, count(full_path), NULL FROM g LEFT JOIN f ON starts_with(full_path, p || '/') GROUP BY p)"""
+_DEEP_FILES = r"""SELECT '/' || lang || '/' || source || '/' || CASE WHEN doc_id % 3 = 0 THEN regexp_replace(doc_id::VARCHAR, '(\d)', '\1/', 'g') ELSE '' END || doc_id || '.txt' AS full_path,
+  octet_length(encode(text))::BIGINT AS size_bytes, make_timestamp((1704067200 + doc_id * 7919 % 1000 * 3600) * 1000000) AS modified_utc FROM documents"""
 
 
-@_register("scan_local_tree", f"WITH {_planted_sql()} SELECT full_path, is_directory, size_bytes, CASE WHEN is_directory THEN file_count END AS files_below, s AS seconds, false AS access_denied FROM planted")
+@_register(
+    "scan_local_tree",
+    f"WITH {Q.tree(_DEEP_FILES)} SELECT full_path, is_directory, size_bytes, CASE WHEN is_directory THEN file_count END AS files_below, CASE WHEN NOT is_directory THEN epoch(modified_utc)::BIGINT END AS seconds, false AS access_denied FROM nodes",
+)
 def scan_local_tree(spark, d):
+    """A tree as skewed as languages and sources are, a third of it as deep as ids have digits; files have sizes but no content."""
     folder = F.col("is_directory")
-    return _planted(spark, lambda root: fsnodes.scan(spark, root).select(
+    return _planted(spark, deep_files(spark, d), lambda root: fsnodes.scan(spark, root).select(
         "full_path", "is_directory", "size_bytes", F.when(folder, F.col("file_count")).alias("files_below"), F.when(~folder, F.unix_timestamp("modified_utc")).alias("seconds"), "access_denied"
     ))
 
 
-@_register(
-    "duplicates_local_files",
-    "SELECT * FROM (VALUES " + ", ".join(f"('/{p}', 1024::BIGINT, {n}, {'true' if n > 1 else 'false'})" for n, p in enumerate(("copy.txt", "nested/copy & <more>.txt", "alpha.txt"), 1)) + ") t(full_path, size_bytes, rank, selected)",
-)
+@_register("duplicates_local_files", f"WITH {_DUP} SELECT full_path, size_bytes, rank, rank > 1 AS selected FROM dups")
 def duplicates_local_files(spark, d):
+    """The documents as files on disk, read by size, first bytes and whole digest."""
+
     def made(root):
         files = fsnodes.scan(spark, root).where("NOT is_directory").select("full_path", "size_bytes", "modified_utc")
         return dup.keep_plan(fsnodes.duplicates(files, root)).select("full_path", "size_bytes", "rank", "selected")
 
-    return _planted(spark, made)
+    return _planted(spark, documents_files(spark, d), made)
+
+
+#: Names with quotes, commas, breaks and markup, in words that both dialects read alike.
+_ODD_NAME = """CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN concat('say "', page_id, '", twice') WHEN 2 THEN concat('<', url, '> & more') ELSE concat('line', chr(10), page_id) END"""
 
 
 @_register(
     "export_local_names",
-    f"""WITH {_planted_sql()}, n AS (SELECT *, regexp_extract(full_path, '[^/]*$') AS name FROM planted WHERE full_path <> '/')
-    SELECT full_path, CASE WHEN regexp_matches(name, '[,"]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END AS csv_name,
+    rf"""WITH n AS (SELECT page_id, {_ODD_NAME} AS name FROM pages)
+    SELECT page_id, CASE WHEN regexp_matches(name, '[,"\n\r]') THEN '"' || replace(name, '"', '""') || '"' ELSE name END AS csv_name,
       replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS html_name FROM n""",
 )
 def export_local_names(spark, d):
-    def made(root):
-        nodes = fsnodes.scan(spark, root).where("full_path <> '/'")
-        return nodes.select("full_path", fmt.csv_cell(F.col("name")).alias("csv_name"), fmt.html_escape(F.col("name")).alias("html_name"))
+    rows = adapters.table(spark, d, "pages").selectExpr("page_id", f"{_ODD_NAME} AS name")
+    return rows.select("page_id", fmt.csv_cell(F.col("name")).alias("csv_name"), fmt.html_escape(F.col("name")).alias("html_name"))
 
-    return _planted(spark, made)
 
+# versions, manifests and rights, made from the tables
 
-# small helpers on literals
-
-_VERSIONS = [("2.0.0.0", "1.0.0.0"), ("1.0", "1.0.0.0"), ("0.9", "1.0"), ("1.4.0", "1.4.0.0"), ("1.5", "1.4.0.0"), ("1", "0.9"), ("x.y", "1.0")]
+_OFFERED = "concat_ws('.', CASE WHEN o_orderkey % 13 = 5 THEN 'x' ELSE concat(o_custkey % 3) END, concat(o_orderkey % 4), CASE WHEN o_orderkey % 2 = 0 THEN concat(o_custkey % 5) END)"
+_RUNNING = "concat_ws('.', concat(o_orderkey % 3), CASE WHEN o_custkey % 7 <> 1 THEN concat(o_custkey % 4) END, CASE WHEN o_custkey % 7 <> 1 THEN '0' END)"
 
 
 @_register(
     "version_compare",
-    "WITH v(offered, running) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _VERSIONS) + r"""),
+    f"WITH v AS (SELECT o_orderkey, {_OFFERED} AS offered, {_RUNNING} AS running FROM orders)"
+    + r""",
     p AS (SELECT *, list_transform(list_concat(string_split(offered, '.'), ['0', '0', '0'])[1:4], lambda x: try_cast(x AS INTEGER)) AS o, list_transform(list_concat(string_split(running, '.'), ['0', '0', '0'])[1:4], lambda x: try_cast(x AS INTEGER)) AS r,
       regexp_matches(offered, '^\d+(\.\d+){1,3}$') AND regexp_matches(running, '^\d+(\.\d+){1,3}$') AS ok FROM v)
-    SELECT offered, running, ok AND o > r AS newer FROM p""",
-)
+    SELECT o_orderkey, offered, running, ok AND o > r AS newer FROM p""",
+)
 def version_compare(spark, d):
-    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("offered"), F.lit(b).alias("running")) for a, b in _VERSIONS))))
+    rows = adapters.table(spark, d, "orders").selectExpr("o_orderkey", f"{_OFFERED} AS offered", f"{_RUNNING} AS running")
     return rows.withColumn("newer", versions.is_newer(F.col("offered"), F.col("running")))
 
 
-_MANIFESTS = [  # the document, and what is read from it
-    ("<appinfo><version> 1.5 </version><url>https://a.example</url><about/></appinfo>", "1.5", "https://a.example", None, None),
-    ("<appinfo><version>1.0</version><url>u</url><about> text </about></appinfo>", "1.0", "u", "text", None),
-    ("<appinfo><url>u</url></appinfo>", None, "u", None, "no version"),
-    ("<appinfo><version>1.0</version></appinfo>", "1.0", None, None, "no url"),
-    ("<appinfo><version>x</version><url>u</url></appinfo>", "x", "u", None, "not a version"),
-    ("<other/>", None, None, None, "no appinfo element"),
-    ("not xml", None, None, None, "not well-formed"),
-    ("<appinfo><version>1.0</version><url>u", None, None, None, "not well-formed"),
-    ("<appinfo><version>1.0</url></appinfo>", None, None, None, "not well-formed"),
-    ("<appinfo/><appinfo/>", None, None, None, "not well-formed"),
-    ("", None, None, None, "not well-formed"),
-]
-_LITERAL = lambda v: "NULL" if v is None else f"'{v}'"
+_MASKS = [versions.FULL_CONTROL, versions.MODIFY, versions.READ_EXECUTE, versions.WRITE, versions.READ, *versions.RIGHTS]
+_ONE_MASK = lambda c: f"CASE {c} % {len(_MASKS)} " + " ".join(f"WHEN {k} THEN {m}" for k, m in enumerate(_MASKS)) + " END"
+_MASK = f"({_ONE_MASK('o_custkey')} | {_ONE_MASK('o_orderkey')} | CASE WHEN o_orderkey % 17 = 3 THEN 512 ELSE 0 END)"
+_HAS = lambda bits: f"(mask & {bits}) = {bits}"
 
 
-_RIGHTS = [(0x1F01FF, "Full control"), (0x301BF, "Modify"), (0x201BF, "Read & execute, Write"), (0x200A9, "Read & execute"), (0x2019F, "Read, Write"), (0x20089, "Read"), (0x116, "Write"), (1, "Special")]
+@_register(
+    "rights_labels",
+    f"""WITH m AS (SELECT o_orderkey, {_MASK} AS mask FROM orders)
+    SELECT o_orderkey, mask::INTEGER AS mask, CASE WHEN {_HAS(versions.FULL_CONTROL)} THEN 'Full control' WHEN {_HAS(versions.MODIFY)} THEN 'Modify'
+      WHEN {_HAS(versions.READ_EXECUTE)} AND {_HAS(versions.WRITE)} THEN 'Read & execute, Write' WHEN {_HAS(versions.READ_EXECUTE)} THEN 'Read & execute'
+      WHEN {_HAS(versions.READ)} AND {_HAS(versions.WRITE)} THEN 'Read, Write' WHEN {_HAS(versions.READ)} THEN 'Read' WHEN {_HAS(versions.WRITE)} THEN 'Write'
+      WHEN (mask & 512) = 0 THEN concat_ws(', ', {", ".join(f"CASE WHEN {_HAS(b)} THEN '{n}' END" for b, n in versions.RIGHTS.items())}) ELSE mask::VARCHAR END AS label FROM m""",
+)
+def rights_labels(spark, d):
+    rows = adapters.table(spark, d, "orders").selectExpr("o_orderkey", f"CAST({_MASK} AS INT) AS mask")
+    return rows.withColumn("label", versions.rights_label(F.col("mask")))
 
 
-@_register("rights_labels", "SELECT * FROM (VALUES " + ", ".join(f"({m}, '{t}')" for m, t in _RIGHTS) + ") t(mask, label)")
-def rights_labels(spark, d):
-    rows = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m, _ in _RIGHTS))).alias("mask"))
-    return rows.select("mask", versions.rights_label(F.col("mask")).alias("label"))
+_MANIFEST = """CASE page_id % 8 WHEN 0 THEN '<other/>' WHEN 1 THEN concat('page ', page_id) WHEN 2 THEN concat('<appinfo><version>1.', page_id, '</url></appinfo>') ELSE
+  concat('<appinfo>', CASE page_id % 8 WHEN 3 THEN '' WHEN 4 THEN concat('<version>v', page_id, '</version>') ELSE concat('<version> ', page_id, '.0 </version>') END,
+  CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('<url>', replace(replace(url, '&', '&amp;'), '<', '&lt;'), '</url>') END, CASE WHEN page_id % 2 = 0 THEN '<about/>' ELSE concat('<about> page ', page_id, ' </about>') END, '</appinfo>') END"""
 
 
-@_register("manifest_parse", "SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_LITERAL, m))})" for m in _MANIFESTS) + ") t(xml, version, url, about, error)")
+@_register(
+    "manifest_parse",
+    """SELECT page_id, CASE WHEN k > 3 THEN CASE WHEN k = 4 THEN 'v' || page_id ELSE page_id || '.0' END END AS version, CASE WHEN k > 2 AND page_id % 3 <> 0 THEN url END AS url,
+      CASE WHEN k > 2 AND page_id % 2 = 1 THEN 'page ' || page_id END AS about,
+      CASE WHEN k = 0 THEN 'no appinfo element' WHEN k < 3 THEN 'not well-formed' WHEN k = 3 THEN 'no version' WHEN k = 4 THEN 'not a version' WHEN page_id % 3 = 0 THEN 'no url' END AS error
+    FROM (SELECT *, page_id % 8 AS k FROM pages)""",
+)
 def manifest_parse(spark, d):
-    texts = [m[0] for m in _MANIFESTS]
-    rows = spark.range(1).select(F.explode(F.array(*map(F.lit, texts))).alias("xml"))
-    return rows.select("xml", versions.manifest_fields(F.col("xml")).alias("m")).select("xml", "m.*")
+    rows = adapters.table(spark, d, "pages").selectExpr("page_id", f"{_MANIFEST} AS xml")
+    return rows.select("page_id", versions.manifest_fields(F.col("xml")).alias("m")).select("page_id", "m.*")

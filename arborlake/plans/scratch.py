@@ -6,6 +6,7 @@ import atexit
 import gc
 import time
 import uuid
+from urllib.parse import urlparse
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,14 @@ def shared_dir(spark: SparkSession) -> str:
     return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
 
 
+def local_shared_dir(spark: SparkSession) -> str:
+    """The shared folder as a path that tasks can open; ValueError if it is not in a mounted file system."""
+    found = urlparse(shared_dir(spark))
+    if found.scheme not in ("", "file"):
+        raise ValueError(f"files can be made in a mounted file system only, not in {found.scheme}:")
+    return found.path
+
+
 class Scratch:
     """Tables written to the shared folder. They outlive lost executors and cut the lineage.
 

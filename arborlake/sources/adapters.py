@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
 from ..operators.rollup import build_nodes
 
 
@@ -40,6 +41,14 @@ def documents_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """/lang/source/doc_id.txt, a third of them below a folder for each digit of the id."""
+    files = documents_files(spark, sf_dir).drop("content")
+    number = F.col("doc_id").cast("string")
+    folders = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace(number, r"(\d)", "$1/")).otherwise("")
+    return files.withColumn("full_path", F.concat(P.parent_of(F.col("full_path")), F.lit("/"), folders, number, F.lit(".txt")))
+
+
 def documents_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_nodes(documents_files(spark, sf_dir).drop("content"), None, "documents")
 

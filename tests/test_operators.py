@@ -275,7 +275,7 @@ def test_scan_exports_and_command_line(spark, tmp_path):
     assert got["/"] == (4097, 5, True) and got["/nested/empty"] == (0, 0, True) and "/link" not in got
     find = lambda **k: search.search(nodes, search.SearchCriteria(**k)).count()
     assert find(extensions=[".txt"], include_directories=False) == 3 and find(min_size=2048, include_directories=False) == 0
-    assert {r.full_path for r in duplicates.duplicate_files(fsnodes.with_content(nodes.where("NOT is_directory").select("full_path", "size_bytes", "modified_utc"), str(root))).collect()} == {"/alpha.txt", "/beta.log", "/gamma.txt", "/nested/delta.txt"}
+    assert {r.full_path for r in fsnodes.duplicates(nodes.where("NOT is_directory"), str(root)).collect()} == {"/alpha.txt", "/beta.log", "/gamma.txt", "/nested/delta.txt"}
     with pytest.raises(Exception, match="no such folder"):
         fsnodes.scan(spark, str(root / "none")).count()
     store = str(tmp_path / "store")

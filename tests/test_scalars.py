@@ -97,4 +97,30 @@ def test_manifests_and_versions(spark):
     assert field("<appinfo><version>x</version><url>u</url></appinfo>").error == "not a version"
     assert one(spark, versions.rights_label(F.lit(0x1F01FF))) == "Full control"
     assert one(spark, versions.rights_label(F.lit(0x20089))) == "Read"
-    assert one(spark, versions.rights_label(F.lit(1))) == "Special"
+    assert one(spark, versions.rights_label(F.lit(1))) == "ReadData"
+    assert one(spark, versions.rights_label(F.lit(0x10021))) == "ReadData, ExecuteFile, Delete"
+    assert one(spark, versions.rights_label(F.lit(0x201001))) == "2101249" and one(spark, versions.rights_label(F.lit(0))) == "0"
+    assert field("<appinfo><version>x</version></appinfo>").error == "not a version"
+    for xml, want in MANIFESTS:
+        assert tuple(field(xml)) == want
+    for offered, running, newer in VERSIONS:
+        assert one(spark, versions.is_newer(F.lit(offered), F.lit(running))) == newer
+    for mask, label in RIGHTS:
+        assert one(spark, versions.rights_label(F.lit(mask))) == label
+
+
+RIGHTS = [(0x1F01FF, "Full control"), (0x301BF, "Modify"), (0x201BF, "Read & execute, Write"), (0x200A9, "Read & execute"), (0x2019F, "Read, Write"), (0x20089, "Read"), (0x116, "Write")]
+VERSIONS = [("2.0.0.0", "1.0.0.0", True), ("1.0", "1.0.0.0", False), ("0.9", "1.0", False), ("1.4.0", "1.4.0.0", False), ("1.5", "1.4.0.0", True), ("1", "0.9", False), ("x.y", "1.0", False)]
+MANIFESTS = [
+    ("<appinfo><version> 1.5 </version><url>https://a.example</url><about/></appinfo>", ("1.5", "https://a.example", None, None)),
+    ("<appinfo><version>1.0</version><url>u</url><about> text </about></appinfo>", ("1.0", "u", "text", None)),
+    ("<appinfo><url>u</url></appinfo>", (None, "u", None, "no version")),
+    ("<appinfo><version>1.0</version></appinfo>", ("1.0", None, None, "no url")),
+    ("<appinfo><version>x</version><url>u</url></appinfo>", ("x", "u", None, "not a version")),
+    ("<other/>", (None, None, None, "no appinfo element")),
+    ("not xml", (None, None, None, "not well-formed")),
+    ("<appinfo><version>1.0</version><url>u", (None, None, None, "not well-formed")),
+    ("<appinfo><version>1.0</url></appinfo>", (None, None, None, "not well-formed")),
+    ("<appinfo/><appinfo/>", (None, None, None, "not well-formed")),
+    ("", (None, None, None, "not well-formed")),
+]
