@@ -7,11 +7,13 @@ into, of fixed size at any scale; it makes the candidates, in an equi-join on pr
 and place. The other orders are of unrelated hashes; a candidate that shares no prefix token under each of them is
 dropped before any text is fetched. What is left is confirmed on full sets.
 
-Equal sets are collapsed first and named by a 128-bit hash. The classes of linked sets then take three rounds,
-whatever the buckets hold: (1) in each bucket all sets are held against a hub, the one whose buckets are the
-largest, so a group of copies is a star; (2) in buckets that still hold several classes, against the hub of those
-outside the largest class; (3) in those that still do, every set outside the largest class is held against all
-others of other classes. In round 3 a bucket's sets are cut into slices by hash, and each of these meets each slice
+Equal sets are collapsed first, by a 128-bit hash; a 64-bit one of that names them from there on, under the first
+seed that gives no two sets one name. The classes of linked sets then take three rounds, whatever the buckets hold:
+(1) in each bucket all sets are held against a hub, the one with the fewest rarer shingles, which of a group of
+edited copies is the one nearest its middle, so the group is a star; (2) in buckets that still hold several classes,
+against the hub of those outside the largest class; (3) in those that still do, every set outside the largest class is held against all
+others of other classes. A bucket whose shingle the table shows to be no frequent one is bounded, and is dealt to a
+task as it is; rows of frequent shingles are added up before they are shuffled, and joined. In round 3 a bucket's sets are cut into slices by hash, and each of these meets each slice
 in a task of its own, so a hot bucket is many tasks; only pairs within the bounds leave the join. The bounds also
 say that of a pair one set is light (its place is small against its size), so a bucket without a light set has no
 pair left. Nothing is capped or sampled.
@@ -29,19 +31,26 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.components import components
 from .chunks import NOT_SPACE, mix, shingles, text_chunks, word_hashes
-from .common import Scratch, only, small_batches, table
+from .common import Scratch, join_checked, only, small_batches, table
 
 SHINGLE, SIMILARITY = 4, 85
 #: Counters of the frequency table, and how many of them make a row of it.
 CELLS, BLOCK = 1 << 20, 1 << 14
 #: Global orders: one by frequency, the others by hash.
 ORDERS = 3
+#: A shingle is frequent if its cell counts more than this and than so many times the mean.
+FREQUENT, TIMES = 10_000, 4
+#: Names of sets that a task recalls, to give copies once.
+RECALLED = 100_000
 #: Rows of a bucket that meet a set of it in one task.
 SLICE = 2_000
+#: Up to so many pairs of numbers are broadcast.
+LABELS = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(12))
 _XOR = _rng.integers(0, 2**63, ORDERS, dtype=np.uint64)
@@ -75,7 +84,7 @@ def _binary(names: np.ndarray) -> pa.Array:
 
 
 def sets_and_counts(docs: DataFrame, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, id) of each document, id naming its set; and (block, counts) of the frequency table, one row a block.
+    """(doc_id, n, name) of each document, name being of its set; and (block, counts) of the frequency table, one row a block.
 
     docs: doc_id, text. One pass over the texts; a task adds up its own counts before it sends them.
     """
@@ -89,11 +98,11 @@ def sets_and_counts(docs: DataFrame, width: int, scratch: Scratch) -> tuple[Data
             sh, _, at = _sets(texts, width)
             counts += np.bincount((sh >> np.uint64(44)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             ids, n = batch.column(0), len(texts)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), _binary(_names(sh, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "id", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), _binary(_names(sh, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "name", "block", "counts"])
         if ids is not None and counts.any():
             blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
             k = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], ["doc_id", "n", "id", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], ["doc_id", "n", "name", "block", "counts"])
 
     def add(left: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.uint64)
@@ -101,50 +110,76 @@ def sets_and_counts(docs: DataFrame, width: int, scratch: Scratch) -> tuple[Data
             total += np.frombuffer(c, np.uint32)
         return pa.table({"block": left.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    both = small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n bigint, id binary, block int, counts binary")
+    both = small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n bigint, name binary, block int, counts binary")
     both = scratch.keep(both, "sets")
     counts = both.where("block IS NOT NULL").select("block", "counts")
-    return both.where("block IS NULL").select("doc_id", "n", "id"), counts.groupBy("block").applyInArrow(add, "block int, counts binary")
+    return both.where("block IS NULL").select("doc_id", "n", "name"), counts.groupBy("block").applyInArrow(add, "block int, counts binary")
 
 
-def frequency_table(counts: DataFrame) -> np.ndarray:
-    """A byte for each cell: its count on a logarithmic scale. The table has CELLS bytes at any scale."""
+def frequency_table(counts: DataFrame) -> tuple[np.ndarray, int]:
+    """A byte for each cell, its count on a logarithmic scale, and the byte from which a shingle is frequent. The table
+    has CELLS bytes at any scale."""
     out = np.zeros(CELLS, np.uint64)
     for block, c in counts.collect():  # CELLS / BLOCK rows
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(bytes(c), np.uint64)
-    return np.minimum(np.log2(out + 1.0) * 6, 255).astype(np.uint8)
+    scale = lambda c: np.minimum(np.log2(c + 1.0) * 6, 255).astype(np.uint8)
+    return scale(out), int(scale(max(FREQUENT, TIMES * out.mean())))
 
 
 def prefix_length(n, similarity: int):
     return n - -(-n * similarity // 100) + 1
 
 
-def prefixes(docs: DataFrame, frequency: np.ndarray, width: int, similarity: int) -> DataFrame:
-    """id, n, tokens (the prefix under the first order, in order) and marks (for each other order, the prefix as sorted 32-bit hashes)."""
+def prefixes(docs: DataFrame, frequency: tuple[np.ndarray, int], width: int, similarity: int) -> DataFrame:
+    """name, n, tokens (the prefix under the first order, in order), plain (how many of them are no frequent ones; these
+    come first) and marks (for each other order, the prefix as 32-bit hashes). A task gives a set once, if it recalls it."""
     shared = docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches):
-        cells = shared.value
+        (cells, limit), recalled = shared.value, set()
         for _, texts in text_chunks(batches, "text"):
             sh, owner, at = _sets(texts, width)
-            n = np.diff(at)
-            x = np.arange(len(sh)) - at[:-1][owner]
-            first = x < prefix_length(n, similarity)[owner]
+            n, names, rows = np.diff(at), _names(sh, at), []
+            for d in np.flatnonzero(n > 0):
+                name = names[d].tobytes()
+                if name not in recalled:
+                    rows.append(d)
+                    recalled.add(name)
+            if len(recalled) > RECALLED:
+                recalled.clear()
+            rows = np.array(rows, np.int64)
+            first = (np.arange(len(sh)) - at[:-1][owner]) < prefix_length(n, similarity)[owner]
+            wanted = np.zeros(len(n), bool)
+            wanted[rows] = True
+            first &= wanted[owner]
             heads = []
             for k in range(ORDERS):
                 key = mix(sh ^ _XOR[k])
                 if k == 0:  # frequent cells last, then by hash
                     key = cells[sh >> np.uint64(44)].astype(np.uint64) << np.uint64(56) | key >> np.uint64(8)
                 heads.append((sh if k == 0 else key)[np.lexsort((key, owner))][first])
-            rows = np.flatnonzero(n > 0)
-            edge = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(n)))))
-            offsets = pa.array(np.concatenate((edge[rows], edge[-1:])).astype(np.int32))
+            plain = np.bincount(owner[first], weights=cells[heads[0] >> np.uint64(44)] <= limit, minlength=len(n))[rows]
+            edge = np.concatenate(([0], np.cumsum(np.bincount(owner[first], minlength=len(n))[rows])))
+            offsets = pa.array(edge.astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(heads[0].astype(np.int64, casting="unsafe")))]
             lists += [pa.ListArray.from_arrays(offsets, pa.array((h >> np.uint64(32)).astype(np.uint32).astype(np.int32, casting="unsafe"))) for h in heads[1:]]
-            yield pa.RecordBatch.from_arrays([_binary(_names(sh, at)[rows]), pa.array(n[rows], pa.int64()), *lists], ["id", "n", "tokens", *(f"mark{k}" for k in range(1, ORDERS))])
+            yield pa.RecordBatch.from_arrays([_binary(names[rows]), pa.array(n[rows], pa.int32()), pa.array(plain.astype(np.int32)), *lists], ["name", "n", "plain", "tokens", *(f"mark{k}" for k in range(1, ORDERS))])
 
     marks = ", ".join(f"mark{k} array<int>" for k in range(1, ORDERS))
-    return small_batches(docs.select("text")).mapInArrow(run, f"id binary, n bigint, tokens array<bigint>, {marks}")
+    return small_batches(docs.select("text")).mapInArrow(run, f"name binary, n int, plain int, tokens array<bigint>, {marks}")
+
+
+def buckets(heads: DataFrame) -> DataFrame:
+    """key, id, n and x, and the size of the bucket and its hub (lead, m and y), of all tokens that two sets have. heads: id, n, plain, tokens."""
+    rows = heads.select("id", "n", "plain", F.posexplode("tokens").alias("x", "key"))
+    one = F.min("x").alias("x")
+    plain = rows.where("x < plain").select("key", "id", "n", "x").repartition("key").groupBy("key", "id", "n").agg(one)
+    whole = W.partitionBy("key").orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    plain = plain.withColumns({"size": F.count("*").over(whole), "hub": F.first(F.struct("x", "id", "n")).over(whole)}).where("size > 1")
+    frequent = rows.where("x >= plain").groupBy("key", "id", "n").agg(one)
+    hubs = frequent.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("x", "id", "n")).alias("hub")).where("size > 1")
+    both = plain.unionByName(frequent.join(hubs, "key"))
+    return both.select("key", "id", "n", "x", "size", F.col("hub.id").alias("lead"), F.col("hub.n").alias("m"), F.col("hub.x").alias("y"))
 
 
 def _bounded(similarity: int):
@@ -162,78 +197,92 @@ def intersected(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return both.where(functools.reduce(lambda p, q: p & q, (F.arrays_overlap(f"{c}a", f"{c}b") for c in names))).select("a", "b")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The (a, b) whose full sets are similar enough. texts: id, text of one document of each set."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, width: int, similarity: int) -> DataFrame:
+    """The (a, b) whose full sets are similar enough.
+
+    reps: id, rep and name. The set of an id is that of its document rep; if that has rows with several texts, the name
+    tells which. Up to LABELS pairs go to where the texts of b are; texts of a, which are few if a are hubs, follow them.
+    """
+    side = lambda s: reps.select(F.col("id").alias(s), F.col("rep").alias(f"doc{s}"), F.col("name").alias(f"name{s}"))
+    named = pairs.join(side("a"), "a").join(side("b"), "b")
+    text = lambda s: docs.select(F.col("doc_id").alias(f"doc{s}"), F.col("text").alias(f"t{s}"))
+    both = join_checked(text("b"), named, "docb", "inner", LABELS)
+    heads = only(docs, named.select(F.col("doca").alias("doc_id")), LABELS).select(F.col("doc_id").alias("doca"), F.col("text").alias("ta"))
+    both = both.join(heads, "doca").select("a", "b", "namea", "nameb", "ta", "tb")
 
     def run(batches):
         for batch, tb in text_chunks(batches, "tb"):
-            ta = batch.column(2).cast(pa.large_binary()).to_pylist()
+            ta = batch.column(4).cast(pa.large_binary()).to_pylist()
             where: dict[bytes, int] = {}
             rows = [(where.setdefault(x, len(where)), where.setdefault(y, len(where))) for x, y in zip(ta, tb)]
             sh, _, at = _sets(list(where), width)
+            names = [x.tobytes() for x in _names(sh, at)]
             keep = []
-            for x, y in rows:
+            for (x, y), na, nb in zip(rows, batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 n = (at[x + 1] - at[x]) + (at[y + 1] - at[y])
                 both = len(np.intersect1d(sh[at[x] : at[x + 1]], sh[at[y] : at[y + 1]], assume_unique=True))
-                keep.append(both > 0 and 100 * both >= similarity * (n - both))
+                keep.append(names[x] == na and names[y] == nb and both > 0 and 100 * both >= similarity * (n - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(both).mapInArrow(run, "a binary, b binary")
+    return small_batches(both).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 class _Join:
-    """The rounds over one table of prefix rows."""
+    """The rounds over one table of buckets."""
 
-    def __init__(self, rows, marks, texts, width, similarity, scratch):
-        self.rows, self.marks, self.texts = rows, marks, texts
+    def __init__(self, rows, heads, docs, reps, width, similarity, scratch):
+        self.rows, self.heads, self.docs, self.reps = rows, heads, docs, reps
         self.width, self.similarity, self.scratch = width, similarity, scratch
         self.label = None
 
-    def named(self) -> DataFrame:
-        if self.label is None:
-            return self.rows.withColumn("label", F.col("id"))
-        return self.rows.join(self.label, "id", "left").select(*self.rows.columns, F.coalesce("component", "id").alias("label"))
+    def named(self, rows: DataFrame) -> DataFrame:
+        """The rows with the class of each."""
+        rows = rows.select("key", "id", "n", "x")
+        return join_checked(rows, self.label, "id", "left", LABELS).select("key", "id", "n", "x", F.coalesce("component", "id").alias("label"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of lead and id, in any order and repeated at will, to confirmed links."""
-        pairs = pairs.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-        pairs = self.scratch.keep(intersected(pairs, self.marks), "pairs")
-        return self.scratch.keep(verified(pairs, self.texts, self.width, self.similarity), "links")
+        """Pairs of lead and id, repeated at will, to confirmed links."""
+        pairs = self.scratch.keep(pairs.select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+        marks, ids = self.heads.drop("n", "plain", "tokens", "name"), pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        marks = marks.join(F.broadcast(ids), "id", "left_semi") if ids.limit(LABELS + 1).count() <= LABELS else marks
+        marks = marks.groupBy("id").agg(*(F.any_value(c).alias(c) for c in marks.columns if c != "id"))
+        both = self.scratch.keep(intersected(pairs, marks), "intersected")
+        out = self.scratch.keep(verified(both, self.docs, self.reps, self.width, self.similarity), "links")
+        self.scratch.drop(pairs, both)
+        return out
 
     def merge(self, links: DataFrame) -> None:
         edges = links
         if self.label is not None:
             edges = edges.union(self.label.select(F.col("id").alias("a"), F.col("component").alias("b")))
         self.label = components(edges, self.scratch)
+        self.scratch.drop(links)
 
-    def split(self, named: DataFrame) -> DataFrame:
-        """key and major (the largest class) of buckets that hold several classes and a light row."""
+    def split(self, rows: DataFrame) -> DataFrame:
+        """The rows, with label, major (the largest class) and size, of buckets that hold several classes and a light row."""
+        named = self.scratch.keep(self.named(rows), "named")
         light = (100 + self.similarity) * F.col("x") <= (100 - self.similarity) * F.col("n")
         parts = named.groupBy("key", "label").agg(F.count("*").alias("rows"), F.max(light).alias("light"))
         split = parts.groupBy("key").agg(F.max(F.struct("rows", "label"))["label"].alias("major"), F.count("*").alias("labels"), F.max("light").alias("light"), F.sum("rows").alias("size"))
-        return split.where("labels > 1 AND light").select("key", "major", "size")
-
-    def star(self, rest: DataFrame, of: DataFrame) -> None:
-        """Holds the rows of each bucket against the hub of some of them."""
-        hub = of.groupBy("key").agg(F.max(F.struct("hub", "id", "n", "x", "label")).alias("r"))
-        hub = hub.select("key", F.col("r.id").alias("lead"), F.col("r.n").alias("m"), F.col("r.x").alias("y"), F.col("r.label").alias("other"))
-        self.merge(self.links(rest.join(hub, "key").where((F.col("label") != F.col("other")) & _bounded(self.similarity))))
+        rest = self.scratch.keep(named.join(split.where("labels > 1 AND light").select("key", "major", "size"), "key"), "rest")
+        self.scratch.drop(named)
+        return rest
 
     def classes(self) -> DataFrame:
         """(id, component) of all sets that are linked with another."""
-        self.star(self.named(), self.named())
-        named = self.named()
-        rest = self.scratch.keep(named.join(self.split(named), "key"), "rest")
+        bounded = _bounded(self.similarity)
+        self.merge(self.links(self.rows.where((F.col("id") != F.col("lead")) & bounded)))
+        rest = self.split(self.rows)
+        self.scratch.drop(self.rows)
         if rest.isEmpty():
             return self.label
-        self.star(rest, rest.where("label <> major"))
-        self.rows = rest.drop("label", "major", "size")
-        named = self.named()
-        rest = self.scratch.keep(named.join(self.split(named), "key"), "rest")
-        if not rest.isEmpty():
-            self.merge(self.links(self.across(rest)))
+        hub = rest.where("label <> major").groupBy("key").agg(F.min(F.struct("x", "id", "n", "label")).alias("r"))
+        hub = hub.select("key", F.col("r.id").alias("lead"), F.col("r.n").alias("m"), F.col("r.x").alias("y"), F.col("r.label").alias("other"))
+        self.merge(self.links(rest.join(hub, "key").where((F.col("label") != F.col("other")) & bounded)))
+        last = self.split(rest)
+        self.scratch.drop(rest)
+        if not last.isEmpty():
+            self.merge(self.links(self.across(last)))
         return self.label
 
     def across(self, rest: DataFrame) -> DataFrame:
@@ -250,41 +299,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     sets, counts = sets_and_counts(docs, width, scratch)
     own = sets.where("n > 0 AND doc_id IS NOT NULL")
-    # a document of each set, whose text stands for it; prefixes of copies fall together by the set's name
-    reps = scratch.keep(own.groupBy("id").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n")), "reps")
+    # a document of each set, whose text stands for it
+    reps = scratch.keep(own.groupBy("name").agg(F.min("doc_id").alias("rep")), "reps")
+    seed = 0
+    while not reps.groupBy(F.xxhash64("name", F.lit(seed))).count().where("count > 1").isEmpty():
+        seed += 1
+    reps = reps.withColumn("id", F.xxhash64("name", F.lit(seed)))
     heads = scratch.keep(prefixes(docs.where("text IS NOT NULL AND doc_id IS NOT NULL"), frequency_table(counts), width, similarity), "prefixes")
-    rows = heads.select("id", "n", F.posexplode("tokens").alias("x", "key")).groupBy("key", "id", "n").agg(F.min("x").alias("x"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = scratch.keep(rows.join(shared, "key"), "rows")
-    hubs = rows.groupBy("id").agg(F.sum("size").alias("hub"))
-    rows = scratch.keep(rows.drop("size").join(hubs, "id"), "hubs")
-    marks = heads.join(hubs, "id", "left_semi").groupBy("id").agg(*(F.any_value(f"mark{k}").alias(f"mark{k}") for k in range(1, ORDERS)))
-    marks = scratch.keep(marks, "marks")
-    # texts are fetched for sets that share a token with another one only
-    some = scratch.keep(reps.join(hubs, "id", "left_semi").select(F.col("rep").alias("doc_id"), "id"), "some")
-    texts = only(docs.where("text IS NOT NULL"), some.select("doc_id")).join(some, "doc_id")
-    texts = scratch.keep(_own_texts(texts, width), "texts")
-    label = _Join(rows, marks, texts, width, similarity, scratch).classes()
-    least = reps.join(label, "id", "left").select("id", "rep", F.coalesce("component", "id").alias("component"))
-    least = least.join(least.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select("id", "component_id")
-    out = sets.join(least, "id", "left")
+    heads = heads.withColumn("id", F.xxhash64("name", F.lit(seed)))
+    rows = scratch.keep(buckets(heads), "buckets")
+    scratch.drop()
+
+    texts = docs.where("text IS NOT NULL AND doc_id IS NOT NULL")
+    label = _Join(rows, heads, texts, reps, width, similarity, scratch).classes()
+    least = join_checked(reps, label, "id", "left", LABELS).select("name", "rep", F.coalesce("component", "id").alias("component"))
+    first = least.groupBy("component").agg(F.min("rep").alias("component_id"))
+    out = sets.join(least.join(first, "component").select("name", "component_id"), "name", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _own_texts(texts: DataFrame, width: int) -> DataFrame:
-    """id and text, once for each id; rows of one document with several texts are told apart by their sets. texts: text, id."""
-
-    def run(batches):
-        for batch, data in text_chunks(batches, "text"):
-            sh, _, at = _sets(data, width)
-            names = _names(sh, at)
-            same = [x.tobytes() == y for x, y in zip(names, batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_()))
-
-    return small_batches(texts.select("id", "text")).mapInArrow(run, "id binary, text string").dropDuplicates(["id"])
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 

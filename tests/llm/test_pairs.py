@@ -386,8 +386,8 @@ def test_prefixes_of_linked_sets_meet_under_every_order(table):
     bases = [prose(rng, rng.randrange(8, 300)) for _ in range(40)]
     texts = [t for b in bases for t in (b, edited(rng, b, rng.randrange(0, 4)))]
     frequency = np.array([rng.randrange(256) for _ in range(op12_ngram_join.CELLS)], np.uint8)
-    found = op12_ngram_join.prefixes(table(texts), frequency, 4, 85).collect()
-    by_id = {bytes(r.id): r for r in found}
+    found = op12_ngram_join.prefixes(table(texts), (frequency, 40), 4, 85).collect()
+    by_id = {bytes(r.name): r for r in found}
     names = {}
     for t in texts:
         sh, _, at = op12_ngram_join._sets([t.encode()], 4)
@@ -399,6 +399,7 @@ def test_prefixes_of_linked_sets_meet_under_every_order(table):
             linked += 1
             r, s = by_id[names[a]], by_id[names[b]]
             assert all(set(r[c]) & set(s[c]) for c in ("tokens", "mark1", "mark2"))
+            assert r.plain == sum(frequency[(t % 2**64) >> 44] <= 40 for t in r.tokens)
             assert len(r.tokens) == len(x) - -(-len(x) * 85 // 100) + 1
     assert linked > 10
 
