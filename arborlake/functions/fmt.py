@@ -17,13 +17,14 @@ def format_bytes(size: Column) -> Column:
     The unit is chosen before rounding (1048575 is `1024 KB`), and sums stay exact over all longs.
     """
     n = F.abs(size.cast(_WIDE))
-    out = F.concat(n.cast("string"), F.lit(" B"))
+    unit, name = F.lit(1).cast(_WIDE), F.lit(UNITS[0])
     for k in range(1, len(UNITS)):
-        unit = F.lit(1024**k).cast(_WIDE)
-        hundredths = F.floor((n * 200 + unit) / (unit * 2)).cast(_WIDE)
-        whole, rest = F.floor(hundredths / 100).cast("bigint"), (hundredths % 100).cast("int")
-        decimals = F.when(rest == 0, "").when(rest % 10 == 0, F.concat(F.lit("."), (rest / 10).cast("int").cast("string"))).otherwise(F.concat(F.lit("."), F.lpad(rest.cast("string"), 2, "0")))
-        out = F.when(n >= unit, F.concat(whole.cast("string"), decimals, F.lit(f" {UNITS[k]}"))).otherwise(out)
+        at = F.lit(1024**k).cast(_WIDE)
+        unit, name = F.when(n >= at, at).otherwise(unit), F.when(n >= at, UNITS[k]).otherwise(name)
+    hundredths = F.floor((n * 200 + unit) / (unit * 2)).cast(_WIDE)
+    whole, rest = F.floor(hundredths / 100).cast("bigint"), (hundredths % 100).cast("int")
+    decimals = F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(rest.cast("string"), 2, "0"), "0$", "")))
+    out = F.concat(whole.cast("string"), decimals, F.lit(" "), name)
     return F.concat(F.when(size < 0, "-").otherwise(""), out)
 
 

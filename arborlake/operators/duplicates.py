@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.numbering import HOT_ROWS, rank_within
+from ..plans.scratch import Scratch
 from ..schema import fold, modified_or_unknown
 
 #: Bytes of the first digest.
 PREFIX_BYTES = 4096
+#: Up to so many shared sizes, 8 bytes each, are broadcast; beyond that all files are digested where they are read.
+MOST_SIZES = 1_000_000
 
 
 def size_candidates(files: DataFrame) -> DataFrame:
@@ -19,14 +22,27 @@ def size_candidates(files: DataFrame) -> DataFrame:
     return some.join(shared, "size_bytes", "left_semi")
 
 
-def duplicate_files(files: DataFrame) -> DataFrame:
+def duplicate_files(files: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """full_path, size_bytes, modified_utc and digest of every file that has an equal one.
 
-    files has content (binary; null is unreadable and left out), which is digested where it is read: digests are
-    shuffled, contents never. For files that are not in a table, `fsnodes.duplicates` reads no more than it needs.
+    files has content (binary; null is unreadable and left out). Three stages, each over what the one before left:
+    sizes that two files have, which reads no content; of these files, equal digests of the first 4 KiB; of these, equal
+    digests of all. Both digests are taken in one pass where the content is read, the second one only of files longer
+    than 4 KiB, and written with the path: contents are never shuffled, and no digest is taken twice. For files that
+    are not in a table, `fsnodes.duplicates` reads no more than it needs.
     """
-    some = files.where("content IS NOT NULL").select("full_path", "size_bytes", "modified_utc", F.sha2("content", 256).alias("digest"))
-    return equal_digests(size_candidates(some))
+    scratch = scratch or Scratch(files.sparkSession)
+    columns = ["full_path", "size_bytes", "modified_utc"]
+    sized = files.withColumn("size_bytes", F.octet_length("content").cast("bigint")).where("size_bytes > 0")
+    shared = sized.groupBy("size_bytes").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes")
+    shared = scratch.keep(shared, "sizes")
+    few = shared.limit(MOST_SIZES + 1).count() <= MOST_SIZES
+    some = sized.join(F.broadcast(shared), "size_bytes", "left_semi") if few else sized
+    head = F.sha2(F.substring("content", 1, PREFIX_BYTES), 256)
+    whole = F.when(F.col("size_bytes") <= PREFIX_BYTES, F.col("head")).otherwise(F.sha2("content", 256))
+    digests = scratch.keep(some.withColumn("head", head).select(*columns, "head", whole.alias("digest")), "digests")
+    alike = digests.groupBy("size_bytes", "head").agg(F.count("*").alias("n")).where("n > 1").select("size_bytes", "head")
+    return equal_digests(digests.join(alike, ["size_bytes", "head"], "left_semi").drop("head"))
 
 
 def to_hash(files: DataFrame) -> DataFrame:
@@ -41,10 +57,10 @@ def equal_digests(whole: DataFrame) -> DataFrame:
     return whole.join(groups, ["size_bytes", "digest"]).select(*columns, "digest", "copies")
 
 
-def keep_plan(duplicates: DataFrame) -> DataFrame:
+def keep_plan(duplicates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds rank (the oldest file, then the first path, is 1 and kept) and selected (to be deleted)."""
-    order = W.partitionBy("size_bytes", "digest").orderBy(modified_or_unknown(F.col("modified_utc")), "full_path")
-    return duplicates.withColumn("rank", F.row_number().over(order)).withColumn("selected", F.col("rank") > 1)
+    ranked = rank_within(duplicates, ["size_bytes", "digest"], [modified_or_unknown(F.col("modified_utc")), F.col("full_path")], hot_rows=hot_rows)
+    return ranked.withColumn("selected", F.col("rank") > 1)
 
 
 def groups(duplicates: DataFrame) -> DataFrame:

@@ -6,13 +6,12 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fmt
 from ..functions import paths as P
 from ..functions.patterns import check, replacement
-from ..plans.numbering import number_rows
+from ..plans.numbering import HOT_ROWS, number_rows, rank_within
 from ..schema import fold
 
 
@@ -35,13 +34,20 @@ class RenameOptions:
 EMPTY, COLLIDES, EXISTS = "the new name is empty", "collides with another new name in this batch", "a file with this name exists"
 
 
-def preview(batch: DataFrame, options: RenameOptions, existing: DataFrame | None = None) -> DataFrame:
-    """full_path, ord, new_name, new_path and error of every file. batch: full_path, ord.
+#: A name of nothing but white space is empty.
+BLANKS = r"^[\s\p{Z}]+$"
+
+
+def preview(batch: DataFrame, options: RenameOptions, existing: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """full_path, ord, new_name, new_path and error of every file. batch: full_path, ord and, if known, is_directory;
+    folders are left out.
 
     An empty base name is an error and its path counts for no collision; then of equal new paths (in any
     case) the second and later ones are errors; then paths in `existing` that are not in the batch.
     The counter goes on over errors.
     """
+    if "is_directory" in batch.columns:
+        batch = batch.where(~F.col("is_directory"))
     path = F.col("full_path")
     folder, name = P.parent_of(path), P.name_of(path)
     base, ext = P.base_of(name), P.extension_of(name)
@@ -57,9 +63,9 @@ def preview(batch: DataFrame, options: RenameOptions, existing: DataFrame | None
         counter = fmt.pad_counter(F.lit(options.counter_start) + F.lit(options.counter_step) * (F.col("nth") - 1), options.counter_digits)
     stem = F.concat(F.lit(options.prefix), F.col("base"), F.lit(options.suffix), counter)
     rows = rows.withColumn("stem", stem).withColumn("new_name", F.concat("stem", "ext")).withColumn("new_path", P.combine(F.col("folder"), F.col("new_name")))
-    rows = rows.withColumn("empty", F.trim("stem") == "").withColumn("key", fold(F.col("new_path")))
-    nth = F.row_number().over(W.partitionBy("key", "empty").orderBy("ord"))
-    rows = rows.withColumn("again", ~F.col("empty") & (nth > 1))
+    rows = rows.withColumn("empty", F.regexp_replace("stem", BLANKS, "") == "").withColumn("key", fold(F.col("new_path")))
+    rows = rank_within(rows, ["key", "empty"], [F.col("ord")], "again", hot_rows)
+    rows = rows.withColumn("again", ~F.col("empty") & (F.col("again") > 1))
     taken = F.lit(False)
     if existing is not None:
         others = existing.select(fold(F.col("full_path")).alias("key")).distinct().join(batch.select(fold(F.col("full_path")).alias("key")).distinct(), "key", "left_anti")

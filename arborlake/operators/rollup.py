@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fmt
 from ..functions import paths as P
+from ..plans.scratch import Scratch
 from ..schema import as_nodes
 
 
@@ -81,25 +83,46 @@ def ancestors(nodes: DataFrame, path: str) -> DataFrame:
     return nodes.join(chain.union(folder), "full_path", "left_semi")
 
 
-def remove_nodes(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+#: Up to so many paths are broadcast, some 10 MB.
+MOST_PATHS = 50_000
+
+
+def _narrow(df: DataFrame) -> DataFrame:
+    """The frame, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(MOST_PATHS + 1).count() <= MOST_PATHS else df
+
+
+def remove_nodes(nodes: DataFrame, paths: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """The scan without these nodes and what is below them, totals of the folders above reduced.
 
-    paths: full_path. The root and unknown paths are ignored, and paths below another count once.
+    paths: full_path. The root and unknown paths are ignored, and paths below another count once. The removed tops are
+    held by depth, and a node goes if its ancestor of one of these depths is among them: one anti-join a depth, so no
+    node is multiplied by its ancestors, and with few tops nodes are not shuffled at all. Only folders above a top change.
     """
-    gone = paths.select("full_path").where("full_path <> '/'").distinct().join(nodes.select("full_path", "size_bytes", "file_count"), "full_path")
-    up = gone.select("full_path", F.explode(P.ancestors_of(F.col("full_path"))).alias("above"))
-    nested = up.join(gone.select(F.col("full_path").alias("above")), "above", "left_semi").select("full_path").distinct()
-    top = gone.join(nested, "full_path", "left_anti")
-    loss = top.select(F.explode(P.ancestors_of(F.col("full_path"))).alias("full_path"), "size_bytes", "file_count")
-    loss = loss.groupBy("full_path").agg(F.sum("size_bytes").alias("lost_bytes"), F.sum("file_count").alias("lost_files"))
-    # a node goes if it, or a folder above it, is a removed one
-    chain = nodes.select("full_path", F.explode(F.concat(P.ancestors_of(F.col("full_path")), F.array("full_path"))).alias("above"))
-    below = chain.join(top.select(F.col("full_path").alias("above")), "above", "left_semi").select("full_path").distinct()
-    left = nodes.join(below, "full_path", "left_anti").join(loss, "full_path", "left")
+    scratch = scratch or Scratch(nodes.sparkSession)
+    path = F.col("full_path")
+    gone = paths.select("full_path").where("full_path <> '/'").distinct()
+    gone = scratch.keep(nodes.select("full_path", "size_bytes", "file_count").join(_narrow(gone), "full_path"), "gone")
+    up = gone.select("full_path", F.explode(P.ancestors_of(path)).alias("above"))
+    nested = up.join(gone.select(path.alias("above")), "above", "left_semi").select("full_path").distinct()
+    top = scratch.keep(gone.join(nested, "full_path", "left_anti").withColumn("depth", P.depth_of(path)), "tops")
+    loss = top.select(F.explode(P.ancestors_of(path)).alias("full_path"), "size_bytes", "file_count")
+    loss = scratch.keep(loss.groupBy("full_path").agg(F.sum("size_bytes").alias("lost_bytes"), F.sum("file_count").alias("lost_files")), "loss")
+    left, steps = nodes, F.split(path, "/")
+    for depth in sorted(r.depth for r in top.select("depth").distinct().collect()):  # as many as folders are deep
+        at = _narrow(top.where(F.col("depth") == depth).select(path.alias("__top")))
+        own = F.when(F.size(steps) > depth, F.array_join(F.slice(steps, 1, depth + 1), "/"))
+        left = left.join(at, own == F.col("__top"), "left_anti")
+    left = left.join(_narrow(loss), "full_path", "left")
     minus = lambda a, b: (F.col(a) - F.coalesce(F.col(b), F.lit(0))).alias(a)
     return left.select(*(minus(c, {"size_bytes": "lost_bytes", "file_count": "lost_files"}[c]) if c in ("size_bytes", "file_count") else F.col(c) for c in nodes.columns))
 
 
+def with_shares(nodes: DataFrame) -> DataFrame:
+    """Adds share_bp, the share of the root's size in hundredths of a per cent, as it is now."""
+    return with_root_total(nodes).withColumn("share_bp", fmt.basis_points(F.col("size_bytes"), F.col("root_bytes"))).drop("root_bytes")
+
+
 def rename_nodes(nodes: DataFrame, renames: DataFrame) -> DataFrame:
     """The scan with files renamed. renames: full_path, new_path. Totals do not change; folders keep their names."""
     out = nodes.join(renames.select("full_path", F.col("new_path").alias("__new")), "full_path", "left")

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.numbering import HOT_ROWS, rank_within
 from ..plans.scratch import Scratch
 from ..schema import IMAGE_EXTENSIONS, fold, sort_fold
 from .components import components
 
 #: The default distance, and the default number of images that are looked at.
 DISTANCE, MOST_IMAGES = 10, 8_000
-#: Up to these distances hashes are joined by equal bands, and by bands of 16 bits that differ in two at the most;
-#: above, in blocks of so many distinct hashes.
-BANDED, PROBED, BLOCK = 8, 11, 20_000
+#: Up to these distances many hashes are joined by equal bands, and by bands of 16 bits that differ in two at the most.
+BANDED, PROBED = 8, 11
+#: So many hashes are few, and so many of a bucket are compared under one key.
+FEW, BLOCK = 100_000, 2_000
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -38,35 +37,65 @@ def cap_figures(images: DataFrame, most: int = MOST_IMAGES) -> DataFrame:
     return found.select("found", F.least("found", F.lit(most).cast("bigint")).alias("considered"), (F.col("found") > most).alias("truncated"))
 
 
-def hash_pairs(hashes: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b) of distinct hashes, a < b, within the distance. hashes: hash."""
+def hash_pairs(hashes: DataFrame, distance: int = DISTANCE, few: int = FEW, block: int = BLOCK) -> DataFrame:
+    """(a, b) of distinct hashes, a < b, within the distance. hashes: hash.
+
+    Hashes meet in buckets: of equal bands up to a distance of 8, of bands that differ in two bits at the most up to 11.
+    Beyond that no band tells much, and all hashes are one bucket, as they are when there are few. A bucket of more than
+    `block` hashes is split by their hash values into blocks, and each pair of its blocks is a key of its own, so every
+    comparison is made in an equi-join of bounded keys, whatever the distance and however hot a band is.
+    """
     if not 0 <= distance <= 64:
         raise ValueError("the distance is between 0 and 64")
     own = hashes.select("hash").where("hash IS NOT NULL").distinct()
-    near = (F.col("a") < F.col("b")) & (hamming(F.col("a"), F.col("b")) <= distance)
+    one = own.select(F.col("hash").alias("a"))
+    if distance > PROBED or own.limit(few + 1).count() <= few:
+        return _across_blocks(one.withColumn("blocks", F.lit(-(-own.count() // block) or 1)), [], distance)
     if distance <= BANDED:
         # hashes within t bits agree on one of t + 1 bands at least
         n = distance + 1
         edges = [64 * k // n for k in range(n + 1)]
-        bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft("hash", 64 - hi), 64 - hi + lo).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-        one = own.select(F.col("hash").alias("a"), F.explode(bands).alias("band"))
-        return one.join(one.withColumnRenamed("a", "b"), "band").where(near).select("a", "b").distinct()
-    if distance <= PROBED:
-        # hashes within 11 bits differ in two at the most on one of four bands; each side takes one bit of them
-        flips = F.array(*(F.lit(x).cast("bigint") for x in (0, *(1 << i for i in range(16)))))
-        bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("hash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)))
-        one = own.select(F.col("hash").alias("a"), F.inline(bands)).select("a", "k", F.explode(flips).alias("flip"), "v")
-        one = one.select("a", F.struct("k", F.col("v").bitwiseXOR(F.col("flip")).alias("v")).alias("band"))
-        return one.join(one.withColumnRenamed("a", "b"), "band").where(near).select("a", "b").distinct()
-    blocks = max(1, -(-own.count() // BLOCK))
-    a, out = own.select(F.col("hash").alias("a")), []
-    for k in range(blocks):  # each block is a bounded set that is held against all
-        part = own.select(F.col("hash").alias("b")).where(F.pmod(F.xxhash64("b"), F.lit(blocks)) == k)
-        out.append(a.join(F.broadcast(part), near))
-    return functools.reduce(DataFrame.union, out)
-
-
-def similar_groups(images: DataFrame, distance: int = DISTANCE, scratch: Scratch | None = None) -> DataFrame:
+        bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(F.shiftleft("a", 64 - hi), 64 - hi + lo).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+        return _within(one.select("a", F.explode(bands).alias("band")), distance, block).distinct()
+    # hashes within 11 bits differ in two at the most on one of four bands; each side takes one bit of them
+    flips = F.array(*(F.lit(x).cast("bigint") for x in (0, *(1 << i for i in range(16)))))
+    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("a", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("v")) for k in range(4)))
+    rows = one.select("a", F.inline(bands)).select("a", "k", F.explode(flips).alias("flip"), "v")
+    return _within(rows.select("a", F.struct("k", F.col("v").bitwiseXOR(F.col("flip")).alias("v")).alias("band")), distance, block).distinct()
+
+
+def _within(rows: DataFrame, distance: int, block: int) -> DataFrame:
+    """The pairs (a, b) of the same band within the distance. rows: a, band."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return _across_blocks(rows.join(sizes.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"), ["band"], distance)
+
+
+def _across_blocks(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
+    """The pairs of equal keys within the distance; a pair of blocks i <= j is the key of the rows of block i on one side
+    and of block j on the other. rows: a, blocks and the keys."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a", F.lit(64)), F.col("blocks")).cast("int"))
+    left = rows.select(*keys, "a", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
+    right = rows.select(*keys, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
+    order = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
+    both = left.join(right, [*keys, "i", "j"]).where((F.col("a") != F.col("b")) & order & (hamming(F.col("a"), F.col("b")) <= distance))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def representatives(images: DataFrame) -> DataFrame:
+    """full_path, hash and representative: the first path of each hash."""
+    some = images.where("hash IS NOT NULL")
+    return some.join(some.groupBy("hash").agg(F.min("full_path").alias("representative")), "hash").select("full_path", "hash", "representative")
+
+
+def image_pairs(images: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b, distance) of the representatives of different hashes within the distance, by path."""
+    names = images.where("hash IS NOT NULL").groupBy("hash").agg(F.min("full_path").alias("p"))
+    side = lambda x: names.select(F.col("hash").alias(x), F.col("p").alias(f"p{x}"))
+    out = hash_pairs(images, distance).join(side("a"), "a").join(side("b"), "b")
+    return out.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), hamming(F.col("a"), F.col("b")).alias("distance"))
+
+
+def similar_groups(images: DataFrame, distance: int = DISTANCE, scratch: Scratch | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """full_path, size_bytes, hash, group_id (the least hash) and rank of every image in a group of two or more.
 
     Groups chain: members need not be within the distance of each other. The largest image, then the
@@ -75,9 +104,14 @@ def similar_groups(images: DataFrame, distance: int = DISTANCE, scratch: Scratch
     linked = components(hash_pairs(images, distance), scratch)
     named = images.where("hash IS NOT NULL").join(linked.select(F.col("id").alias("hash"), "component"), "hash", "left")
     named = named.select("full_path", "size_bytes", "hash", F.coalesce("component", "hash").alias("group_id"))
-    order = W.partitionBy("group_id").orderBy(F.desc("size_bytes"), sort_fold(F.col("full_path")), "full_path")
     counted = named.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
-    return named.join(counted, "group_id").withColumn("rank", F.row_number().over(order))
+    order = [F.desc("size_bytes"), sort_fold(F.col("full_path")), F.col("full_path")]
+    return rank_within(named.join(counted, "group_id"), ["group_id"], order, hot_rows=hot_rows)
+
+
+def by_waste() -> list[Column]:
+    """The order of groups (the rows of group_waste): the most waste first, ties by the kept path."""
+    return [F.desc("wasted_bytes"), F.col("kept_path")]
 
 
 def group_waste(groups: DataFrame) -> DataFrame:

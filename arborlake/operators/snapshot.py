@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fmt
 from ..functions import paths as P
+from ..plans.numbering import HOT_ROWS, rank_within
+from ..plans.scratch import Scratch
 from ..schema import fold
 
 
@@ -38,24 +39,26 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.withColumn("delta_bytes", F.col("new_bytes") - F.col("old_bytes"))
 
 
-def _matched(removed: DataFrame, added: DataFrame, key: list[str], tier: int) -> DataFrame:
+def _matched(removed: DataFrame, added: DataFrame, key: list[str], tier: int, hot_rows: int) -> DataFrame:
     """Pairs the n-th removed with the n-th added node of a key, in the order of the walk."""
-    number = lambda df, side: df.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("traversal_ord"))).select(*key, "nth", F.struct("full_path", "name", "is_directory", F.greatest("old_bytes", "new_bytes").alias("size")).alias(side))
+    number = lambda df, side: rank_within(df, key, [F.col("traversal_ord")], "nth", hot_rows).select(*key, "nth", F.struct("full_path", "name", "is_directory", F.greatest("old_bytes", "new_bytes").alias("size")).alias(side))
     return number(removed, "o").join(number(added, "n"), [*key, "nth"]).select("o", "n", F.lit(tier).alias("tier"))
 
 
-def moves(diff: DataFrame) -> DataFrame:
+def moves(diff: DataFrame, scratch: Scratch | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """old_path, new_path, old_name, new_name, is_directory, size_bytes, tier and move_kind.
 
     First nodes of one name, size and kind are paired, then of the rest files of one extension and size
-    above 0. Both compare case.
+    above 0. Both compare case. A key may hold any number of nodes.
     """
+    scratch = scratch or Scratch(diff.sparkSession)
+    diff = scratch.keep(diff.where("kind <> 'changed'"), "unmatched")
     size = F.greatest("old_bytes", "new_bytes")
     rows = diff.withColumn("size", size)
     removed, added = rows.where("kind = 'removed'"), rows.where("kind = 'added'")
-    first = _matched(removed, added, ["name", "size", "is_directory"], 1)
+    first = _matched(removed, added, ["name", "size", "is_directory"], 1, hot_rows)
     left = lambda df, side: df.where("NOT is_directory AND size > 0").join(first.select(F.col(f"{side}.full_path").alias("full_path")), "full_path", "left_anti")
-    second = _matched(left(removed, "o"), left(added, "n"), ["extension", "size"], 2)
+    second = _matched(left(removed, "o"), left(added, "n"), ["extension", "size"], 2, hot_rows)
     both = first.unionByName(second).select(
         F.col("o.full_path").alias("old_path"), F.col("n.full_path").alias("new_path"), F.col("o.name").alias("old_name"), F.col("n.name").alias("new_name"),
         F.col("o.is_directory").alias("is_directory"), F.col("o.size").alias("size_bytes"), "tier",
@@ -73,8 +76,9 @@ def without_moves(diff: DataFrame, moved: DataFrame) -> DataFrame:
 
 def compare(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unexplained changes, and moves."""
-    diff = changes(before, after)
-    moved = moves(diff)
+    scratch = Scratch(before.sparkSession)
+    diff = scratch.keep(changes(before, after), "changes")
+    moved = moves(diff, scratch)
     return without_moves(diff, moved), moved
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from ..plans.workers import ready
 from .rollup import by_size
 
-#: Children of a folder that get a rectangle.
-MOST_ITEMS = 60
+#: Children of a folder that get a rectangle, and folders that are laid out together.
+MOST_ITEMS, FOLDERS = 60, 2_000
 
 
 def candidates(nodes: DataFrame, most: int = MOST_ITEMS, parent: str | None = None) -> DataFrame:
@@ -56,13 +57,77 @@ def squarify(values: list[float], x: float, y: float, width: float, height: floa
     return out
 
 
-def layout(items: DataFrame, width: float = 100.0, height: float = 60.0) -> DataFrame:
-    """parent_path, full_path, rank, size_bytes and the rectangle. items: candidates(), so groups are bounded."""
+def squarify_many(values: np.ndarray, count: np.ndarray, width: float, height: float) -> np.ndarray:
+    """The rectangles of many folders at once, as squarify() gives them one by one: (folders, items, 4).
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        boxes = squarify(pdf["size_bytes"].astype(float).tolist(), 0.0, 0.0, width, height)
-        return pdf.assign(**{c: [b[k] for b in boxes] for k, c in enumerate(("x", "y", "width", "height"))})
+    values: (folders, items), positive and falling, count of them in each row. All folders take a step together: the next
+    item joins the row of rectangles at hand, or the row is closed and the item is tried again in the next one, so there
+    are at most two steps an item.
+    """
+    folders, most = values.shape
+    used = np.arange(most)[None, :] < count[:, None]
+    total = np.zeros(folders)
+    for k in range(most):  # added in the order of the items
+        total = total + np.where(used[:, k], values[:, k], 0.0)
+    areas = np.where(used, values * width * height / np.where(total > 0, total, 1.0)[:, None], 0.0)
+    x, y, w, h = (np.full(folders, float(v)) for v in (0, 0, width, height))
+    first, at, row, worst = np.zeros(folders, int), np.zeros(folders, int), np.zeros(folders), np.full(folders, np.inf)
+    thick, across = np.zeros((folders, most)), np.zeros((folders, most), bool)
+    corner = np.zeros((folders, most, 2))
+    left = np.flatnonzero(count > 0)
+    while len(left):
+        f, j = first[left], np.minimum(at[left], most - 1)
+        side = np.minimum(w[left], h[left])
+        grown, big, small = row[left] + areas[left, j], areas[left, f], areas[left, j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = np.maximum(side * side * big / (grown * grown), grown * grown / (side * side * small))
+        grows = (at[left] < count[left]) & (side > 0) & ~(ratio > worst[left])
+        g = left[grows]
+        row[g], worst[g], at[g] = grown[grows], ratio[grows], at[g] + 1
+        c = left[~grows]
+        if len(c):
+            ok = np.minimum(w[c], h[c]) > 0  # rounding may have used up the bounds: what is left has no area
+            t = np.where(ok, row[c] / np.where(ok, np.minimum(w[c], h[c]), 1.0), 0.0)
+            at[c] = np.where(ok, at[c], count[c])
+            inside = (np.arange(most)[None, :] >= first[c][:, None]) & (np.arange(most)[None, :] < at[c][:, None])
+            upright = w[c] >= h[c]
+            for target, value in ((thick, t), (across, upright)):
+                target[c] = np.where(inside, value[:, None], target[c])
+            corner[c] = np.where(inside[:, :, None], np.stack((x[c], y[c]), 1)[:, None, :], corner[c])
+            x[c], w[c] = np.where(upright, x[c] + t, x[c]), np.where(upright, w[c] - t, w[c])
+            y[c], h[c] = np.where(upright, y[c], y[c] + t), np.where(upright, h[c], h[c] - t)
+            first[c], row[c], worst[c] = at[c], 0.0, np.inf
+        left = left[first[left] < count[left]]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        long = np.where(thick > 0, areas / thick, 0.0)
+    place, before = np.zeros((folders, most)), np.zeros(folders)
+    for k in range(most):
+        new = np.ones(folders, bool) if k == 0 else (corner[:, k] != corner[:, k - 1]).any(1)
+        before = np.where(new, 0.0, before)
+        place[:, k] = before
+        before = before + long[:, k]
+    out = np.stack((corner[:, :, 0] + np.where(across, 0.0, place), corner[:, :, 1] + np.where(across, place, 0.0), np.where(across, thick, long), np.where(across, long, thick)), 2)
+    return out
+
+
+def layout(items: DataFrame, width: float = 100.0, height: float = 60.0, most: int = MOST_ITEMS) -> DataFrame:
+    """parent_path, full_path, rank, size_bytes and the rectangle. items: candidates() of at most `most` a folder, so that
+    a folder is one row of short lists; a task lays out all folders of an Arrow batch together."""
+    slim = items.groupBy("parent_path").agg(F.sort_array(F.collect_list(F.struct("rank", "full_path", "size_bytes"))).alias("r"))
+    slim = slim.select("parent_path", F.col("r.full_path").alias("full_path"), F.col("r.rank").alias("rank"), F.col("r.size_bytes").alias("size_bytes"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, FOLDERS):
+                part = batch.slice(k, FOLDERS)
+                lists = [part.column(c) for c in (1, 2, 3)]
+                count = np.asarray(lists[0].value_lengths(), int)
+                flat = [x.flatten() for x in lists]
+                used = np.arange(most)[None, :] < count[:, None]
+                values = np.zeros((len(count), most))
+                values[used] = flat[2].to_numpy(zero_copy_only=False)
+                boxes = squarify_many(values, count, width, height)[used]
+                parents = part.column(0).take(pa.array(np.repeat(np.arange(len(count)), count)))
+                yield pa.RecordBatch.from_arrays([parents, *flat, *(pa.array(boxes[:, c]) for c in range(4))], ["parent_path", "full_path", "rank", "size_bytes", "x", "y", "width", "height"])
 
-    schema = "parent_path string, full_path string, rank int, size_bytes bigint, x double, y double, width double, height double"
-    return ready(items).select("parent_path", "full_path", "rank", "size_bytes").groupBy("parent_path").applyInPandas(one, schema)
+    return ready(slim).mapInArrow(run, "parent_path string, full_path string, rank int, size_bytes bigint, x double, y double, width double, height double")

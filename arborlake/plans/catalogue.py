@@ -17,7 +17,8 @@ from ..sinks import export, snapshots
 from ..sources import adapters, fsnodes
 from ..sources.adapters import EVENT_CUTS, deep_files, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
 from . import oracle as Q
-from .scratch import Scratch, local_shared_dir, shared_dir
+from .numbering import number_rows, rank_within
+from .scratch import Scratch, delete_folder, local_shared_dir, shared_dir
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -111,9 +112,27 @@ def treemap_candidates(spark, d):
     return treemap.candidates(orders_tree(spark, d)).select("parent_path", "full_path", "size_bytes", "rank")
 
 
-@_register("treemap_layout")
+@_register(
+    "treemap_layout",
+    f"""WITH RECURSIVE {Q.ORDERS}, k AS (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY size_bytes DESC, traversal_ord)::INTEGER AS rank FROM nodes WHERE parent_path IS NOT NULL AND size_bytes > 0),
+    c AS (SELECT parent_path AS p, list(size_bytes::DOUBLE ORDER BY rank) AS v, list_reduce(list(size_bytes::DOUBLE ORDER BY rank), lambda s, z: s + z) AS total FROM k WHERE rank <= 60 GROUP BY 1),
+    r(p, v, i, j, held, worst, x, y, w, h, thick, upright, rx, ry, done) AS (
+      SELECT p, list_transform(v, lambda z: z * 100.0::DOUBLE * 60.0::DOUBLE / total), 1, 1, 0.0::DOUBLE, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 100.0::DOUBLE, 60.0::DOUBLE, NULL::DOUBLE, NULL::BOOLEAN, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM c
+      UNION ALL SELECT p, v, CASE WHEN grows THEN i ELSE j END, CASE WHEN grows THEN j + 1 ELSE j END, CASE WHEN grows THEN grown ELSE 0.0 END, CASE WHEN grows THEN ratio ELSE 'inf'::DOUBLE END,
+        CASE WHEN NOT grows AND w >= h THEN x + held / side ELSE x END, CASE WHEN NOT grows AND w < h THEN y + held / side ELSE y END, CASE WHEN NOT grows AND w >= h THEN w - held / side ELSE w END,
+        CASE WHEN NOT grows AND w < h THEN h - held / side ELSE h END, CASE WHEN NOT grows THEN held / side END, w >= h, x, y, CASE WHEN grows THEN 0 ELSE i END
+      FROM (SELECT *, j <= len(v) AND ratio <= worst AS grows FROM (SELECT *, least(w, h) AS side, held + v[least(j, len(v))] AS grown,
+        greatest(least(w, h) * least(w, h) * v[i] / (held + v[least(j, len(v))]) / (held + v[least(j, len(v))]), (held + v[least(j, len(v))]) * (held + v[least(j, len(v))]) / (least(w, h) * least(w, h) * v[least(j, len(v))])) AS ratio FROM r WHERE i <= len(v)))),
+    b AS (SELECT p, done AS i, i - 1 AS e, v, thick, upright, rx, ry FROM r WHERE done > 0),
+    o AS (SELECT p, unnest(range(i, e + 1))::INTEGER AS rank, i, v, thick, upright, rx, ry FROM b),
+    q AS (SELECT *, v[rank] / thick AS long, coalesce(list_sum(list_transform(v[i:rank - 1], lambda z: z / thick)), 0.0) AS before FROM o)
+    SELECT k.parent_path, full_path, k.rank, size_bytes, {Q.thousandths("rx + CASE WHEN upright THEN 0 ELSE before END")} AS x, {Q.thousandths("ry + CASE WHEN upright THEN before ELSE 0 END")} AS y,
+      {Q.thousandths("CASE WHEN upright THEN thick ELSE long END")} AS width, {Q.thousandths("CASE WHEN upright THEN long ELSE thick END")} AS height FROM k JOIN q ON k.parent_path = q.p AND k.rank = q.rank WHERE k.rank <= 60""",
+)
 def treemap_layout(spark, d):
-    return treemap.layout(treemap.candidates(orders_tree(spark, d)))
+    """Every folder's rectangles on 100 x 60, in thousandths, rounded."""
+    boxes = treemap.layout(treemap.candidates(orders_tree(spark, d)))
+    return boxes.select("parent_path", "full_path", "rank", "size_bytes", *(F.floor(F.col(c) * 1000 + 0.5).cast("bigint").alias(c) for c in ("x", "y", "width", "height")))
 
 
 _SOME_ORDER = "(SELECT min(full_path) AS p FROM nodes WHERE NOT is_directory)"
@@ -210,11 +229,13 @@ def duplicates_after_delete(spark, d):
 
 # similar images
 
-_IMAGES = """img AS (SELECT '/img/' || vec_id || '.png' AS full_path, 1000 + vec_id % 97 AS size_bytes, make_timestamp((1704067200 + vec_id * 37 % 501 * 60) * 1000000) AS modified_utc,
-  string_agg(CASE WHEN embedding[65 - i] > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS bits FROM embeddings, range(1, 65) r(i) GROUP BY ALL)"""
+_BITS = "string_agg(CASE WHEN (embedding[65 - i] > 0) <> (copy AND ((64 - i) * 7 + vec_id) % 64 < vec_id % 14) THEN '1' ELSE '0' END, '' ORDER BY i)"
+_IMAGES = f"""img AS (SELECT '/img/' || CASE WHEN copy THEN 'copy_' ELSE '' END || vec_id || '.png' AS full_path, 1000 + vec_id % 97 AS size_bytes, make_timestamp((1704067200 + vec_id * 37 % 501 * 60) * 1000000) AS modified_utc,
+  {_BITS} AS bits FROM (SELECT *, false AS copy FROM embeddings UNION ALL SELECT *, true FROM embeddings WHERE vec_id % 4 = 0), range(1, 65) r(i) GROUP BY ALL)"""
 _NEAR = "len(replace(array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN a.bits[i] <> b.bits[i] THEN '1' ELSE '' END), ''), '0', ''))"
-_PAIRS = f"""{_IMAGES}, pairs AS (SELECT a.full_path AS a, b.full_path AS b, {_NEAR} AS distance FROM img a JOIN img b ON a.full_path < b.full_path)"""
-_GROUPS = f"""WITH RECURSIVE {_PAIRS}, near AS (SELECT a, b FROM pairs WHERE distance <= 20 UNION ALL SELECT b, a FROM pairs WHERE distance <= 20),
+_PAIRS = f"""{_IMAGES}, rep AS (SELECT bits, min(full_path) AS full_path FROM img GROUP BY bits), pairs AS (SELECT a.full_path AS a, b.full_path AS b, {_NEAR} AS distance FROM rep a JOIN rep b ON a.full_path < b.full_path)"""
+_GROUPS = f"""WITH RECURSIVE {_PAIRS}, near AS (SELECT a, b FROM pairs WHERE distance <= 20 UNION ALL SELECT b, a FROM pairs WHERE distance <= 20
+  UNION ALL SELECT rep.full_path, img.full_path FROM rep JOIN img USING (bits) WHERE rep.full_path <> img.full_path UNION ALL SELECT img.full_path, rep.full_path FROM rep JOIN img USING (bits) WHERE rep.full_path <> img.full_path),
 reach(n, m) AS (SELECT DISTINCT a, a FROM near UNION SELECT r.n, near.b FROM reach r JOIN near ON r.m = near.a),
 named AS (SELECT n AS full_path, min(m) AS group_path FROM reach GROUP BY n),
 grp AS (SELECT full_path, size_bytes, group_path, row_number() OVER (PARTITION BY group_path ORDER BY size_bytes DESC, upper(full_path), full_path)::INTEGER AS rank FROM named JOIN img USING (full_path))"""
@@ -222,23 +243,18 @@ grp AS (SELECT full_path, size_bytes, group_path, row_number() OVER (PARTITION B
 
 @_register("similar_pairs", f"WITH {_PAIRS} SELECT a, b, distance::INTEGER AS distance FROM pairs WHERE distance <= 20")
 def similar_pairs(spark, d):
-    images = adapters.embedding_hashes(spark, d)
-    near = similar.hash_pairs(images, 20).withColumnsRenamed({"a": "ha", "b": "hb"})
-    side = lambda x: images.select(F.col("hash").alias(f"h{x}"), F.col("full_path").alias(x))
-    across = near.join(side("a"), "ha").join(side("b"), "hb")
-    equal = side("a").join(side("b").withColumnRenamed("hb", "ha"), "ha").where("a < b").withColumn("hb", F.col("ha"))
-    out = across.unionByName(equal)
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), similar.hamming(F.col("ha"), F.col("hb")).alias("distance"))
+    """Pairs between the first images of each hash; similar_members has the others."""
+    return similar.image_pairs(adapters.embedding_hashes(spark, d), 20)
 
 
 @_register("similar_pairs_default", f"WITH {_PAIRS} SELECT a, b, distance::INTEGER AS distance FROM pairs WHERE distance <= 10")
 def similar_pairs_default(spark, d):
-    """At the default distance, which is an equi-join."""
-    images = adapters.embedding_hashes(spark, d)
-    near = similar.hash_pairs(images).union(images.select(F.col("hash").alias("a"), F.col("hash").alias("b")).distinct())
-    side = lambda x: images.select(F.col("hash").alias(x), F.col("full_path").alias(f"path_{x}"))
-    out = near.join(side("a"), "a").join(side("b"), "b").where("a <> b OR path_a < path_b")
-    return out.select(F.least("path_a", "path_b").alias("a"), F.greatest("path_a", "path_b").alias("b"), similar.hamming(F.col("a"), F.col("b")).alias("distance"))
+    return similar.image_pairs(adapters.embedding_hashes(spark, d))
+
+
+@_register("similar_members", f"WITH {_IMAGES} SELECT full_path, min(full_path) OVER (PARTITION BY bits) AS representative FROM img")
+def similar_members(spark, d):
+    return similar.representatives(adapters.embedding_hashes(spark, d)).select("full_path", "representative")
 
 
 def _similar(spark, d):
@@ -277,7 +293,8 @@ def reclaim_totals(spark, d):
 
 # snapshots
 
-_EVENTS = f"{Q.events(EVENT_CUTS[0], 'true', '_a')}, {Q.events(EVENT_CUTS[1], 'user_id % 7 <> 3', '_b')}, {Q.diff()}"
+_NEW_TYPES = "CASE WHEN user_id % 11 = 5 THEN event_type || '_new' ELSE event_type END"
+_EVENTS = f"{Q.events(EVENT_CUTS[0], 'true', '_a')}, {Q.events(EVENT_CUTS[1], 'user_id % 7 <> 3', '_b', _NEW_TYPES)}, {Q.diff()}"
 _DOC_MOVES = f"WITH {Q.BEFORE}, {Q.AFTER}, {Q.diff()}, {Q.MOVES}"
 _CHANGE = "full_path, name, is_directory, old_bytes, new_bytes, delta_bytes"
 
@@ -325,7 +342,9 @@ def snapshot_top20(spark, d):
 def snapshot_roundtrip(spark, d):
     folder = f"{shared_dir(spark)}/arborlake/snapshots-{uuid.uuid4().hex}"
     snapshots.save(orders_tree(spark, d), folder, "first")
-    return _node_columns(snapshots.load(spark, folder, "first"))
+    out = Scratch(spark).keep(_node_columns(snapshots.load(spark, folder, "first")), "loaded")
+    delete_folder(spark, folder)
+    return out
 
 
 # renames
@@ -391,18 +410,28 @@ def rename_applied_tree(spark, d):
 _GONE = "(full_path LIKE '/EUROPE/%' AND size_bytes % 3 = 0 AND depth = 4) OR full_path IN (SELECT min(full_path) FROM nodes WHERE depth = 2 AND full_path LIKE '/ASIA/%')"
 
 
-@_register(
-    "delete_patch_rollup",
-    f"""WITH {Q.ORDERS}, gone AS (SELECT full_path, is_directory FROM nodes WHERE {_GONE}),
+_PATCHED = f"""WITH {Q.ORDERS}, gone AS (SELECT full_path, is_directory FROM nodes WHERE {_GONE}),
     l2 AS (SELECT full_path, size_bytes, modified_utc FROM leaves WHERE full_path NOT IN (SELECT full_path FROM gone) AND NOT starts_with(full_path, (SELECT full_path || '/' FROM gone WHERE is_directory))),
     f2 AS (SELECT full_path FROM dirs WHERE full_path NOT IN (SELECT full_path FROM gone) AND NOT starts_with(full_path, (SELECT full_path || '/' FROM gone WHERE is_directory))),
-    {Q.tree("SELECT * FROM l2", "SELECT * FROM f2", "_c")} SELECT {_NODE} FROM nodes_c""",
-)
-def delete_patch_rollup(spark, d):
+    {Q.tree("SELECT * FROM l2", "SELECT * FROM f2", "_c")}"""
+
+
+def _patched(spark, d):
     nodes = orders_tree(spark, d)
     some = nodes.where("full_path LIKE '/EUROPE/%' AND size_bytes % 3 = 0 AND depth = 4").select("full_path")
     first = nodes.where("depth = 2 AND full_path LIKE '/ASIA/%'").agg(F.min("full_path").alias("full_path"))
-    return _node_columns(rollup.remove_nodes(nodes, some.union(first)))
+    return rollup.remove_nodes(nodes, some.union(first))
+
+
+@_register("delete_patch_rollup", f"{_PATCHED} SELECT {_NODE} FROM nodes_c")
+def delete_patch_rollup(spark, d):
+    return _node_columns(_patched(spark, d))
+
+
+@_register("delete_patch_rebased", f"{_PATCHED} SELECT full_path, size_bytes, file_count, {Q.points('size_bytes', '(SELECT size_bytes FROM nodes_c WHERE depth = 0)')} AS share_bp FROM nodes_c")
+def delete_patch_rebased(spark, d):
+    """What is left after a delete, with shares of the root's new size."""
+    return rollup.with_shares(Scratch(spark).keep(_patched(spark, d), "patched")).select("full_path", "size_bytes", "file_count", "share_bp")
 
 
 _CELLS = f"""name AS "Name", full_path AS "Full Path", CASE WHEN is_directory THEN 'Folder' ELSE 'File' END AS "Type", size_bytes::VARCHAR AS "Size (Bytes)", {Q.size_text("size_bytes")} AS "Size",
@@ -425,6 +454,72 @@ def export_html_rows(spark, d):
     return export.html_rows(orders_tree(spark, d)).drop("traversal_ord", "is_directory")
 
 
+# orders
+
+
+def _ranked(rows, first, *ties):
+    """Adds rank, from 1, without a task for all rows."""
+    return number_rows(rows, F.struct((-first).alias("first"), *ties), "rank")
+
+
+@_register("search_ranked", f"WITH {Q.PAGES} SELECT {_HIT}, row_number() OVER (ORDER BY size_bytes DESC, traversal_ord) AS rank FROM nodes WHERE size_bytes >= 2000")
+def search_ranked(spark, d):
+    """Hits, the largest first."""
+    hits = search.search(pages_tree(spark, d), SearchCriteria(min_size=2000))
+    return _ranked(hits, F.col("size_bytes"), "traversal_ord").select(*_HIT.split(", "), "rank")
+
+
+@_register("duplicates_ranked", f"WITH {_DUP} SELECT kept_path, wasted_bytes, copies, row_number() OVER (ORDER BY wasted_bytes DESC, kept_path) AS rank FROM grp")
+def duplicates_ranked(spark, d):
+    """Groups, the most waste first."""
+    found = dup.groups(dup.duplicate_files(documents_files(spark, d)))
+    return _ranked(found, F.col("wasted_bytes"), "kept_path").select("kept_path", "wasted_bytes", "copies", "rank")
+
+
+@_register(
+    "similar_ranked",
+    f"""{_GROUPS}, w AS (SELECT min(full_path) FILTER (rank = 1) AS kept_path, (sum(size_bytes) - max(size_bytes))::BIGINT AS wasted_bytes FROM grp GROUP BY group_path)
+    SELECT *, row_number() OVER (ORDER BY wasted_bytes DESC, kept_path) AS rank FROM w""",
+)
+def similar_ranked(spark, d):
+    waste = similar.group_waste(_similar(spark, d))
+    return _ranked(waste, F.col("wasted_bytes"), "kept_path").select("kept_path", "wasted_bytes", "rank")
+
+
+@_register(
+    "snapshot_ranked",
+    f"""{_DOC_MOVES}, k AS (SELECT kind, full_path, CASE kind WHEN 'added' THEN new_bytes WHEN 'removed' THEN old_bytes ELSE abs(delta_bytes) END AS by_bytes, traversal_ord AS tie FROM rest
+      UNION ALL SELECT 'moved', old_path, size_bytes, old_path FROM moved)
+    SELECT kind, full_path, by_bytes, row_number() OVER (PARTITION BY kind ORDER BY by_bytes DESC, tie)::INTEGER AS rank FROM k""",
+)
+def snapshot_ranked(spark, d):
+    """Added, removed, changed and moved nodes, each kind in its order."""
+    rest, moved = snapshot.compare(*moved_documents(spark, d))
+    by = F.when(F.col("kind") == "added", F.col("new_bytes")).when(F.col("kind") == "removed", F.col("old_bytes")).otherwise(F.abs("delta_bytes"))
+    rows = rest.select("kind", "full_path", by.alias("by_bytes"), F.col("traversal_ord").alias("tie"))
+    rows = rows.union(moved.select(F.lit("moved"), "old_path", "size_bytes", "old_path"))
+    return rank_within(Scratch(spark).keep(rows, "kinds"), ["kind"], [F.desc("by_bytes"), F.col("tie")]).drop("tie")
+
+
+@_register("export_csv_lines", f"WITH {Q.ORDERS}, s AS (SELECT *, {Q.points('size_bytes', '(SELECT size_bytes FROM nodes WHERE depth = 0)')} AS bp FROM nodes), c AS (SELECT {_CELLS}, traversal_ord FROM s)"
+    """ SELECT row_number() OVER (ORDER BY traversal_ord) AS line, concat_ws(',', "Name", "Full Path", "Type", "Size (Bytes)", "Size", "% of Total", "File Count", "Last Modified (UTC)") AS value FROM c""")
+def export_csv_lines(spark, d):
+    """The lines of the CSV file, which tasks write in order and the file system joins, read back with their places."""
+    nodes = Scratch(spark).keep(orders_tree(spark, d), "nodes")
+    folder = f"{shared_dir(spark)}/arborlake/report-{uuid.uuid4().hex}"
+    export.write_lines(export.ordered_csv_lines(nodes, rollup.root_total(nodes).first()[0]), [F.col("traversal_ord")], folder, joined=False)
+    parts = spark.read.text(folder).select("value", "_metadata.file_name", F.monotonically_increasing_id().alias("at"))
+    lines = number_rows(parts, F.struct(F.regexp_extract("file_name", r"^part-(\d+)", 1), "at"), "line").select("line", "value")
+    out = Scratch(spark).keep(lines, "lines")
+    delete_folder(spark, folder)
+    return out
+
+
+@_register("export_html_order", f"WITH {Q.ORDERS} SELECT full_path, size_bytes, row_number() OVER (ORDER BY size_bytes DESC, traversal_ord) AS rank FROM nodes")
+def export_html_order(spark, d):
+    return _ranked(orders_tree(spark, d), F.col("size_bytes"), "traversal_ord").select("full_path", "size_bytes", "rank")
+
+
 # trees of files made from the documents, scanned
 
 

@@ -50,9 +50,9 @@ PAGES = tree(
 )
 
 
-def events(cut: str, where: str, tag: str) -> str:
+def events(cut: str, where: str, tag: str, kind: str = "event_type") -> str:
     return tree(
-        f"SELECT '/user_' || user_id || '/' || event_type AS full_path, count(*) AS size_bytes, max(ts) AS modified_utc FROM events WHERE ts < TIMESTAMP '{cut}' AND {where} GROUP BY 1", tag=tag
+        f"SELECT '/user_' || user_id || '/' || {kind} AS full_path, count(*) AS size_bytes, max(ts) AS modified_utc FROM events WHERE ts < TIMESTAMP '{cut}' AND {where} GROUP BY 1", tag=tag
     )
 
 
@@ -106,3 +106,8 @@ def signed_text(e: str) -> str:
 def points(part: str, total: str) -> str:
     """Basis points."""
     return f"(CASE WHEN ({total}) > 0 THEN ((({part})::HUGEINT * 20000 + ({total})) // (2 * ({total})::HUGEINT))::BIGINT ELSE 0 END)"
+
+
+def thousandths(value: str) -> str:
+    """Thousandths, rounded half up."""
+    return f"floor(({value}) * 1000 + 0.5)::BIGINT"

@@ -26,6 +26,11 @@ def local_shared_dir(spark: SparkSession) -> str:
     return found.path
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
 class Scratch:
     """Tables written to the shared folder. They outlive lost executors and cut the lineage.
 
@@ -66,8 +71,7 @@ class Scratch:
     def _delete(self, path: str) -> None:
         if path in self.paths:
             self.paths.remove(path)
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            delete_folder(self.spark, path)
 
     def _at_exit(self) -> None:
         for path in list(self.paths):

@@ -88,20 +88,28 @@ EVENT_CUTS = ("2024-01-15 00:00:00", "2024-01-25 00:00:00")
 
 
 def events_tree(spark: SparkSession, sf_dir: str, cut: str) -> DataFrame:
-    """/user/event type, sized by the number of events before a time; every seventh user is gone at the second cut."""
-    e = table(spark, sf_dir, "events").where(F.col("ts") < F.lit(cut).cast("timestamp"))
+    """/user/event type, sized by the number of events before a time; at the second cut every seventh user is gone, and
+    every eleventh one's types have new names."""
+    e, kind = table(spark, sf_dir, "events").where(F.col("ts") < F.lit(cut).cast("timestamp")), F.col("event_type")
     if cut == EVENT_CUTS[1]:
         e = e.where("user_id % 7 <> 3")
-    path = F.concat(F.lit("/user_"), F.col("user_id").cast("string"), F.lit("/"), F.col("event_type"))
+        kind = F.when(F.col("user_id") % 11 == 5, F.concat(kind, F.lit("_new"))).otherwise(kind)
+    path = F.concat(F.lit("/user_"), F.col("user_id").cast("string"), F.lit("/"), kind)
     leaves = e.groupBy(path.alias("full_path")).agg(F.count("*").alias("size_bytes"), F.max("ts").alias("modified_utc"))
     return build_nodes(leaves, None, cut)
 
 
 def embedding_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One image per vector: a bit for each positive component, in order from the lowest."""
-    bits = F.aggregate("embedding", F.struct(F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("i")), lambda s, x: F.struct(s["h"].bitwiseOR(F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), s["i"])).otherwise(F.lit(0).cast("bigint"))).alias("h"), (s["i"] + 1).alias("i")), lambda s: s["h"])
-    return table(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("/img/"), F.col("vec_id").cast("string"), F.lit(".png")).alias("full_path"),
+    """One image per vector: a bit for each positive component, in order from the lowest. Of every fourth vector there is
+    a copy whose hash differs in as many bits as its id leaves by 14."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(False).alias("copy"))
+    vectors = vectors.union(vectors.where("vec_id % 4 = 0").withColumn("copy", F.lit(True)))
+    flipped = lambda i: F.col("copy") & ((i * 7 + F.col("vec_id")) % 64 < F.col("vec_id") % 14)
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    bit = lambda s, x: F.when((x > 0) != flipped(s["i"]), F.call_function("shiftleft", one, s["i"])).otherwise(none)
+    bits = F.aggregate("embedding", F.struct(none.alias("h"), F.lit(0).alias("i")), lambda s, x: F.struct(s["h"].bitwiseOR(bit(s, x)).alias("h"), (s["i"] + 1).alias("i")), lambda s: s["h"])
+    return vectors.select(
+        F.concat(F.lit("/img/"), F.when(F.col("copy"), "copy_").otherwise(""), F.col("vec_id").cast("string"), F.lit(".png")).alias("full_path"),
         (F.lit(1000) + F.col("vec_id") % 97).cast("bigint").alias("size_bytes"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 37 % 501 * 60).alias("modified_utc"),
         bits.alias("hash"),

@@ -6,6 +6,7 @@ import os
 import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from arborlake import __main__ as cli
 from arborlake.functions import paths as P
 from arborlake.operators import cleanup, duplicates, rename, rollup, search, similar, snapshot, treemap
 from arborlake.operators.components import components
-from arborlake.plans.numbering import number_rows
+from arborlake.plans.numbering import number_rows, rank_within
 from arborlake.schema import NODES
 from arborlake.sinks import export, snapshots
 from arborlake.sources import fsnodes
@@ -135,8 +136,11 @@ def test_hash_pairs_against_brute_force(spark, distance):
     found = similar.hash_pairs(spark.createDataFrame([(h,) for h in hashes + hashes[:5]], "hash bigint"), distance)
     want = {(min(a, b), max(a, b)) for a in hashes for b in hashes if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= distance}
     assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert ("NestedLoop" in plan) == (distance > 11)
+    for few, block in ((0, 2000), (0, 7), (1000, 16)):  # by bands, in small blocks, in blocks of one bucket
+        again = similar.hash_pairs(spark.createDataFrame([(h,) for h in hashes + hashes[:5]], "hash bigint"), distance, few, block)
+        assert {tuple(r) for r in again.collect()} == want and again.count() == len(want)
+        plan = again._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_duplicates_on_disk(spark, tmp_path):
@@ -349,3 +353,97 @@ def test_running_totals(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("totals").collect()} == {("s", 2, 7), ("t", 1, 1)}
+
+
+def test_similar_pairs_name_the_first_image_of_a_hash(spark):
+    rows = [("/b", 5), ("/a", 5), ("/c", 4), ("/d", 4), ("/none", None), ("/far", -1)]
+    images = spark.createDataFrame(rows, "full_path string, hash bigint")
+    assert [tuple(r) for r in similar.image_pairs(images, 3).collect()] == [("/a", "/c", 1)]
+    assert {(r.full_path, r.representative) for r in similar.representatives(images).collect()} == {("/a", "/a"), ("/b", "/a"), ("/c", "/c"), ("/d", "/c"), ("/far", "/far")}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ranks_within_hot_keys(spark, seed):
+    """One key with most of the rows, null keys and keys of one row rank as a window ranks them."""
+    rng = random.Random(seed)
+    keys = ["hot"] * 3000 + [None] * 500 + [f"k{i}" for i in range(300)] * 2
+    rng.shuffle(keys)
+    rows = [(k, rng.choice([1, None]), i) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, m int, v int").repartition(5)
+    want, seen = {}, {}
+    for k, m, v in sorted(rows, key=lambda r: -r[2]):
+        want[v] = seen[k, m] = seen.get((k, m), 0) + 1
+    for hot_rows in (100, 10**6):
+        got = rank_within(df, ["k", "m"], [F.desc("v")], hot_rows=hot_rows)
+        assert got.columns == ["k", "m", "v", "rank"] and {r.v: r["rank"] for r in got.collect()} == want
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = rank_within(df, ["k", "m"], [F.desc("v")], hot_rows=100).where("k = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 2 and max(r["count"] for r in parts) < 1500  # the hot key is no single task
+    assert rank_within(df.limit(0), ["k"], [F.col("v")], hot_rows=0).count() == 0
+
+
+def test_operators_with_hot_keys(spark):
+    rng = random.Random(7)
+    files = [(f"/d{i % 7}/f{i}", 3, datetime(2024, 1, 1 + i % 5), b"abc" if i % 10 else b"abd") for i in range(400)]
+    rng.shuffle(files)
+    found = duplicates.duplicate_files(spark.createDataFrame(files, "full_path string, size_bytes bigint, modified_utc timestamp, content binary"))
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(duplicates.keep_plan(found, hot_rows=20)) == rows(duplicates.keep_plan(found))
+    before, after = nodes_of(spark, {f"/a/{i}/same.txt": 5 for i in range(60)}), nodes_of(spark, {f"/b/{i}/same.txt": 5 for i in range(50)} | {f"/b/x{i}.txt": 5 for i in range(9)})
+    diff = snapshot.changes(before, after)
+    assert rows(snapshot.moves(diff, hot_rows=4)) == rows(snapshot.moves(diff)) and len(rows(snapshot.moves(diff))) >= 59
+    batch = spark.createDataFrame([(f"/x/{i}.txt", i) for i in range(200)], "full_path string, ord bigint")
+    options = rename.RenameOptions(find=r"\d", is_regex=True, prefix="p")
+    assert rows(rename.preview(batch, options, hot_rows=5)) == rows(rename.preview(batch, options))
+
+
+def test_duplicates_narrow_before_they_digest(spark):
+    """Same size, same first 4 KiB, other tail; unreadable, empty and lone files."""
+    head = b"h" * 4096
+    rows = [("/1", head + b"1"), ("/2", head + b"2"), ("/3", head + b"1"), ("/4", head), ("/5", head), ("/6", b"x"), ("/7", b"y"), ("/8", b""), ("/9", b""), ("/n", None), ("/o", None)]
+    files = spark.createDataFrame([(p, len(c or b""), None, c) for p, c in rows], "full_path string, size_bytes bigint, modified_utc timestamp, content binary")
+    got = duplicates.duplicate_files(files)
+    assert {(r.full_path, r.copies) for r in got.collect()} == {("/1", 2), ("/3", 2), ("/4", 2), ("/5", 2)}
+    assert "sha2" not in got._jdf.queryExecution().optimizedPlan().toString()  # digests are taken once and written
+
+
+def test_rename_leaves_folders_and_blank_names(spark):
+    batch = spark.createDataFrame([("/a/x.txt", 1, False), ("/a/x", 2, True), ("/a/y.txt", 3, False), ("/a/\u00a0z.txt", 4, False)], "full_path string, ord bigint, is_directory boolean")
+    got = {r.full_path: (r.new_name, r.error) for r in rename.preview(batch, rename.RenameOptions(find=r"[xyz]", is_regex=True, replace="\t ")).collect()}
+    assert got == {"/a/x.txt": ("\t .txt", rename.EMPTY), "/a/y.txt": ("\t .txt", rename.EMPTY), "/a/\u00a0z.txt": ("\u00a0\t .txt", rename.EMPTY)}
+
+
+def test_treemap_of_many_folders(spark):
+    """All folders together give what each gives alone."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    folders = [np.sort(rng.choice([1.0, 2.0, 50.0, 1e6, 7e12], n) * rng.integers(1, 9, n))[::-1] for n in [1, 2, 3, 60, 60, 59, *rng.integers(1, 61, 60)]]
+    values, count = np.zeros((len(folders), 60)), np.array([len(f) for f in folders])
+    for k, f in enumerate(folders):
+        values[k, : len(f)] = f
+    for w, h in ((100, 60), (5, 300)):
+        boxes = treemap.squarify_many(values, count, w, h)
+        for k, f in enumerate(folders):
+            assert boxes[k, : len(f)].ravel().tolist() == pytest.approx([x for b in treemap.squarify(f.tolist(), 0.0, 0.0, float(w), float(h)) for x in b], rel=1e-9, abs=1e-7)
+    assert treemap.layout(treemap.candidates(nodes_of(spark, {"/a": 1})).limit(0)).count() == 0
+
+
+def test_reports_are_in_order(spark, tmp_path):
+    """Part files that tasks write, joined, are the file that one writer would write."""
+    nodes = nodes_of(spark, {f'/d{i % 5}/n{i},"{i % 3}" é <&>\n.txt': i * 37 % 1000 for i in range(400)}).persist()
+    rows = nodes.orderBy("traversal_ord").collect()
+    export.write_csv_file(nodes, str(tmp_path / "o.csv"), 1000, bom=True)
+    cells = {r["Full Path"]: r for r in export.csv_rows(nodes, 1000).collect()}
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n\r') else c
+    want = "\ufeff" + ",".join(export.CSV_COLUMNS) + "\n" + "".join(",".join(map(quoted, cells[r.full_path])) + "\n" for r in rows)
+    assert (tmp_path / "o.csv").read_bytes() == want.encode()
+    export.write_html(nodes, str(tmp_path / "o.html"), "A & B", 1000)
+    page = (tmp_path / "o.html").read_text()
+    lines = {r.full_path: r.value for r in export.html_lines(nodes, 1000).join(nodes, ["size_bytes", "traversal_ord"]).collect()}
+    order = [r.full_path for r in nodes.orderBy(F.desc("size_bytes"), "traversal_ord").collect()]
+    assert page.endswith("".join(lines[p] + "\n" for p in order) + "</table></body></html>\n") and "<h1>A &amp; B</h1>" in page
+    assert sorted(os.listdir(tmp_path)) == ["o.csv", "o.html"]
+    export.write_csv_file(nodes.limit(0), str(tmp_path / "o.csv"))
+    assert (tmp_path / "o.csv").read_text() == ",".join(export.CSV_COLUMNS) + "\n"
