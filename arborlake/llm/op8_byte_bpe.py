@@ -31,7 +31,8 @@ PIECE_CHARS = 1 << 18
 RUN_CHARS = 1 << 16
 
 _SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})")
-_RUN = regex.compile(rf"\s{{{RUN_CHARS},}}+")
+#: Tried at the start of a run only.
+_RUN = regex.compile(rf"(?<!\s)\s{{{RUN_CHARS},}}+")
 #: Takes any text as one piece.
 WHOLE = r"(?s:.+)"
 

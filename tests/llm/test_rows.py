@@ -124,7 +124,7 @@ def test_byte_bpe_bears_long_runs(table, monkeypatch):
         assert got[i] == [x for m in regex.findall(PT.PATTERN, t) for x in whole.encode_ordinary(m)]
     monkeypatch.setattr(op8_byte_bpe, "RUN_CHARS", 6)
     monkeypatch.setattr(op8_byte_bpe, "PIECE_CHARS", 10)
-    monkeypatch.setattr(op8_byte_bpe, "_RUN", regex.compile(r"\s{6,}+"))
+    monkeypatch.setattr(op8_byte_bpe, "_RUN", regex.compile(r"(?<!\s)\s{6,}+"))
     rng = random.Random(1)
     for _ in range(3000):
         t = "".join(rng.choice([" ", "  ", "\n", "a", "b1", "!", "'s", "é", " \u3000"]) for _ in range(rng.randrange(60)))
@@ -332,3 +332,18 @@ def test_decontamination(spark, table):
     assert again == got
     assert op4_decontamination.contaminated_spans(table(texts), bench.limit(0)).where("size(items) > 0").count() == 0
     assert op4_decontamination.contaminated_spans(table(texts).limit(0), bench).count() == 0
+
+
+@pytest.mark.parametrize("run", [1_000, 30_000, 65_535, 65_536, 70_000])
+def test_byte_bpe_takes_time_in_proportion_to_blanks(run):
+    """2 MB of words between blanks of any length, encoded as the library does."""
+    path = PT.path("byte_bpe_multi_50k.tiktoken")
+    enc = op8_byte_bpe.encoding(path, PT.PATTERN)
+    some = "word, 12" + " " * run + "a\n" + "\t" * run + "\n Z"
+    text = some * (2_000_000 // len(some) + 1)
+    began = time.perf_counter()
+    ids = op8_byte_bpe.encode_text(path, PT.PATTERN, text)
+    took = time.perf_counter() - began
+    assert took < 4 and enc.decode_bytes(ids) == text.encode()
+    if run < 60_000:
+        assert ids == enc.encode_ordinary(text)
