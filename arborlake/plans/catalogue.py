@@ -405,6 +405,24 @@ def rename_applied_tree(spark, d):
     return _node_columns(rollup.rename_nodes(documents_tree(spark, d), done.select("full_path", "new_path")))
 
 
+_CHAIN_NAME = "CASE WHEN doc_id % 10 < 9 THEN CAST(doc_id + 1 AS VARCHAR(20)) WHEN doc_id % 20 = 9 THEN CAST(doc_id - 9 AS VARCHAR(20)) ELSE concat('end_', doc_id) END"
+
+
+@_register(
+    "rename_chains",
+    f"""WITH RECURSIVE b AS (SELECT '/all/' || doc_id || '.txt' AS full_path, '/all/' || {_CHAIN_NAME} || '.txt' AS new_path, doc_id * 37 % 101 * 1000000 + doc_id AS ord FROM documents),
+    r(start, cur, k, late) AS (SELECT full_path, full_path, 0, false FROM b
+      UNION ALL SELECT r.start, n.full_path, k + 1, late OR n.ord > b.ord FROM r JOIN b ON r.cur = b.full_path JOIN b n ON b.new_path = n.full_path WHERE n.full_path <> r.start AND k < 20),
+    e AS (SELECT start, max(k) AS k, arg_max(late, k) AS late, arg_max(cur, k) AS final FROM r GROUP BY start)
+    SELECT full_path, b.new_path, CASE WHEN c THEN NULL ELSE k END::BIGINT AS waits, c AS in_cycle, late OR c AS fails_in_order
+    FROM (SELECT e.*, coalesce((SELECT l.new_path FROM b l WHERE l.full_path = e.final) = e.start, false) AS c FROM e) e JOIN b ON b.full_path = e.start""",
+)
+def rename_chains(spark, d):
+    """Chains of ten documents, every second one a circle."""
+    rows = adapters.table(spark, d, "documents").selectExpr("concat('/all/', doc_id, '.txt') AS full_path", f"concat({_CHAIN_NAME}, '.txt') AS new_name", f"concat('/all/', {_CHAIN_NAME}, '.txt') AS new_path", "doc_id * 37 % 101 * 1000000 + doc_id AS ord", "CAST(NULL AS STRING) AS error")
+    return rename.chains(rows).drop("ord")
+
+
 # patches and exports
 
 _GONE = "(full_path LIKE '/EUROPE/%' AND size_bytes % 3 = 0 AND depth = 4) OR full_path IN (SELECT min(full_path) FROM nodes WHERE depth = 2 AND full_path LIKE '/ASIA/%')"

@@ -447,3 +447,32 @@ def test_reports_are_in_order(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["o.csv", "o.html"]
     export.write_csv_file(nodes.limit(0), str(tmp_path / "o.csv"))
     assert (tmp_path / "o.csv").read_text() == ",".join(export.CSV_COLUMNS) + "\n"
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rename_chains(spark, seed):
+    """Chains, circles and what leads into them, against applying the renames one by one."""
+    rng = random.Random(seed)
+    names = [f"/n{i}" for i in range(60)]
+    pairs = [(names[i], names[i + 1]) for i in range(0, 25) if i % 9] + [(names[30], names[31]), (names[31], names[32]), (names[32], names[30]), (names[40], "/free"), (names[41], names[41].upper()), (names[42], names[43])]
+    rng.shuffle(pairs)
+    kept = [("/n50", "/stays", "an error"), ("/n51", "/n51", None), ("/n52", "/n50", None), ("/n53", "/n51", None), ("/n54", "/n53", None)]
+    pairs += [x[:2] for x in kept[2:]]
+    rows = spark.createDataFrame([(a, b[1:], b, i, None) for i, (a, b) in enumerate(pairs)] + [(a, b[1:], b, 99 + i, e) for i, (a, b, e) in enumerate(kept[:2])], "full_path string, new_name string, new_path string, ord int, error string")
+    got = {r.full_path: r for r in rename.chains(rows).collect()}
+    there, failed = {a.lower() for a, _ in pairs} | {"/n50", "/n51"}, set()
+    for a, b in pairs:
+        if b.lower() != a.lower() and b.lower() in there:
+            failed.add(a)
+        else:
+            there.discard(a.lower())
+            there.add(b.lower())
+    assert {a for a, r in got.items() if r.fails_in_order} == failed
+    moves = dict(pairs)
+    for a, r in got.items():
+        n, at = 0, moves[a]
+        while at in moves and n < 99:
+            n, at = n + 1, moves[at]
+        assert (r.waits, r.in_cycle) == ((None, True) if n == 99 else (n, False))
+    assert len(got) == len(pairs) - 1  # a new case only waits for nothing
+    assert rename.chains(rows.limit(0)).count() == 0
