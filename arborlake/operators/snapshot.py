@@ -14,9 +14,10 @@ from ..schema import fold
 
 def _by_path(nodes: DataFrame) -> DataFrame:
     """The nodes below the root by folded path. Of paths that differ in case alone the later node's values
-    hold, under the first one's spelling."""
+    hold, under the first one's spelling. A stored snapshot brings its key along and is grouped as it lies."""
+    key = F.col("key") if "key" in nodes.columns else fold(F.col("full_path")).alias("key")
     row = F.struct("name", "is_directory", "size_bytes", F.coalesce("extension", F.lit("")).alias("extension"), "traversal_ord")
-    grouped = nodes.where("depth > 0").groupBy(fold(F.col("full_path")).alias("key")).agg(
+    grouped = nodes.where("depth > 0").groupBy(key).agg(
         F.min_by("full_path", "traversal_ord").alias("full_path"), F.max_by(row, "traversal_ord").alias("r")
     )
     return grouped.select("key", "full_path", "r.*")

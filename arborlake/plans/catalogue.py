@@ -347,6 +347,20 @@ def snapshot_roundtrip(spark, d):
     return out
 
 
+@_register("snapshot_stored_changes", f"WITH {_EVENTS} SELECT kind, {_CHANGE} FROM changes")
+def snapshot_stored_changes(spark, d):
+    """Two snapshots stored as bucketed tables, compared without a shuffle."""
+    names = [f"snapshot_{uuid.uuid4().hex}" for _ in EVENT_CUTS]
+    try:
+        for name, cut in zip(names, EVENT_CUTS):
+            snapshots.save_table(events_tree(spark, d, cut), name, 8)
+        stored = (snapshots.load_table(spark, name) for name in names)
+        return Scratch(spark).keep(snapshot.changes(*stored).select("kind", *_CHANGE.split(", ")), "compared")
+    finally:
+        for name in names:
+            snapshots.drop_table(spark, name)
+
+
 # renames
 
 _FILES = f"files AS ({Q.DOC_FILES})"

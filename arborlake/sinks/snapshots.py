@@ -1,4 +1,4 @@
-"""Stored scans: Parquet parted by snapshot, and an importer of nested JSON documents."""
+"""Stored scans: Parquet parted by snapshot, bucketed tables, and an importer of nested JSON documents."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.rollup import describe
 from ..plans.workers import ready
-from ..schema import FORMAT_VERSION, NODES, SNAPSHOTS, as_nodes
+from ..schema import FORMAT_VERSION, NODES, SNAPSHOTS, as_nodes, fold
 
 
 def save(nodes: DataFrame, folder: str, snapshot_id: str, taken: datetime | None = None, root_path: str = "/") -> None:
@@ -29,6 +29,22 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(SNAPSHOTS).option("recursiveFileLookup", True).parquet(f"{folder}/headers")
 
 
+def save_table(nodes: DataFrame, name: str, buckets: int = 200) -> None:
+    """Stores a snapshot as a table of the catalog, bucketed and sorted by folded path (column key), so that comparing two
+    of as many buckets shuffles neither. A snapshot of the same name is replaced."""
+    keyed = as_nodes(nodes).withColumn("key", fold(F.col("full_path")))
+    keyed.repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
+
+
+def load_table(spark: SparkSession, name: str) -> DataFrame:
+    """The nodes of a stored snapshot, with key."""
+    return spark.table(name)
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def import_json(spark: SparkSession, path: str) -> DataFrame:
     """The nodes of a nested JSON snapshot (Root with Children down the tree). Separators become `/`.
 

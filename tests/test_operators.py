@@ -476,3 +476,19 @@ def test_rename_chains(spark, seed):
         assert (r.waits, r.in_cycle) == ((None, True) if n == 99 else (n, False))
     assert len(got) == len(pairs) - 1  # a new case only waits for nothing
     assert rename.chains(rows.limit(0)).count() == 0
+
+
+def test_stored_snapshots_are_compared_without_a_shuffle(spark):
+    before, after = nodes_of(spark, {"/a/x": 5, "/A/y": 2, "/gone": 1}), nodes_of(spark, {"/a/X": 5, "/a/y": 3, "/new/z": 1})
+    stored = []
+    for name, nodes in (("stored_before", before), ("stored_after", after)):
+        snapshots.save_table(nodes, name, 5)
+        stored.append(snapshots.load_table(spark, name))
+    try:
+        got = snapshot.changes(*stored)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, snapshot.changes(before, after).collect())) and got.count() == 5
+    finally:
+        for name in ("stored_before", "stored_after"):
+            snapshots.drop_table(spark, name)
