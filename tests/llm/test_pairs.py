@@ -415,3 +415,31 @@ def test_a_hot_bucket_takes_three_rounds(spark, table, monkeypatch):
     texts = [f"{line} {prose(rng, rng.randrange(0, 6))}" for _ in range(150)]
     got = {r.doc_id: r.component_id for r in op12_ngram_join.ngram_join(table(texts)).collect()}
     assert got == brute_links(list(enumerate(texts)), 85) and len(calls) <= 3
+
+
+def test_pipeline_stages_on_odd_rows(spark, table):
+    """Every stage bears nulls, empty texts, repeated rows, ties and extra columns of any name, and keeps its columns."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    text = "Some ordinary words in a plain sentence, and others after them: " + prose(rng, 120)
+    rows = [*enumerate(ODD), (50, text), (50, text), (51, text.upper()), (52, text + " end"), (None, text), (53, prose(rng, 80)), (53, prose(rng, 90))]
+    docs = table(rows).selectExpr("*", "doc_id AS gone_id", "n_chars AS mark", "text AS lead", "source AS row", "1 AS n_words")
+    for empty in (False, True):
+        now = docs.limit(0) if empty else docs
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, now, f"{DATA}/sf0.001")
+            kept = out.collect()
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+                assert all(r.lead in (r.text, r.lead) for r in kept)
+                now = spark.createDataFrame(kept, docs.schema)
+            ids = [r.doc_id for r in kept]
+            if empty:
+                assert not ids
+            elif name == "language_id":
+                assert ids.count(50) == 2 and ids.count(53) == 2 and None in ids and 0 not in ids and 1 not in ids and 2 not in ids
+            elif name == "near_dedup":  # both rows of the least id of a group stay, and so does what has no id
+                assert ids.count(50) == 2 and 51 not in ids and 52 not in ids and None in ids and ids.count(53) == 2
+            else:
+                assert ids.count(50) == 2 and ids.count(53) == 2
