@@ -258,6 +258,14 @@ class _Join:
         self.label = components(edges, self.scratch)
         self.scratch.drop(links)
 
+    def open_buckets(self) -> DataFrame:
+        """The rows of buckets in which some set is not of the hub's class; what is in the others is settled."""
+        classes = self.label.select(F.col("id").alias("lead"), F.col("component").alias("major"))
+        both = join_checked(join_checked(self.rows, self.label, "id", "left", LABELS), classes, "lead", "left", LABELS)
+        other = both.where(F.coalesce("component", "id") != F.coalesce("major", "lead"))
+        keys = self.scratch.keep(other.select("key").distinct(), "open")
+        return join_checked(self.rows, keys, "key", "left_semi", LABELS)
+
     def split(self, rows: DataFrame) -> DataFrame:
         """The rows, with label, major (the largest class) and size, of buckets that hold several classes and a light row."""
         named = self.scratch.keep(self.named(rows), "named")
@@ -272,7 +280,7 @@ class _Join:
         """(id, component) of all sets that are linked with another."""
         bounded = _bounded(self.similarity)
         self.merge(self.links(self.rows.where((F.col("id") != F.col("lead")) & bounded)))
-        rest = self.split(self.rows)
+        rest = self.split(self.open_buckets())
         self.scratch.drop(self.rows)
         if rest.isEmpty():
             return self.label
