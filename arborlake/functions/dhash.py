@@ -80,3 +80,16 @@ def image_hash(content: pd.Series) -> pd.Series:
         return None if grey is None or not grey.size else grid_hash(shrink(grey))
 
     return content.map(one).astype("Int64")
+
+
+@F.pandas_udf(T.LongType())
+def pixel_hash(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+    """The hash of decoded pixels, row by row: grey, or blue, green and red with or without opacity. Null if there are none."""
+
+    def one(h, w, c, pixels):
+        if pixels is None or h is None or min(h, w) <= 0:
+            return None
+        p = np.frombuffer(pixels, np.uint8).reshape(int(h), int(w), int(c)).astype(float)
+        return grid_hash(shrink(p[:, :, 0] if c == 1 else p[:, :, :3] @ [0.114, 0.587, 0.299]))
+
+    return pd.Series([one(*row) for row in zip(height, width, channels, data)], dtype="Int64")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fmt, versions
+from ..functions import dhash, fmt, versions
 from ..operators import duplicates as dup
 from ..operators import overview, rename, rollup, search, similar, snapshot, treemap
 from ..operators.search import SearchCriteria
@@ -281,6 +281,36 @@ def similar_capped(spark, d):
     return similar.newest(images, 100).select("full_path").crossJoin(F.broadcast(similar.cap_figures(images, 100)))
 
 
+_GRID = "list_transform(range(72), lambda i: floor(embedding[i % 64 + 1]::DOUBLE * 1000)::INTEGER + i % 5)"
+
+
+@_register(
+    "difference_hash",
+    f"""WITH g AS (SELECT vec_id, {_GRID} AS g FROM embeddings),
+    h AS (SELECT vec_id, sum(CASE WHEN g[y * 9 + x + 1] > g[y * 9 + x + 2] THEN 1::HUGEINT << (y * 8 + x)::INTEGER ELSE 0::HUGEINT END) AS h FROM g, range(8) a(y), range(8) b(x) GROUP BY vec_id)
+    SELECT vec_id, (CASE WHEN h >= 9223372036854775808 THEN h - 18446744073709551616 ELSE h END)::BIGINT AS hash FROM h""",
+)
+def difference_hash(spark, d):
+    """Of grids of 9 x 8 grey values made from the vectors."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.floor(F.get(F.col("embedding"), i % 64).cast("double") * 1000).cast("int") + i % 5)
+    return adapters.table(spark, d, "embeddings").select("vec_id", dhash.grid_hash_column(grid).alias("hash"))
+
+
+_TYPES = [".jpg", ".JPEG", ".png", ".Bmp", ".gif", ".webp", ".TIFF", ".tif", ".txt", ".jp"]
+
+
+@_register(
+    "image_files",
+    f"""WITH f AS (SELECT '/' || lang || '/' || doc_id || {_TYPES}[doc_id % {len(_TYPES)} + 1] AS full_path, doc_id % {len(_TYPES)} AS k, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE octet_length(encode(text)) END::BIGINT AS size_bytes FROM documents)
+    SELECT full_path, size_bytes FROM f WHERE k < 8 AND size_bytes > 0""",
+)
+def image_files(spark, d):
+    kinds = F.array(*map(F.lit, _TYPES))
+    path = F.concat(F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.get(kinds, (F.col("doc_id") % len(_TYPES)).cast("int")))
+    rows = adapters.table(spark, d, "documents").select(path.alias("full_path"), F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.octet_length("text")).cast("bigint").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_utc"))
+    return similar.image_files(rollup.build_nodes(rows)).select("full_path", "size_bytes")
+
+
 @_register(
     "reclaim_totals",
     f"""{_GROUPS.replace("grp AS", "sim AS")}, {_DUP}, s AS (SELECT sum(size_bytes) - max(size_bytes) AS w FROM sim GROUP BY group_path),

@@ -3,10 +3,12 @@
 import os
 import statistics
 
+import numpy as np
 import pytest
 from conftest import DATA
 
-from arborlake.sources import adapters, fsnodes
+from arborlake.functions import dhash
+from arborlake.sources import adapters, fsnodes, images
 
 
 def shown(rows, root):
@@ -113,3 +115,27 @@ def test_listing_that_breaks_off(monkeypatch, tmp_path):
     files, folders, complete = fsnodes.list_folder(os.fsencode(tmp_path), False)
     assert [f[0] for f in files] == [os.fsencode(tmp_path / "f")] and not folders and not complete
     assert fsnodes.folder_row(os.fsencode(tmp_path), complete)[4]
+
+
+def test_images_are_decoded_without_a_python_library(spark, tmp_path):
+    """PNG, BMP and GIF keep their pixels, so their hashes are those of the pixels; JPEG has that of what the JVM decodes."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    jvm, want = spark._jvm, {}
+    (tmp_path / "deep").mkdir()
+    for k, (w, h) in enumerate([(9, 8), (40, 30), (7, 90)]):
+        shades = rng.integers(0, 200, (h, w))
+        for kind in ("png", "bmp", "gif", "jpg"):
+            picture = jvm.java.awt.image.BufferedImage(w, h, 1)
+            for y in range(h):
+                for x in range(w):
+                    picture.setRGB(x, y, int(shades[y, x] // 8 * 8) * 0x10101)
+            name = f"deep/{k}.{kind.upper() if k == 1 else kind}"
+            assert jvm.javax.imageio.ImageIO.write(picture, kind, jvm.java.io.File(str(tmp_path / name)))
+            read = jvm.javax.imageio.ImageIO.read(jvm.java.io.File(str(tmp_path / name)))
+            rgb = np.array([[read.getRGB(x, y) & 0xFFFFFF for x in range(w)] for y in range(h)])
+            grey = 0.114 * (rgb & 255) + 0.587 * (rgb >> 8 & 255) + 0.299 * (rgb >> 16)
+            want[name] = dhash.grid_hash(dhash.shrink(grey))
+    (tmp_path / "broken.png").write_bytes(b"no image")
+    (tmp_path / "other.txt").write_bytes(b"no image")
+    got = {r.origin.split(str(tmp_path) + "/")[1]: r.hash for r in images.image_hashes(spark, str(tmp_path)).collect()}
+    assert got == want | {"broken.png": None}
