@@ -100,14 +100,14 @@ def sets_and_counts(docs: DataFrame, width: int, scratch: Scratch) -> tuple[Data
             ids, n = batch.column(0), len(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at), pa.int64()), _binary(_names(sh, at)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["doc_id", "n", "name", "block", "counts"])
         if ids is not None and counts.any():
-            blocks = [b.tobytes() for b in counts.reshape(-1, BLOCK)]
+            blocks = [b.astype(np.min_scalar_type(b.max())).tobytes() for b in counts.reshape(-1, BLOCK)]
             k = len(blocks)
             yield pa.RecordBatch.from_arrays([pa.nulls(k, ids.type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array(blocks, pa.binary())], ["doc_id", "n", "name", "block", "counts"])
 
     def add(left: pa.Table) -> pa.Table:
         total = np.zeros(BLOCK, np.uint64)
         for c in left.column("counts").to_pylist():
-            total += np.frombuffer(c, np.uint32)
+            total += np.frombuffer(c, f"u{len(c) // BLOCK}")  # as wide as its largest count
         return pa.table({"block": left.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     both = small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n bigint, name binary, block int, counts binary")
