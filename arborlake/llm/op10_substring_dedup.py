@@ -34,7 +34,7 @@ doc_id), as word ranges. Repeats within one document are not passages across doc
 
 Defined cases: a null or empty text, or one of under 50 words, has no passages; rows with a null id
 are returned without any; rows of one id are one document, and each of its texts has its own passages;
-of tied documents the smallest id is the first holder; an empty table gives no rows; only the id and
+of tied documents the smallest id is the first holder; texts may be of any length and are read whole; an empty table gives no rows; only the id and
 text columns are read, and other columns may have any names.
 """
 

@@ -6,8 +6,8 @@ a host's verdict is joined back to its documents.
 
 Defined cases: a null or empty text has no words (and fails for having under 50); a null host is no
 host, so only the document's own rules judge it; repeated rows count and return once each; ties do
-not arise (a host is bad if its rate is strictly above the threshold); an empty table gives no rows;
-only the three named columns are read, so others may have any name.
+not arise (a host is bad if its rate is strictly above the threshold); texts may be of any length and are read
+whole; an empty table gives no rows; only the three named columns are read, so others may have any name.
 """
 
 from __future__ import annotations

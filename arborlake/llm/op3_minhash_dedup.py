@@ -21,7 +21,7 @@ chance below one in a million: the sizes' ratio, and agreement of the minhashes.
 
 Defined cases: a null or empty text has an empty set and is linked with nothing; rows with a null id
 are linked with nothing and kept; rows of one id are one document for linking, and each returns;
-of tied documents the smallest id is kept; an empty table gives no rows; only the id and text columns
+of tied documents the smallest id is kept; texts may be of any length and are read whole; an empty table gives no rows; only the id and text columns
 are read.
 """
 

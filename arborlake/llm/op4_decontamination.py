@@ -10,7 +10,8 @@ The benchmark is taken in blocks of at most BLOCK_CHARS characters, each an inde
 (a stated query set against all rows, in blocks); documents are never shuffled.
 
 Defined cases: a null or empty text has no words and no hits; null, empty or word-less items have no
-window; repeated items and windows count once per item id; items with a null id are ignored; an empty
+window; repeated items and windows count once per item id; a tie between the rarest
+shingles of a window does not change what is found; texts may be of any length and are read whole; items with a null id are ignored; an empty
 table gives no rows or no hits; repeated rows return as often as they came; only the id and text
 columns are read.
 """

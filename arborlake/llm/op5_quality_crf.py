@@ -10,8 +10,8 @@ SAMPLE_CHARS characters on average at the most; a document's label is the label
 Scoring reads whole texts.
 
 Defined cases: a null or empty text, or one without words, gets the score of a document with nothing
-good about it (0); without labelled rows of both kinds every other score is 0.5; an empty table gives
-no rows; repeated rows return as often as they came; only the id and text columns are read.
+good about it (0); without labelled rows of both kinds every other score is 0.5; a text is scored by itself, so
+there are no ties; texts may be of any length and are read whole; an empty table gives no rows; repeated rows return as often as they came; only the id and text columns are read.
 """
 
 from __future__ import annotations

@@ -16,8 +16,8 @@ documents costs one score. Weights and templates are tables of fixed size, fitte
 the templates below; weights are whole numbers (millionths), so sums do not depend on their order.
 
 Defined cases: a null or empty text has no paragraphs; repeated rows return as often as they came,
-each with its own paragraphs; of equal scores the first family in the order of names wins; an empty
-table gives no rows; only the id and text columns are read.
+each with its own paragraphs; of equal scores the first family in the order of names wins; texts
+may be of any length and are read whole; an empty table gives no rows; only the id and text columns are read.
 """
 
 from __future__ import annotations

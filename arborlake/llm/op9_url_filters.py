@@ -6,8 +6,8 @@ The model is trained on the driver from the small labelled table below. Weights
 
 Defined cases: a null url, or one without `://`, has an empty host and path, so the model judges the
 empty string; rows are judged one by one, so repeated rows return as often as they came; of rules
-that fit, the longest wins, and of equally long ones the first in order; an empty table gives no
-rows; only the id and url columns are read.
+that fit, the longest wins, and of equally long ones the first in order; urls may be of any length; an
+empty table gives no rows; only the id and url columns are read.
 """
 
 from __future__ import annotations
