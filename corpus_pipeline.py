@@ -4,7 +4,8 @@ Every stage takes (spark, docs, sf_dir) and, but for the last, returns the colum
 
 Defined cases: texts that are null, empty or without a letter go at the first stage. A null doc_id is no duplicate of
 anything and stays. Equal rows of one id stay or go together; of rows of one id with different texts each is judged by
-its own text. Extra columns, whatever their names, are carried along.
+its own text. Of documents that are tied as duplicates the smallest id stays. Texts may be of any length and every stage
+reads them whole. Empty tables give empty tables. Extra columns, whatever their names, are carried along.
 """
 
 from __future__ import annotations
