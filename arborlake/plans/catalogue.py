@@ -15,7 +15,7 @@ from ..operators import overview, rename, rollup, search, similar, snapshot, tre
 from ..operators.search import SearchCriteria
 from ..sinks import export, snapshots
 from ..sources import adapters, fsnodes
-from ..sources.adapters import EVENT_CUTS, deep_files, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
+from ..sources.adapters import EVENT_CUTS, conversations_tree, deep_files, documents_files, documents_tree, events_tree, moved_documents, orders_tree, pages_tree
 from . import oracle as Q
 from .numbering import number_rows, rank_within
 from .scratch import Scratch, delete_folder, local_shared_dir, shared_dir
@@ -377,6 +377,22 @@ def snapshot_roundtrip(spark, d):
     return out
 
 
+@_register(
+    "snapshot_json_roundtrip",
+    f"WITH {Q.CONVERSATIONS} SELECT full_path, parent_path, is_directory, depth, size_bytes, file_count, coalesce(extension, '') AS extension, epoch(modified_utc)::BIGINT AS seconds, traversal_ord FROM nodes",
+)
+def snapshot_json_roundtrip(spark, d):
+    """The conversations as one nested JSON document, which tasks write and read side by side."""
+    path = f"{shared_dir(spark)}/arborlake/nested-{uuid.uuid4().hex}.json"
+    snapshots.write_json(conversations_tree(spark, d), path, root_path="/data/chats")
+    nodes = snapshots.import_json(spark, path).select(
+        "full_path", "parent_path", "is_directory", "depth", "size_bytes", "file_count", F.coalesce("extension", F.lit("")).alias("extension"), F.unix_timestamp("modified_utc").alias("seconds"), "traversal_ord"
+    )
+    out = Scratch(spark).keep(nodes, "imported")
+    delete_folder(spark, path)
+    return out
+
+
 @_register("snapshot_stored_changes", f"WITH {_EVENTS} SELECT kind, {_CHANGE} FROM changes")
 def snapshot_stored_changes(spark, d):
     """Two snapshots stored as bucketed tables, compared without a shuffle."""

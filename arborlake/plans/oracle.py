@@ -49,6 +49,11 @@ PAGES = tree(
     "octet_length(encode(html))::BIGINT AS size_bytes, NULL::TIMESTAMP AS modified_utc FROM pages"
 )
 
+CONVERSATIONS = tree(
+    """SELECT '/' || coalesce(conv_id::VARCHAR, '-') || '/turn \\' || coalesce(turn::VARCHAR, '-') || ' "' || coalesce(role, '-') || '" {"Name":{}.txt' AS full_path,
+      sum(coalesce(octet_length(encode(text)), 0))::BIGINT AS size_bytes, max(make_timestamp((1704067200 + turn * 60) * 1000000)) AS modified_utc FROM conversations GROUP BY 1"""
+)
+
 
 def events(cut: str, where: str, tag: str, kind: str = "event_type") -> str:
     return tree(

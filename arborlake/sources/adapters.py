@@ -114,3 +114,12 @@ def embedding_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 37 % 501 * 60).alias("modified_utc"),
         bits.alias("hash"),
     )
+
+
+def conversations_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """/conv_id/turn "role" {}.txt, names with marks that formats must escape; sizes are the texts' bytes, times follow the turns."""
+    c = table(spark, sf_dir, "conversations")
+    name = F.concat(F.lit("turn \\"), F.coalesce(F.col("turn").cast("string"), F.lit("-")), F.lit(' "'), F.coalesce("role", F.lit("-")), F.lit('" {"Name":{}.txt'))
+    path = F.concat(F.lit("/"), F.coalesce(F.col("conv_id").cast("string"), F.lit("-")), F.lit("/"), name)
+    files = c.select(path.alias("full_path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size_bytes"), F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 60).alias("modified_utc"))
+    return build_nodes(files.groupBy("full_path").agg(F.sum("size_bytes").alias("size_bytes"), F.max("modified_utc").alias("modified_utc")), None, "conversations")

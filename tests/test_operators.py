@@ -4,7 +4,7 @@ import itertools
 import json
 import os
 import random
-from datetime import datetime
+from datetime import datetime, timezone
 
 import numpy as np
 import pytest
@@ -492,3 +492,76 @@ def test_stored_snapshots_are_compared_without_a_shuffle(spark):
     finally:
         for name in ("stored_before", "stored_after"):
             snapshots.drop_table(spark, name)
+
+
+def _whole_tree(doc):
+    """Paths of a document in the order that they stand in, with size, number of files and kind."""
+    out, stack = [], [doc["Root"]]
+    while stack:
+        n = stack.pop()
+        out.append((n["FullPath"], n["SizeInBytes"], n["FileCount"], n["IsDirectory"], n["LastModifiedUtc"], n["Extension"], n["Name"]))
+        stack += reversed(n["Children"])
+    return out
+
+
+ODD_FILES = ["/a/{\"Name\":\"x\"}.txt", "/a/{", "/a/b\\\"{.log", "/a/,\"Children\":[", "/a/é\t\x1f]}", "/a", "/a!/f", "/a\x03/f", "/a/\U0010fffd", "/z/y/x/w.tar.gz"]
+
+
+def _odd_nodes(spark):
+    when = datetime(2024, 5, 1, 10, 0, 0, 123456)
+    rows = [(p, i, when if i % 2 else None) for i, p in enumerate(ODD_FILES) if p != "/a"]
+    return rollup.build_nodes(spark.createDataFrame(rows, "full_path string, size_bytes long, modified_utc timestamp"), spark.createDataFrame([("/empty/e",)], "full_path string"))
+
+
+@pytest.mark.parametrize("root_path", ["/", "/data/{\"x"])
+@pytest.mark.parametrize("split", ["64", "134217728"])
+def test_nested_json_round_trip(spark, tmp_path, root_path, split):
+    """The document is what a parser of whole documents reads, and comes back as it was, however it is cut into splits."""
+    nodes = _odd_nodes(spark)
+    path = str(tmp_path / "s.json")
+    snapshots.write_json(nodes, path, datetime(2024, 6, 1, tzinfo=timezone.utc), root_path)
+    doc = json.loads((tmp_path / "s.json").read_text())
+    assert doc["FormatVersion"] == 1 and doc["TakenUtc"] == "2024-06-01T00:00:00.000000Z" and doc["RootPath"] == root_path == doc["Root"]["FullPath"]
+    base = root_path.rstrip("/")
+    want = [
+        (base + r.full_path if r.depth else root_path, r.size_bytes, r.file_count, r.is_directory, f"{r.modified_utc:%Y-%m-%dT%H:%M:%S.%fZ}" if r.modified_utc else "0001-01-01T00:00:00", r.extension)
+        for r in sorted(nodes.collect(), key=lambda r: r.traversal_ord)
+    ]
+    assert [r[:6] for r in _whole_tree(doc)] == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        got = snapshots.import_json(spark, path)
+        if split == "64":
+            assert got.rdd.getNumPartitions() > 1
+        assert "MapInPandas" not in got._jdf.queryExecution().toString()
+        assert sorted(map(tuple, got.drop("scan_id").collect()), key=str) == sorted(map(tuple, nodes.drop("scan_id").collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_nested_json_of_other_writers(spark, tmp_path):
+    """Backslashes, one document a file, other layouts, and documents that break off."""
+    leaf = lambda p, size: {"Name": p.split("\\")[-1], "FullPath": p, "IsDirectory": False, "SizeInBytes": size, "FileCount": 1, "LastModifiedUtc": "2024-05-01T10:00:00.1234567Z", "Extension": ".txt", "Children": []}
+    folder = lambda p, kids: leaf(p, sum(k["SizeInBytes"] for k in kids)) | {"IsDirectory": True, "FileCount": len(kids), "Extension": None, "Children": kids}
+    doc = lambda root: {"FormatVersion": 1, "TakenUtc": "2024-05-01T10:00:00Z", "RootPath": root["FullPath"], "Root": root}
+    first = doc(folder("C:\\", [leaf("C:\\f{}.txt", 3), folder("C:\\d", [leaf("C:\\d\\g.txt", 4)])]))
+    second = doc(folder("D:\\t", [leaf("D:\\t\\h.txt", 5)]))
+    want = {"/": (7, 2, True), "/f{}.txt": (3, 1, False), "/d": (4, 1, True), "/d/g.txt": (4, 1, False)}
+    for layout, whole in (({"separators": (",", ":")}, False), ({"indent": 2}, True), ({"separators": (",", ":"), "sort_keys": True}, True), ({}, True)):
+        many = tmp_path / f"many-{len(layout)}-{whole}-{'indent' in layout}"
+        many.mkdir()
+        (many / "one.json").write_text(json.dumps(first, **layout))
+        got = snapshots.import_json(spark, str(many / "one.json"))
+        assert ("MapInPandas" in got._jdf.queryExecution().toString()) == whole
+        assert table(got) == want
+        assert {r.modified_utc for r in got.collect()} == {datetime(2024, 5, 1, 10, 0, 0, 123456)}
+        (many / "two.json").write_text(json.dumps(second, **layout))
+        both = snapshots.import_json(spark, str(many))
+        assert sorted(r.full_path for r in both.collect()) == sorted([*want, "/", "/h.txt"])
+    text = json.dumps(first, separators=(",", ":"))
+    for i, broken in enumerate((text[:-3], text[: text.index('{"Name":"d"')], "{}", '{"FormatVersion":1}')):
+        (tmp_path / f"broken-{i}.json").write_text(broken)
+        with pytest.raises(Exception, match="JSONDecodeError|the snapshot is empty"):
+            snapshots.import_json(spark, str(tmp_path / f"broken-{i}.json")).count()
