@@ -96,3 +96,4 @@ def test_rates(table):
     missed = [(t, f, g) for (t, f), g in zip(notices, got) if g != [f]]
     wrong = [(t, g) for t, g in zip(OTHERS, got[len(notices) :]) if g]
     print(f"recall {1 - len(missed) / len(notices):.3f} of {len(notices)}, false confirmations {len(wrong)} of {len(OTHERS)}", missed, wrong, sep="\n")
+    assert len(missed) <= 0.2 * len(notices) and len(wrong) <= 0.02 * len(OTHERS)
