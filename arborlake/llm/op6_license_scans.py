@@ -229,7 +229,7 @@ HELD_OTHERS = [
 CUES = [
     "licen", "sublicen", "unlicen", "copyright", "warrant", "redistribut", "permission", "permitted", "permissive", "domain", "reserved", "proprietary", "commons", "cc by", "cc0", "spdx", "gpl", "agpl", "lgpl", "gnu", "apache", "bsd",
     "mozilla", "mpl", "isc", "foundation", "disclaimer", "compliance", "granted", "hereby", "unencumbered", "waived", "documentation", "restriction", "substantial", "confidential", "prohibited", "reproduced", "modification", "distribute", "universal",
-    "applicable law", "conditions", "binary forms", "extent possible", "neighboring rights", "the terms", "any purpose", "person obtaining", "copy of this software", "all copies", "source code form", "may not use", "received a copy", "materials provided", "this file you can obtain", "attribution", "noncommercial", "sharealike", "not be copied", "written consent",
+    "applicable law", "conditions", "binary forms", "extent possible", "neighboring rights", "the terms", "any purpose", "person obtaining", "copy of this software", "all copies", "source code form", "may not use", "received a copy", "materials provided", "this file you can obtain", "attribution", "noncommercial", "sharealike", "not be copied", "written consent", "company and may not",
 ]
 #: Words that name a family, and words that name a variant of one.
 NAMES = {
