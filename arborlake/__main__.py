@@ -1,4 +1,4 @@
-"""python -m arborlake --scan FOLDER [--export-csv FILE] [--export-html FILE] [--snapshot-save STORE] [--snapshot-compare STORE] [--snapshot-id ID] [--quiet]
+"""python -m arborlake --scan FOLDER [--export-csv FILE] [--export-html FILE] [--snapshot-save STORE] [--snapshot-json FILE] [--snapshot-compare STORE_OR_JSON_FILE] [--snapshot-id ID] [--quiet]
 
 Exit codes: 0 done, 1 bad arguments or no baseline, 2 failed.
 """
@@ -22,12 +22,12 @@ from .sources import fsnodes
 def _arguments(args: list[str]) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="arborlake", exit_on_error=False)
     p.add_argument("--scan", required=True)
-    for name in ("--export-csv", "--export-html", "--snapshot-save", "--snapshot-compare"):
+    for name in ("--export-csv", "--export-html", "--snapshot-save", "--snapshot-json", "--snapshot-compare"):
         p.add_argument(name)
     p.add_argument("--snapshot-id", default="baseline")
     p.add_argument("--quiet", action="store_true")
     found = p.parse_args(args)
-    if not any((found.export_csv, found.export_html, found.snapshot_save, found.snapshot_compare)):
+    if not any((found.export_csv, found.export_html, found.snapshot_save, found.snapshot_json, found.snapshot_compare)):
         raise argparse.ArgumentError(None, "ask for an export or a snapshot")
     return found
 
@@ -68,11 +68,15 @@ def main(args: list[str] | None = None, spark=None) -> int:
         if a.snapshot_compare:
             if os.path.isdir(f"{a.snapshot_compare}/nodes/snapshot_id={a.snapshot_id}"):
                 compare_report(snapshots.load(spark, a.snapshot_compare, a.snapshot_id), nodes, say)
+            elif os.path.isfile(a.snapshot_compare):
+                compare_report(snapshots.import_json(spark, a.snapshot_compare), nodes, say)
             else:
                 print(f"no snapshot {a.snapshot_id} in {a.snapshot_compare}", file=sys.stderr)
                 code = 1
         if a.snapshot_save:
             snapshots.save(nodes, a.snapshot_save, a.snapshot_id, root_path=os.path.abspath(a.scan))
+        if a.snapshot_json:
+            snapshots.write_json(nodes, os.path.abspath(a.snapshot_json), root_path=os.path.abspath(a.scan))
         nodes.unpersist()
         return code
     except Exception as e:  # the command line reports any failure by its exit code

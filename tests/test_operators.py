@@ -5,6 +5,7 @@ import json
 import os
 import random
 from datetime import datetime, timezone
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -565,3 +566,18 @@ def test_nested_json_of_other_writers(spark, tmp_path):
         (tmp_path / f"broken-{i}.json").write_text(broken)
         with pytest.raises(Exception, match="JSONDecodeError|the snapshot is empty"):
             snapshots.import_json(spark, str(tmp_path / f"broken-{i}.json")).count()
+
+
+def test_command_line_compares_with_a_json_document(spark, tmp_path, capsys):
+    root = tmp_path / "root"
+    (root / "d").mkdir(parents=True)
+    (root / "d" / "a.txt").write_text("abc")
+    (root / "gone.txt").write_text("12345")
+    file = str(tmp_path / "before.json")
+    assert cli.main(["--scan", str(root), "--snapshot-json", file, "--quiet"], spark) == 0
+    assert json.loads(Path(file).read_text())["RootPath"] == str(root)
+    (root / "gone.txt").unlink()
+    (root / "d" / "a.txt").write_text("abcd")
+    assert cli.main(["--scan", str(root), "--snapshot-compare", file], spark) == 0
+    said = capsys.readouterr().out
+    assert "Added 0, removed 1, changed 2, moved 0; net change -4 B" in said and "removed: /gone.txt" in said
