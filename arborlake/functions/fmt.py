@@ -11,6 +11,11 @@ UNITS = ["B", "KB", "MB", "GB", "TB", "PB"]
 _WIDE = "decimal(38,0)"
 
 
+def _whole(x: Column, y: Column) -> Column:
+    """The floor of x / y for decimals without a fraction, y > 0. A plain division rounds to six digits first, which can reach the next whole number."""
+    return F.call_function("div", x - F.pmod(x, y), y)
+
+
 def format_bytes(size: Column) -> Column:
     """`1.5 KB`: the largest unit that the size reaches, two decimals at most, trailing zeros dropped.
 
@@ -21,8 +26,8 @@ def format_bytes(size: Column) -> Column:
     for k in range(1, len(UNITS)):
         at = F.lit(1024**k).cast(_WIDE)
         unit, name = F.when(n >= at, at).otherwise(unit), F.when(n >= at, UNITS[k]).otherwise(name)
-    hundredths = F.floor((n * 200 + unit) / (unit * 2)).cast(_WIDE)
-    whole, rest = F.floor(hundredths / 100).cast("bigint"), (hundredths % 100).cast("int")
+    hundredths = _whole(n * 200 + unit, unit * 2)
+    whole, rest = F.call_function("div", hundredths, F.lit(100)), (hundredths % 100).cast("int")
     decimals = F.when(rest == 0, "").otherwise(F.concat(F.lit("."), F.regexp_replace(F.lpad(rest.cast("string"), 2, "0"), "0$", "")))
     out = F.concat(whole.cast("string"), decimals, F.lit(" "), name)
     return F.concat(F.when(size < 0, "-").otherwise(""), out)
@@ -42,7 +47,7 @@ def size_change(old: Column, new: Column) -> Column:
 def basis_points(part: Column, total: Column) -> Column:
     """The share in hundredths of a per cent, rounded half up; 0 if the total is not positive."""
     p, t = part.cast(_WIDE), total.cast(_WIDE)
-    return F.when(total > 0, F.floor((p * 20000 + t) / (t * 2)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return F.when(total > 0, _whole(p * 20000 + t, t * 2)).otherwise(F.lit(0).cast("bigint"))
 
 
 def percent_text(points: Column, decimals: int = 2) -> Column:

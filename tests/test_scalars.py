@@ -20,6 +20,24 @@ def test_format_bytes(spark, size, text):
     assert one(spark, fmt.format_bytes(F.lit(size).cast("bigint"))) == text
 
 
+def test_quotients_just_below_a_whole_number(spark):
+    """Of large units and totals the quotient can be within a millionth of the next whole number and still below it."""
+    sizes = [-(-(h * 2 - 1) * unit // 200) + d for unit in (2**30, 2**40, 2**50) for h in (101, 1097, 99803) for d in (-1, 0)]
+    sizes = [n for n in sizes if n < 2**63]
+
+    def text(n):
+        k = max(k for k in range(6) if n >= 1024**k)
+        whole, rest = divmod((n * 200 + 1024**k) // (2 * 1024**k), 100)
+        return f"{whole}" + (f".{rest:02d}".rstrip("0") if rest else "") + f" {fmt.UNITS[k]}"
+
+    rows = spark.createDataFrame([(n,) for n in sizes], "n bigint").select("n", fmt.format_bytes(F.col("n")).alias("text"))
+    assert {r.n: r.text for r in rows.collect()} == {n: text(n) for n in sizes}
+    total = 10**15 + 7
+    parts = [-(-(h * 2 - 1) * total // 20000) + d for h in (1, 4999, 9999) for d in (-1, 0)]
+    rows = spark.createDataFrame([(n,) for n in parts], "n bigint").select("n", fmt.basis_points(F.col("n"), F.lit(total).cast("bigint")).alias("bp"))
+    assert {r.n: r.bp for r in rows.collect()} == {n: (n * 20000 + total) // (2 * total) for n in parts}
+
+
 def test_changes_and_cells(spark):
     big = lambda x: F.lit(x).cast("bigint")
     assert one(spark, fmt.signed_bytes(big(0))) == "+0 B"
