@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.numbering import HOT_ROWS, rank_within
 from ..plans.scratch import Scratch
+from ..plans.workers import ready
 from ..schema import IMAGE_EXTENSIONS, fold, sort_fold
 from .components import components
 
@@ -14,8 +20,10 @@ from .components import components
 DISTANCE, MOST_IMAGES = 10, 8_000
 #: Up to these distances many hashes are joined by equal bands, and by bands of 16 bits that differ in two at the most.
 BANDED, PROBED = 8, 11
-#: So many hashes are few, and so many of a bucket are compared under one key.
-FEW, BLOCK = 100_000, 2_000
+#: So many hashes are few, and so many of a band are compared under one key.
+FEW, BLOCK = 250_000, 2_000
+#: If all hashes are one bucket, so many are a block; a shard of so many is linked in memory.
+WIDE_BLOCK, SHARD = 8_000, 2_000
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -43,14 +51,15 @@ def hash_pairs(hashes: DataFrame, distance: int = DISTANCE, few: int = FEW, bloc
     Hashes meet in buckets: of equal bands up to a distance of 8, of bands that differ in two bits at the most up to 11.
     Beyond that no band tells much, and all hashes are one bucket, as they are when there are few. A bucket of more than
     `block` hashes is split by their hash values into blocks, and each pair of its blocks is a key of its own, so every
-    comparison is made in an equi-join of bounded keys, whatever the distance and however hot a band is.
+    comparison is made under a bounded key, whatever the distance and however hot a band is: of bands in an equi-join,
+    of the one bucket (in blocks four times as large) by arrays.
     """
     if not 0 <= distance <= 64:
         raise ValueError("the distance is between 0 and 64")
     own = hashes.select("hash").where("hash IS NOT NULL").distinct()
-    one = own.select(F.col("hash").alias("a"))
     if distance > PROBED or own.limit(few + 1).count() <= few:
-        return _across_blocks(one.withColumn("blocks", F.lit(-(-own.count() // block) or 1)), [], distance)
+        return _bucket_pairs(own, distance, 4 * block).select("a", "b")
+    one = own.select(F.col("hash").alias("a"))
     if distance <= BANDED:
         # hashes within t bits agree on one of t + 1 bands at least
         n = distance + 1
@@ -64,6 +73,126 @@ def hash_pairs(hashes: DataFrame, distance: int = DISTANCE, few: int = FEW, bloc
     return _within(rows.select("a", F.struct("k", F.col("v").bitwiseXOR(F.col("flip")).alias("v")).alias("band")), distance, block).distinct()
 
 
+def _dealt(blocks: int, seed: int = 64) -> Column:
+    return F.pmod(F.xxhash64("hash", F.lit(seed)), F.lit(blocks)).cast("int")
+
+
+def _close(a: np.ndarray, b: np.ndarray, distance: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in a and in b of what is within the distance, some rows of a at a time; each pair once if both are the same."""
+    step = max(1, (1 << 19) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        first = at if same else 0
+        near = np.bitwise_count(a[at : at + step, None] ^ b[None, first:]) <= distance
+        x, y = np.divmod(np.flatnonzero(near), len(b) - first)
+        x, y = x + at, y + first
+        yield (x[x < y], y[x < y]) if same else (x, y)
+
+
+def _met(rows: DataFrame, inner: int, blocks: int, compare: Callable, schema: str) -> DataFrame:
+    """compare(table of the one, table of the other, whether both are one) for each pair of blocks of which the first
+    is below `inner`. rows: own (a block below `blocks`) and what compare needs."""
+    met = F.when(F.col("own") < inner, blocks).otherwise(inner)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), met - 1)).alias("x"))
+    rows = rows.select(F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), *(c for c in rows.columns if c != "x"))
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        i, j = (x.as_py() for x in key)
+        own = table["own"].to_numpy()
+        for out in compare(*(table.take(pa.array(np.flatnonzero(own == k))).combine_chunks() for k in (i, j)), i == j):
+            yield from out.to_batches()
+
+    keys = inner * blocks - inner * (inner - 1) // 2
+    return ready(rows).repartition(min(keys, 1_000), "i", "j").groupBy("i", "j").applyInArrow(run, schema)
+
+
+def _bits(table: pa.Table) -> np.ndarray:
+    return table["hash"].to_numpy().view(np.uint64)
+
+
+def _bucket_pairs(rows: DataFrame, distance: int, block: int = WIDE_BLOCK) -> DataFrame:
+    """(a, b, distance, name_a, name_b) of hashes a < b within the distance, each pair of blocks compared by arrays.
+    rows: hash, each once, and maybe name."""
+    rows = rows if "name" in rows.columns else rows.withColumn("name", F.lit(None).cast("string"))
+    blocks = -(-rows.count() // block) or 1
+
+    def compare(one, other, same):
+        a, b = _bits(one), _bits(other)
+        for x, y in _close(a, b, distance, same):
+            turned = a[x].view(np.int64) > b[y].view(np.int64)
+            d = np.bitwise_count(a[x] ^ b[y]).astype(np.int32)
+            p, q = one["name"].take(pa.array(x)), other["name"].take(pa.array(y))
+            ab = [np.where(turned, b[y], a[x]).view(np.int64), np.where(turned, a[x], b[y]).view(np.int64)]
+            names = [pa.compute.if_else(turned, q, p), pa.compute.if_else(turned, p, q)]
+            yield pa.table([pa.array(ab[0]), pa.array(ab[1]), pa.array(d), *names], ["a", "b", "distance", "name_a", "name_b"])
+
+    return _met(rows.select("hash", "name", _dealt(blocks).alias("own")), blocks, blocks, compare, "a bigint, b bigint, distance int, name_a string, name_b string")
+
+
+def _shard_links(own: DataFrame, distance: int, shards: int, seed: int) -> DataFrame:
+    """(a, b): within each shard, the first hash of a component and every other one of it."""
+
+    def link(table: pa.Table) -> pa.Table:
+        h = np.sort(table["hash"].to_numpy()).view(np.uint64)
+        left, a, b = np.ones(len(h), bool), [], []
+        for first in range(len(h)):
+            if not left[first]:
+                continue
+            left[first], front = False, np.array([first])
+            while front.size:
+                near = np.zeros(len(h), bool)
+                for at in range(0, len(front), 256):
+                    near |= (np.bitwise_count(h[front[at : at + 256], None] ^ h[None, :]) <= distance).any(0)
+                front = np.flatnonzero(near & left)
+                left[front] = False
+                a.append(np.full(len(front), first)), b.append(front)
+        places = (np.concatenate(x) if x else np.zeros(0, int) for x in (a, b))
+        return pa.table([pa.array(h[x].view(np.int64)) for x in places], ["a", "b"])
+
+    return ready(own.select("hash", _dealt(shards, seed).alias("shard"))).groupBy("shard").applyInArrow(link, "a bigint, b bigint")
+
+
+def hash_groups(hashes: DataFrame, distance: int = DISTANCE, scratch: Scratch | None = None, few: int = FEW, block: int = WIDE_BLOCK, shard: int = SHARD) -> DataFrame:
+    """(id, component) of the hashes that chain with others within the distance, as components of hash_pairs has them.
+
+    Components need no more pairs than hold them together. Hashes are dealt into shards twice, and each shard is linked
+    in memory, which leaves most in one component if the distance is wide. A link that is still missing leads from one
+    component to another, so one of its ends is outside of the largest: what is outside is compared with all.
+    Nothing is lost if no component is large, but then the comparisons grow with the square of the hashes.
+    """
+    if not 0 <= distance <= 64:
+        raise ValueError("the distance is between 0 and 64")
+    scratch = scratch or Scratch(hashes.sparkSession)
+    own = scratch.keep(hashes.select("hash").where("hash IS NOT NULL").distinct(), "hashes")
+    n = own.count()
+    if distance <= PROBED and n > few:
+        return components(hash_pairs(own, distance, few), scratch)
+    shards = -(-n // shard) or 1
+    links = _shard_links(own, distance, shards, 1)
+    if shards == 1:
+        return components(links, scratch)
+    found = components(links.union(_shard_links(own, distance, shards, 2)), scratch)
+    named = own.join(found.withColumnRenamed("id", "hash"), "hash", "left").select("hash", F.coalesce("component", "hash").alias("component"))
+    named = scratch.keep(named, "named")
+    largest = named.groupBy("component").count().orderBy(F.desc("count"), "component").first()
+    rest = n - largest["count"]
+    if not rest:
+        return found
+    inner, outer = -(-rest // block), -(-largest["count"] // block)
+    place = F.when(F.col("component") == largest["component"], _dealt(outer) + inner).otherwise(_dealt(inner))
+
+    def compare(one, other, same):
+        c, d = one["component"].to_numpy(), other["component"].to_numpy()
+        for x, y in _close(_bits(one), _bits(other), distance, same):
+            ends = np.unique(np.stack([c[x], d[y]], 1)[c[x] != d[y]], axis=0)
+            yield pa.table([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    joined = components(_met(named.select("hash", "component", place.alias("own")), inner, inner + outer, compare, "a bigint, b bigint"), scratch)
+    out = named.join(joined.select(F.col("id").alias("component"), F.col("component").alias("wider")), "component", "left")
+    out = out.select(F.col("hash").alias("id"), F.coalesce("wider", "component").alias("component"))
+    return out.join(out.groupBy("component").count().where("count > 1"), "component", "left_semi").select("id", "component")
+
+
 def _within(rows: DataFrame, distance: int, block: int) -> DataFrame:
     """The pairs (a, b) of the same band within the distance. rows: a, band."""
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -87,12 +216,16 @@ def representatives(images: DataFrame) -> DataFrame:
     return some.join(some.groupBy("hash").agg(F.min("full_path").alias("representative")), "hash").select("full_path", "hash", "representative")
 
 
-def image_pairs(images: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def image_pairs(images: DataFrame, distance: int = DISTANCE, few: int = FEW) -> DataFrame:
     """(a, b, distance) of the representatives of different hashes within the distance, by path."""
-    names = images.where("hash IS NOT NULL").groupBy("hash").agg(F.min("full_path").alias("p"))
-    side = lambda x: names.select(F.col("hash").alias(x), F.col("p").alias(f"p{x}"))
-    out = hash_pairs(images, distance).join(side("a"), "a").join(side("b"), "b")
-    return out.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), hamming(F.col("a"), F.col("b")).alias("distance"))
+    names = images.where("hash IS NOT NULL").groupBy("hash").agg(F.min("full_path").alias("name"))
+    names = Scratch(images.sparkSession).keep(names, "names")
+    if distance > PROBED or names.count() <= few:  # the names go along with the hashes
+        out = _bucket_pairs(names, distance)
+    else:
+        side = lambda x: names.select(F.col("hash").alias(x), F.col("name").alias(f"name_{x}"))
+        out = hash_pairs(names, distance, few).join(side("a"), "a").join(side("b"), "b").withColumn("distance", hamming(F.col("a"), F.col("b")))
+    return out.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b"), "distance")
 
 
 def similar_groups(images: DataFrame, distance: int = DISTANCE, scratch: Scratch | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -101,9 +234,12 @@ def similar_groups(images: DataFrame, distance: int = DISTANCE, scratch: Scratch
     Groups chain: members need not be within the distance of each other. The largest image, then the
     first path in any case, has rank 1.
     """
-    linked = components(hash_pairs(images, distance), scratch)
+    scratch = scratch or Scratch(images.sparkSession)
+    images = scratch.keep(images.select("full_path", "size_bytes", "hash"), "images")
+    linked = hash_groups(images, distance, scratch)
     named = images.where("hash IS NOT NULL").join(linked.select(F.col("id").alias("hash"), "component"), "hash", "left")
     named = named.select("full_path", "size_bytes", "hash", F.coalesce("component", "hash").alias("group_id"))
+    named = scratch.keep(named, "named")
     counted = named.groupBy("group_id").agg(F.count("*").alias("members")).where("members > 1")
     order = [F.desc("size_bytes"), sort_fold(F.col("full_path")), F.col("full_path")]
     return rank_within(named.join(counted, "group_id"), ["group_id"], order, hot_rows=hot_rows)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,9 +107,9 @@ def embedding_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.lit(False).alias("copy"))
     vectors = vectors.union(vectors.where("vec_id % 4 = 0").withColumn("copy", F.lit(True)))
     flipped = lambda i: F.col("copy") & ((i * 7 + F.col("vec_id")) % 64 < F.col("vec_id") % 14)
-    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    bit = lambda s, x: F.when((x > 0) != flipped(s["i"]), F.call_function("shiftleft", one, s["i"])).otherwise(none)
-    bits = F.aggregate("embedding", F.struct(none.alias("h"), F.lit(0).alias("i")), lambda s, x: F.struct(s["h"].bitwiseOR(bit(s, x)).alias("h"), (s["i"] + 1).alias("i")), lambda s: s["h"])
+    none = F.lit(0).cast("bigint")
+    bit = lambda i: F.when((F.get("embedding", F.lit(i)) > 0) != flipped(F.lit(i)), F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).otherwise(none)
+    bits = F.when(F.col("embedding").isNotNull(), functools.reduce(lambda h, b: h.bitwiseOR(b), map(bit, range(64))))
     return vectors.select(
         F.concat(F.lit("/img/"), F.when(F.col("copy"), "copy_").otherwise(""), F.col("vec_id").cast("string"), F.lit(".png")).alias("full_path"),
         (F.lit(1000) + F.col("vec_id") % 97).cast("bigint").alias("size_bytes"),

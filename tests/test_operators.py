@@ -123,6 +123,60 @@ def test_similar_chain(spark):
         similar.hash_pairs(got, 65)
 
 
+@pytest.mark.parametrize("distance,few,block,shard", [(20, 0, 50, 40), (20, 0, 7, 8), (20, 0, 8000, 2000), (23, 0, 16, 60), (6, 1000, 9, 30), (6, 0, 9, 30), (64, 0, 16, 20), (0, 1000, 16, 20)])
+def test_hash_groups_against_brute_force(spark, distance, few, block, shard):
+    """Components from links within shards and from what is outside of the largest component are those of all pairs."""
+    rng = random.Random(distance)
+    hashes = [rng.getrandbits(64) for _ in range(200)]
+    for h in hashes[:30]:  # chains off the rest
+        for _ in range(3):
+            for i in rng.sample(range(64), 5):
+                h ^= 1 << i
+            hashes.append(h)
+    hashes = sorted({h - (1 << 63) for h in hashes})
+    near = {a: [b for b in hashes if a != b and bin((a ^ b) & ((1 << 64) - 1)).count("1") <= distance] for a in hashes}
+    want, seen = {}, set()
+    for a in hashes:
+        front = [a] if near[a] and a not in seen else []
+        while front:
+            x = front.pop()
+            if x not in seen:
+                seen.add(x)
+                want[x] = a
+                front += near[x]
+    rows = spark.createDataFrame([(h,) for h in [*hashes, *hashes[:5], None]], "hash bigint")
+    found = similar.hash_groups(rows, distance, None, few, block, shard).collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == set(want.items())
+
+
+def test_hash_groups_compare_few_pairs(spark, monkeypatch):
+    """Where one component holds nearly all hashes, no comparison of all with all is made."""
+    monkeypatch.setattr(similar, "hash_pairs", lambda *a, **k: pytest.fail("all pairs"))
+    compared = spark.sparkContext.accumulator(0)
+    met = similar._met
+    monkeypatch.setattr(similar, "_met", lambda rows, inner, blocks, *a: (compared.add(inner * blocks), met(rows, inner, blocks, *a))[1])
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(rng.getrandbits(64) - (1 << 63),) for _ in range(6000)], "hash bigint")
+    found = similar.hash_groups(rows, 22, None, 0, 500, 1000)
+    assert found.select("component").distinct().count() == 1 and found.count() > 5990
+    assert compared.value <= 14  # of 78 pairs of blocks
+
+
+def test_image_pairs_by_blocks_and_bands(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    rows = [(f"/{k}-{j}", (h ^ (1 << j) ^ (1 << 3 * j)) - (1 << 63)) for k, h in enumerate(base) for j in range(6)]
+    images = spark.createDataFrame([*rows, ("/z", rows[0][1]), ("/null", None)], "full_path string, hash bigint")
+    first = {}
+    for p, h in sorted([*rows, ("/z", rows[0][1])]):
+        first.setdefault(h, p)
+    bits = lambda a, b: bin((a ^ b) & ((1 << 64) - 1)).count("1")
+    for distance in (4, 10, 20):
+        want = sorted((*sorted((first[a], first[b])), bits(a, b)) for a, b in itertools.combinations(first, 2) if bits(a, b) <= distance)
+        for few in (0, 1000):
+            assert sorted(tuple(r) for r in similar.image_pairs(images, distance, few).collect()) == want
+
+
 @pytest.mark.parametrize("distance", [3, 8, 9, 10, 11, 12])
 def test_hash_pairs_against_brute_force(spark, distance):
     rng = random.Random(distance)
