@@ -93,7 +93,8 @@ def chains(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     have to come first, and is null if they run in a circle or lead into one, which no order can serve without a name in
     between. fails_in_order: one by one in the order of the batch the new path would still be taken, by a rename that comes
     later or by a file of the batch that stays. Of each chain every
-    member looks twice as far in every round, so the rounds are the logarithm of the longest chain.
+    member looks twice as far in every round, so the rounds are the logarithm of the longest chain. All joins are merges by
+    hint: paths compress so well that a file of some megabytes is a table of hundreds, which Spark would broadcast.
     """
     scratch = scratch or Scratch(rows.sparkSession)
     acts = plan(rows).select("full_path", "new_path", "ord", "action", fold(F.col("full_path")).alias("at"), fold(F.col("new_path")).alias("next"))
@@ -101,21 +102,21 @@ def chains(rows: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     moves = acts.where("action = 'rename' AND at <> next").drop("action")
     there = moves.select(F.col("at").alias("next"), F.col("ord").alias("next_ord"), F.lit(False).alias("stays"))
     stays = acts.where("action <> 'rename'").groupBy(F.col("at").alias("next")).agg(F.max("ord").alias("next_ord")).withColumn("stays", F.lit(True))
-    links = moves.join(there.unionByName(stays), "next")
+    links = moves.hint("merge").join(there.unionByName(stays), "next")
     links = links.select("at", "next", F.when(F.col("stays"), 0).otherwise(1).cast("bigint").alias("waits"), (F.col("stays") | (F.col("next_ord") > F.col("ord"))).alias("late"))
-    ends = links.select("next").join(links.select(F.col("at").alias("next")), "next", "left_anti")
+    ends = links.select("next").hint("merge").join(links.select(F.col("at").alias("next")), "next", "left_anti")
     links = links.unionByName(ends.select(F.col("next").alias("at"), F.lit(None).cast("string").alias("next"), F.lit(0).cast("bigint").alias("waits"), F.lit(False).alias("late")))
     links = scratch.keep(links, "links")
     most, reach = links.count(), 1
     while reach <= most and not links.where("next IS NOT NULL").isEmpty():
         far = links.select(F.col("at").alias("next"), F.col("next").alias("after"), F.col("waits").alias("more"), F.col("late").alias("later"))
         none = F.lit(0).cast("bigint")
-        further = links.join(far, "next", "left").select("at", F.col("after").alias("next"), (F.col("waits") + F.coalesce("more", none)).alias("waits"), (F.col("late") | F.coalesce("later", F.lit(False))).alias("late"))
+        further = links.hint("merge").join(far, "next", "left").select("at", F.col("after").alias("next"), (F.col("waits") + F.coalesce("more", none)).alias("waits"), (F.col("late") | F.coalesce("later", F.lit(False))).alias("late"))
         before, links, reach = links, scratch.keep(further, "links"), 2 * reach
         scratch.drop(before)
     in_cycle = F.col("next").isNotNull()
     found = links.select("at", F.when(~in_cycle, F.col("waits")).alias("waits"), in_cycle.alias("in_cycle"), (F.col("late") | in_cycle).alias("fails_in_order"))
-    out = moves.drop("next").join(found, "at", "left").drop("at")
+    out = moves.drop("next").hint("merge").join(found, "at", "left").drop("at")
     alone = F.lit(False)
     return out.select("full_path", "new_path", "ord", F.when(F.coalesce("in_cycle", alone), None).otherwise(F.coalesce("waits", F.lit(0))).cast("bigint").alias("waits"), F.coalesce("in_cycle", alone).alias("in_cycle"), F.coalesce("fails_in_order", alone).alias("fails_in_order"))
 
