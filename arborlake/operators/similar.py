@@ -194,9 +194,13 @@ def hash_groups(hashes: DataFrame, distance: int = DISTANCE, scratch: Scratch |
 
 
 def _within(rows: DataFrame, distance: int, block: int) -> DataFrame:
-    """The pairs (a, b) of the same band within the distance. rows: a, band."""
+    """The pairs (a, b) of the same band within the distance. rows: a, band.
+
+    The joins are merges by hint: rows come of an explode, which Spark takes for as small as what goes in, and it would
+    broadcast them all.
+    """
     sizes = rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    return _across_blocks(rows.join(sizes.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"), ["band"], distance)
+    return _across_blocks(rows.hint("merge").join(sizes.select("band", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "band"), ["band"], distance)
 
 
 def _across_blocks(rows: DataFrame, keys: list[str], distance: int) -> DataFrame:
@@ -206,7 +210,7 @@ def _across_blocks(rows: DataFrame, keys: list[str], distance: int) -> DataFrame
     left = rows.select(*keys, "a", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j"))
     right = rows.select(*keys, F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"))
     order = (F.col("i") < F.col("j")) | (F.col("a") < F.col("b"))
-    both = left.join(right, [*keys, "i", "j"]).where((F.col("a") != F.col("b")) & order & (hamming(F.col("a"), F.col("b")) <= distance))
+    both = left.hint("merge").join(right, [*keys, "i", "j"]).where((F.col("a") != F.col("b")) & order & (hamming(F.col("a"), F.col("b")) <= distance))
     return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

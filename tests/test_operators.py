@@ -16,6 +16,7 @@ from arborlake.functions import paths as P
 from arborlake.operators import cleanup, duplicates, rename, rollup, search, similar, snapshot, treemap
 from arborlake.operators.components import components
 from arborlake.plans.numbering import number_rows, rank_within
+from arborlake.plans.scratch import Scratch
 from arborlake.schema import NODES
 from arborlake.sinks import export, snapshots
 from arborlake.sources import fsnodes
@@ -162,6 +163,20 @@ def test_hash_groups_compare_few_pairs(spark, monkeypatch):
     assert compared.value <= 14  # of 78 pairs of blocks
 
 
+def test_bands_and_chains_broadcast_no_table(spark, monkeypatch):
+    """A table whose file or source is small may be large once it is read or exploded."""
+    plans, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: (plans.append(df), keep(self, df, name))[1])
+    for distance in (8, 10):
+        plans.append(similar.hash_pairs(spark.range(500).selectExpr("xxhash64(id) AS hash"), distance, 0))
+    rows = spark.range(200).selectExpr("concat('/', id) AS full_path", "concat(id + 1, '') AS new_name", "concat('/', id + 1) AS new_path", "id AS ord", "CAST(NULL AS STRING) AS error")
+    plans.append(rename.chains(rows))
+    assert len(plans) > 6
+    for df in plans:
+        if not hasattr(df, "_scratch_path"):
+            assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_image_pairs_by_blocks_and_bands(spark):
     rng = random.Random(9)
     base = [rng.getrandbits(64) for _ in range(40)]
