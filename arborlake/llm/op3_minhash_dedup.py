@@ -137,20 +137,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch.drop()
 
     hubs = members.groupBy("id").agg(F.sum("n").alias("hub"))
-    ranked = scratch.hold(members.join(hubs, "id").select("key", "id", "hub"))
+    # what the following plans read is written: cached frames would stand in them with all their own plans, once for each use
+    ranked = scratch.keep(members.join(hubs, "id").select("key", "id", "hub"), "ranked")
     # the largest hub leads, of equal ones the smallest id
     lead = ranked.groupBy("key").agg(F.max("hub").alias("hub")).join(ranked, ["key", "hub"]).groupBy("key").agg(F.min("id").alias("lead"))
     pairs = ranked.join(lead, "key").where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    pairs = scratch.hold(_likely(pairs, sets, similarity))
+    pairs = scratch.keep(_likely(pairs, sets, similarity), "pairs")
+    scratch.drop(ranked)
     links = scratch.keep(verified(pairs, docs, width, similarity), "links")
     scratch.drop(pairs)
     label = components(links, scratch)
     named = members.join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = scratch.hold(named.join(split, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct())
+    rest = scratch.keep(named.join(split, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct(), "rest")
     if not rest.isEmpty():
         texts = scratch.keep(only(docs, rest).join(rest, "doc_id", "left_semi"), "rest-texts")
-        scratch.drop(ranked, rest, members, links)
+        scratch.drop(rest, members, links)
         label = _by_rarest(texts, sets, label, width, similarity, scratch)
         scratch.drop(texts)
 
@@ -229,19 +231,19 @@ def _by_rarest(texts: DataFrame, sets: DataFrame, label: DataFrame, width: int,
         minor, minor_lights = F.col("rows") - F.col("most.rows"), F.col("lights") - F.col("most.lights")
         met = minor_lights * F.col("rows") + (minor - minor_lights) * F.col("lights")
         split = split.where("labels > 1 AND lights > 0").select("key", F.col("most.label").alias("major"), F.col("least.head").alias("head"), met.alias("met"))
-        rest = scratch.hold(named.join(split, "key"))
+        rest = scratch.keep(named.join(split, "key"), "rest")
         if rest.isEmpty():
             scratch.drop(rest, rows)
             return label
         share = F.lit(ROUND_PAIRS) / F.greatest(F.col("met"), F.lit(1))
         picked = (F.col("id") == F.col("head")) | (F.pmod(F.xxhash64("key", "id", F.lit(rounds)), F.lit(1 << 20)) < share * (1 << 20))
         lead = rest.where((F.col("label") != F.col("major")) & picked)
-        lead = scratch.hold(lead.select("key", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("label").alias("other")))
+        lead = scratch.keep(lead.select("key", F.col("id").alias("lead"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("label").alias("other")), "lead")
         inter = F.least(F.col("n") - F.col("x"), F.col("m") - F.col("y"))
         near = (F.col("x") + F.col("y") <= slack * inter) & ((100 + similarity) * inter >= similarity * (F.col("n") + F.col("m")))
         some = rest.where(light("x", "n")).join(lead, "key").where((F.col("label") != F.col("other")) & near)
         more = rest.where(~light("x", "n")).join(lead.where(light("y", "m")), "key").where((F.col("label") != F.col("other")) & near)
-        pairs = scratch.hold(_likely(some.union(more).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), sets, similarity))
+        pairs = scratch.keep(_likely(some.union(more).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct(), sets, similarity), "pairs")
         new = scratch.keep(verified(pairs, texts, width, similarity), "links")
         # components so far are edges of the next
         after = label

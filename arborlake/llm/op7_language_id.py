@@ -45,7 +45,7 @@ def _code_table() -> np.ndarray:
     """The code of every code point."""
     cp = np.arange(0x110000, dtype=np.int64)
     out = (27 + (cp * 2654435761 >> 7) % (CODES - 27)).astype(np.uint8)
-    out[[i for i in range(0x110000) if not chr(i).isalpha()]] = 0
+    out[~np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, len(out))] = 0
     out[97:123] = np.arange(1, 27)
     return out
 

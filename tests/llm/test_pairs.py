@@ -76,6 +76,20 @@ def test_rounds_over_a_hot_group(table, monkeypatch):
     assert got == brute_components(list(enumerate(texts)))
 
 
+def test_near_duplicates_nest_no_cached_plans(table, monkeypatch):
+    """A cached frame stands in a plan with all its own plan, once for each use; nested ones fill the driver's memory."""
+    nested, keep = [], op3_minhash_dedup.Scratch.keep
+
+    def noted(self, df, name):
+        nested.append((df._jdf.queryExecution().executedPlan().toString().count("InMemoryRelation"), name))
+        return keep(self, df, name)
+
+    monkeypatch.setattr(op3_minhash_dedup.Scratch, "keep", noted)
+    op3_minhash_dedup.near_duplicates(table(corpus(1)))
+    assert "rarest" in {name for _, name in nested}  # the exact join was needed
+    assert max(nested)[0] <= 4, nested  # of the components' first round
+
+
 def test_banding_finds_most_pairs_at_the_threshold():
     """Of pairs of similarity 0.8, all but a few in a thousand share a key of both collections."""
     rng = np.random.default_rng(1)
